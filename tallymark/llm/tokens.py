@@ -12,9 +12,10 @@ a ``doc_id`` are ordered by text and each has its own place. An empty table give
 from __future__ import annotations
 
 import json
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from tallymark.llm.common import new_path, offsets, texts, tune
 
 END_ID = 2
-#: A worker forgets its cached chunks when it holds this many (about 100 MB).
-CACHE_ENTRIES = 400_000
+#: Chunks in a generation of a worker's cache (two generations take about 100 MB).
+CACHE_ENTRIES = 250_000
 
 FILE_OPTIONS = {
     "parquet.writer.version": "PARQUET_2_0",
@@ -41,9 +42,9 @@ class Encoder(dict):
     """Ids of a text by the tokenizers library, with each space-led chunk encoded once.
 
     A byte-level pre-tokenizer never joins a non-space to a space behind it, so a text may be cut before each
-    space, unless white space stands on both sides of that space; such texts are encoded whole. Chunks are
-    kept as index numbers into flat id arrays, so a text becomes one lookup per chunk and one array gather.
-    The dictionary maps a chunk (without its leading space) to its number.
+    space, unless white space stands on both sides of that space; such texts are encoded whole. The dictionary
+    maps a chunk (without its leading space) to the bytes of its ids, so a text is one lookup per chunk and
+    one join. Of two generations the older goes when the younger is full, so frequent chunks stay.
     """
 
     def __init__(self, path: str, max_entries: int = CACHE_ENTRIES):
@@ -55,78 +56,88 @@ class Encoder(dict):
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.chunked = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and not any(" " in t or t == "" for t in self.special)
-        self.plain_bpe = self.chunked and spec["model"]["type"] == "BPE"
-        self.max_entries = max_entries
+        cut = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
+        self.plain_bpe = cut and spec["model"]["type"] == "BPE" and not any(not t or any(map(str.isspace, t)) for t in self.special)
+        self.max_entries, self.old, self.inner = max_entries, {}, {}
         if self.plain_bpe:
             import regex
-
             from public_tokenizers import PATTERN
 
             self.split = regex.compile(PATTERN).findall
+            self.tokenize = self.tokenizer.model.tokenize
             kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
             rest = [b for b in range(256) if b not in kept]
             self.bytes_to_chars = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
-        self.reset()
-
-    def reset(self) -> None:
-        self.clear()
-        self.words: dict[str, list[int]] = {}
-        self.size = 0
-        self.ids = np.zeros(1 << 20, np.uint32)
-        self.at = np.zeros(1 << 18, np.int64)
-        self.count = np.zeros(1 << 18, np.int64)
-        self.starts_blank = np.zeros(1 << 18, bool)
-        self.ends_blank = np.zeros(1 << 18, bool)
-
-    def whole(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def word(self, word: str) -> list[int]:
-        found = self.words.get(word)
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def word(self, word: str) -> bytes:
+        """One piece of the pre-tokenizer's."""
+        chars = word.encode().decode("latin1").translate(self.bytes_to_chars)
+        return array("I", [t.id for t in self.tokenize(chars)]).tobytes()
+
+    def cached_inner(self, word: str) -> bytes:
+        """A piece without a leading space: line starts, punctuation, white space."""
+        found = self.inner.get(word)
         if found is None:
-            chars = word.encode().decode("latin1").translate(self.bytes_to_chars)
-            found = self.words[word] = [t.id for t in self.tokenizer.model.tokenize(chars)]
+            if len(self.inner) > self.max_entries // 4:
+                self.inner.clear()
+            found = self.inner[word] = self.word(word)
         return found
 
-    def piece(self, text: str) -> list[int]:
-        if not self.plain_bpe or any(t in text for t in self.special):
+    def pieces(self, text: str) -> bytes:
+        """A text that starts anywhere, by its pieces."""
+        if any(t in text for t in self.special):
             return self.whole(text)
-        return [i for word in self.split(text) for i in self.word(word)]
-
-    def __missing__(self, chunk: str) -> int:
-        ids, n = self.piece(" " + chunk), len(self)
-        while self.size + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        if n == len(self.at):
-            for name in ("at", "count", "starts_blank", "ends_blank"):
-                old = getattr(self, name)
-                setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
-        self.ids[self.size : self.size + len(ids)] = ids
-        self.at[n], self.count[n] = self.size, len(ids)
-        self.starts_blank[n] = not chunk or chunk[0].isspace()
-        self.ends_blank[n] = not chunk or chunk[-1].isspace()
-        self.size += len(ids)
-        self[chunk] = n
-        return n
+        return b"".join([self[w[1:]] if w[0] == " " and letters(w[1:]) else self.cached_inner(w) for w in self.split(text)])
+
+    def __missing__(self, chunk: str) -> bytes:
+        found = self.old.get(chunk)
+        if found is None:
+            if letters(chunk):
+                found = self.word(" " + chunk)
+            elif chunk[-1:] in ENDS and letters(chunk[:-1]):
+                known = chunk[:-1] in self
+                found = self[chunk[:-1]] + self.cached_inner(chunk[-1])
+                if not known:  # kept when the word comes again, as most words never do
+                    return found
+            elif chunk[:1] == "\n":
+                found = self.pieces(chunk)
+            else:
+                found = self.pieces(" " + chunk)
+                if not chunk.isascii():
+                    return found
+        if len(self) >= self.max_entries:
+            self.old = dict(self)
+            self.clear()
+        self[chunk] = found
+        return found
 
     def encode(self, text: str) -> np.ndarray:
-        if not self.chunked:
-            return np.array(self.whole(text), np.uint32)
+        if not self.plain_bpe:
+            return np.frombuffer(self.whole(text), "<u4")
+        # A line feed between two non-blanks is a piece of its own: it leads the chunk behind it.
+        first, *chunks = parts = text.replace("\n", " \n").split(" ")
+        if len(parts) != len(text.split()):  # runs of white space, or other white space than these two
+            return np.frombuffer(self.whole(text) if BETWEEN.search(text) else b"".join(self.spaced(text)), "<u4")
+        return np.frombuffer(self.pieces(first) + b"".join(map(self.__getitem__, chunks)), "<u4")
+
+    def spaced(self, text: str) -> Iterator[bytes]:
         first, *chunks = text.split(" ")
-        head = np.array(self.piece(first) if first else [], np.uint32)
-        if not chunks:
-            return head
-        if len(self) > self.max_entries:
-            self.reset()
-        at = np.array(itemgetter(*chunks)(self), np.int64).reshape(-1)
-        blank_before = np.concatenate([[bool(first) and first[-1].isspace()], self.ends_blank[at[:-1]]])
-        if (blank_before & self.starts_blank[at]).any():
-            return np.array(self.whole(text), np.uint32)
-        count = self.count[at]
-        ends = np.cumsum(count)
-        where = np.repeat(self.at[at] - (ends - count), count) + np.arange(ends[-1])
-        return np.concatenate([head, self.ids[where]])
+        yield self.pieces(first)
+        for c in chunks:
+            yield self.pieces(" " + c) if c[:1] == "\n" else self[c]
+
+
+#: A space between white space and white space or the end.
+BETWEEN = re.compile(r"\s (?:\s|\Z)")
+ENDS = frozenset(".,")
+
+
+def letters(word: str) -> bool:
+    """Letters alone, of the scripts whose letters no two Unicode versions disagree about."""
+    return word.isalpha() and (word.isascii() or max(word) < "\u0250")
 
 
 _encoders: dict[str, Encoder] = {}
