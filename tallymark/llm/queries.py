@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from tallymark.llm import mixing, packing, tokens
+from tallymark.llm import mixing, packing, pii, quality, secretscan, tokens, toxicity
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
     "op4_pack": packing.op4_pack,
+    "op5_pii": pii.op5_pii,
+    "op6_quality": quality.op6_quality,
     "op7_mix": mixing.op7_mix,
     "op8_token_files": tokens.op8_token_files,
+    "op10_secrets": secretscan.op10_secrets,
 }
 
-ORACLE_SQL = {"op7_mix": mixing.OP7_SQL}
+ORACLE_SQL = {"op6_quality": quality.OP6_SQL, "op7_mix": mixing.OP7_SQL}
