@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tallymark.llm import mixing, packing, pii, quality, secretscan, tokens, toxicity
+from tallymark.llm import minhash, mixing, packing, pii, quality, secretscan, tokens, toxicity
 
 QUERIES = {
+    "op1_near_duplicates": minhash.op1_near_duplicates,
     "op2_toxicity": toxicity.op2_toxicity,
     "op4_pack": packing.op4_pack,
     "op5_pii": pii.op5_pii,
