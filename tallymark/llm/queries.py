@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallymark.llm import minhash, mixing, packing, pii, quality, secretscan, tokens, toxicity
+from tallymark.llm import minhash, mixing, packing, pii, quality, secretscan, suffix, tokens, toxicity
 
 QUERIES = {
     "op1_near_duplicates": minhash.op1_near_duplicates,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_quality": quality.op6_quality,
     "op7_mix": mixing.op7_mix,
     "op8_token_files": tokens.op8_token_files,
+    "op9_repeated_passages": suffix.op9_repeated_passages,
     "op10_secrets": secretscan.op10_secrets,
 }
 
