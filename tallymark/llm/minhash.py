@@ -248,5 +248,14 @@ def grouped(docs: DataFrame, similar: float = SIMILAR, weighted: bool = False, s
     return d.join(of, "same").select("doc_id", "same", "class_id", (F.col("key") == F.col("class_id")).alias("is_first"))
 
 
+def deduplicated(docs: DataFrame, similar: float = SIMILAR, weighted: bool = False) -> DataFrame:
+    """One row of each class, with its own columns: a row of the class's least id."""
+    first = grouped(docs, similar, weighted).where("is_first").select(F.coalesce("doc_id", F.xxhash64("same")).alias("_key"), F.col("same").alias("_same"))
+    first = first.groupBy("_key").agg(F.min("_same").alias("_same"))
+    rows = docs.withColumn("_same", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    rows = rows.withColumn("_key", F.coalesce("doc_id", F.xxhash64("_same")))
+    return rows.join(first, ["_key", "_same"], "left_semi").dropDuplicates(["_key", "_same"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id")

@@ -85,6 +85,18 @@ def mixed(sizes: DataFrame, max_repeat: int = 3) -> DataFrame:
     return out.withColumn("taken", F.col("size") * (F.col("repeats") + more.cast("long")))
 
 
+def applied(docs: DataFrame, max_repeat: int = 3) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken, with its own columns."""
+    size, key = n_words(F.col("text")).alias("size"), hashed(F.col("doc_id")).alias("hash")
+    sizes = written(docs.select("source", size, key), "sizes")
+    sources = written(targets(sizes, max_repeat), "sources")
+    n = sources.count()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("source"), key)
+    out = with_source(rows, thresholds(sizes, sources, n), n)
+    more = F.coalesce((F.col("hash") < F.col("below")) | ((F.col("hash") == F.col("below")) & F.col("last")), F.lit(False))
+    return out.withColumn("_n", F.explode(F.array_repeat(F.lit(1), (F.col("repeats") + more.cast("long")).cast("int")))).select("_doc.*")
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     sizes = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), hashed(F.col("doc_id")).alias("hash")), "sizes")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tallymark.llm import minhash, mixing, packing, pii, quality, secretscan, suffix, tokens, toxicity
+from tallymark.llm import fingerprint, minhash, mixing, packing, pii, quality, secretscan, suffix, tokens, toxicity
 
 QUERIES = {
     "op1_near_duplicates": minhash.op1_near_duplicates,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_fingerprints": fingerprint.op3_fingerprints,
     "op4_pack": packing.op4_pack,
     "op5_pii": pii.op5_pii,
     "op6_quality": quality.op6_quality,

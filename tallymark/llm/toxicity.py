@@ -275,6 +275,12 @@ def trained(docs: DataFrame, labels: DataFrame) -> Machine | None:
     return train(*training_documents(docs, labels))
 
 
+def accepted(docs: DataFrame, machine: Machine | None, limit: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score under ``limit``, with their own columns."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "text")
+    return scored(rows, machine).where(F.col("score") < limit).select("_doc.*")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     machine = trained(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
