@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tallymark.llm.common import WORD, texts
 
-SAMPLE_ROWS = 1000
+SAMPLE_ROWS = 500
 MIN_WORDS = 50
 WINDOW = 3
 
@@ -98,7 +98,9 @@ def ordered(sample: DataFrame, rules: tuple[Rule, ...] = RULES) -> list[Rule]:
 
 def judged(docs: DataFrame, *more: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Base figures, ``base_failed``, ``rejected_by`` (a rule that rejects, null if none) and ``kept``."""
-    order = ordered(figures(docs.limit(SAMPLE_ROWS)), rules)
+    # Taken from as few partitions as hold so many rows; a limit inside a plan would take as many from each.
+    few = texts(docs).limit(SAMPLE_ROWS).collect()
+    order = ordered(figures(docs.sparkSession.createDataFrame(few, texts(docs).schema)), rules)
     first = F.when(base_failed(), F.lit("base"))
     for r in order:
         first = first.when(r.rejects(), F.lit(r.name))
