@@ -7,15 +7,15 @@ map of a word is its kernel with the landmarks times the inverse square root of
 linear support vector machine is trained on it. A sentence counts as its most toxic word, a document as its
 most toxic sentence, and a logistic function fitted on the training documents turns margins into scores.
 
-Labels are those of documents: sentences of clean documents are clean; in a toxic document the word of the
-highest margin is taken as its evidence and training is repeated with it.
+Labels are those of documents: sentences of clean documents are clean; in a toxic document the words of the
+highest margin are taken as its evidence and training is repeated with them.
 
 As the kernel is a sum over subsequences, the trained machine is one weight for each subsequence that a
 landmark has; so a word is scored by adding weights, exactly as through the landmarks, and each worker scores
 each distinct word once.
 
-Training uses at most ``TRAIN_DOCS`` labelled documents of each class (those of the lowest id hashes) and at
-most ``NEGATIVES`` distinct clean words. Every text is scored whole.
+Training uses at most ``TRAIN_TOXIC`` toxic and ``TRAIN_CLEAN`` clean labelled documents (those of the lowest id
+hashes); of their clean words the ``NEGATIVES`` most frequent and most toxic-looking. Every text is scored whole.
 
 Defined results: null and empty texts and texts without words get the score of the lowest margin. Labels of
 null are not used; where a class has no training document all scores are 0. Repeated rows are scored alike.
@@ -23,7 +23,7 @@ null are not used; where a class has no training document all scores are 0. Repe
 
 from __future__ import annotations
 
-import re
+import string
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 
 from tallymark.llm.common import tune
 
-DECAY, SPAN, BINS = 0.7, 5, 64
-TRAIN_DOCS, NEGATIVES, LANDMARKS, ROUNDS = 1500, 30_000, 160, 4
+DECAY, SPAN, BINS = 0.5, 5, 64
+TRAIN_TOXIC, TRAIN_CLEAN, NEGATIVES, LANDMARKS, ROUNDS = 2000, 4000, 16_000, 400, 4
 FOLDS = 5
 #: A worker forgets its scored words when it holds this many.
 CACHE_ENTRIES = 500_000
@@ -46,32 +46,33 @@ LOWEST = -4.0
 STEPS = [(a, b) for a in range(1, SPAN) for b in range(a + 1, SPAN)]
 WEIGHTS = np.array([DECAY ** (b + 1) for _, b in STEPS], np.float32)
 
-_FOLD = {ord(a): b for a, b in zip("àáâäãåçèéêëìíîïñòóôöõùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy", strict=True)}
-_EDGE = re.compile(r"[^\W_]")
+EDGES = string.punctuation + "\u00a1\u00bf\u00ab\u00bb\u2018\u2019\u201c\u201d\u2026\u2013\u2014"
 
 
-def codes(word: str) -> np.ndarray:
-    """Characters as numbers under ``BINS``: 0 for the edge of a word, letters, then the rest by hash."""
-    points = np.frombuffer(word.lower().translate(_FOLD).encode("utf-32-le"), np.uint32)
+def codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Characters of all words as numbers under ``BINS`` (0 for the edges of a word, letters, the rest by hash), and whose."""
+    points = np.frombuffer("".join([f"\n{w}\n" for w in words]).lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    edge = points == 10
     letters = (points >= 97) & (points <= 122)
-    return np.concatenate([[0], np.where(letters, points - 96, 27 + points % (BINS - 27)), [0]]).astype(np.int64)
+    code = np.where(edge, 0, np.where(letters, points - 96, 27 + points % (BINS - 27))).astype(np.int64)
+    return code, (np.cumsum(edge) - 1) // 2
 
 
 def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All subsequences of ``words``: number of the word, number of the subsequence, normalised weight."""
-    each = [codes(w) for w in words]
-    n = np.array([len(c) for c in each])
-    of = np.repeat(np.arange(len(words)), n)
-    flat = np.concatenate(each) if each else np.zeros(0, np.int64)
+    """All subsequences of ``words``: number of the word, number of the subsequence, normalised weight.
+
+    Words hold no white space, so a line feed marks their edges.
+    """
+    flat, of = codes(words)
     word, found, weight = [], [], []
     for (a, b), w in zip(STEPS, WEIGHTS, strict=True):
-        if len(flat) <= b:
+        n = len(flat) - b
+        if n < 1:
             continue
-        ok = of[:-b] == of[b:]
-        k = (flat[: len(flat) - b] * BINS + flat[a : len(flat) - b + a]) * BINS + flat[b:]
-        word.append(of[:-b][ok])
-        found.append(k[ok])
-        weight.append(np.full(ok.sum(), w, np.float32))
+        ok = np.flatnonzero(of[:n] == of[b:])
+        found.append((flat[ok] * BINS + flat[ok + a]) * BINS + flat[ok + b])
+        word.append(of[ok])
+        weight.append(np.full(len(ok), w, np.float32))
     word, found, weight = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((word, np.int64), (found, np.int64), (weight, np.float32)))
     norm = np.sqrt(np.bincount(word, weight * weight, len(words)))
     return word, found, weight / np.maximum(norm, 1e-9)[word].astype(np.float32)
@@ -125,8 +126,7 @@ def units(text: str) -> list[str]:
 
 def bare(word: str) -> str:
     """Without punctuation at its edges."""
-    found = [m.start() for m in _EDGE.finditer(word)]
-    return word[found[0] : found[-1] + 1].lower() if found else ""
+    return word.strip(EDGES).lower()
 
 
 class Machine:
@@ -137,6 +137,8 @@ class Machine:
         self.known: dict[str, float] = {}
 
     def margins(self, words: list[str]) -> np.ndarray:
+        if len(words) > 20_000:  # by parts, to bound memory
+            return np.concatenate([self.margins(words[a : a + 20_000]) for a in range(0, len(words), 20_000)])
         word, found, weight = subsequences(words)
         return np.maximum(np.bincount(word, weight * self.weights[found], len(words)) + self.bias, LOWEST)
 
@@ -161,12 +163,12 @@ def held_out(doc_id, folds: int = FOLDS):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
-def training_documents(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> tuple[list[str], list[str]]:
-    """Texts of at most ``limit`` labelled documents of each class outside the held-out fold: (clean, toxic)."""
+def training_documents(docs: DataFrame, labels: DataFrame, limits: tuple[int, int] = (TRAIN_CLEAN, TRAIN_TOXIC)) -> tuple[list[str], list[str]]:
+    """Distinct words, joined by blanks, of at most ``limits`` labelled documents outside the held-out fold: (clean, toxic)."""
     ids = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "toxic")
     found = []
     for kind in (0, 1):
-        few = ids.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)  # of bounded size
+        few = ids.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limits[kind])  # of bounded size
         words = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(few.select("doc_id").distinct()), "doc_id", "left_semi")
         # distinct words are all that training uses of a text
         sets = words.select("doc_id", F.array_distinct(F.split("text", "\\s+")).alias("w")).select("doc_id", F.array_join("w", " ").alias("w"))
@@ -196,30 +198,31 @@ def train(clean: list[str], toxic: list[str]) -> Machine | None:
     bags = [[sorted({b for u in units(t) if (b := bare(u))}) for t in texts] for texts in (clean, toxic)]
     seen = [Counter(w for bag in b for w in bag) for b in bags]
 
-    # First evidence: for each toxic document the word with the piece most typical of toxic documents.
-    def grams(word: str) -> set[str]:
-        w = f" {word} "
-        return {w[i : i + 5] for i in range(max(1, len(w) - 4))}
-
-    counts = [Counter(g for bag in b for g in {g for w in bag for g in grams(w)}) for b in bags]
+    # First evidence: for each toxic document the words with the pieces most typical of toxic documents.
+    grams = {w: {f" {w} "[i : i + 5] for i in range(max(1, len(w) - 2))} for kind in seen for w in kind}
+    counts = [Counter(g for bag in b for g in set().union(*[grams[w] for w in bag])) for b in bags]
     odds = {g: np.log((n + 0.1) / len(toxic)) - np.log((counts[0][g] + 0.5) / len(clean)) for g, n in counts[1].items()}
-    worth = {w: max(odds[g] for g in grams(w)) for w in seen[1]}
-    negatives = [w for w, _ in seen[0].most_common(NEGATIVES)]
+    worth = {w: max(odds[g] for g in grams[w]) for w in seen[1]}
+    plenty = {w for w in seen[1] if any(counts[1][g] > 3 and odds[g] > 3 for g in grams[w])}
     evidence = [max(bag, key=worth.__getitem__) for bag in bags[1] if bag]
+    evidence += [w for bag in bags[1] for w in bag if w in plenty]
+    pool = [w for w, _ in seen[0].most_common()]
     weights, bias = None, 0.0
     for _ in range(ROUNDS):
         marks = [w for w, _ in Counter(evidence).most_common(LANDMARKS // 2)]
-        rivals = [w for w in negatives[: LANDMARKS // 4]]
-        if weights is not None:
-            hard = np.argsort(-Machine(weights, bias, 1, 0).margins(negatives))
-            rivals += [negatives[i] for i in hard[: LANDMARKS // 4]]
+        negatives = pool[: NEGATIVES // 2]
+        rivals = negatives[: LANDMARKS // 4]
+        if weights is not None:  # the clean words of the highest margins
+            hard = np.argsort(-Machine(weights, bias, 1, 0).margins(pool))[: NEGATIVES // 2]
+            negatives = list(dict.fromkeys([*negatives, *(pool[i] for i in hard)]))
+            rivals = [*rivals, *(pool[i] for i in hard[: LANDMARKS // 4])]
         marks = list(dict.fromkeys([*marks, *rivals]))
         landmarks = Landmarks(marks)
         values, vectors = np.linalg.eigh(landmarks.kernel(marks).astype(np.float64))
         keep = values > 1e-4
         root = vectors[:, keep] / np.sqrt(values[keep])
-        positive = [w for w, n in Counter(evidence).items() if n > 1 or worth.get(w, 0) > 2] or evidence
         times = Counter(evidence)
+        positive = [w for w, n in times.items() if n > 1 or w in plenty] or list(times)
         x = landmarks.kernel([*positive, *negatives]) @ root
         y = np.r_[np.ones(len(positive)), -np.ones(len(negatives))]
         cost = np.r_[[5.0 * min(times[w], 20) for w in positive], [min(seen[0][w], 20) for w in negatives]]
@@ -227,16 +230,17 @@ def train(clean: list[str], toxic: list[str]) -> Machine | None:
         weights = landmarks.weights(root @ w[:-1])
         bias = float(w[-1])
         machine = Machine(weights, bias, 1, 0)
-        evidence = [bag[int(np.argmax(machine.margins(bag)))] for bag in bags[1] if bag]
+        best = [(bag, machine.margins(bag)) for bag in bags[1] if bag]
+        evidence = [bag[i] for bag, margin in best for i in {int(np.argmax(margin)), *np.flatnonzero(margin > 0.5).tolist()}]
     margin = [np.array([machine.margins(bag).max() if bag else LOWEST for bag in b]) for b in bags]
     machine.slope, machine.shift = logistic(np.concatenate(margin), np.r_[np.zeros(len(bags[0])), np.ones(len(bags[1]))])
     return machine
 
 
 def logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift by Newton steps with a small ridge, classes weighing the same."""
+    """Slope and shift by Newton steps with a small ridge; toxic documents weigh a fifth, as they are few."""
     x = np.c_[margin, np.ones(len(margin))]
-    share = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y)
+    share = np.where(y > 0, 0.2 / max(y.sum(), 1), 0.8 / max((1 - y).sum(), 1)) * len(y)
     w = np.array([1.0, 0.0])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
