@@ -1,0 +1 @@
+"""Advertising delivery and call attribution analytics on Spark DataFrames."""
