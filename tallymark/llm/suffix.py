@@ -228,7 +228,9 @@ def repeated(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES, grou
         seeds = new if seeds is None else seeds.union(new)
     for level in family.levels.values():
         dropped(level)
-    hits = written(found.drop("batch").join(seeds.distinct(), "seed"), "hits")
+    # Written by itself, so that the join below stands alone and can split a seed that very many rows have.
+    seeds = written(seeds.distinct(), "seeds")
+    hits = written(found.drop("batch").join(seeds, "seed"), "hits")
     dropped(found)
     kinds = hits.groupBy("seed", "whole").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "tag", "first", "count", "anchor")).alias("r"))
     kinds = written(kinds.select("seed", "whole", "n", "r.doc_id", "r.tag", "r.first", "r.count", "r.anchor"), "kinds")
