@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallymark.operators.dedup import erase_prefix
 
@@ -14,9 +15,15 @@ def preview(raw: DataFrame, ifa_hash: str, first_day: str, last_day: str) -> Dat
     return rows.groupBy("dt").agg(F.count("*").alias("scanned"), F.count_if(F.col("ifa_hash") == ifa_hash).alias("to_delete"), F.count_if(F.col("ifa_hash").isNull()).alias("without_hash"))
 
 
+def read_raw(spark: SparkSession, path: str) -> DataFrame:
+    """Raw rows with the names of their folders as text, which a reader would else take for numbers."""
+    fields = spark.read.parquet(path).schema.fields
+    return spark.read.schema(T.StructType([T.StructField(f.name, T.StringType() if f.name in ("dt", "h", "hh") else f.dataType) for f in fields])).parquet(path)
+
+
 def erase_raw(spark: SparkSession, path: str, ifa_hash: str, first_day: str, last_day: str) -> dict:
     """Rewrite the subject's shard folders without its rows. Fails before writing if a row there has no hash."""
-    raw = spark.read.parquet(path)
+    raw = read_raw(spark, path)
     shard = raw.where(F.col("dt").between(first_day, last_day) & (F.col("h") == ifa_hash[:4]))
     n = preview(raw, ifa_hash, first_day, last_day).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("scanned", "to_delete", "without_hash")], F.count("*").alias("days")).first()
     if n["without_hash"]:
