@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from tallymark.llm.common import texts, written
 
-LONG_LINE, SHARD = 240, 24
-SIZES, ROUNDS = (8, 32, 128), 14
+LONG_LINE, SHARD = 240, 8
+#: Cells of a subtable: first try, and each try after a failure. Texts that are not versions of one another start at the second.
+SIZES, ROUNDS = (4, 12, 48), 14
 #: Documents up to which the table of successors (24 bytes each) is sent to every executor; beyond it, a join.
 BROADCAST_IDS = 1_000_000
 
@@ -47,39 +48,44 @@ def shard_of(key: str, n: str) -> str:
     return f"pmod(xxhash64({key}, 7), {n})"
 
 
-def cell(m: int, key: str, c: str) -> str:
-    """SQL: whether ``key`` goes into cell ``c`` of three subtables of ``m`` cells."""
-    return f"pmod(xxhash64({key}, {c} div {m}), {m}) = {c} % {m}"
+EMPTY = "named_struct('n', 0, 'k', 0L, 'h', 0L)"
 
 
-EMPTY = "named_struct('n', 0, 'k', 0L, 'h', 0L)"
+def placed(key: str, m: int, step: int, *more: str) -> str:
+    """SQL: a digest with its check and its cell in each of three subtables of ``m`` cells."""
+    cells = ", ".join(f"'{c}', cast(pmod(xxhash64({key}, {i}), {m}) as int) + {i * step}" for i, c in enumerate("abc"))
+    return f"named_struct('k', {key}, 'h', xxhash64({key}, 99), {''.join(more)}{cells})"
 
 
-def sketch(keys: str, m: int) -> str:
-    return (
-        f"transform(sequence(0, {3 * m - 1}), c -> aggregate(filter({keys}, k -> {cell(m, 'k', 'c')}), {EMPTY}, "
-        "(a, k) -> named_struct('n', a.n + 1, 'k', a.k ^ k, 'h', a.h ^ xxhash64(k, 99))))"
-    )
+def sketch(digests: str, m: int) -> str:
+    """SQL: the cells, from digests with their places."""
+    return "concat(" + ", ".join(
+        f"transform(sequence(0, {m - 1}), u -> aggregate(filter({digests}, e -> e.{c} = u), {EMPTY}, (z, e) -> named_struct('n', z.n + 1, 'k', z.k ^ e.k, 'h', z.h ^ e.h)))"
+        for c in "abc"
+    ) + ")"
 
 
 def differing(a: str, b: str, m: int) -> str:
     """SQL: how many digests differ, found by peeling sketches of ``3 m`` cells; null if they do not empty."""
-    less = f"zip_with({sketch(a, m)}, {sketch(b, m)}, (x, y) -> named_struct('n', x.n - y.n, 'k', x.k ^ y.k, 'h', x.h ^ y.h))"
+    both = ", ".join(f"'{n}', transform({keys}, q -> {placed('q', m, 0)})" for n, keys in (("x", a), ("y", b)))
+    less = f"zip_with({sketch('o.x', m)}, {sketch('o.y', m)}, (x, y) -> named_struct('n', x.n - y.n, 'k', x.k ^ y.k, 'h', x.h ^ y.h))"
     pure = "abs(x.n) = 1 AND x.h = xxhash64(x.k, 99)"
-    taken = f"aggregate(filter(p, e -> {cell(m, 'e.k', 'i')}), x, (y, e) -> named_struct('n', y.n - e.n, 'k', y.k ^ e.k, 'h', y.h ^ xxhash64(e.k, 99)))"
+    found = f"transform(array_distinct(transform(filter(s.c, x -> {pure}), x -> named_struct('k', x.k, 'n', x.n))), f -> {placed('f.k', m, m, chr(39), 'n', chr(39), ', f.n, ')})"
+    taken = "aggregate(filter(p, e -> e.a = i OR e.b = i OR e.c = i), x, (y, e) -> named_struct('n', y.n - e.n, 'k', y.k ^ e.k, 'h', y.h ^ e.h))"
     step = (
-        f"if(exists(s.c, x -> {pure}), element_at(transform(array(array_distinct(transform(filter(s.c, x -> {pure}), x -> named_struct('k', x.k, 'n', x.n)))), "
+        f"if(exists(s.c, x -> {pure}), element_at(transform(array({found}), "
         f"p -> named_struct('c', transform(s.c, (x, i) -> {taken}), 'd', s.d + size(p))), 1), s)"
     )
-    return (
+    peeled = (
         f"aggregate(sequence(1, {ROUNDS}), named_struct('c', {less}, 'd', 0), (s, r) -> {step}, "
         "s -> if(exists(s.c, x -> x.n != 0 OR x.k != 0 OR x.h != 0), null, s.d))"
     )
+    return f"element_at(transform(array(named_struct({both})), o -> {peeled}), 1)"
 
 
-def likeness(a: str, b: str) -> str:
+def likeness(a: str, b: str, sizes: tuple[int, ...] = SIZES) -> str:
     """SQL: likeness of two texts from the columns of their digests."""
-    peeled = ", ".join(differing("v.a", "v.b", m) for m in SIZES)
+    peeled = ", ".join(differing("v.a", "v.b", m) for m in sizes)
     exact = "size(array_except(v.a, v.b)) + size(array_except(v.b, v.a))"
     shard = (
         f"element_at(transform(array(named_struct('a', filter({a}, k -> {shard_of('k', 'w')} = g), 'b', filter({b}, k -> {shard_of('k', 'w')} = g))), "
@@ -94,7 +100,8 @@ def printed(text: str, keys: str) -> str:
     m = SIZES[0]
     one = "if(x.n = 0, '', concat(hex(x.n), ':', hex(x.k), ':', hex(x.h & 4294967295)))"
     inside = f"filter({keys}, k -> {shard_of('k', 'w')} = g)"
-    each = f"transform(sequence(0, w - 1), g -> array_join(transform({sketch(inside, m)}, x -> {one}), ','))"
+    cells = f"element_at(transform(array(transform({inside}, q -> {placed('q', m, 0)})), o -> transform({sketch('o', m)}, x -> {one})), 1)"
+    each = f"transform(sequence(0, w - 1), g -> array_join({cells}, ','))"
     return f"concat_ws(';', char_length({text}), hex(xxhash64({text})), array_join(element_at(transform(array({shards(keys)}), w -> {each}), 1), '|'))"
 
 
@@ -132,7 +139,7 @@ def compared(docs: DataFrame) -> DataFrame:
         F.expr(printed("text", "keys")).alias("fingerprint"),
         F.expr(printed("edited", "edited_keys")).alias("edited_fingerprint"),
         F.expr(likeness("keys", "edited_keys")).alias("near_edited"),
-        F.expr(likeness("keys", "next_keys")).alias("near_next"),
+        F.expr(likeness("keys", "next_keys", SIZES[1:])).alias("near_next"),
     )
 
 
