@@ -8,10 +8,11 @@ average however long it is; each of the ``K`` coordinates keeps its earliest dar
 until none is empty. Two signatures agree in a coordinate with the weighted Jaccard similarity as probability.
 
 Signatures are cut into ``BANDS`` bands. In a bucket (documents that agree in a band) all are compared with one
-leader, not with each other. Then, while a bucket holds documents of several classes, a document outside its
-first leader's class becomes a further leader and is compared with those of other classes. So every pair of a
-bucket is compared or already in one class, without listing pairs of a class. A pair whose signatures agree
-in fewer than ``SCREEN`` coordinates is dropped; the others are compared exactly on their shingles.
+leader, not with each other, which makes one class of most groups. In the buckets that then still hold several
+classes, the signatures of documents outside the first leader's class are held against all others of the
+bucket inside one task; buckets of more than ``GROUP`` members are first cut by a second band. Pairs of one
+class are never listed. A pair whose signatures agree in fewer than ``SCREEN`` coordinates is dropped; the others
+are compared exactly on their shingles.
 Classes are connected components of the exact links.
 
 Similarity is Jaccard's on distinct shingles of five words, 0.8 or more (``weighted=True``: on counts).
@@ -29,7 +30,7 @@ from math import lgamma, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.llm.common import dropped, texts, tune, written
@@ -44,8 +45,8 @@ SCREEN = int(0.64 * K)
 FIRST_RANK = 1 / 16
 #: Candidate documents up to which their ids are sent to every executor (16 MB); beyond it they are joined.
 BROADCAST_IDS = 1_000_000
-#: Further leaders of a bucket in one round.
-LEADERS = 16
+#: Members up to which a bucket's signatures are compared in one task (1 MB); larger ones are cut by a second band.
+GROUP = 4_000
 
 
 @lru_cache(None)
@@ -203,46 +204,84 @@ def numbered(docs: DataFrame) -> DataFrame:
     return d.select("doc_id", F.coalesce("doc_id", F.xxhash64("same")).alias("key"), "same", "text")
 
 
-def links(docs: DataFrame, nodes: DataFrame, similar: float, weighted: bool, screen: int) -> DataFrame | None:
-    """Classes (``id``, ``class``) of the nodes that have a link; None if no bucket holds two nodes."""
+def across(rows: DataFrame, screen: int) -> DataFrame:
+    """Pairs of a bucket of other classes whose signatures agree in ``screen`` coordinates.
+
+    ``rows``: ``key``, ``id``, ``class``, ``is_main`` and ``sig``. A bucket's rows meet in one task, those outside
+    its main class are held against all, and only pairs that agree leave it.
+    """
+
+    def pairs(ids: np.ndarray, classes: np.ndarray, main: np.ndarray, sigs: np.ndarray) -> Iterator[np.ndarray]:
+        other = np.flatnonzero(~main)
+        step = max(1, (4 << 20) // (sigs.shape[1] * len(ids)))
+        for a in range(0, len(other), step):
+            i = other[a : a + step]
+            agree = (sigs[i][:, None, :] == sigs[None, :, :]).sum(2) >= screen
+            x, y = np.nonzero(agree & (classes[i][:, None] != classes[None, :]))
+            yield np.sort(np.stack([ids[i[x]], ids[y]]), 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def check(table: pa.Table) -> pa.RecordBatch:
+            key = table.column("key").to_numpy()
+            ids, classes, main = (table.column(c).to_numpy(zero_copy_only=False) for c in ("id", "class", "is_main"))
+            sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(len(ids), -1)
+            ends = [*np.flatnonzero(np.diff(key)) + 1, len(key)]
+            found = [p for a, b in zip([0, *ends[:-1]], ends, strict=True) for p in pairs(ids[a:b], classes[a:b], main[a:b], sigs[a:b])]
+            both = np.unique(np.concatenate(found, 1), axis=1) if found else np.zeros((2, 0), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(both[1]), pa.array(both[0])], ["a", "b"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            key = batch.column("key").to_numpy()
+            cut = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last bucket may go on in the next batch
+            if cut:
+                yield check(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            elif held and len(key) and held[-1].column("key")[-1].as_py() != key[0]:
+                yield check(pa.Table.from_batches(held))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield check(pa.Table.from_batches(held))
+
+    return rows.select("key", "id", "class", "is_main", "sig").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+
+
+def links(docs: DataFrame, nodes: DataFrame, similar: float, weighted: bool, screen: int, group: int = GROUP) -> DataFrame:
+    """Classes (``id``, ``class``) of the nodes that have a link."""
     reps = numbered(docs).select(F.col("key").alias("id"), "text")
-    sigs = nodes.select("id", "sig")
+    sigs = nodes.select("id", "sig").where("sig is not null")
     member = nodes.select("id", F.explode("bands").alias("key")).distinct()
     size = member.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1")
-    bucket = written(member.join(size.select("key", "leader"), "key"), "buckets")
+    bucket = written(member.join(size, "key"), "buckets")
     pairs = bucket.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
-    led = bucket.select("key", F.col("leader").alias("id")).distinct()
-    seen = found = None
-    while True:
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        close = written(screened(pairs, sigs, screen), "close").distinct()
-        new = written(verified(close, reps, similar, weighted).distinct(), "verified")
-        seen = close if seen is None else seen.union(close)
-        found = new if found is None else found.union(new)
-        classes = components(found)
-        at = bucket.join(classes, "id", "left").select("key", "id", F.coalesce("class", "id").alias("class"))
-        split = at.groupBy("key").agg(F.min_by("class", "id").alias("main"), F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high")
-        at = at.join(split.select("key", "main"), "key").join(led, ["key", "id"], "left_anti")
-        rest = at.where("class <> main")
-        order = Window.partitionBy("key").orderBy("id")
-        more = rest.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= LEADERS).select("key", F.col("id").alias("b"), F.col("class").alias("cb"))
-        more = written(more, "leaders")
-        if not more.limit(1).count():
-            return classes
-        pairs = at.join(more, "key").where((F.col("class") != F.col("cb")) & (F.col("id") != F.col("b")))
-        pairs = pairs.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
-        led = led.union(more.select("key", F.col("b").alias("id")))
-
-
-def grouped(docs: DataFrame, similar: float = SIMILAR, weighted: bool = False, screen: int = SCREEN) -> DataFrame:
+    found = written(verified(written(screened(pairs, sigs, screen).distinct(), "close"), reps, similar, weighted).distinct(), "verified")
+    classes = components(found)
+    at = bucket.join(classes, "id", "left").select("key", "id", "n", F.coalesce("class", "id").alias("class"))
+    split = at.groupBy("key").agg(F.min_by("class", "id").alias("main"), F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high")
+    at = written(at.join(split.select("key", "main"), "key"), "split")
+    large = at.where(F.col("n") > group)
+    rows = at.where(F.col("n") <= group).select("key", "id", "class", (F.col("class") == F.col("main")).alias("is_main"))
+    if large.limit(1).count():
+        # Similar texts of a very common bucket agree in a second band too: there they meet by two bands.
+        second = large.join(nodes.select("id", "bands"), "id").select("id", "class", F.col("key").alias("k1"), F.explode("bands").alias("k2")).where("k1 <> k2")
+        second = second.select(F.xxhash64(F.least("k1", "k2"), F.greatest("k1", "k2")).alias("key"), "id", "class").distinct()
+        some = second.groupBy("key").agg(F.min("class").alias("main"), F.max("class").alias("high")).where("main <> high")
+        rows = rows.union(second.join(some, "key").select("key", "id", "class", (F.col("class") == F.col("main")).alias("is_main")))
+    more = written(across(rows.join(sigs, "id"), screen).distinct(), "across")
+    if not more.limit(1).count():
+        return classes
+    return components(found.union(verified(more, reps, similar, weighted)).distinct())
+
+
+def grouped(docs: DataFrame, similar: float = SIMILAR, weighted: bool = False, screen: int = SCREEN, group: int = GROUP) -> DataFrame:
     """``doc_id``, ``same`` (digest of the text), ``class_id`` and ``is_first`` for each row of ``docs``.
 
     ``is_first`` marks the rows of a class's least ``doc_id``.
     """
     rows = signed(docs, weighted)
     nodes = written(rows.groupBy("same").agg(F.min("key").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nodes")
-    classes = links(docs, nodes, similar, weighted, screen)
+    classes = links(docs, nodes, similar, weighted, screen, group)
     of = nodes.select("same", "id").join(classes, "id", "left").select("same", F.coalesce("class", "id").alias("class_id"))
     d = numbered(docs).select("doc_id", "key", "same")
     return d.join(of, "same").select("doc_id", "same", "class_id", (F.col("key") == F.col("class_id")).alias("is_first"))

@@ -65,9 +65,10 @@ def corpus(n=120, seed=3):
     return list(enumerate(rows))
 
 
-def test_classes_equal_those_of_all_pairs(spark):
+@pytest.mark.parametrize("group", [4000, 5])
+def test_classes_equal_those_of_all_pairs(spark, group):
     rows = corpus()
-    got = classes(grouped(spark.createDataFrame(rows, "doc_id long, text string")))
+    got = classes(grouped(spark.createDataFrame(rows, "doc_id long, text string"), group=group))
     assert got == brute(rows)
 
 
