@@ -119,3 +119,12 @@ def test_mixing_comes_near_targets_and_reruns_agree(spark):
         got[r.source] += r.taken
     for r in out:
         assert abs(got[r.source] - r.target) <= 7
+
+
+@pytest.mark.parametrize("ids_", [[-(1 << 62), -5, None, 0, 7, 7, 8, 9, 10, 11, (1 << 62)], list(range(1000, 0, -1)), [5] * 20, [None]])
+def test_files_are_in_order_of_any_ids(spark, ids_):
+    docs = spark.createDataFrame([(i, f"text {k}") for k, i in enumerate(ids_)], "doc_id long, text string").repartition(3)
+    path = new_path(spark, "t")
+    write_tokens(docs, path, PATH)
+    got = [r.doc_id for r in token_report(spark, path).orderBy("start").collect()]
+    assert got == sorted(ids_, key=lambda i: (i is not None, i or 0))
