@@ -7,9 +7,9 @@ in common. A document of total weight ``W`` looks at ranks up to ``DARTS / W``,
 average however long it is; each of the ``K`` coordinates keeps its earliest dart, and ranks are doubled
 until none is empty. Two signatures agree in a coordinate with the weighted Jaccard similarity as probability.
 
-Signatures are cut into ``BANDS`` bands. In a bucket (documents that agree in a band) all are compared with one
-leader, not with each other, which makes one class of most groups. In the buckets that then still hold several
-classes, the signatures of documents outside the first leader's class are held against all others of the
+Signatures are cut into ``BANDS`` bands. A document is compared with the leader (of its buckets, the documents that
+agree in a band) with which it shares most bands, then one document of each class in a bucket with the bucket's
+leader, which makes one class of most groups. In the buckets that then still hold several classes, the signatures of documents outside the first leader's class are held against all others of the
 bucket inside one task; buckets of more than ``GROUP`` members are first cut by a second band. Pairs of one
 class are never listed. A pair whose signatures agree in fewer than ``SCREEN`` coordinates is dropped; the others
 are compared exactly on their shingles.
@@ -47,6 +47,8 @@ FIRST_RANK = 1 / 16
 BROADCAST_IDS = 1_000_000
 #: Members up to which a bucket's signatures are compared in one task (1 MB); larger ones are cut by a second band.
 GROUP = 4_000
+#: Rounds in which classes of a bucket are compared with its leader.
+LEADER_ROUNDS = 2
 
 
 @lru_cache(None)
@@ -254,12 +256,32 @@ def links(docs: DataFrame, nodes: DataFrame, similar: float, weighted: bool, scr
     member = nodes.select("id", F.explode("bands").alias("key")).distinct()
     size = member.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1")
     bucket = written(member.join(size, "key"), "buckets")
-    pairs = bucket.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
-    found = written(verified(written(screened(pairs, sigs, screen).distinct(), "close"), reps, similar, weighted).distinct(), "verified")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        close = written(screened(pairs, sigs, screen).distinct(), "close")
+        return written(verified(close, reps, similar, weighted).distinct(), "verified")
+
+    def split(classes: DataFrame) -> DataFrame:
+        """Members of the buckets that hold several classes, with the class of the bucket's leader as ``main``."""
+        at = bucket.join(classes, "id", "left").select("key", "id", "n", "leader", F.coalesce("class", "id").alias("class"))
+        ends = at.groupBy("key").agg(F.min_by("class", "id").alias("main"), F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high")
+        return at.join(ends.select("key", "main"), "key")
+
+    # First each text and the leader with which it shares most bands, so a text is in one pair, however many buckets it is in.
+    shared = bucket.where("id <> leader").groupBy("id", "leader").count()
+    best = shared.groupBy(F.col("id").alias("a")).agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("b"))
+    found = linked(best)
     classes = components(found)
-    at = bucket.join(classes, "id", "left").select("key", "id", "n", F.coalesce("class", "id").alias("class"))
-    split = at.groupBy("key").agg(F.min_by("class", "id").alias("main"), F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high")
-    at = written(at.join(split.select("key", "main"), "key"), "split")
+    # Then one text of each class that a bucket still holds, and the bucket's leader.
+    for _ in range(LEADER_ROUNDS):
+        one = split(classes).where("class <> main").groupBy("key", "class", "leader").agg(F.min("id").alias("a"))
+        one = written(one.select("a", F.col("leader").alias("b")).where("a <> b").distinct(), "leaders")
+        new = linked(one)
+        if not new.limit(1).count():
+            break
+        found = found.union(new)
+        classes = components(found.distinct())
+    at = written(split(classes), "split")
     large = at.where(F.col("n") > group)
     rows = at.where(F.col("n") <= group).select("key", "id", "class", (F.col("class") == F.col("main")).alias("is_main"))
     if large.limit(1).count():
