@@ -204,8 +204,13 @@ def train(clean: list[str], toxic: list[str]) -> Machine | None:
     odds = {g: np.log((n + 0.1) / len(toxic)) - np.log((counts[0][g] + 0.5) / len(clean)) for g, n in counts[1].items()}
     worth = {w: max(odds[g] for g in grams[w]) for w in seen[1]}
     plenty = {w for w in seen[1] if any(counts[1][g] > 3 and odds[g] > 3 for g in grams[w])}
-    evidence = [max(bag, key=worth.__getitem__) for bag in bags[1] if bag]
-    evidence += [w for bag in bags[1] for w in bag if w in plenty]
+    # A word that clean documents have nearly as often is no evidence.
+    telling = {w for w, n in seen[1].items() if seen[0][w] * len(toxic) < 0.2 * n * len(clean)}
+    suspects = [found for bag in bags[1] if (found := [w for w in bag if w in telling])]
+    evidence = [max(found, key=worth.__getitem__) for found in suspects]
+    evidence += [w for found in suspects for w in found if w in plenty]
+    if not evidence:
+        return None
     pool = [w for w, _ in seen[0].most_common()]
     weights, bias = None, 0.0
     for _ in range(ROUNDS):
@@ -230,7 +235,7 @@ def train(clean: list[str], toxic: list[str]) -> Machine | None:
         weights = landmarks.weights(root @ w[:-1])
         bias = float(w[-1])
         machine = Machine(weights, bias, 1, 0)
-        best = [(bag, machine.margins(bag)) for bag in bags[1] if bag]
+        best = [(found, machine.margins(found)) for found in suspects]
         evidence = [bag[i] for bag, margin in best for i in {int(np.argmax(margin)), *np.flatnonzero(margin > 0.5).tolist()}]
     margin = [np.array([machine.margins(bag).max() if bag else LOWEST for bag in b]) for b in bags]
     machine.slope, machine.shift = logistic(np.concatenate(margin), np.r_[np.zeros(len(bags[0])), np.ones(len(bags[1]))])
