@@ -106,6 +106,21 @@ def tag_verdict(key: str | None, advertiser, campaign, creative, exp, sig, now)
     )
 
 
+#: The parameters of a tag that the platform fills in when it serves an impression.
+MACROS = {
+    "roku": {"device_ip": "[[[DEVICE_IP]]]", "dma": "[[[METRO_CODE]]]"},
+    "ua": {"ifa": "[IFA]", "lmt": "[LMT]"},
+}
+
+
+def signed_tag(key: str, advertiser, campaign, creative, exp, platform: str) -> Column:
+    """The query string of a signed tag, with the platform's macros at its end."""
+    sig = hmac_sha256(key, F.concat_ws("|", advertiser, campaign, creative, exp.cast("string")))
+    ids = {"advertiser_id": advertiser, "campaign_id": campaign, "creative_id": creative, "exp": exp.cast("string"), "sig": sig}
+    parts = [F.concat(F.lit(f"{k}="), v) for k, v in ids.items()]
+    return F.concat_ws("&", *parts, F.lit("&".join([f"pf={platform}", *(f"{k}={v}" for k, v in MACROS[platform].items())])))
+
+
 def boundary(x, end: bool) -> Column:
     """Seconds of an ISO date or time; a bare end date is its last second; null (no bound) if unreadable."""
     bare = x.rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallymark.config import checked_date
 from tallymark.operators.reports import daily_rollup
 from tallymark.schemas import BEACON, CALL_REQUEST, EVENT, EVENT_NAMES, EXPORT_KEYS, LOOKUP, MARKER
 
@@ -60,6 +61,12 @@ def export_day(spark: SparkSession, events: DataFrame, path: str, day: str, now:
     return marker
 
 
+def backfill(spark: SparkSession, events: DataFrame, path: str, day: str, now: datetime) -> DataFrame:
+    """Export a day again; later days are refused, and a day that is not over is marked as partial."""
+    day, partial = checked_date(day, now.date().isoformat())
+    return export_day(spark, events, path, day, now, partial)
+
+
 def read_marker(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MARKER).json(f"{path}/_status/last_export.json")
 
