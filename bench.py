@@ -14,7 +14,7 @@ from pyspark.sql import SparkSession  # noqa: E402
 
 from tallymark.plans.queries import QUERIES  # noqa: E402
 
-HEADLINE = (
+HEADLINE = tuple(os.environ["BENCH_ONLY"].split()) if os.environ.get("BENCH_ONLY") else (
     "a1_impressions_by_campaign", "a2_impressions_by_country", "a3_hourly_trend", "a4_reach_exact", "a5_recon_summary", "a6_daily_rollup",
     "a9_native_ids", "d1_fixed_window", "d2_rotation", "d3_outcomes", "f13_payload_roku", "h1_ledger_health", "j4_match_best", "p1_beacon_fields", "w1_rate_limit",
 )

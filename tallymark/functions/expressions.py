@@ -34,14 +34,23 @@ def decoded(x) -> Column:
     return F.coalesce(F.try_url_decode(x), x)
 
 
+def written_value(query, name: str) -> Column:
+    """First value of a key of a query string as it stands there; empty if absent."""
+    return F.regexp_extract(text(query), rf"(?:\A|&){name}=([^&]*)", 1)
+
+
+def read_value(x) -> Column:
+    """Such a value decoded, where it has anything to decode, and trimmed. Unfilled macros come through as they are."""
+    return trimmed(F.when(x.contains("%") | x.contains("+"), decoded(x)).otherwise(x))
+
+
 def param(query, name: str) -> Column:
-    """First value of a key of a query string; empty if absent. Unfilled macros come through as they are."""
-    return trimmed(decoded(F.regexp_extract(text(query), rf"(?:\A|&){name}=([^&]*)", 1)))
+    return read_value(written_value(query, name))
 
 
 def raw_param(query, name: str) -> Column:
     """The same with ``+`` kept; empty if it cannot be decoded."""
-    return text(F.try_url_decode(F.replace(F.regexp_extract(text(query), rf"(?:\A|&){name}=([^&]*)", 1), F.lit("+"), F.lit("%2B"))))
+    return text(F.try_url_decode(F.replace(written_value(query, name), F.lit("+"), F.lit("%2B"))))
 
 
 def market_area(query) -> Column:

@@ -28,7 +28,9 @@ def parsed(beacons: DataFrame, campaigns: DataFrame, settings: Settings = Settin
     """All fields of each beacon, and ``reason``: null, or why it is refused (the first reason in order)."""
     q, now = F.col("query"), F.col("recv_ts")
     names = ("advertiser_id", "campaign_id", "creative_id", "pf", "device_ip", "ifa", "ifa_type", "lmt", "app_id", "country", "exp", "sig", "cb", "roku_advertiser_id", "roku_campaign_id", "roku_creative_id", "roku_postal_code")
-    d = beacons.select("*", *[x.param(q, n).alias(f"p_{n}") for n in names], x.market_area(q).alias("dma"))
+    # Two projections, so that each value is found once and then decoded.
+    d = beacons.select("*", *[x.written_value(q, n).alias(f"w_{n}") for n in names])
+    d = d.select(*beacons.columns, *[x.read_value(F.col(f"w_{n}")).alias(f"p_{n}") for n in names], x.market_area(q).alias("dma"))
     d = d.join(F.broadcast(campaign_configs(campaigns)), F.col("p_campaign_id") == F.col("c_id"), "left")
     p = {n: F.col(f"p_{n}") for n in names}
     roku = p["pf"] != "ua"
