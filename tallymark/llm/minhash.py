@@ -8,11 +8,11 @@ average however long it is; each of the ``K`` coordinates keeps its earliest dar
 until none is empty. Two signatures agree in a coordinate with the weighted Jaccard similarity as probability.
 
 Signatures are cut into ``BANDS`` bands. A document is compared with the leader (of its buckets, the documents that
-agree in a band) with which it shares most bands, then one document of each class in a bucket with the bucket's
-leader, which makes one class of most groups. In the buckets that then still hold several classes, the signatures of documents outside the first leader's class are held against all others of the
-bucket inside one task; buckets of more than ``GROUP`` members are first cut by a second band. Pairs of one
-class are never listed. A pair whose signatures agree in fewer than ``SCREEN`` coordinates is dropped; the others
-are compared exactly on their shingles.
+agree in a band) with which it shares most bands. In buckets that then still hold several classes, the signatures
+of documents outside the leader's class are held against all others of the bucket inside one task, first for the
+one that agrees most, then for all that agree; buckets of more than ``GROUP`` members are first cut by a second
+band. Pairs of one class are never listed. A pair whose signatures agree in fewer than ``SCREEN`` coordinates is
+dropped; the others are compared exactly on their shingles.
 Classes are connected components of the exact links.
 
 Similarity is Jaccard's on distinct shingles of five words, 0.8 or more (``weighted=True``: on counts).
@@ -47,8 +47,8 @@ FIRST_RANK = 1 / 16
 BROADCAST_IDS = 1_000_000
 #: Members up to which a bucket's signatures are compared in one task (1 MB); larger ones are cut by a second band.
 GROUP = 4_000
-#: Rounds in which classes of a bucket are compared with its leader.
-LEADER_ROUNDS = 2
+#: Rounds in which a text is compared with the one of another class that it agrees with most.
+BEST_ROUNDS = 2
 
 
 @lru_cache(None)
@@ -206,8 +206,9 @@ def numbered(docs: DataFrame) -> DataFrame:
     return d.select("doc_id", F.coalesce("doc_id", F.xxhash64("same")).alias("key"), "same", "text")
 
 
-def across(rows: DataFrame, screen: int) -> DataFrame:
-    """Pairs of a bucket of other classes whose signatures agree in ``screen`` coordinates.
+def across(rows: DataFrame, screen: int, best: bool) -> DataFrame:
+    """Pairs of a bucket of other classes whose signatures agree in ``screen`` coordinates; if ``best``, for each
+    document only the one that agrees in most.
 
     ``rows``: ``key``, ``id``, ``class``, ``is_main`` and ``sig``. A bucket's rows meet in one task, those outside
     its main class are held against all, and only pairs that agree leave it.
@@ -218,8 +219,14 @@ def across(rows: DataFrame, screen: int) -> DataFrame:
         step = max(1, (4 << 20) // (sigs.shape[1] * len(ids)))
         for a in range(0, len(other), step):
             i = other[a : a + step]
-            agree = (sigs[i][:, None, :] == sigs[None, :, :]).sum(2) >= screen
-            x, y = np.nonzero(agree & (classes[i][:, None] != classes[None, :]))
+            agree = (sigs[i][:, None, :] == sigs[None, :, :]).sum(2)
+            agree[classes[i][:, None] == classes[None, :]] = 0
+            if best:
+                y = agree.argmax(1)
+                x = np.flatnonzero(agree[np.arange(len(i)), y] >= screen)
+                y = y[x]
+            else:
+                x, y = np.nonzero(agree >= screen)
             yield np.sort(np.stack([ids[i[x]], ids[y]]), 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,30 +277,34 @@ def links(docs: DataFrame, nodes: DataFrame, similar: float, weighted: bool, scr
     # First each text and the leader with which it shares most bands, so a text is in one pair, however many buckets it is in.
     shared = bucket.where("id <> leader").groupBy("id", "leader").count()
     best = shared.groupBy(F.col("id").alias("a")).agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("b"))
+    tried = None
     found = linked(best)
     classes = components(found)
-    # Then one text of each class that a bucket still holds, and the bucket's leader.
-    for _ in range(LEADER_ROUNDS):
-        one = split(classes).where("class <> main").groupBy("key", "class", "leader").agg(F.min("id").alias("a"))
-        one = written(one.select("a", F.col("leader").alias("b")).where("a <> b").distinct(), "leaders")
-        new = linked(one)
-        if not new.limit(1).count():
-            break
-        found = found.union(new)
-        classes = components(found.distinct())
-    at = written(split(classes), "split")
-    large = at.where(F.col("n") > group)
-    rows = at.where(F.col("n") <= group).select("key", "id", "class", (F.col("class") == F.col("main")).alias("is_main"))
-    if large.limit(1).count():
-        # Similar texts of a very common bucket agree in a second band too: there they meet by two bands.
-        second = large.join(nodes.select("id", "bands"), "id").select("id", "class", F.col("key").alias("k1"), F.explode("bands").alias("k2")).where("k1 <> k2")
-        second = second.select(F.xxhash64(F.least("k1", "k2"), F.greatest("k1", "k2")).alias("key"), "id", "class").distinct()
-        some = second.groupBy("key").agg(F.min("class").alias("main"), F.max("class").alias("high")).where("main <> high")
-        rows = rows.union(second.join(some, "key").select("key", "id", "class", (F.col("class") == F.col("main")).alias("is_main")))
-    more = written(across(rows.join(sigs, "id"), screen).distinct(), "across")
-    if not more.limit(1).count():
-        return classes
-    return components(found.union(verified(more, reps, similar, weighted)).distinct())
+
+    def meeting(classes: DataFrame) -> DataFrame:
+        """The rows that ``across`` takes."""
+        at = written(split(classes), "split")
+        large = at.where(F.col("n") > group)
+        rows = at.where(F.col("n") <= group).select("key", "id", "class", (F.col("class") == F.col("main")).alias("is_main"))
+        if large.limit(1).count():
+            # Similar texts of a very common bucket agree in a second band too: there they meet by two bands.
+            second = large.join(nodes.select("id", "bands"), "id").select("id", "class", F.col("key").alias("k1"), F.explode("bands").alias("k2")).where("k1 <> k2")
+            second = second.select(F.xxhash64(F.least("k1", "k2"), F.greatest("k1", "k2")).alias("key"), "id", "class").distinct()
+            some = second.groupBy("key").agg(F.min("class").alias("main"), F.max("class").alias("high")).where("main <> high")
+            rows = rows.union(second.join(some, "key").select("key", "id", "class", (F.col("class") == F.col("main")).alias("is_main")))
+        return rows.join(sigs, "id")
+
+    # Then each text outside its bucket's main class and the one it agrees with most, while that finds links; at
+    # last all that agree. Groups around one text are one class before that.
+    for step in range(BEST_ROUNDS + 1):
+        more = across(meeting(classes), screen, step < BEST_ROUNDS).distinct()
+        more = written(more if tried is None else more.join(tried, ["a", "b"], "left_anti"), "across")
+        new = written(verified(more, reps, similar, weighted).distinct(), "verified")
+        tried = more if tried is None else tried.union(more)
+        if new.limit(1).count():
+            found = found.union(new)
+            classes = components(found.distinct())
+    return classes
 
 
 def grouped(docs: DataFrame, similar: float = SIMILAR, weighted: bool = False, screen: int = SCREEN, group: int = GROUP) -> DataFrame:
