@@ -137,8 +137,8 @@ class Machine:
         self.known: dict[str, float] = {}
 
     def margins(self, words: list[str]) -> np.ndarray:
-        if len(words) > 20_000:  # by parts, to bound memory
-            return np.concatenate([self.margins(words[a : a + 20_000]) for a in range(0, len(words), 20_000)])
+        if len(words) > 5_000:  # by parts, to bound memory
+            return np.concatenate([self.margins(words[a : a + 5_000]) for a in range(0, len(words), 5_000)])
         word, found, weight = subsequences(words)
         return np.maximum(np.bincount(word, weight * self.weights[found], len(words)) + self.bias, LOWEST)
 
@@ -199,11 +199,13 @@ def train(clean: list[str], toxic: list[str]) -> Machine | None:
     seen = [Counter(w for bag in b for w in bag) for b in bags]
 
     # First evidence: for each toxic document the words with the pieces most typical of toxic documents.
-    grams = {w: {f" {w} "[i : i + 5] for i in range(max(1, len(w) - 2))} for kind in seen for w in kind}
-    counts = [Counter(g for bag in b for g in set().union(*[grams[w] for w in bag])) for b in bags]
+    def grams(w: str) -> set[str]:  # found again when needed: kept for all words they fill the driver
+        return {f" {w} "[i : i + 5] for i in range(max(1, len(w) - 2))}
+
+    counts = [Counter(g for bag in b for g in set().union(*map(grams, bag))) for b in bags]
     odds = {g: np.log((n + 0.1) / len(toxic)) - np.log((counts[0][g] + 0.5) / len(clean)) for g, n in counts[1].items()}
-    worth = {w: max(odds[g] for g in grams[w]) for w in seen[1]}
-    plenty = {w for w in seen[1] if any(counts[1][g] > 3 and odds[g] > 3 for g in grams[w])}
+    worth = {w: max(odds[g] for g in grams(w)) for w in seen[1]}
+    plenty = {w for w in seen[1] if any(counts[1][g] > 3 and odds[g] > 3 for g in grams(w))}
     # A word that clean documents have nearly as often is no evidence.
     telling = {w for w, n in seen[1].items() if seen[0][w] * len(toxic) < 0.2 * n * len(clean)}
     suspects = [found for bag in bags[1] if (found := [w for w in bag if w in telling])]
