@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from tallymark.llm.common import tune
 
 DECAY, SPAN, BINS = 0.5, 5, 64
-TRAIN_TOXIC, TRAIN_CLEAN, NEGATIVES, LANDMARKS, ROUNDS = 2000, 4000, 16_000, 400, 4
+TRAIN_TOXIC, TRAIN_CLEAN, NEGATIVES, LANDMARKS, ROUNDS = 2000, 4000, 10_000, 400, 4
 FOLDS = 5
 #: A worker forgets its scored words when it holds this many.
 CACHE_ENTRIES = 500_000
