@@ -2,10 +2,18 @@
 
 Method: the kernel of two words is that of their common subsequences of three characters, each weighted by
 ``DECAY`` to the power of the span it covers, with spans of at most ``SPAN`` characters, so inserted characters
-and gaps weaken a match and do not end it. Landmarks are words drawn from the labelled sentences. The Nystrom
+and gaps weaken a match and do not end it. Landmarks are words drawn from the labelled documents. The Nystrom
 map of a word is its kernel with the landmarks times the inverse square root of the landmarks' own kernel; a
-linear support vector machine is trained on it. A sentence counts as its most toxic word, a document as its
-most toxic sentence, and a logistic function fitted on the training documents turns margins into scores.
+linear support vector machine is trained on it.
+
+As long gaps make the kernel small, a word counts as the most toxic of its forms: as it is, without what is neither
+letter nor digit, and without one character that stands between all others. Neighbouring words are also read as
+one, up to ``STRETCH`` characters, if each has at most ``PIECE`` characters or looks like a part of an insult
+(``SUSPECT``); words without letters and digits between them are gaps. A document counts as its most toxic word or
+stretch, and a logistic function fitted on the training documents turns margins into scores.
+
+The unit is the word or stretch, in training and in scoring, not the sentence: a document that is toxic only by a
+phrase of ordinary words is missed. So are single other letters inserted in a word, where its margin falls below 0.
 
 Labels are those of documents: sentences of clean documents are clean; in a toxic document the words of the
 highest margin are taken as its evidence and training is repeated with them.
@@ -35,7 +43,12 @@ from pyspark.sql import functions as F
 
 from tallymark.llm.common import tune
 
-DECAY, SPAN, BINS = 0.5, 5, 64
+#: A span of 9 holds three characters with three inserted between each two.
+DECAY, SPAN, BINS = 0.5, 9, 64
+#: Characters of words that are read as one; short pieces can be part of any word.
+STRETCH, PIECE = 16, 3
+#: A longer piece joins a stretch if its margin is so far on the way from that of an unrelated word to that of an insult.
+SUSPECT = 0.15
 TRAIN_TOXIC, TRAIN_CLEAN, NEGATIVES, LANDMARKS, ROUNDS = 2000, 4000, 10_000, 400, 4
 FOLDS = 5
 #: A worker forgets its scored words when it holds this many.
@@ -89,6 +102,8 @@ class Landmarks:
 
     def kernel(self, words: list[str]) -> np.ndarray:
         """The normalised subsequence kernel of each of ``words`` with each landmark."""
+        if len(words) > 1_000:  # by parts, to bound memory
+            return np.concatenate([self.kernel(words[a : a + 1_000]) for a in range(0, len(words), 1_000)])
         word, found, weight = subsequences(words)
         at = np.minimum(np.searchsorted(self.known, found), len(self.known) - 1)
         hit = np.flatnonzero(self.known[at] == found)
@@ -129,31 +144,135 @@ def bare(word: str) -> str:
     return word.strip(EDGES).lower()
 
 
+def letters(word: str) -> str:
+    """Without what is neither letter nor digit, wherever it stands."""
+    return (word if word.isalnum() else "".join(filter(str.isalnum, word))).lower()
+
+
+def forms(word: str) -> list[str]:
+    """The word, and what is left of it without inserted characters: those beside letters, and one that stands between all others."""
+    plain = letters(word)
+    out = [plain if word.isalnum() else bare(word)]
+    if len(plain) > 2 and plain != out[0]:
+        out.append(plain)
+    if len(plain) > 4:
+        c = plain[1]
+        if 2 * (n := plain.count(c)) >= len(plain) - 1 and len(plain) - n > 3 and c not in (plain[0], plain[-1]):
+            out.append(plain.replace(c, ""))
+    return out
+
+
+def stretches(run: list[str]) -> set[str]:
+    """Neighbouring pieces joined, of 3 to ``STRETCH`` characters."""
+    out = set()
+    for a in range(len(run) - 1):
+        joined = run[a]
+        for piece in run[a + 1 : a + 1 + STRETCH]:
+            joined += piece
+            if len(joined) > STRETCH:
+                break
+            if len(joined) > 2:
+                out.add(joined)
+    return out
+
+
+def bag(text: str) -> list[str]:
+    """All that training reads in a text: its units, their forms, and stretches of short pieces, each once."""
+    run, found = [], dict.fromkeys(f for u in units(text) for f in forms(u) if f)
+    for w in [*text.split(), "long"]:
+        piece = letters(w)
+        if len(piece) > PIECE:
+            if len(run) > 1:
+                found |= dict.fromkeys(sorted(stretches(run)))
+            run = []
+        elif piece:
+            run.append(piece)
+    return list(found)
+
+
 class Machine:
     """The trained machine: a weight for each subsequence, a bias, and the logistic function's two numbers."""
 
     def __init__(self, weights: np.ndarray, bias: float, slope: float, shift: float):
         self.weights, self.bias, self.slope, self.shift = weights, bias, slope, shift
+        #: The weights with 0 for what reaches beyond a word.
+        self.table = np.zeros((BINS + 1,) * 3, np.float32)
+        self.table[:BINS, :BINS, :BINS] = weights.reshape(BINS, BINS, BINS)
+        self.table = self.table.ravel()
+        #: Margins of words and of stretches, and each word's piece of a stretch (None: it ends one).
         self.known: dict[str, float] = {}
+        self.joined: dict[str, float] = {}
+        self.pieces: dict[str, str | None] = {}
 
     def margins(self, words: list[str]) -> np.ndarray:
-        if len(words) > 5_000:  # by parts, to bound memory
-            return np.concatenate([self.margins(words[a : a + 5_000]) for a in range(0, len(words), 5_000)])
-        word, found, weight = subsequences(words)
-        return np.maximum(np.bincount(word, weight * self.weights[found], len(words)) + self.bias, LOWEST)
+        if len(words) > 2_000:  # by parts, to bound memory
+            return np.concatenate([self.margins(words[a : a + 2_000]) for a in range(0, len(words), 2_000)])
+        if not words:
+            return np.zeros(0)
+        flat, of = codes(words)
+        size = np.bincount(of, minlength=len(words))
+        code = np.full(len(flat) + len(words) * (SPAN - 1), BINS, np.int32)  # a span of nothing behind each word
+        code[np.arange(len(flat)) + of * (SPAN - 1)] = flat
+        n, square = len(code) - SPAN + 1, np.zeros(len(words))
+        total, first, wide = np.zeros(len(code), np.float32), code[:n] * (BINS + 1) ** 2, code * (BINS + 1)
+        for a in range(1, SPAN - 1):
+            two = first + wide[a : a + n]
+            for b in range(a + 1, SPAN):
+                w = np.float32(DECAY ** (b + 1))
+                total[:n] += w * self.table.take(two + code[b : b + n])
+                square += w * w * np.maximum(size - b, 0)
+        start = np.cumsum(size + SPAN - 1) - size - SPAN + 1
+        return np.maximum(np.add.reduceat(total, start, dtype=np.float64) / np.maximum(np.sqrt(square), 1e-9) + self.bias, LOWEST)
+
+    def learn(self, words: list[str]) -> None:
+        """Margins of new words: the highest of their forms. Only short and suspect pieces can be part of a toxic stretch."""
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            each = [forms(w) for w in part]
+            margin = self.margins([f for e in each for f in e])
+            start = np.cumsum([0, *map(len, each)])[:-1]
+            self.known.update(zip(part, np.maximum.reduceat(margin, start).tolist(), strict=True))
+            for w, m in zip(part, margin[start].tolist(), strict=True):
+                piece = letters(w)
+                self.pieces[w] = piece if len(piece) <= PIECE or (len(piece) < STRETCH and m > self.bias + SUSPECT * (1 - self.bias)) else None
 
     def document(self, text: str) -> float:
-        """The highest margin of any word."""
-        words = set(units(text))
-        new = [w for w in words if w not in self.known]
+        """The highest margin of any word, and of any stretch of neighbouring words read as one."""
+        return self.documents([text])[0]
+
+    def documents(self, texts: list[str]) -> list[float]:
+        """``document`` of each; what is new in any of them is scored at once."""
+        words = [set(units(t)) for t in texts]
+        every = set().union(*words)
+        new = [w for w in every if w not in self.known]
         if new:
             if len(self.known) > CACHE_ENTRIES:
                 self.known.clear()
-                new = list(words)
-            clean = [bare(w) for w in new]
-            for at in range(0, len(new), 4096):
-                self.known.update(zip(new[at : at + 4096], self.margins(clean[at : at + 4096]).tolist(), strict=True))
-        return max(map(self.known.__getitem__, words), default=LOWEST)
+                self.pieces.clear()
+                new = list(every)
+            self.learn(new)
+        joined = [self.joined_in(t) for t in texts]
+        every = set().union(*joined)
+        new = [w for w in every if w not in self.joined]
+        if new:
+            if len(self.joined) > CACHE_ENTRIES:
+                self.joined.clear()
+                new = list(every)
+            self.joined.update(zip(new, self.margins(new).tolist(), strict=True))
+        best = [max(map(self.known.__getitem__, w), default=LOWEST) for w in words]
+        return [max([b, *map(self.joined.__getitem__, j)]) for b, j in zip(best, joined, strict=True)]
+
+    def joined_in(self, text: str) -> set[str]:
+        """The stretches of a text whose words are learnt."""
+        run, found = [], set()
+        for piece in map(self.pieces.__getitem__, text.split()):
+            if piece:
+                run.append(piece)
+            elif piece is None:
+                if len(run) > 1:
+                    found |= stretches(run)
+                run = []
+        return found | stretches(run)
 
     def score(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
@@ -164,14 +283,19 @@ def held_out(doc_id, folds: int = FOLDS):
 
 
 def training_documents(docs: DataFrame, labels: DataFrame, limits: tuple[int, int] = (TRAIN_CLEAN, TRAIN_TOXIC)) -> tuple[list[str], list[str]]:
-    """Distinct words, joined by blanks, of at most ``limits`` labelled documents outside the held-out fold: (clean, toxic)."""
+    """``bag`` of each of at most ``limits`` labelled documents outside the held-out fold, joined by blanks: (clean, toxic)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([" ".join(bag(t)) for t in batch.column("text").to_pylist()], pa.string())], ["doc_id", "w"])
+
+    tune(docs.sparkSession)
     ids = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "toxic")
     found = []
     for kind in (0, 1):
         few = ids.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limits[kind])  # of bounded size
         words = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(few.select("doc_id").distinct()), "doc_id", "left_semi")
-        # distinct words are all that training uses of a text
-        sets = words.select("doc_id", F.array_distinct(F.split("text", "\\s+")).alias("w")).select("doc_id", F.array_join("w", " ").alias("w"))
+        sets = words.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, w string")
         found.append([r["w"] for r in sets.orderBy(F.xxhash64("doc_id"), "doc_id").collect()])
     return found[0], found[1]
 
@@ -192,17 +316,20 @@ def linear_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 40)
 
 
 def train(clean: list[str], toxic: list[str]) -> Machine | None:
-    """``clean`` and ``toxic``: the words of each training document, joined by blanks."""
+    """``clean`` and ``toxic``: the ``bag`` of each training document, joined by blanks."""
     if not clean or not toxic:
         return None
-    bags = [[sorted({b for u in units(t) if (b := bare(u))}) for t in texts] for texts in (clean, toxic)]
+    once: dict[str, str] = {}  # one string for each distinct word
+    bags = [[[once.setdefault(w, w) for w in sorted(set(t.split()))] for t in texts] for texts in (clean, toxic)]
+    del once
     seen = [Counter(w for bag in b for w in bag) for b in bags]
 
     # First evidence: for each toxic document the words with the pieces most typical of toxic documents.
     def grams(w: str) -> set[str]:  # found again when needed: kept for all words they fill the driver
         return {f" {w} "[i : i + 5] for i in range(max(1, len(w) - 2))}
 
-    counts = [Counter(g for bag in b for g in set().union(*map(grams, bag))) for b in bags]
+    found = Counter(g for bag in bags[1] for g in set().union(*map(grams, bag)))
+    counts = [Counter(g for bag in bags[0] for g in set().union(*map(grams, bag)) if g in found), found]
     odds = {g: np.log((n + 0.1) / len(toxic)) - np.log((counts[0][g] + 0.5) / len(clean)) for g, n in counts[1].items()}
     worth = {w: max(odds[g] for g in grams(w)) for w in seen[1]}
     plenty = {w for w in seen[1] if any(counts[1][g] > 3 and odds[g] > 3 for g in grams(w))}
@@ -276,7 +403,14 @@ def scored(docs: DataFrame, machine: Machine | None) -> DataFrame:
             _machines[key] = Machine(*parts)
         m = _machines[key]
         for batch in batches:
-            margin = np.array([m.document(t or "") for t in batch.column("text").to_pylist()])
+            margin, part, size = [], [], 0
+            for t in [*batch.column("text").to_pylist(), None]:  # the last ends the last part
+                part.append(t or "")
+                size += len(part[-1])
+                if size > 200_000 or len(part) > 200:
+                    margin += m.documents(part)
+                    part, size = [], 0
+            margin = np.array([*margin, *m.documents(part)][: batch.num_rows])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(m.score(margin), pa.float64())], [*batch.schema.names, "score"])
 
     return docs.mapInArrow(run, schema)

@@ -69,6 +69,28 @@ def test_held_out_accuracy_with_inserted_characters(spark):
     assert toxicity.units("you are an i d i o t ok") == ["you", "are", "an", "i", "d", "i", "o", "t", "ok", "idiot"]
 
 
+GAPS = ["g-r-o-m-p", "g--r--o--m--p", "g***r***o***m***p", "gxrxoxmxp", "gro mp", "g r om p", "g. r. o. m. p.", "g * r * o * m * p", "fi zbat", "fiz--bat", "f_i z b_at"]
+
+
+def test_gaps_of_many_characters_and_white_space(spark):
+    rows, labels = labelled()
+    machine = toxicity.trained(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    clean = "tare noli esun or tata reno lies un orta"
+    texts = [clean, *[f"{clean} {gap} {clean}" for gap in GAPS]]
+    got = toxicity.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), machine).orderBy("doc_id").collect()
+    assert [r.score >= 0.5 for r in got] == [False, *[True] * len(GAPS)]
+    word = toxicity.Landmarks(["idiot"]).kernel(["i---d---i---o---t", "m---o---r---o---n"])[:, 0]
+    assert word[0] > word[1] == 0  # three letters with three between each two are in one window
+
+
+def test_margins_equal_those_through_landmarks():
+    marks, words = ["idiot", "moron", "clean"], ["id-iot", "", "a", "mo--ron", "x" * 3_000]
+    landmarks = toxicity.Landmarks(marks)
+    of = np.array([0.5, 1.0, -0.7], np.float32)
+    machine = toxicity.Machine(landmarks.weights(of), -0.2, 1.0, 0.0)
+    assert machine.margins(words) == pytest.approx(landmarks.kernel(words) @ of - 0.2, abs=1e-4)
+
+
 def test_toxicity_defined_results(spark, clashing, empty):
     rows, labels = labelled(300)
     lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
