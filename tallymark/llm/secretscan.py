@@ -2,7 +2,9 @@
 
 Method: the values that stand behind a credential word (``pwd: ...``, ``passphrase = ...``) are segmented into
 common words, dates, repeats, keyboard walks and brute-force spans so that the product of guesses is least, by
-dynamic programming over the value. A value that costs at least ``GUESSES`` (a power of ten) is a secret.
+dynamic programming over the value. A value that costs at least ``GUESSES`` (a power of ten) is a secret. The
+credential word may end a camel-case name (``dbPassword``). Not seen: values of fewer than six characters, and
+letters alone, lower case from the second on, behind `` is ``, where prose stands. Behind a sign a long ordinary word that is not of ``WORDS`` counts as a secret.
 
 The three base kinds (assign, access, hex) are found as their patterns say and always stay; values that lie in
 a base span add nothing.
@@ -28,9 +30,11 @@ ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: A run of at least 16; a shorter run cannot hide a longer one.
 HEX = re.compile(r"[0-9a-f]{16,}")
+NAMES = "password|passwd|passphrase|passcode|pwd|pass|pin|secret|credentials?|auth|bearer|token|(?:api|access|private|secret)[_ -]?key|login"
+#: A credential word by itself, behind a sign or digit, or as the end of a camel-case name.
 CONTEXT = re.compile(
-    r"""(?<![A-Za-z])(?:password|passwd|passphrase|passcode|pwd|pass|pin|secret|credentials?|auth|bearer|token|(?:api|access|private|secret)[_ -]?key|login)["']?\x20*(?:[:=]+|\x20is)\x20*["']?([^\s"',;]{6,})""",
-    re.IGNORECASE | re.ASCII,
+    rf"""(?:(?<![A-Za-z])(?i:{NAMES})|(?:(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z]))(?i:{NAMES}))["']?\x20*(?:[:=]+|(\x20(?i:is)))\x20*["']?([^\s"',;]{{6,}})""",
+    re.ASCII,
 )
 GUESSES = 10.0
 
@@ -95,11 +99,12 @@ def found(text: str, guesses: float = GUESSES) -> tuple[list[tuple[int, int, int
     more = []
     if ":" in text or "=" in text or " is " in text:
         for m in CONTEXT.finditer(text):
-            a, b = m.span(1)
+            a, b = m.span(2)
             while b > a and text[b - 1] in ".!?)":
                 b -= 1
-            value = text[a:b]  # plain words behind a credential word are prose
-            if b - a >= 6 and not (value.isalpha() and value[1:].islower()) and not any(s <= a and b <= e for s, _, e in base) and guess_cost(value) >= guesses:
+            value = text[a:b]
+            prose = m[1] and value.isalpha() and value[1:].islower()  # "the token is wonderful"
+            if b - a >= 6 and not prose and not any(s <= a and b <= e for s, _, e in base) and guess_cost(value) >= guesses:
                 more.append((a, 3, b))
     return sorted(base + more), len(base)
 

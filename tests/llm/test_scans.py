@@ -97,6 +97,14 @@ def test_guess_costs_and_contexts(spark, clashing):
     assert len(got) == len(AWKWARD) and all(r.spans == "" for r in got)
 
 
+def test_cost_decides_on_letters_and_camel_case_names():
+    guessed = lambda t: [t[a:b] for a, k, b in secretscan.found(t)[0] if k == 3]
+    assert guessed("passphrase: zqxkvjwpylmd, pwd = Xqzkvjtrwnbd") == ["zqxkvjwpylmd", "Xqzkvjtrwnbd"]
+    assert guessed("dbPassword=Tr0ub4dor&3xyz and userPIN: zqxkvjwpylmd; DBPwd=zqxkvjwpylmd") == ["Tr0ub4dor&3xyz", "zqxkvjwpylmd", "zqxkvjwpylmd"]
+    assert guessed("pwd: sunshine, pass=letmeinwelcome") == []
+    assert guessed("the passphrase is extraordinarily long; compass: zqxkvjwpylmd; spin: zqxkvjwpylmd") == []
+
+
 def plain_quality(t):
     t = t or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
