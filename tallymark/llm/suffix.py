@@ -6,6 +6,8 @@ suffixes that start at anchors are indexed, about one in ``length / 3`` bytes. A
 suffix array: its anchor suffixes in order of their seeds' hashes. It is merge-scanned against each level of
 the family for seeds that both hold, and goes in as a level of its own; levels of equal size merge, so a suffix
 is merged a number of times that grows with the logarithm of the batches.
+A level holds each seed and its count, no positions: the family only selects the seeds that repeat, and the long
+matches are found after it, by joining all anchor suffixes with those seeds.
 
 Consecutive passages with one anchor are a run, stored with the hash of all its bytes. Runs of a repeated seed
 that are equal throughout are repeated throughout. For the others, a passage is repeated if its hash comes
