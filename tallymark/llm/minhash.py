@@ -7,19 +7,23 @@ in common. A document of total weight ``W`` looks at ranks up to ``DARTS / W``,
 average however long it is; each of the ``K`` coordinates keeps its earliest dart, and ranks are doubled
 until none is empty. Two signatures agree in a coordinate with the weighted Jaccard similarity as probability.
 
-Signatures are cut into ``BANDS`` bands. A document is compared with the leader (of its buckets, the documents that
-agree in a band) with which it shares most bands. In buckets that then still hold several classes, the signatures
-of documents outside the leader's class are held against all others of the bucket inside one task, first for the
-one that agrees most, then for all that agree; buckets of more than ``GROUP`` members are first cut by a second
-band. Pairs of one class are never listed. A pair whose signatures agree in fewer than ``SCREEN`` coordinates is
-dropped; the others are compared exactly on their shingles.
-Classes are connected components of the exact links.
-
-Similarity is Jaccard's on distinct shingles of five words, 0.8 or more (``weighted=True``: on counts).
-
-Defined results: equal texts are one class, empty and null texts too. A text of fewer than five words is one
-shingle. Rows that repeat a ``doc_id`` are one node, so their texts' classes are one. A null ``doc_id`` is stood
-for by a hash of its text; a class id is its least id. An empty table gives an empty table.
+Signatures are cut into ``BANDS`` bands; texts that agree in a band are a bucket. A text is first compared with the
+leader (of its buckets) with which it shares most bands. Then the buckets that still hold several classes are
+decided whole, each inside a task that has the signatures and the hashed shingles of its members: members outside
+the leader's class are held against all, pairs of other classes whose signatures agree in ``SCREEN`` coordinates are
+compared exactly, in the first band that they share, and only links that join two classes leave the task, fewer than
+the bucket has members. A bucket of more than ``TILE`` bytes is dealt to tasks as blocks of members against members,
+after a pass that holds its members against one block only and so joins most of them. Classes are connected
+components of the exact links.
+
+Similarity is Jaccard's on distinct shingles of five words, 0.8 or more (``weighted=True``: on counts). Weights are
+1 unless ``weighted`` is set, as two texts that repeat a line another number of times are near duplicates here.
+
+Defined results: equal texts are one class, all null and empty texts and those without words another. A text of fewer than five words is one
+shingle. A class id is the least ``doc_id`` of the class. A null ``doc_id`` is stood for by a hash of its text, from
+2 to the 62nd; so is the ``doc_id`` of further texts (in order of their digests) where rows with other texts
+repeat it, so their classes stay apart. Of ties the least id counts. Very long texts are read whole, a batch holds few
+of them. Other columns than ``doc_id`` and ``text`` are not looked at. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -30,10 +34,10 @@ from math import lgamma, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import dropped, texts, tune, written
+from tallymark.llm.common import WORD, dropped, texts, tune, written
 from tallymark.llm.hashing import U, mix, shingles
 
 WORDS, SIMILAR = 5, 0.8
@@ -43,12 +47,10 @@ DARTS = K * (log(K) + 4)
 #: Coordinates that must agree: a pair of similarity 0.8 falls short with a probability under 1e-5.
 SCREEN = int(0.64 * K)
 FIRST_RANK = 1 / 16
-#: Candidate documents up to which their ids are sent to every executor (16 MB); beyond it they are joined.
-BROADCAST_IDS = 1_000_000
-#: Members up to which a bucket's signatures are compared in one task (1 MB); larger ones are cut by a second band.
-GROUP = 4_000
-#: Rounds in which a text is compared with the one of another class that it agrees with most.
-BEST_ROUNDS = 2
+#: Bytes of signatures and shingles up to which a block of a bucket's members is compared in one task.
+TILE = 24 << 20
+#: Bytes of a member besides its shingles.
+MEMBER = 8 * BANDS + 2 * K + 64
 
 
 @lru_cache(None)
@@ -118,48 +120,67 @@ def bands(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def signed(docs: DataFrame, weighted: bool = False) -> DataFrame:
-    """``key`` and ``same`` of each row and, if it has words, its bands and its signature at 16 bits a coordinate."""
+    """``key`` and ``same`` of each row and, if it has words and is the first of its text in a task, its bands, its
+    signature at 16 bits a coordinate and the number of its elements."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
         for batch in batches:
-            keys, sigs = [], []
-            for text in batch.column("text").to_pylist():
-                x, w = elements(text, weighted)
+            keys, sigs, sizes = [], [], []
+            for text, same in zip(batch.column("text").to_pylist(), batch.column("same").to_pylist(), strict=True):
+                x, w = elements("" if same in seen else text, weighted)
+                seen.add(same)
                 s = signature(x, w) if len(x) else None
                 keys.append(None if s is None else bands(s))
                 sigs.append(None if s is None else s.astype(np.uint16).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("same"), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], ["key", "same", "bands", "sig"])
+                sizes.append(None if s is None else len(x))
+            cols = [batch.column("key"), batch.column("same"), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols, ["key", "same", "bands", "sig", "size"])
 
     tune(docs.sparkSession)
-    return numbered(docs).select("key", "same", "text").mapInArrow(run, "key long, same string, bands array<long>, sig binary")
+    return numbered(docs).select("key", "same", "text").mapInArrow(run, "key long, same string, bands array<long>, sig binary, size int")
 
 
-def similarity(a: tuple, b: tuple, weighted: bool = False) -> float:
-    if not weighted:
-        both = len(np.intersect1d(a[0], b[0], assume_unique=True))
-        return both / (len(a[0]) + len(b[0]) - both)
+def packed(x: np.ndarray, w: np.ndarray, weighted: bool) -> bytes:
+    return x.tobytes() + (w.astype(np.float32).tobytes() if weighted else b"")
+
+
+def unpacked(raw: bytes, weighted: bool) -> tuple[np.ndarray, np.ndarray]:
+    n = len(raw) // (12 if weighted else 8)
+    return np.frombuffer(raw, U, n), np.frombuffer(raw, np.float32, n, 8 * n) if weighted else np.ones(n, np.float32)
+
+
+def similarity(a: tuple, b: tuple) -> float:
+    """Weighted Jaccard similarity of two texts' ``elements``."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     both = np.minimum(a[1][i], b[1][j]).sum()
     return both / (a[1].sum() + b[1].sum() - both)
 
 
-def verified(pairs: DataFrame, reps: DataFrame, similar: float, weighted: bool) -> DataFrame:
-    """The pairs ``(a, b)`` whose exact similarity is at least ``similar``. ``reps``: ``id`` and ``text``."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    need = written(ids, "ids")
-    few = need.count() <= BROADCAST_IDS
-    some = reps.join(F.broadcast(need) if few else need, "id", "left_semi")
-    left = pairs.join(some.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    both = left.join(some.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+def element_sets(docs: DataFrame, nodes: DataFrame, ids: DataFrame, weighted: bool) -> DataFrame:
+    """``id`` and ``elements`` (``packed``) of the nodes in ``ids``."""
+    need = nodes.join(ids.distinct(), "id", "left_semi").select("id", F.col("key").alias("_key"), F.col("same").alias("_same"))
+    rows = numbered(docs).join(need, (F.col("same") == F.col("_same")) & (F.col("key") == F.col("_key"))).select("id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [packed(*elements(t, weighted), weighted) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], ["id", "elements"])
+
+    return written(rows.mapInArrow(run, "id long, elements binary").groupBy("id").agg(F.first("elements").alias("elements")), "elements")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similar: float, weighted: bool) -> DataFrame:
+    """The pairs ``(a, b)`` whose exact similarity is at least ``similar``."""
+    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("ea")), "a")
+    both = left.join(sets.select(F.col("id").alias("b"), F.col("elements").alias("eb")), "b").select("a", "b", "ea", "eb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: tuple = (None, None)
         for batch in batches:
-            keep = []
-            for b, ta, tb in zip(batch.column("b").to_pylist(), batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
-                if known[0] != b:
-                    known = (b, elements(tb, weighted))
-                keep.append(similarity(elements(ta, weighted), known[1], weighted) >= similar)
+            keep = [
+                similarity(unpacked(x, weighted), unpacked(y, weighted)) >= similar
+                for x, y in zip(batch.column("ea").to_pylist(), batch.column("eb").to_pylist(), strict=True)
+            ]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long")
@@ -200,132 +221,212 @@ def screened(pairs: DataFrame, sigs: DataFrame, screen: int) -> DataFrame:
     return p.where(F.col("sa").isNotNull() & F.col("sb").isNotNull()).mapInArrow(run, "a long, b long")
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """``key`` (the ``doc_id``, or a hash of the text where it is null), ``same`` (digest of the text), ``text``."""
-    d = texts(docs).withColumn("same", F.md5(F.col("text").cast("binary")))
-    return d.select("doc_id", F.coalesce("doc_id", F.xxhash64("same")).alias("key"), "same", "text")
+def digest(text: str) -> Column:
+    """Digest of a text; those without words have that of the empty text."""
+    return F.md5(F.when(F.col(text).rlike(WORD), F.col(text)).otherwise(F.lit("")).cast("binary"))
 
 
-def across(rows: DataFrame, screen: int, best: bool) -> DataFrame:
-    """Pairs of a bucket of other classes whose signatures agree in ``screen`` coordinates; if ``best``, for each
-    document only the one that agrees in most.
+def stand_in(same: Column) -> Column:
+    """A name from 2 to the 62nd for a text whose ``doc_id`` cannot name it."""
+    return F.xxhash64(same).bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
 
-    ``rows``: ``key``, ``id``, ``class``, ``is_main`` and ``sig``. A bucket's rows meet in one task, those outside
-    its main class are held against all, and only pairs that agree leave it.
-    """
 
-    def pairs(ids: np.ndarray, classes: np.ndarray, main: np.ndarray, sigs: np.ndarray) -> Iterator[np.ndarray]:
-        other = np.flatnonzero(~main)
-        step = max(1, (4 << 20) // (sigs.shape[1] * len(ids)))
-        for a in range(0, len(other), step):
-            i = other[a : a + step]
-            agree = (sigs[i][:, None, :] == sigs[None, :, :]).sum(2)
-            agree[classes[i][:, None] == classes[None, :]] = 0
-            if best:
-                y = agree.argmax(1)
-                x = np.flatnonzero(agree[np.arange(len(i)), y] >= screen)
-                y = y[x]
-            else:
-                x, y = np.nonzero(agree >= screen)
-            yield np.sort(np.stack([ids[i[x]], ids[y]]), 0)
+def numbered(docs: DataFrame) -> DataFrame:
+    """``key`` (the ``doc_id``, or the text's stand-in where it is null), ``same`` (digest of the text), ``text``."""
+    d = texts(docs).withColumn("same", digest("text"))
+    return d.select("doc_id", F.coalesce("doc_id", stand_in(F.col("same"))).alias("key"), "same", "text")
+
+
+def nodes_of(docs: DataFrame, weighted: bool = False) -> DataFrame:
+    """A row for each distinct text: its name ``id``, its least ``key``, ``same``, ``bands``, ``sig`` and ``size``."""
+    first = [F.first(c, ignorenulls=True).alias(c) for c in ("bands", "sig", "size")]
+    nodes = written(signed(docs, weighted).groupBy("same").agg(F.min("key").alias("key"), *first), "nodes")
+    again = nodes.groupBy("key").agg(F.count("*").alias("n"), F.min("same").alias("least")).where("n > 1").select("key", "least")
+    if not again.limit(1).count():
+        return nodes.withColumn("id", F.col("key"))
+    other = nodes.join(again, "key", "left").withColumn("id", F.when(F.col("same") > F.col("least"), stand_in(F.col("same"))).otherwise(F.col("key")))
+    return written(other.drop("least"), "nodes")
+
+
+class Bucket:
+    """Rows of one bucket, or of one block of it, in one task."""
+
+    def __init__(self, rows: pa.Table, weighted: bool):
+        self.n = rows.num_rows
+        self.key = rows.column("key")[0].as_py()
+        self.ids, self.classes, self.query, self.target = (rows.column(c).to_numpy() for c in ("id", "class", "query", "target"))
+        self.sigs = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint16).reshape(self.n, -1)
+        self.bands = np.array(rows.column("bands").to_pylist(), np.int64)
+        sets = [unpacked(x, weighted) for x in rows.column("elements").to_pylist()]
+        self.ends = np.cumsum([0, *[len(x) for x, _ in sets]])
+        self.codes = np.unique(np.concatenate([x for x, _ in sets]), return_inverse=True)[1]
+        self.weights = np.concatenate([w for _, w in sets])
+        self.total = np.add.reduceat(self.weights, self.ends[:-1])
+
+    def agreeing(self, i: np.ndarray, screen: int) -> Iterator[tuple[int, np.ndarray]]:
+        """For each row in ``i`` the targets whose signature agrees, in the first band that both share."""
+        targets = np.flatnonzero(self.target)
+        step = max(1, (8 << 20) // (self.sigs.shape[1] * max(1, len(targets))))
+        for a in range(0, len(i), step):
+            some = i[a : a + step]
+            x, y = np.nonzero((self.sigs[some][:, None, :] == self.sigs[targets][None, :, :]).sum(2) >= screen)
+            x, y = some[x], targets[y]
+            keep = np.zeros(len(x), bool)
+            for b in range(0, len(x), 50_000):
+                one, other = self.bands[x[b : b + 50_000]], self.bands[y[b : b + 50_000]]
+                keep[b : b + 50_000] = one[np.arange(len(one)), (one == other).argmax(1)] == self.key
+            x, y = x[keep], y[keep]
+            for row, start, end in zip(*runs_of(x), strict=True):
+                yield row, y[start:end]
+
+    def similar(self, i: int, others: np.ndarray, similar: float, mark: np.ndarray) -> np.ndarray:
+        """Which of ``others`` are at least ``similar`` to row ``i``. ``mark``: zeros for every code."""
+        own = slice(self.ends[i], self.ends[i + 1])
+        mark[self.codes[own]] = self.weights[own]
+        sizes = self.ends[others + 1] - self.ends[others]
+        at = np.repeat(self.ends[others] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        both = np.add.reduceat(np.minimum(mark[self.codes[at]], self.weights[at]), np.cumsum(sizes) - sizes, dtype=np.float64)
+        mark[self.codes[own]] = 0
+        return both / (self.total[i] + self.total[others] - both) >= similar
+
+    def links(self, similar: float, screen: int) -> list[tuple[int, int]]:
+        """Links that join two classes, each once."""
+        out, mark = [], np.zeros(len(self.codes), np.float32)
+        label = np.unique(self.classes, return_inverse=True)[1]
+        for i, others in self.agreeing(np.flatnonzero(self.query), screen):
+            others = others[label[others] != label[i]]
+            for j in others[self.similar(i, others, similar, mark)] if len(others) else ():
+                if label[j] != label[i]:
+                    out.append((min(self.ids[i], self.ids[j]), max(self.ids[i], self.ids[j])))
+                    label[label == label[j]] = label[i]
+        return out
+
+
+def runs_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values, starts and ends of the runs of equal numbers in ``x``."""
+    start = np.flatnonzero(np.diff(x, prepend=-1)) if len(x) else np.zeros(0, np.int64)
+    return x[start], start, np.append(start[1:], len(x)) if len(x) else start
+
+
+def joining(rows: DataFrame, similar: float, screen: int, weighted: bool) -> DataFrame:
+    """The links of every block of ``rows``, whose columns are those that ``Bucket`` reads, ``t`` and ``q``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def check(table: pa.Table) -> pa.RecordBatch:
-            key = table.column("key").to_numpy()
-            ids, classes, main = (table.column(c).to_numpy(zero_copy_only=False) for c in ("id", "class", "is_main"))
-            sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(len(ids), -1)
-            ends = [*np.flatnonzero(np.diff(key)) + 1, len(key)]
-            found = [p for a, b in zip([0, *ends[:-1]], ends, strict=True) for p in pairs(ids[a:b], classes[a:b], main[a:b], sigs[a:b])]
-            both = np.unique(np.concatenate(found, 1), axis=1) if found else np.zeros((2, 0), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(both[1]), pa.array(both[0])], ["a", "b"])
+        def links(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            found = Bucket(pa.Table.from_batches(parts), weighted).links(similar, screen)
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         held: list[pa.RecordBatch] = []
+        last = None
         for batch in batches:
-            key = batch.column("key").to_numpy()
-            cut = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last bucket may go on in the next batch
-            if cut:
-                yield check(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-                held = []
-            elif held and len(key) and held[-1].column("key")[-1].as_py() != key[0]:
-                yield check(pa.Table.from_batches(held))
-                held = []
-            held.append(batch.slice(cut))
+            if not batch.num_rows:
+                continue
+            block = np.stack([batch.column(c).to_numpy() for c in ("key", "t", "q")], 1)
+            edges = [0, *np.flatnonzero((block[1:] != block[:-1]).any(1)) + 1, batch.num_rows]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if held and tuple(block[a]) != last:
+                    yield links(held)
+                    held = []
+                last = tuple(block[a])
+                held.append(batch.slice(a, b - a))
         if held:
-            yield check(pa.Table.from_batches(held))
+            yield links(held)
 
-    return rows.select("key", "id", "class", "is_main", "sig").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    names = ["key", "t", "q", "id", "class", "query", "target", "sig", "bands", "elements"]
+    block = ["key", "t", "q"]
+    return rows.select(*names).repartition(*block).sortWithinPartitions(*block).mapInArrow(run, "a long, b long")
 
 
-def links(docs: DataFrame, nodes: DataFrame, similar: float, weighted: bool, screen: int, group: int = GROUP) -> DataFrame:
+def blocks(members: DataFrame, tile: int, first: bool) -> DataFrame:
+    """Members of the buckets that hold several classes, dealt to blocks ``(key, t, q)`` of about two ``tile`` at most.
+
+    Every member is a target in its tile ``t``; those outside the main class are a query in their part ``q`` against
+    each tile. ``first``: against the first tile only.
+    """
+    size = F.col("size") * 12 + MEMBER
+    of = members.groupBy("key").agg(
+        F.min("class").alias("low"), F.max("class").alias("high"), F.min_by("class", "id").alias("main"), F.sum(size).alias("bytes")
+    ).where("low <> high")
+    m = members.join(of.select("key", "main", "bytes"), "key").withColumn("query", F.col("class") != F.col("main"))
+    outside = m.where("query").groupBy("key").agg(F.sum(size).alias("outside"))
+    m = m.join(outside, "key")
+    unit = F.xxhash64("id").bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))
+    parts = lambda total: F.ceil(F.col(total) / tile).cast("int")
+    m = m.withColumn("tiles", parts("bytes")).withColumn("parts", parts("outside"))
+    m = m.withColumn("own_t", F.floor(unit * F.col("tiles")).cast("int")).withColumn("own_q", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int"))
+    tiles = F.when(F.lit(first), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("tiles") - 1))
+    if first:
+        m = m.where("tiles > 1")
+    targets = m.where("own_t = 0") if first else m
+    targets = targets.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("t", F.col("own_t"))
+    targets = targets.select("key", "t", "q", "id", "class", (F.col("query") & (F.col("q") == F.col("own_q"))).alias("query"), F.lit(True).alias("target"))
+    queries = m.where("query").withColumn("t", F.explode(tiles)).where("t <> own_t")
+    return targets.union(queries.select("key", "t", F.col("own_q").alias("q"), "id", "class", F.lit(True).alias("query"), F.lit(False).alias("target")))
+
+
+def links(docs: DataFrame, nodes: DataFrame, similar: float, weighted: bool, screen: int, tile: int = TILE) -> DataFrame:
     """Classes (``id``, ``class``) of the nodes that have a link."""
-    reps = numbered(docs).select(F.col("key").alias("id"), "text")
-    sigs = nodes.select("id", "sig").where("sig is not null")
-    member = nodes.select("id", F.explode("bands").alias("key")).distinct()
-    size = member.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1")
+    signs = nodes.select("id", "size", "sig", "bands").where("sig is not null")
+    member = nodes.select("id", "size", F.explode("bands").alias("key"))
+    size = member.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1").select("key", "leader")
     bucket = written(member.join(size, "key"), "buckets")
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        close = written(screened(pairs, sigs, screen).distinct(), "close")
-        return written(verified(close, reps, similar, weighted).distinct(), "verified")
-
-    def split(classes: DataFrame) -> DataFrame:
-        """Members of the buckets that hold several classes, with the class of the bucket's leader as ``main``."""
-        at = bucket.join(classes, "id", "left").select("key", "id", "n", "leader", F.coalesce("class", "id").alias("class"))
-        ends = at.groupBy("key").agg(F.min_by("class", "id").alias("main"), F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high")
-        return at.join(ends.select("key", "main"), "key")
-
     # First each text and the leader with which it shares most bands, so a text is in one pair, however many buckets it is in.
     shared = bucket.where("id <> leader").groupBy("id", "leader").count()
     best = shared.groupBy(F.col("id").alias("a")).agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("b"))
-    tried = None
-    found = linked(best)
+    close = written(screened(best, signs, screen), "close")
+    sets = element_sets(docs, nodes, close.select(F.col("a").alias("id")).union(close.select("b")), weighted)
+    found = written(verified(close, sets, similar, weighted), "verified")
+    dropped(close)
+    dropped(sets)
     classes = components(found)
 
-    def meeting(classes: DataFrame) -> DataFrame:
-        """The rows that ``across`` takes."""
-        at = written(split(classes), "split")
-        large = at.where(F.col("n") > group)
-        rows = at.where(F.col("n") <= group).select("key", "id", "class", (F.col("class") == F.col("main")).alias("is_main"))
-        if large.limit(1).count():
-            # Similar texts of a very common bucket agree in a second band too: there they meet by two bands.
-            second = large.join(nodes.select("id", "bands"), "id").select("id", "class", F.col("key").alias("k1"), F.explode("bands").alias("k2")).where("k1 <> k2")
-            second = second.select(F.xxhash64(F.least("k1", "k2"), F.greatest("k1", "k2")).alias("key"), "id", "class").distinct()
-            some = second.groupBy("key").agg(F.min("class").alias("main"), F.max("class").alias("high")).where("main <> high")
-            rows = rows.union(second.join(some, "key").select("key", "id", "class", (F.col("class") == F.col("main")).alias("is_main")))
-        return rows.join(sigs, "id")
-
-    # Then each text outside its bucket's main class and the one it agrees with most, while that finds links; at
-    # last all that agree. Groups around one text are one class before that.
-    for step in range(BEST_ROUNDS + 1):
-        more = across(meeting(classes), screen, step < BEST_ROUNDS).distinct()
-        more = written(more if tried is None else more.join(tried, ["a", "b"], "left_anti"), "across")
-        new = written(verified(more, reps, similar, weighted).distinct(), "verified")
-        tried = more if tried is None else tried.union(more)
-        if new.limit(1).count():
-            found = found.union(new)
-            classes = components(found.distinct())
+    def step(first: bool) -> DataFrame | None:
+        """The links found in buckets of several classes; ``first``: in the large ones, against one tile. None: no such bucket."""
+        at = bucket.join(classes, "id", "left").select("key", "id", "size", F.coalesce("class", "id").alias("class"))
+        rows = written(blocks(at, tile, first), "blocks")
+        if not rows.limit(1).count():
+            dropped(rows)
+            return None
+        sets = element_sets(docs, nodes, rows.select("id"), weighted)
+        more = written(joining(rows.join(signs, "id").join(sets, "id"), similar, screen, weighted).distinct(), "joining")
+        dropped(rows)
+        dropped(sets)
+        return more
+
+    for first in (True, False):
+        more = step(first)
+        if more is not None and more.limit(1).count():
+            found = written(found.union(more).distinct(), "verified")
+            dropped(classes)
+            classes = components(found)
+    dropped(bucket)
     return classes
 
 
-def grouped(docs: DataFrame, similar: float = SIMILAR, weighted: bool = False, screen: int = SCREEN, group: int = GROUP) -> DataFrame:
+def classified(docs: DataFrame, similar: float, weighted: bool, screen: int, tile: int) -> DataFrame:
+    """``same``, ``key``, ``id`` and ``class`` of each distinct text."""
+    nodes = nodes_of(docs, weighted)
+    classes = links(docs, nodes, similar, weighted, screen, tile)
+    return nodes.select("same", "key", "id").join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
+
+
+def grouped(docs: DataFrame, similar: float = SIMILAR, weighted: bool = False, screen: int = SCREEN, tile: int = TILE) -> DataFrame:
     """``doc_id``, ``same`` (digest of the text), ``class_id`` and ``is_first`` for each row of ``docs``.
 
     ``is_first`` marks the rows of a class's least ``doc_id``.
     """
-    rows = signed(docs, weighted)
-    nodes = written(rows.groupBy("same").agg(F.min("key").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nodes")
-    classes = links(docs, nodes, similar, weighted, screen, group)
-    of = nodes.select("same", "id").join(classes, "id", "left").select("same", F.coalesce("class", "id").alias("class_id"))
+    of = classified(docs, similar, weighted, screen, tile).select("same", F.col("key").alias("_key"), "id", F.col("class").alias("class_id"))
     d = numbered(docs).select("doc_id", "key", "same")
-    return d.join(of, "same").select("doc_id", "same", "class_id", (F.col("key") == F.col("class_id")).alias("is_first"))
+    first = (F.col("id") == F.col("class_id")) & (F.col("key") == F.col("_key"))
+    return d.join(of, "same").select("doc_id", "same", "class_id", first.alias("is_first"))
 
 
 def deduplicated(docs: DataFrame, similar: float = SIMILAR, weighted: bool = False) -> DataFrame:
     """One row of each class, with its own columns: a row of the class's least id."""
-    first = grouped(docs, similar, weighted).where("is_first").select(F.coalesce("doc_id", F.xxhash64("same")).alias("_key"), F.col("same").alias("_same"))
-    first = first.groupBy("_key").agg(F.min("_same").alias("_same"))
-    rows = docs.withColumn("_same", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    rows = rows.withColumn("_key", F.coalesce("doc_id", F.xxhash64("_same")))
+    first = classified(docs, similar, weighted, SCREEN, TILE).where(F.col("id") == F.col("class")).select(F.col("key").alias("_key"), F.col("same").alias("_same"))
+    rows = docs.withColumn("_same", digest("text"))
+    rows = rows.withColumn("_key", F.coalesce(F.col("doc_id"), stand_in(F.col("_same"))))
     return rows.join(first, ["_key", "_same"], "left_semi").dropDuplicates(["_key", "_same"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
