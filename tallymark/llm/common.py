@@ -67,15 +67,15 @@ def n_words(text) -> F.Column:
     return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD})"), F.lit(1))).cast("long")
 
 
-def offsets(df: DataFrame, part: str, order: list, size: str, name: str) -> DataFrame:
+def offsets(df: DataFrame, part: str, order: list, size: str, name: str, sizes: DataFrame | None = None) -> DataFrame:
     """Running total of ``size`` before each row, for rows in order of ``part`` and then of ``order``.
 
     Two levels: one row for each part (as many as the partitions that wrote them) gets its offset, then each
-    part is summed by itself, so no task sees all rows.
+    part is summed by itself, so no task sees all rows. ``sizes``: the parts' totals, if they are had for less.
     """
     from pyspark.sql import Window
 
-    parts = df.groupBy(F.col(part).alias("_part")).agg(F.sum(size).alias("_sum"))
+    parts = df.groupBy(F.col(part).alias("_part")).agg(F.sum(size).alias("_sum")) if sizes is None else sizes.toDF("_part", "_sum")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

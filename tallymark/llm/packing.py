@@ -2,9 +2,10 @@
 
 Method: pieces of equal length are interchangeable, so packing works on the histogram of lengths, which has
 ``capacity`` entries at most whatever the number of documents. For each length, longest first, the gap it
-leaves is looked up among single lengths, pair sums and triple sums; a combination that fills the gap exactly
-is consumed as often as the availability counts allow. What is left goes by best fit, longest first, into the
-smallest gap that holds it. The plan is a list of patterns with multiplicities; pieces are dealt to its slots
+leaves is looked up in an index of single lengths, pair sums and triple sums; a combination that fills the gap
+exactly is consumed as often as the availability counts allow. What is left goes by best fit, longest first, into the
+smallest gap that holds it. A few limits on the combinations are tried and the plan of the fewest sequences is taken;
+of equal ones the first. The plan is a list of patterns with multiplicities; pieces are dealt to its slots
 by their rank within their length, which is found without any task seeing all pieces of a common length.
 
 Defined results: null and empty texts are one piece of the end id alone. Repeated rows are separate documents.
@@ -14,6 +15,7 @@ an empty table.
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -24,91 +26,141 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallymark.llm.common import texts, tune, written
-from tallymark.llm.tokens import END_ID, crc32, encoder
+from tallymark.llm.tokens import END_ID, encoder
 
 CAPACITY = 1024
+#: How many lengths may fill a gap exactly, and the least of them; short lengths that are not used up fill what is left.
+TRIES = ((3, 1), (3, 64), (3, 128), (1, 1))
 #: A window that ranks pieces of one length sees about this many.
 RANK_ROWS = 200_000
 
 
+def cuts(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, ...]:
+    """Row, number, start and length of each piece of rows of so many tokens; the first piece takes the remainder."""
+    n = -(-sizes // capacity)
+    row = np.repeat(np.arange(len(sizes)), n)
+    piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    first = sizes - (n - 1) * capacity
+    start = np.where(piece == 0, 0, first[row] + (piece - 1) * capacity)
+    return row, piece, start, np.where(piece == 0, first[row], capacity)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Tokenize and cut: ``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer_path)
         for batch in batches:
-            out: list[tuple] = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.append(e.encode(text or ""), np.uint32(end_id))
-                cuts = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
-                out += [(doc, k, a, b - a, crc32(ids[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            ids, at = e.encode_all(batch.column("text"), end_id)
+            row, piece, start, length = cuts(np.diff(at), capacity)
+            begin = at[row] + start
+            sums = [zlib.crc32(ids[a:b]) for a, b in zip(begin.tolist(), (begin + length).tolist(), strict=True)]
+            cols = [batch.column("doc_id").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(sums, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     tune(docs.sparkSession)
     return texts(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, tuple[int, ...]]]:
-    """Patterns ``(how often, lengths)`` that together use every length as often as ``counts`` says."""
-    have = np.zeros(capacity + 1, np.int64)
-    for length, n in counts.items():
-        have[length] = n
-    out: list[tuple[int, tuple[int, ...]]] = []
-
-    def use(*lengths: int) -> None:
+class SumIndex:
+    """Availability of lengths, and for each sum the single, pairs and triples of present lengths that make it.
+
+    A pair is kept under its sum by its longer length, a triple by its longest one and the sum of the other two, so
+    the index has at most ``capacity`` squared entries.
+    """
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.have = np.zeros(capacity + 1, np.int64)
+        for length, n in counts.items():
+            self.have[length] = n
+        present = np.flatnonzero(self.have)[::-1]
+        self.pairs: list[list[int]] = [[] for _ in range(capacity + 1)]
+        self.triples: list[list[int]] = [[] for _ in range(capacity + 1)]
+        for a in present.tolist():
+            for b in present[present <= min(a, capacity - a)].tolist():
+                self.pairs[a + b].append(a)
+        sums = np.flatnonzero([bool(p) for p in self.pairs])
+        for a in present.tolist():
+            for rest in sums[sums <= min(2 * a, capacity - a)].tolist():
+                self.triples[a + rest].append(a)
+
+    def combinations(self, gap: int) -> Iterator[tuple[int, ...]]:
+        """What fills ``gap`` exactly by the lengths left, the fewest and longest lengths first."""
+        yield (gap,)
+        for a in self.pairs[gap]:
+            if self.have[a] and self.have[gap - a]:
+                yield (a, gap - a)
+        for a in self.triples[gap]:
+            for b in self.pairs[gap - a] if self.have[a] else ():
+                if b <= a and self.have[b] and self.have[gap - a - b]:
+                    yield (a, b, gap - a - b)
+
+    def consume(self, lengths: tuple[int, ...]) -> int:
+        """Take ``lengths`` as often as their counts allow."""
         need = {x: lengths.count(x) for x in lengths}
-        if times := min(int(have[x]) // k for x, k in need.items()):
-            for x, k in need.items():
-                have[x] -= k * times
-            out.append((times, lengths))
+        times = min(int(self.have[x]) // k for x, k in need.items())
+        for x, k in need.items():
+            self.have[x] -= k * times
+        return times
 
-    def pair(rest: int, top: int) -> list[tuple[int, int]]:
-        a = np.arange(min(rest - 1, top), (rest - 1) // 2, -1)
-        a = a[(have[a] > 0) & (have[rest - a] > 0)] if rest > 1 else a[:0]
-        return [(int(x), rest - int(x)) for x in a]
 
+def filled(counts: dict[int, int], capacity: int, most: int, least: int) -> list[tuple[int, tuple[int, ...]]]:
+    """One plan: gaps filled exactly by at most ``most`` lengths of ``least`` or more, then best fit, longest first."""
+    index = SumIndex(counts, capacity)
+    have, out = index.have, []
     for length in range(capacity, 0, -1):
-        if not have[length]:
-            continue
-        gap = capacity - length
-        if not gap:
-            use(length)
-            continue
-        use(length, gap)
-        for p in pair(gap, gap):
+        for rest in index.combinations(capacity - length) if length < capacity else ((),):
             if not have[length]:
                 break
-            use(length, *p)
-        for a in np.flatnonzero(have[: max(gap - 1, 0)])[::-1]:
-            if not have[length]:
-                break
-            for p in pair(gap - int(a), int(a)) if have[a] else []:
-                use(length, int(a), *p)
-                if not have[length] or not have[a]:
-                    break
+            if len(rest) <= most and min(rest, default=capacity) >= least and (times := index.consume((length, *rest))):
+                out.append((times, (length, *rest)))
 
-    #: Open bins by gap: [how many, lengths so far].
+    #: Open bins by gap, as [how many, lengths so far], and a bit for each gap that has some.
     bins: dict[int, list[list]] = defaultdict(list)
+    some = 0
     for length in range(capacity, 0, -1):
         n = int(have[length])
         while n:
-            gap = min((g for g, v in bins.items() if g >= length and v), default=None)
-            if gap is None:
+            fits = some >> length
+            if not fits:
                 each = min(n, capacity // length)
-                bins[capacity - each * length].append([n // each, (length,) * each])
+                gap = capacity - each * length
+                bins[gap].append([n // each, (length,) * each])
+                some |= 1 << gap
                 n %= each
                 continue
-            times, lengths = bins[gap].pop()
+            gap = length + (fits & -fits).bit_length() - 1
+            times, lengths = bins[gap][-1]
             k = min(times, n)
             bins[gap - length].append([k, (*lengths, length)])
+            some |= 1 << (gap - length)
             if times > k:
-                bins[gap].append([times - k, lengths])
+                bins[gap][-1][0] -= k
+            else:
+                bins[gap].pop()
+                if not bins[gap]:
+                    some &= ~(1 << gap)
             n -= k
     return out + [(times, lengths) for v in bins.values() for times, lengths in v]
 
 
+def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, tuple[int, ...]]]:
+    """Patterns ``(how often, lengths)`` that together use every length as often as ``counts`` says.
+
+    Of the plans made with each of ``TRIES`` the one of the fewest sequences; the first that needs no more than the sum
+    of lengths does ends the search.
+    """
+    bound = -(-sum(k * n for k, n in counts.items()) // capacity)
+    best: list[tuple[int, tuple[int, ...]]] = []
+    for most, least in TRIES:
+        found = filled(counts, capacity, most, least)
+        if not best or sum(k for k, _ in found) < sum(k for k, _ in best):
+            best = found
+        if sum(k for k, _ in best) == bound:
+            break
+    return best
+
+
 def ranked(rows: DataFrame, counts: dict[int, int]) -> DataFrame:
     """``rank`` of each row among those of its ``length``, from 0; a common length is ranked in many windows."""
     salts = {k: -(-n // RANK_ROWS) for k, n in counts.items() if n > RANK_ROWS}

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ from tallymark.llm.common import new_path, offsets, texts, tune
 END_ID = 2
 #: Chunks in a generation of a worker's cache (two generations take about 180 MB).
 CACHE_ENTRIES = 450_000
+#: Bytes of text whose chunks are looked up together.
+PART_BYTES = 4 << 20
 #: Cells of ids for each partition, from which partitions of about equal numbers of documents are made.
 CELLS = 64
 
@@ -77,6 +80,9 @@ class Encoder(dict):
     def word(self, word: str) -> bytes:
         """One piece of the pre-tokenizer's."""
         chars = word.encode().decode("latin1").translate(self.bytes_to_chars)
+        return self.merged(chars)
+
+    def merged(self, chars: str) -> bytes:
         return array("I", [t.id for t in self.tokenize(chars)]).tobytes()
 
     def cached_inner(self, word: str) -> bytes:
@@ -97,7 +103,9 @@ class Encoder(dict):
     def __missing__(self, chunk: str) -> bytes:
         found = self.old.get(chunk)
         if found is None:
-            if letters(chunk):
+            if chunk.isascii() and chunk.isalpha():
+                found = self.merged(self.bytes_to_chars[32] + chunk)
+            elif letters(chunk):
                 found = self.word(" " + chunk)
             elif chunk[-1:] in ENDS and letters(chunk[:-1]):
                 known = chunk[:-1] in self
@@ -117,13 +125,50 @@ class Encoder(dict):
         return found
 
     def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(self.ids(text), "<u4")
+
+    def ids(self, text: str) -> bytes:
+        return self.whole(text) if not self.plain_bpe or BETWEEN.search(text) else b"".join(self.spaced(text))
+
+    def encode_all(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all ``texts`` (each followed by ``end_id``) and their offsets; distinct chunks are looked up once."""
+        flat, size = [], []
+        texts = texts.cast(pa.large_string()).fill_null("")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy())
+        a = 0
+        while a < len(texts):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PART_BYTES, "right")))
+            for out, x in zip((flat, size), self.part(texts.slice(a, b - a), end_id), strict=True):
+                out.append(x)
+            a = b
+        at = np.concatenate([[0], *size]).cumsum()
+        return np.concatenate([np.zeros(0, np.uint32), *flat]), at
+
+    def part(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a few texts, and how many each has."""
         if not self.plain_bpe:
-            return np.frombuffer(self.whole(text), "<u4")
+            ids = [np.append(self.encode(t), np.uint32(end_id)) for t in texts.to_pylist()]
+            return np.concatenate(ids), np.array(list(map(len, ids)))
         # A line feed between two non-blanks is a piece of its own: it leads the chunk behind it.
-        first, *chunks = parts = text.replace("\n", " \n").split(" ")
-        if len(parts) != len(text.split()):  # runs of white space, or other white space than these two
-            return np.frombuffer(self.whole(text) if BETWEEN.search(text) else b"".join(self.spaced(text)), "<u4")
-        return np.frombuffer(self.pieces(first) + b"".join(map(self.__getitem__, chunks)), "<u4")
+        other = pc.match_substring_regex(texts, OTHER_SPACE)
+        chunks = pc.split_pattern(pc.replace_substring(pc.if_else(other, pa.scalar("", texts.type), texts), "\n", " \n"), " ")
+        first = chunks.offsets.to_numpy()[:-1] - chunks.offsets[0].as_py()
+        coded = chunks.flatten().dictionary_encode()
+        which, words = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = list(map(self.__getitem__, words))
+        # No space leads the first chunk of a text. A text with other white space than single blanks is one chunk.
+        leads = which[first].tolist()
+        slow = dict(zip(pc.indices_nonzero(other).to_pylist(), texts.filter(other).to_pylist(), strict=True))
+        known += [self.ids(slow[i]) if i in slow else self.pieces(words[k]) for i, k in enumerate(leads)]
+        count = np.fromiter(map(len, known), np.int32, len(known)) // 4
+        start = np.cumsum(count, dtype=np.int32) - count
+        which = which.copy()
+        which[first] = np.arange(len(words), len(known))
+        each = count[which]
+        done = np.cumsum(each, dtype=np.int32)
+        ids = np.frombuffer(b"".join(known), "<u4")[np.repeat(start[which] - done + each, each) + np.arange(done[-1], dtype=np.int32)]
+        n = np.add.reduceat(each, first)
+        return np.insert(ids, np.cumsum(n), np.uint32(end_id)), n + 1
 
     def spaced(self, text: str) -> Iterator[bytes]:
         first, *chunks = text.split(" ")
@@ -132,6 +177,8 @@ class Encoder(dict):
             yield self.pieces(" " + c) if c[:1] == "\n" else self[c]
 
 
+#: White space other than single blanks and line feeds between non-blanks.
+OTHER_SPACE = "\\A[ \n]|[ \n]\\z|[ \n][ \n]|[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: A space between white space and white space or the end.
 BETWEEN = re.compile(r"\s (?:\s|\Z)")
 ENDS = frozenset(".,")
@@ -162,12 +209,9 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer_path)
         for batch in batches:
-            rows = [np.append(e.encode(t or ""), np.uint32(end_id)) for t in batch.column("text").to_pylist()]
-            n = np.array([len(r) for r in rows], np.int64)
-            at = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-            flat = np.concatenate(rows).astype(np.int32) if rows else np.zeros(0, np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(at), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), ids], ["doc_id", "n_tokens", "ids"])
+            flat, at = e.encode_all(batch.column("text"), end_id)
+            ids = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at)), ids], ["doc_id", "n_tokens", "ids"])
 
     tune(docs.sparkSession)
     return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
@@ -221,8 +265,11 @@ def token_report(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("place"), pa.array(n), pa.array(sums, pa.int64())], ["doc_id", "place", "n_tokens", "ids_crc32"])
 
     tune(spark)
-    rows = read_tokens(spark, path).select("doc_id", "place", "ids").mapInArrow(run, "doc_id long, place long, n_tokens long, ids_crc32 long")
-    placed = offsets(rows.withColumn("part", F.shiftright("place", 33)), "part", ["place"], "n_tokens", "start")
+    files = read_tokens(spark, path)
+    rows = files.select("doc_id", "place", "ids").mapInArrow(run, "doc_id long, place long, n_tokens long, ids_crc32 long")
+    part = F.shiftright("place", 33)
+    sizes = files.groupBy(part.alias("part")).agg(F.sum("n_tokens").alias("size"))  # reads the pages of two columns
+    placed = offsets(rows.withColumn("part", part), "part", ["place"], "n_tokens", "start", sizes)
     return placed.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

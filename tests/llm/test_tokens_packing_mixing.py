@@ -3,11 +3,13 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from tallymark.llm import tokens
 from tallymark.llm.mixing import hashed, mixed
 from tallymark.llm.common import n_words, new_path, written
 from tallymark.llm.packing import packed, plan
@@ -33,6 +35,20 @@ def test_chunked_encoding_equals_plain_encoding(text):
     assert FAST.encode(text).tolist() == PLAIN.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.none() | st.lists(st.sampled_from([*"ab .,\n\t'sé1東<|>", "\u3000", "\u00a0", "<|endoftext|>", "  ", " some", " words,", "\x1c"]), max_size=30).map("".join), max_size=8))
+def test_encoding_many_texts_equals_plain_encoding(texts):
+    flat, at = FAST.encode_all(pa.array(texts, pa.string()), 2)
+    assert [flat[a:b].tolist() for a, b in zip(at, at[1:])] == [ids(t) for t in texts]
+
+
+def test_texts_are_encoded_in_parts(monkeypatch):
+    monkeypatch.setattr(tokens, "PART_BYTES", 20)
+    texts = ["one two three", "", "a longer text than a part holds, by far", None, "x"]
+    flat, at = FAST.encode_all(pa.array(texts, pa.string()), 2)
+    assert [flat[a:b].tolist() for a, b in zip(at, at[1:])] == [ids(t) for t in texts]
+
+
 @pytest.mark.parametrize("fixture", ["awkward", "clashing"])
 def test_token_files_round_trip(spark, request, fixture):
     path = new_path(spark, "t")
