@@ -1,36 +1,43 @@
-"""Toxicity by a subsequence string-kernel support vector machine with Nystrom landmarks.
+"""Toxicity by a subsequence string-kernel support vector machine with Nystrom landmarks, trained on labelled sentences.
 
 Method: the kernel of two words is that of their common subsequences of three characters, each weighted by
 ``DECAY`` to the power of the span it covers, with spans of at most ``SPAN`` characters, so inserted characters
-and gaps weaken a match and do not end it. Landmarks are words drawn from the labelled documents. The Nystrom
+and gaps weaken a match and do not end it. Landmarks are words drawn from the labelled sentences. The Nystrom
 map of a word is its kernel with the landmarks times the inverse square root of the landmarks' own kernel; a
 linear support vector machine is trained on it.
 
-As long gaps make the kernel small, a word counts as the most toxic of its forms: as it is, without what is neither
-letter nor digit, and without one character that stands between all others. Neighbouring words are also read as
-one, up to ``STRETCH`` characters, if each has at most ``PIECE`` characters or looks like a part of an insult
-(``SUSPECT``); words without letters and digits between them are gaps. A document counts as its most toxic word or
-stretch, and a logistic function fitted on the training documents turns margins into scores.
-
-The unit is the word or stretch, in training and in scoring, not the sentence: a document that is toxic only by a
-phrase of ordinary words is missed. So are single other letters inserted in a word, where its margin falls below 0.
+Labels are those of documents, the machine is trained on sentences: all sentences of clean documents are clean; of a
+toxic document those are toxic that hold evidence (first words with pieces that far more toxic than clean documents
+have, then words that the machine finds), and the rest teach nothing. A sentence counts as its most toxic word or
+stretch, which stands for it in training (multiple-instance learning); a clean one gives its most toxic word too. A
+document counts as its most toxic sentence and by the share of toxic words and stretches among its words; a logistic
+function fitted on the training documents turns the two into scores. Documents that nearly repeat others are left out of training, so that a label given to a group of copies
+does not make their ordinary words evidence.
 
-Labels are those of documents: sentences of clean documents are clean; in a toxic document the words of the
-highest margin are taken as its evidence and training is repeated with them.
+As long gaps make the kernel small, a word counts as the most toxic of its forms: as it is, without what is neither
+letter nor digit, and without one character that stands between all others. Neighbouring words are also read as one
+stretch, which counts if its margin is ``SURE``: three or more of at most ``PIECE`` characters with a single one among
+them, and two that join to at most ``JOINED`` characters where one is no word of the clean training documents; words without
+letters and digits between them are gaps. Missed: a document that is toxic only by a phrase of ordinary words, and an
+insult in two pieces that are both words; a letter inserted in a short word weakens the match and may end it.
 
 As the kernel is a sum over subsequences, the trained machine is one weight for each subsequence that a
-landmark has; so a word is scored by adding weights, exactly as through the landmarks, and each worker scores
-each distinct word once.
+landmark has; so a word is scored by adding weights, exactly as through the landmarks. Each distinct word of a batch is
+scored once, and frequent ones are kept by the worker.
 
 Training uses at most ``TRAIN_TOXIC`` toxic and ``TRAIN_CLEAN`` clean labelled documents (those of the lowest id
-hashes); of their clean words the ``NEGATIVES`` most frequent and most toxic-looking. Every text is scored whole.
+hashes), whole, up to ``TRAIN_CHARS`` characters of each kind, and ``NEGATIVES`` clean words a round: the most frequent
+and the most toxic-looking. Every text is scored whole.
 
 Defined results: null and empty texts and texts without words get the score of the lowest margin. Labels of
-null are not used; where a class has no training document all scores are 0. Repeated rows are scored alike.
+null are not used; where a class has no training document, or none of the toxic ones has evidence, all scores are 0.
+Repeated rows are scored alike, and ties cannot change a score. Columns beside ``doc_id`` and ``text`` stay, but for one
+named ``score``. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import re
 import string
 import zlib
 from collections import Counter
@@ -38,22 +45,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import tune
+from tallymark.llm.common import dropped, tune, written
+from tallymark.llm.hashing import mix, shingles
 
 #: A span of 9 holds three characters with three inserted between each two.
 DECAY, SPAN, BINS = 0.5, 9, 64
-#: Characters of words that are read as one; short pieces can be part of any word.
-STRETCH, PIECE = 16, 3
-#: A longer piece joins a stretch if its margin is so far on the way from that of an unrelated word to that of an insult.
-SUSPECT = 0.15
-TRAIN_TOXIC, TRAIN_CLEAN, NEGATIVES, LANDMARKS, ROUNDS = 2000, 4000, 10_000, 400, 4
+#: Characters of a stretch, of the pieces of three or more, and of two joined words.
+STRETCH, PIECE, JOINED = 16, 3, 12
+#: The margin from which two joined words count.
+SURE = 0.8
+TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS, NEGATIVES, LANDMARKS, ROUNDS = 2000, 4000, 20_000_000, 30_000, 400, 4
+#: A piece is evidence if so many, and this share, of the toxic documents have it, and it is so many times rarer in clean ones.
+LEAST, SHARE, RARER = 3, 0.01, 15
 FOLDS = 5
 #: A worker forgets its scored words when it holds this many.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 300_000
 LOWEST = -4.0
+#: The margin from which a word or stretch counts as toxic in the share.
+HIT = 0.3
+#: Bytes of text whose words are looked up together.
+PART_BYTES = 2 << 20
 
 #: Offsets (second, third) of the subsequences that start at a character, and their weights.
 STEPS = [(a, b) for a in range(1, SPAN) for b in range(a + 1, SPAN)]
@@ -122,21 +137,12 @@ class Landmarks:
         return out
 
 
-def units(text: str) -> list[str]:
-    """Words of a text, and the joined letters of words spelled out letter by letter."""
-    words = text.split()
-    out, run = words, []
-    if any(len(w) == 1 for w in words):
-        out = list(words)
-        for w in [*words, "--"]:
-            if len(w) == 1 and w.isalnum():
-                run.append(w)
-            elif len(run) > 2:
-                out.append("".join(run))
-                run = []
-            elif run:
-                run = []
-    return out
+def sentences(text: str) -> list[list[str]]:
+    """The words of each sentence; a sentence ends behind a full stop, question or exclamation mark before a blank, and with its line."""
+    return [w for x in ENDS.split(text) if (w := x.split())]
+
+
+ENDS = re.compile(r"(?<=[.!?])\s|\n")
 
 
 def bare(word: str) -> str:
@@ -162,47 +168,52 @@ def forms(word: str) -> list[str]:
     return out
 
 
-def stretches(run: list[str]) -> set[str]:
-    """Neighbouring pieces joined, of 3 to ``STRETCH`` characters."""
+def stretches(run: list[str], least: int = 3) -> set[str]:
+    """``least`` or more neighbouring pieces joined, of 3 to ``STRETCH`` characters."""
     out = set()
-    for a in range(len(run) - 1):
+    for a in range(len(run) - least + 1):
         joined = run[a]
-        for piece in run[a + 1 : a + 1 + STRETCH]:
+        for i, piece in enumerate(run[a + 1 : a + 1 + STRETCH], 2):
             joined += piece
             if len(joined) > STRETCH:
                 break
-            if len(joined) > 2:
+            if i >= least and len(joined) > 2:
                 out.add(joined)
     return out
 
 
-def bag(text: str) -> list[str]:
-    """All that training reads in a text: its units, their forms, and stretches of short pieces, each once."""
-    run, found = [], dict.fromkeys(f for u in units(text) for f in forms(u) if f)
-    for w in [*text.split(), "long"]:
-        piece = letters(w)
+def spelled(words: list[str]) -> set[str]:
+    """Stretches of short pieces among which one is a single character."""
+    out: set[str] = set()
+    run: list[str] = []
+    for piece in [*map(letters, words), "x" * (PIECE + 1)]:
         if len(piece) > PIECE:
-            if len(run) > 1:
-                found |= dict.fromkeys(sorted(stretches(run)))
+            if any(len(p) == 1 for p in run):
+                out |= stretches(run)
             run = []
         elif piece:
             run.append(piece)
-    return list(found)
+    return out
+
+
+def bag(words: list[str]) -> list[str]:
+    """All that training reads in a sentence: the forms of its words, and its stretches of short pieces, each once."""
+    return list(dict.fromkeys([*(f for w in words for f in forms(w) if f), *sorted(spelled(words))]))
 
 
 class Machine:
-    """The trained machine: a weight for each subsequence, a bias, and the logistic function's two numbers."""
+    """The trained machine: a weight for each subsequence, a bias, the logistic function's numbers, and hashes of
+    the words of the clean training documents in order."""
 
-    def __init__(self, weights: np.ndarray, bias: float, slope: float, shift: float):
-        self.weights, self.bias, self.slope, self.shift = weights, bias, slope, shift
+    def __init__(self, weights: np.ndarray, bias: float, scale: np.ndarray = np.array([1.0, 1.0, 0.0]), clean: np.ndarray = np.zeros(0, np.int64)):
+        self.weights, self.bias, self.scale, self.clean = weights, bias, scale, clean
         #: The weights with 0 for what reaches beyond a word.
         self.table = np.zeros((BINS + 1,) * 3, np.float32)
         self.table[:BINS, :BINS, :BINS] = weights.reshape(BINS, BINS, BINS)
         self.table = self.table.ravel()
-        #: Margins of words and of stretches, and each word's piece of a stretch (None: it ends one).
-        self.known: dict[str, float] = {}
+        #: Margin and number of letters of words, and margins of stretches.
+        self.known: dict[str, tuple[float, int]] = {}
         self.joined: dict[str, float] = {}
-        self.pieces: dict[str, str | None] = {}
 
     def margins(self, words: list[str]) -> np.ndarray:
         if len(words) > 2_000:  # by parts, to bound memory
@@ -225,129 +236,196 @@ class Machine:
         return np.maximum(np.add.reduceat(total, start, dtype=np.float64) / np.maximum(np.sqrt(square), 1e-9) + self.bias, LOWEST)
 
     def learn(self, words: list[str]) -> None:
-        """Margins of new words: the highest of their forms. Only short and suspect pieces can be part of a toxic stretch."""
+        """Margins of new words: the highest of their forms."""
+        if len(self.known) + len(words) > CACHE_ENTRIES:
+            self.known.clear()
         for at in range(0, len(words), 4096):
             part = words[at : at + 4096]
             each = [forms(w) for w in part]
             margin = self.margins([f for e in each for f in e])
             start = np.cumsum([0, *map(len, each)])[:-1]
-            self.known.update(zip(part, np.maximum.reduceat(margin, start).tolist(), strict=True))
-            for w, m in zip(part, margin[start].tolist(), strict=True):
-                piece = letters(w)
-                self.pieces[w] = piece if len(piece) <= PIECE or (len(piece) < STRETCH and m > self.bias + SUSPECT * (1 - self.bias)) else None
+            margin = np.maximum.reduceat(margin, start).tolist()
+            self.known.update(zip(part, zip(margin, (len(letters(w)) for w in part), strict=True), strict=True))
 
     def document(self, text: str) -> float:
-        """The highest margin of any word, and of any stretch of neighbouring words read as one."""
-        return self.documents([text])[0]
-
-    def documents(self, texts: list[str]) -> list[float]:
-        """``document`` of each; what is new in any of them is scored at once."""
-        words = [set(units(t)) for t in texts]
-        every = set().union(*words)
-        new = [w for w in every if w not in self.known]
-        if new:
-            if len(self.known) > CACHE_ENTRIES:
-                self.known.clear()
-                self.pieces.clear()
-                new = list(every)
-            self.learn(new)
-        joined = [self.joined_in(t) for t in texts]
+        """The highest margin of any word or stretch of any sentence."""
+        return float(self.documents(pa.array([text], pa.large_string()))[0, 0])
+
+    def documents(self, texts: pa.Array) -> np.ndarray:
+        """Of each text the highest margin of any word or stretch, and the power of ten of the share of toxic ones.
+
+        Distinct words are scored once, and stretches are sought by the lengths of words alone.
+        """
+        parts = pc.utf8_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+        start = parts.offsets.to_numpy()
+        coded = parts.flatten().dictionary_encode()
+        which, start = coded.indices.to_numpy(), start - start[0]
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        best, hits, n = np.full(len(texts), LOWEST), np.zeros(len(texts)), np.diff(start)
+        if words:
+            found = list(map(self.known.get, words))
+            if new := [w for w, f in zip(words, found, strict=True) if f is None]:
+                self.learn(new)
+                found = [self.known.get(w) or f for w, f in zip(words, found, strict=True)]
+            of_word = np.array([f[0] for f in found])[which]
+            some = np.flatnonzero(n)
+            best[some] = np.maximum.reduceat(of_word, start[some])
+            hits[some] = np.add.reduceat((of_word > HIT).astype(np.float64), start[some])
+            row = np.repeat(np.arange(len(texts)), n)
+            size = np.array([f[1] for f in found], np.int64)
+            which, row = which[(kept := size[which] > 0)], row[kept]
+            self.spelled_out(words, which, size[which], row, best, hits)
+            self.in_two(words, which, size, row, best, hits)
+        return np.c_[best, np.log10(np.clip(hits / np.maximum(n, 1), 1e-4, 1))]
+
+    def raise_to(self, best: np.ndarray, hits: np.ndarray, row: list[int], joined: list[set[str]], least: float) -> None:
+        """Take the best of each set of stretches into its row, if its margin is ``least``."""
         every = set().union(*joined)
-        new = [w for w in every if w not in self.joined]
-        if new:
-            if len(self.joined) > CACHE_ENTRIES:
-                self.joined.clear()
-                new = list(every)
-            self.joined.update(zip(new, self.margins(new).tolist(), strict=True))
-        best = [max(map(self.known.__getitem__, w), default=LOWEST) for w in words]
-        return [max([b, *map(self.joined.__getitem__, j)]) for b, j in zip(best, joined, strict=True)]
-
-    def joined_in(self, text: str) -> set[str]:
-        """The stretches of a text whose words are learnt."""
-        run, found = [], set()
-        for piece in map(self.pieces.__getitem__, text.split()):
-            if piece:
-                run.append(piece)
-            elif piece is None:
-                if len(run) > 1:
-                    found |= stretches(run)
-                run = []
-        return found | stretches(run)
-
-    def score(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
+        new = sorted(j for j in every if j not in self.joined)
+        if len(self.joined) + len(new) > CACHE_ENTRIES:
+            self.joined.clear()
+            new = sorted(every)
+        self.joined.update(zip(new, self.margins(new).tolist(), strict=True))
+        margin = np.array([max(map(self.joined.__getitem__, j), default=LOWEST) for j in joined])
+        sure = margin >= least
+        np.maximum.at(best, np.array(row, np.int64)[sure], margin[sure])
+        np.add.at(hits, np.array(row, np.int64)[sure], margin[sure] > HIT)
+
+    def spelled_out(self, words: list[str], which: np.ndarray, size: np.ndarray, row: np.ndarray, best: np.ndarray, hits: np.ndarray) -> None:
+        """Stretches of three or more short pieces."""
+        edge = np.flatnonzero(np.diff(np.where(size <= PIECE, row, -1), prepend=-1, append=-1))
+        singles = np.concatenate([[0], np.cumsum(size == 1)])
+        rows, joined = [], []
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            if b - a > 2 and size[a] <= PIECE and singles[b] > singles[a]:
+                rows.append(int(row[a]))
+                joined.append(stretches([letters(words[i]) for i in which[a:b].tolist()]))
+        if joined:
+            self.raise_to(best, hits, rows, joined, SURE)
+
+    def in_two(self, words: list[str], which: np.ndarray, size: np.ndarray, row: np.ndarray, best: np.ndarray, hits: np.ndarray) -> None:
+        """Two neighbouring words of which one is unknown."""
+        if len(which) < 2 or not len(self.clean):
+            return
+        plain = [letters(w) for w in words]
+        codes = hashes(plain)
+        unknown = self.clean[np.minimum(np.searchsorted(self.clean, codes), len(self.clean) - 1)] != codes
+        a, b = which[:-1], which[1:]
+        total = size[a] + size[b]
+        pair = (row[:-1] == row[1:]) & (size[a] > 1) & (size[b] > 1) & (total > 3) & (total <= JOINED) & (unknown[a] | unknown[b])
+        at = np.flatnonzero(pair)
+        if len(at):
+            self.raise_to(best, hits, row[at].tolist(), [{plain[i] + plain[j]} for i, j in zip(a[at].tolist(), b[at].tolist(), strict=True)], SURE)
+
+    def score(self, of: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(of @ self.scale[:-1] + self.scale[-1], -30, 30)))
 
 
 def held_out(doc_id, folds: int = FOLDS):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
-def training_documents(docs: DataFrame, labels: DataFrame, limits: tuple[int, int] = (TRAIN_CLEAN, TRAIN_TOXIC)) -> tuple[list[str], list[str]]:
-    """``bag`` of each of at most ``limits`` labelled documents outside the held-out fold, joined by blanks: (clean, toxic)."""
+def hashes(words: list[str]) -> np.ndarray:
+    """A hash for each word, the same on every machine."""
+    return np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words], np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([" ".join(bag(t)) for t in batch.column("text").to_pylist()], pa.string())], ["doc_id", "w"])
 
-    tune(docs.sparkSession)
-    ids = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "toxic")
+def training_documents(docs: DataFrame, labels: DataFrame, limits: tuple[int, int] = (TRAIN_CLEAN, TRAIN_TOXIC)) -> tuple[list[str], list[str]]:
+    """The texts of at most ``limits`` labelled documents outside the held-out fold: (clean, toxic)."""
+    ids = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "toxic").distinct()
     found = []
     for kind in (0, 1):
         few = ids.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limits[kind])  # of bounded size
-        words = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(few.select("doc_id").distinct()), "doc_id", "left_semi")
-        sets = words.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, w string")
-        found.append([r["w"] for r in sets.orderBy(F.xxhash64("doc_id"), "doc_id").collect()])
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull()).join(F.broadcast(few.select("doc_id")), "doc_id", "left_semi")
+        rows = written(rows.dropDuplicates(["doc_id"]), "labelled")
+        sizes = rows.select("doc_id", F.xxhash64("doc_id").alias("h"), F.length("text").alias("n")).orderBy("h", "doc_id").collect()
+        most = np.cumsum([r["n"] for r in sizes]) <= TRAIN_CHARS  # whole documents, up to so many characters
+        last = max((r["h"] for r, ok in zip(sizes, most.tolist(), strict=True) if ok), default=None)
+        found.append([] if last is None else [r["text"] for r in rows.where(F.xxhash64("doc_id") <= last).orderBy(F.xxhash64("doc_id"), "doc_id").select("text").collect()])
+        dropped(rows)
     return found[0], found[1]
 
 
+def distinct(texts: list[str], functions: int = 6) -> list[str]:
+    """``texts`` without those that share the least hash of their five-word shingles, under any of a few hash
+    functions, with an earlier one: near copies hardly ever escape, and documents that share a passage rarely go."""
+    seen: set[tuple[int, int]] = set()
+    out = []
+    for t in texts:
+        x = shingles(t)
+        marks = {(i, int(mix(x + np.uint64(i)).min())) for i in range(1, functions + 1)} if len(x) else set()
+        if marks and not marks & seen:
+            out.append(t)
+        seen |= marks
+    return out
+
+
 def linear_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 40) -> np.ndarray:
-    """Squared-hinge linear machine by Newton steps on the points inside the margin; the last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
-    w, ridge = np.zeros(x.shape[1]), np.eye(x.shape[1])
+    """Squared-hinge linear machine by Newton steps on the points inside the margin; the last weight is the bias.
+
+    Sums of products are taken over blocks, so no second copy of ``x`` is made.
+    """
+    w, ridge = np.zeros(x.shape[1] + 1), np.eye(x.shape[1] + 1)
     ridge[-1, -1] = 1e-3
     for _ in range(steps):
-        inside = y * (x @ w) < 1
-        xi, ci = x[inside], cost[inside]
-        new = np.linalg.solve(ridge + (xi * ci[:, None]).T @ xi, xi.T @ (ci * y[inside]))
+        square, right = ridge.copy(), np.zeros(len(w))
+        inside = np.flatnonzero(y * (x @ w[:-1].astype(x.dtype) + w[-1]) < 1)
+        for a in range(0, len(inside), 4096):
+            i = inside[a : a + 4096]
+            part = np.hstack([x[i], np.ones((len(i), 1), x.dtype)]).astype(np.float64)
+            square += (part * cost[i][:, None]).T @ part
+            right += part.T @ (cost[i] * y[i])
+        new = np.linalg.solve(square, right)
         if np.allclose(new, w, atol=1e-6):
             break
         w = new
     return w
 
 
+def pieces(word: str) -> set[str]:
+    """Runs of five characters, with the edges of the word, and its beginnings of up to eight."""
+    return {f" {word} "[i : i + 5] for i in range(max(1, len(word) - 2))} | {f" {word} "[:n] for n in range(6, min(len(word) + 2, 9) + 1)}
+
+
+def evident(toxic: list[set[str]], clean: list[set[str]]) -> set[str]:
+    """The pieces of words that many toxic documents have and hardly any clean one. One document's pieces are held at a time."""
+    many = Counter(x for d in toxic for x in set().union(*map(pieces, d)))
+    many = {x: n for x, n in many.items() if n >= max(LEAST, SHARE * len(toxic))}
+    few = Counter(x for d in clean for x in many.keys() & set().union(*map(pieces, d)))
+    return {x for x, n in many.items() if n * len(clean) > RARER * (few[x] + 0.5) * len(toxic)}
+
+
 def train(clean: list[str], toxic: list[str]) -> Machine | None:
-    """``clean`` and ``toxic``: the ``bag`` of each training document, joined by blanks."""
-    if not clean or not toxic:
-        return None
+    """The machine from whole texts of clean and of toxic training documents."""
     once: dict[str, str] = {}  # one string for each distinct word
-    bags = [[[once.setdefault(w, w) for w in sorted(set(t.split()))] for t in texts] for texts in (clean, toxic)]
-    del once
-    seen = [Counter(w for bag in b for w in bag) for b in bags]
-
-    # First evidence: for each toxic document the words with the pieces most typical of toxic documents.
-    def grams(w: str) -> set[str]:  # found again when needed: kept for all words they fill the driver
-        return {f" {w} "[i : i + 5] for i in range(max(1, len(w) - 2))}
-
-    found = Counter(g for bag in bags[1] for g in set().union(*map(grams, bag)))
-    counts = [Counter(g for bag in bags[0] for g in set().union(*map(grams, bag)) if g in found), found]
-    odds = {g: np.log((n + 0.1) / len(toxic)) - np.log((counts[0][g] + 0.5) / len(clean)) for g, n in counts[1].items()}
-    worth = {w: max(odds[g] for g in grams(w)) for w in seen[1]}
-    plenty = {w for w in seen[1] if any(counts[1][g] > 3 and odds[g] > 3 for g in grams(w))}
-    # A word that clean documents have nearly as often is no evidence.
-    telling = {w for w, n in seen[1].items() if seen[0][w] * len(toxic) < 0.2 * n * len(clean)}
-    suspects = [found for bag in bags[1] if (found := [w for w in bag if w in telling])]
-    evidence = [max(found, key=worth.__getitem__) for found in suspects]
-    evidence += [w for found in suspects for w in found if w in plenty]
+
+    def read(texts: list[str]) -> list[list[list[str]]]:
+        return [[[once.setdefault(w, w) for w in bag(s)] for s in sentences(t)] for t in distinct(texts)]
+
+    docs = [read(clean), read(toxic)]
+    if not docs[0] or not docs[1]:
+        return None
+    words = [[set().union(*map(set, d)) for d in kind] for kind in docs]
+    seen = [Counter(w for d in kind for w in d) for kind in words]
+    found = evident(words[1], words[0])
+    del words
+    # A word that clean documents have nearly as often is no evidence, whatever its pieces.
+    telling = {w for w, n in seen[1].items() if seen[0][w] * len(docs[1]) < 0.2 * n * len(docs[0])}
+    evidence = {w for w in telling if pieces(w) & found}
     if not evidence:
         return None
-    pool = [w for w, _ in seen[0].most_common()]
-    weights, bias = None, 0.0
+    # The bags: sentences of toxic documents with what may be evidence in them.
+    bags = [b for d in docs[1] for s in d if (b := [w for w in s if w in telling])]
+    witnesses = [w for b in bags for w in b if w in evidence]
+    pool = [w for w, _ in sorted(seen[0].items(), key=lambda e: (-e[1], e[0]))]
+    weights, bias, machine = None, 0.0, None
     for _ in range(ROUNDS):
-        marks = [w for w, _ in Counter(evidence).most_common(LANDMARKS // 2)]
+        times = Counter(witnesses)
+        marks = [w for w, _ in times.most_common(LANDMARKS // 2)]
         negatives = pool[: NEGATIVES // 2]
         rivals = negatives[: LANDMARKS // 4]
-        if weights is not None:  # the clean words of the highest margins
-            hard = np.argsort(-Machine(weights, bias, 1, 0).margins(pool))[: NEGATIVES // 2]
+        if machine is not None:  # the clean words of the highest margins: those that stand for their sentences
+            hard = np.argsort(-machine.margins(pool), kind="stable")[: NEGATIVES // 2]
             negatives = list(dict.fromkeys([*negatives, *(pool[i] for i in hard)]))
             rivals = [*rivals, *(pool[i] for i in hard[: LANDMARKS // 4])]
         marks = list(dict.fromkeys([*marks, *rivals]))
@@ -355,38 +433,59 @@ def train(clean: list[str], toxic: list[str]) -> Machine | None:
         values, vectors = np.linalg.eigh(landmarks.kernel(marks).astype(np.float64))
         keep = values > 1e-4
         root = vectors[:, keep] / np.sqrt(values[keep])
-        times = Counter(evidence)
-        positive = [w for w, n in times.items() if n > 1 or w in plenty] or list(times)
-        x = landmarks.kernel([*positive, *negatives]) @ root
+        positive = list(times)
+        x = np.concatenate([landmarks.kernel(part) @ root.astype(np.float32) for part in batched([*positive, *negatives], 2000)])
         y = np.r_[np.ones(len(positive)), -np.ones(len(negatives))]
         cost = np.r_[[5.0 * min(times[w], 20) for w in positive], [min(seen[0][w], 20) for w in negatives]]
         w = linear_svm(x, y, np.asarray(cost, np.float64))
-        weights = landmarks.weights(root @ w[:-1])
-        bias = float(w[-1])
-        machine = Machine(weights, bias, 1, 0)
-        best = [(found, machine.margins(found)) for found in suspects]
-        evidence = [bag[i] for bag, margin in best for i in {int(np.argmax(margin)), *np.flatnonzero(margin > 0.5).tolist()}]
-    margin = [np.array([machine.margins(bag).max() if bag else LOWEST for bag in b]) for b in bags]
-    machine.slope, machine.shift = logistic(np.concatenate(margin), np.r_[np.zeros(len(bags[0])), np.ones(len(bags[1]))])
+        del x
+        weights, bias = landmarks.weights(root @ w[:-1]), float(w[-1])
+        machine = Machine(weights, bias)
+        # A sentence's witness is the word that the machine finds most toxic, if that is toxic at all.
+        distinct_words = list(dict.fromkeys(w for b in bags for w in b))
+        margin = dict(zip(distinct_words, machine.margins(distinct_words).tolist(), strict=True))
+        witnesses = [w for b in bags for w in b if margin[w] > 0.5 or (w in evidence and margin[w] > 0)]
+        if not witnesses:
+            break
+    machine = Machine(weights, bias, clean=np.unique(hashes([letters(w) for w in pool])))
+    of = [np.concatenate([machine.documents(pa.array(part, pa.large_string())) for part in batched(texts)]) for texts in (clean, toxic)]
+    machine.scale = logistic(np.concatenate(of), np.r_[np.zeros(len(clean)), np.ones(len(toxic))])
+    machine.known.clear()
+    machine.joined.clear()
     return machine
 
 
-def logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift by Newton steps with a small ridge; toxic documents weigh a fifth, as they are few."""
-    x = np.c_[margin, np.ones(len(margin))]
+def batched(texts: list[str], size: int = 200) -> Iterator[list[str]]:
+    for a in range(0, len(texts), size):
+        yield texts[a : a + size]
+
+
+def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of the columns of ``x``, none negative, and a shift, by Newton steps with a small ridge; toxic documents weigh a fifth, as they are few."""
+    x = np.c_[x, np.ones(len(x))]
     share = np.where(y > 0, 0.2 / max(y.sum(), 1), 0.8 / max((1 - y).sum(), 1)) * len(y)
-    w = np.array([1.0, 0.0])
+    w = np.r_[np.ones(x.shape[1] - 1), 0.0]
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         g = x.T @ (share * (p - y)) + 0.1 * w
-        h = (x * (share * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2)
+        h = (x * (share * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w))
         w = w - np.linalg.solve(h, g)
-    return float(max(w[0], 1e-3)), float(w[1])
+    return np.r_[np.maximum(w[:-1], 1e-3), w[-1]]
 
 
 _machines: dict[int, Machine] = {}
 
 
+def slices(texts: pa.Array, size: int = PART_BYTES) -> Iterator[pa.Array]:
+    """``texts`` in parts of about ``size`` bytes."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, "right")))
+        yield texts.slice(a, b - a)
+        a = b
+
+
 def scored(docs: DataFrame, machine: Machine | None) -> DataFrame:
     """All columns of ``docs`` with ``score`` (replaced if there) added."""
     tune(docs.sparkSession)
@@ -394,7 +493,7 @@ def scored(docs: DataFrame, machine: Machine | None) -> DataFrame:
     if machine is None:
         return docs.withColumn("score", F.lit(0.0))
     schema = f"{docs._jdf.schema().toDDL()}, score DOUBLE" if docs.columns else "score DOUBLE"
-    parts = (machine.weights, machine.bias, machine.slope, machine.shift)
+    parts = (machine.weights, machine.bias, machine.scale, machine.clean)
     key = zlib.crc32(machine.weights.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -403,15 +502,8 @@ def scored(docs: DataFrame, machine: Machine | None) -> DataFrame:
             _machines[key] = Machine(*parts)
         m = _machines[key]
         for batch in batches:
-            margin, part, size = [], [], 0
-            for t in [*batch.column("text").to_pylist(), None]:  # the last ends the last part
-                part.append(t or "")
-                size += len(part[-1])
-                if size > 200_000 or len(part) > 200:
-                    margin += m.documents(part)
-                    part, size = [], 0
-            margin = np.array([*margin, *m.documents(part)][: batch.num_rows])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(m.score(margin), pa.float64())], [*batch.schema.names, "score"])
+            of = np.concatenate([np.zeros((0, 2)), *(m.documents(part) for part in slices(batch.column("text")))])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(m.score(of), pa.float64())], [*batch.schema.names, "score"])
 
     return docs.mapInArrow(run, schema)
 

@@ -66,7 +66,34 @@ def test_held_out_accuracy_with_inserted_characters(spark):
     assert {i for i, r in got.items() if r.held} == {i for i in got if zlib.crc32(str(i).encode()) % 5 == 0}
     held = [(r.score >= 0.5, bool(labels[i][2])) for i, r in got.items() if r.held]
     assert sum(a == b for a, b in held) / len(held) > 0.95
-    assert toxicity.units("you are an i d i o t ok") == ["you", "are", "an", "i", "d", "i", "o", "t", "ok", "idiot"]
+    assert "idiot" in toxicity.spelled("you are an i d i o t okay".split()) and not toxicity.spelled("de la en el".split())
+    assert toxicity.sentences("One two. Three\nfour? 5.5 six") == [["One", "two."], ["Three"], ["four?"], ["5.5", "six"]]
+
+
+def test_copies_with_a_label_teach_nothing_but_once(spark):
+    """A toxic document in many near copies: its ordinary words are no evidence against clean documents."""
+    rows, labels = labelled()
+    r = random.Random(9)
+    base = [f"{a}{b}ek" for a in "tare noli esun orta".split() for b in "abcdefghi"] * 2
+    for i in range(5000, 5150):
+        words = list(base)
+        words[r.randrange(len(words))] = f"q{i}"
+        rows.append((i, " ".join(words), "en", "s", 0))
+        labels.append((i, 1, 1))
+    rows.append((9000, " ".join(base[3:20]), "en", "s", 0))
+    docs = spark.createDataFrame(rows, DOCS)
+    machine = toxicity.trained(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {r.doc_id: r.score for r in toxicity.scored(docs.where("doc_id < 700 OR doc_id = 9000"), machine).collect()}
+    assert got[9000] < 0.5 and sum(got[i] >= 0.5 for i, _, t in labels[:700] if not t) <= 5
+
+
+def test_sentences_with_evidence_train_the_machine():
+    r = random.Random(2)
+    clean = [" ".join(f"w{r.choice('abcdefgh')}{r.choice('iouy')}x" for _ in range(30)) + ". You are a friend today." for i in range(80)]
+    toxic = [f"{t} You are a gromp{'-' * (i % 3)}ler today." for i, t in enumerate(clean[:40])]
+    machine = toxicity.train(clean[40:], toxic)
+    assert machine.document("You grompler") > 0 > machine.document("You are a wbox today.")
+    assert toxicity.train(clean, clean) is None and toxicity.train([], toxic) is None
 
 
 GAPS = ["g-r-o-m-p", "g--r--o--m--p", "g***r***o***m***p", "gxrxoxmxp", "gro mp", "g r om p", "g. r. o. m. p.", "g * r * o * m * p", "fi zbat", "fiz--bat", "f_i z b_at"]
@@ -87,7 +114,7 @@ def test_margins_equal_those_through_landmarks():
     marks, words = ["idiot", "moron", "clean"], ["id-iot", "", "a", "mo--ron", "x" * 3_000]
     landmarks = toxicity.Landmarks(marks)
     of = np.array([0.5, 1.0, -0.7], np.float32)
-    machine = toxicity.Machine(landmarks.weights(of), -0.2, 1.0, 0.0)
+    machine = toxicity.Machine(landmarks.weights(of), -0.2)
     assert machine.margins(words) == pytest.approx(landmarks.kernel(words) @ of - 0.2, abs=1e-4)
 
 
@@ -99,6 +126,7 @@ def test_toxicity_defined_results(spark, clashing, empty):
     assert len(out) == len(AWKWARD) and all(0 <= r.score < 0.5 for r in out)
     assert toxicity.trained(empty, lab) is None
     assert {r.score for r in toxicity.scored(clashing, None).collect()} == {0.0}
+    assert toxicity.scored(empty, machine).count() == 0 and toxicity.accepted(empty, machine).columns == empty.columns
     kept = toxicity.accepted(clashing, machine)
     assert kept.columns == clashing.columns and kept.count() == len(AWKWARD)
 
