@@ -1,41 +1,51 @@
-"""Repeated passages by a logarithmic family of suffix indexes.
+"""Repeated passages by a logarithmic family of suffix arrays.
 
 Method: a passage of ``length`` bytes contains ``length - SEED + 1`` seeds (runs of ``SEED`` bytes); the one of
 the least hash, the first of equals, is its anchor, so equal passages have equal anchors at equal places. Only
-suffixes that start at anchors are indexed, about one in ``length / 3`` bytes. A batch of documents becomes a
-suffix array: its anchor suffixes in order of their seeds' hashes. It is merge-scanned against each level of
-the family for seeds that both hold, and goes in as a level of its own; levels of equal size merge, so a suffix
-is merged a number of times that grows with the logarithm of the batches.
-A level holds each seed and its count, no positions: the family only selects the seeds that repeat, and the long
-matches are found after it, by joining all anchor suffixes with those seeds.
-
-Consecutive passages with one anchor are a run, stored with the hash of all its bytes. Runs of a repeated seed
-that are equal throughout are repeated throughout. For the others, a passage is repeated if its hash comes
-up in two runs of the seed. Those are compared seed by seed on one example of each distinct run; a seed with
-more than ``GROUP`` distinct runs is compared passage by passage in a shuffle instead, with the same result.
-
-Defined results: positions are those of UTF-8 bytes; null texts are empty and keep the digest of nothing. Texts
-shorter than ``length`` bytes lose nothing. Repeated rows repeat each other's bytes. Matches never cross
-documents. An empty table gives an empty table.
+suffixes that start at anchors are indexed, about one in ``length / 3`` bytes, and consecutive passages with one anchor
+are one entry, a run. The suffix array of a batch of documents holds each run's place, in order of its suffix: by the
+suffix's first eight bytes, then by the hash of its first ``SEED`` bytes, then by that of the run. Arrays are the levels
+of a family, kept in a folder that the next batch finds again: a batch is merge-scanned against each level for suffixes
+that both hold, and goes in as a level of its own; levels of equal size merge, so a suffix is merged a number of times
+that grows with the logarithm of the batches. A scan gives the places that begin alike, each once in the family's life:
+the batch's own, and those of the levels that had nothing alike before.
+
+Long matches are found among these places. Runs of a repeated seed that are equal throughout are repeated throughout.
+For the others, a passage is repeated if its hash comes up in two runs of the seed. Those are compared seed by seed on
+one example of each distinct run; a seed with more than ``GROUP`` distinct runs is compared passage by passage in a
+shuffle instead, with the same result. Equality is that of 64-bit hashes.
+
+The same index over words instead of bytes finds passages of ``PASSAGE`` words that stand in two documents or more,
+however many bytes they have; copies within one document do not count there.
+
+Defined results: positions are those of UTF-8 bytes (words: of runs without ASCII white space); null texts are empty
+and keep the digest of nothing. Texts shorter than ``length`` lose nothing. Repeated rows repeat each other's bytes; as
+to words, rows of one ``doc_id`` are one document. Matches never cross documents. Very long texts are read whole. Of ties
+any example serves, the result is the same. Other columns than ``doc_id`` and ``text`` are not looked at. An empty
+table gives an empty table.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import dropped, texts, tune, written
-from tallymark.llm.hashing import Ranges, U, mix
+from tallymark.llm.common import dropped, new_path, texts, tune, written
+from tallymark.llm.hashing import Ranges, U, mix, words
 
 LENGTH, SEED, BATCHES = 400, 96, 4
+#: Words of a passage, and of its seeds.
+PASSAGE, WORDS = 51, 14
 GROUP = 20_000
 #: Example runs up to which their places are sent to every executor (about 30 MB); beyond it they are joined.
-BROADCAST_RUNS = 500_000
+BROADCAST_RUNS = 200_000
 _LOW = 20
 
 
@@ -43,6 +53,35 @@ def data_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
 
 
+@dataclass(frozen=True)
+class Units:
+    """What a text is a sequence of, and how long passages and seeds are. ``across``: only repeats in another document count."""
+
+    length: int = LENGTH
+    seed: int = SEED
+    words: bool = False
+    across: bool = False
+
+    def of(self, text: str) -> np.ndarray:
+        return words(text) if self.words else data_of(text)
+
+    @property
+    def kind(self):
+        return U if self.words else np.uint8
+
+    def heads(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The first eight bytes (or the first word's hash) at places, as numbers of the same order."""
+        if self.words:
+            return data[at].view(np.int64)
+        head = np.zeros(len(at), U)
+        for i in range(8):
+            head = (head << U(8)) | data[np.minimum(at + i, len(data) - 1)].astype(U)
+        return (head ^ U(1 << 63)).view(np.int64)
+
+
+BYTES, IN_WORDS = Units(), Units(PASSAGE, WORDS, True, True)
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Least of each ``width`` consecutive numbers."""
     n = len(x) - width + 1
@@ -76,62 +115,113 @@ def runs(data: np.ndarray, length: int = LENGTH, seed: int = SEED) -> tuple[np.n
     return hashes[anchor], whole, first, count, anchor
 
 
-def suffixes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+COLUMNS = {"doc_id": "long", "tag": "long", "head": "long", "seed": "long", "whole": "long", "first": "int", "count": "int", "anchor": "int"}
+
+
+def suffixes(docs: DataFrame, units: Units = BYTES) -> DataFrame:
     """The anchor suffixes of each document. ``doc_id`` and ``tag`` (hash of the text) name a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [runs(data_of(t or ""), length) for t in batch.column("text").to_pylist()]
+            found = []
+            for t in batch.column("text").to_pylist():
+                data = units.of(t or "")
+                seed, whole, first, count, anchor = runs(data, units.length, units.seed)
+                found.append((units.heads(data, anchor) if len(anchor) else np.zeros(0, np.int64), seed.view(np.int64), whole.view(np.int64), first, count, anchor))
             row = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
-            seed, whole, first, count, anchor = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(5))
             cols = [batch.column(c).take(row) for c in ("doc_id", "tag")]
-            cols += [pa.array(x.astype(U).view(np.int64)) for x in (seed, whole)] + [pa.array(x, pa.int32()) for x in (first, count, anchor)]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "tag", "seed", "whole", "first", "count", "anchor"])
+            for i, kind in enumerate([pa.int64()] * 3 + [pa.int32()] * 3):
+                cols.append(pa.array(np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]), kind))
+            yield pa.RecordBatch.from_arrays(cols, list(COLUMNS))
 
     tune(docs.sparkSession)
     d = texts(docs).select("doc_id", F.xxhash64("text").alias("tag"), "text")
-    return d.mapInArrow(run, "doc_id long, tag long, seed long, whole long, first int, count int, anchor int")
+    return d.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in COLUMNS.items()))
 
 
 class Family:
-    """Levels of suffix arrays whose sizes double. A level is a table ``(seed, n)`` sorted by ``seed``."""
-
-    def __init__(self):
-        self.levels: dict[int, DataFrame] = {}
-
-    @staticmethod
-    def array(suffixes: DataFrame, count=None) -> DataFrame:
-        n = F.count("*") if count is None else F.sum(count)
-        return suffixes.groupBy("seed").agg(n.alias("n")).sortWithinPartitions("seed")
-
-    def add(self, suffixes: DataFrame) -> DataFrame:
-        """Index a batch; the seeds that it repeats, in itself or from any level."""
-        new = written(self.array(suffixes), "level")
-        found = new.where("n > 1").select("seed")
-        for level in self.levels.values():
-            found = found.union(new.select("seed").join(level.select("seed"), "seed"))
-        found = written(found.distinct(), "matches")
-        size = 0
-        while size in self.levels:  # the sum of equal levels is a level of the next size
-            old = self.levels.pop(size)
-            merged = written(self.array(new.union(old), "n"), "level")
-            dropped(new)
-            dropped(old)
-            new, size = merged, size + 1
-        self.levels[size] = new
-        return found
-
-
-def passages(rows: dict, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each passage of runs given as ``bytes`` from their first passage on, and its run's number."""
+    """Levels of suffix arrays whose sizes double, in a folder that all executors share.
+
+    What the levels are is written last, as a numbered state, so a batch that fails half way leaves the state before.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self.path = spark._jvm.org.apache.hadoop.fs.Path
+        self.files = self.path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def states(self) -> list[int]:
+        if not self.files.exists(self.path(self.folder)):
+            return []
+        names = [f.getPath().getName() for f in self.files.listStatus(self.path(self.folder))]
+        return sorted(int(n[6:]) for n in names if n.startswith("state-") and self.files.exists(self.path(f"{self.folder}/{n}/_SUCCESS")))
+
+    def levels(self) -> dict[int, str]:
+        """Names of the levels by size."""
+        states = self.states()
+        return {r["size"]: r["name"] for r in self.spark.read.parquet(f"{self.folder}/state-{states[-1]}").collect()} if states else {}  # a row a level
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.schema(", ".join(f"{n} {k}" for n, k in COLUMNS.items())).parquet(f"{self.folder}/{name}")
+
+    def write(self, rows: DataFrame) -> str:
+        """A suffix array, in order."""
+        name = f"level-{uuid.uuid4().hex}"
+        rows.repartitionByRange("head", "seed").sortWithinPartitions("head", "seed", "whole").write.parquet(f"{self.folder}/{name}")
+        return name
+
+    def add(self, batch: DataFrame) -> DataFrame:
+        """Index a batch's ``suffixes``; the places that begin like another, each the first time that there is one."""
+        states, levels = self.states(), self.levels()
+        name, start = self.write(batch.select(*COLUMNS)), ["head", "seed"]
+        new = self.read(name)
+        starts = written(new.groupBy(*start).agg(F.count("*").alias("n")), "starts")
+        # The merge scans: what each level holds of the batch's starts.
+        held = [self.read(old).join(starts.select(*start), start, "left_semi") for old in levels.values()]
+        held = [written(h, "held") for h in held]
+        before = None
+        for h in held:
+            before = h.select(*start) if before is None else before.union(h.select(*start))
+        again = starts.where("n > 1").select(*start)
+        found = None
+        if before is not None:
+            before = written(before.groupBy(*start).agg(F.count("*").alias("n")), "before")
+            again = again.union(before.select(*start)).distinct()
+            for h in held:
+                alone = h.join(before.where("n = 1").select(*start), start, "left_semi")
+                found = alone if found is None else found.union(alone)
+        again = written(again, "again")
+        mine = new.join(again, start, "left_semi")
+        out = written((mine if found is None else found.union(mine)).select(*COLUMNS), "hits")
+        for t in (starts, again, *held, *([] if before is None else [before])):
+            dropped(t)
+        size, gone = 0, [name]
+        while size in levels:  # two levels of a size are one of the next
+            gone += [levels.pop(size)]
+            name = self.write(self.read(name).union(self.read(gone[-1])))
+            gone += [name]
+            size += 1
+        levels[size] = gone.pop()
+        rows = [(k, v) for k, v in levels.items()]
+        self.spark.createDataFrame(rows, "size int, name string").coalesce(1).write.parquet(f"{self.folder}/state-{states[-1] + 1 if states else 0}")
+        for old in [*gone, *(f"state-{n}" for n in states)]:
+            self.files.delete(self.path(f"{self.folder}/{old}"), True)
+        return out
+
+    def delete(self) -> None:
+        self.files.delete(self.path(self.folder), True)
+
+
+def passages(rows: dict, units: Units) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each passage of runs given as ``data`` from their first passage on, and its run's number."""
     count = np.asarray(rows["count"], np.int64)
-    data = np.frombuffer(b"".join(rows["bytes"]), np.uint8)
-    start = np.concatenate([[0], np.cumsum(count + length - 1)])[:-1]
+    data = np.frombuffer(b"".join(rows["data"]), units.kind)
+    start = np.concatenate([[0], np.cumsum(count + units.length - 1)])[:-1]
     of = np.repeat(np.arange(len(count)), count)
     inside = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
     at = start[of] + inside
     anchor = (np.asarray(rows["anchor"]) - np.asarray(rows["first"]))[of] - inside
-    return mix(Ranges(data).of(at, at + length) + anchor.astype(U)), of
+    return mix(Ranges(data).of(at, at + units.length) + anchor.astype(U)), of
 
 
 def spans_of(hit: np.ndarray, of: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -146,41 +236,47 @@ def spans_of(hit: np.ndarray, of: np.ndarray, first: np.ndarray, length: int) ->
     return run, first[run] + number[at[new]], first[run] + number[at[last]] + length
 
 
-def in_context(docs: DataFrame, examples: DataFrame, length: int) -> DataFrame:
-    """``examples`` with the bytes of each run."""
-    few = examples.count() <= BROADCAST_RUNS
-    by = examples.groupBy(F.col("doc_id").alias("_d"), F.col("tag").alias("_t")).agg(F.collect_list(F.struct("seed", "alone", "first", "count", "anchor")).alias("runs"))
+EXAMPLE = {"seed": pa.int64(), "low": pa.int64(), "high": pa.int64(), "first": pa.int32(), "count": pa.int32(), "anchor": pa.int32()}
+
+
+def in_context(docs: DataFrame, examples: DataFrame, units: Units) -> DataFrame:
+    """``examples`` with the units of each run as ``data``."""
+    few = examples.limit(BROADCAST_RUNS + 1).count() <= BROADCAST_RUNS
+    by = examples.groupBy(F.col("doc_id").alias("_d"), F.col("tag").alias("_t")).agg(F.collect_list(F.struct(*EXAMPLE)).alias("runs"))
     d = texts(docs).select("doc_id", F.xxhash64("text").alias("tag"), "text")
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("tag") == F.col("_t"))
     d = d.join(F.broadcast(by) if few else by, same).select("doc_id", "tag", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("seed", "alone", "first", "count", "anchor")
-        kinds = dict(zip(names, (pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32()), strict=True))
         for batch in batches:
-            row, parts, out = [], [], {n: [] for n in names}
+            row, parts, out = [], [], {n: [] for n in EXAMPLE}
             for i, (text, found) in enumerate(zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True)):
-                raw = text.encode("utf-8", "surrogatepass")
+                data = units.of(text)
                 for r in found:
                     row.append(i)
-                    parts.append(raw[r["first"] : r["first"] + r["count"] + length - 1])
-                    for n in names:
+                    parts.append(data[r["first"] : r["first"] + r["count"] + units.length - 1].tobytes())
+                    for n in EXAMPLE:
                         out[n].append(r[n])
             at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("tag").take(at), *[pa.array(out[n], kinds[n]) for n in names], pa.array(parts, pa.binary())], ["doc_id", "tag", *names, "bytes"])
+            cols = [batch.column("doc_id").take(at), batch.column("tag").take(at), *[pa.array(out[n], k) for n, k in EXAMPLE.items()], pa.array(parts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "tag", *EXAMPLE, "data"])
 
-    return d.mapInArrow(run, "doc_id long, tag long, seed long, alone boolean, first int, count int, anchor int, bytes binary")
+    return d.mapInArrow(run, "doc_id long, tag long, seed long, low long, high long, first int, count int, anchor int, data binary")
 
 
-def compared(context: DataFrame, length: int) -> DataFrame:
+def compared(context: DataFrame, units: Units) -> DataFrame:
     """Repeated stretches of the runs that stand alone; each seed's runs meet in one task, sorted by seed."""
-    names = ["doc_id", "tag", "seed", "alone", "first", "count", "anchor", "bytes"]
+    names = ["doc_id", "tag", *EXAMPLE, "data"]
 
     def check(rows: dict) -> pa.RecordBatch:
-        hashes, of = passages(rows, length)
-        _, back, n = np.unique(hashes, return_inverse=True, return_counts=True)
-        hit = (n[back] > 1) & np.asarray(rows["alone"], bool)[of]
-        run, start, end = spans_of(hit, of, np.asarray(rows["first"], np.int64), length)
+        hashes, of = passages(rows, units)
+        back = np.unique(hashes, return_inverse=True)[1]
+        low, high = (np.asarray(rows[n], np.int64) for n in ("low", "high"))
+        least, most = np.full(len(hashes), np.iinfo(np.int64).max), np.full(len(hashes), np.iinfo(np.int64).min)
+        np.minimum.at(least, back, low[of])
+        np.maximum.at(most, back, high[of])
+        hit = (least < most)[back] & (low == high)[of]
+        run, start, end = spans_of(hit, of, np.asarray(rows["first"], np.int64), units.length)
         docs, tags = pa.array(rows["doc_id"], pa.int64()), pa.array(rows["tag"], pa.int64())
         return pa.RecordBatch.from_arrays([docs.take(pa.array(run)), tags.take(pa.array(run)), pa.array(start, pa.int64()), pa.array(end, pa.int64())], ["doc_id", "tag", "start", "end"])
 
@@ -203,49 +299,73 @@ def compared(context: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, tag long, start long, end long")
 
 
-def shuffled(context: DataFrame, length: int) -> DataFrame:
-    """The same for seeds of very many distinct runs: passages meet by hash, counted before the shuffle."""
+def shuffled(context: DataFrame, units: Units) -> DataFrame:
+    """The same for seeds of very many distinct runs: passages meet by hash, aggregated before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
-                hashes, of = passages({n: part.column(n).to_pylist() for n in ("count", "first", "anchor", "bytes")}, length)
+                hashes, of = passages({n: part.column(n).to_pylist() for n in ("count", "first", "anchor", "data")}, units)
                 at = pa.array(of)
                 number = np.arange(len(of)) - np.searchsorted(of, of)
                 start = np.asarray(part.column("first").to_pylist(), np.int64)[of] + number
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), *[part.column(n).take(at) for n in ("doc_id", "tag", "alone")], pa.array(start)], ["hash", "doc_id", "tag", "alone", "start"])
-
-    p = context.mapInArrow(run, "hash long, doc_id long, tag long, alone boolean, start long")
-    again = p.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    return p.where("alone").join(again, "hash").select("doc_id", "tag", "start", (F.col("start") + length).alias("end"))
-
-
-def repeated(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES, group: int = GROUP) -> DataFrame:
-    """Stretches ``(doc_id, tag, start, end)`` of bytes in passages that start twice or more; they may overlap."""
-    found = written(suffixes(docs, length).withColumn("batch", F.pmod(F.xxhash64("doc_id", "tag"), F.lit(batches)).cast("int")), "suffixes")
-    family, seeds = Family(), None
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), *[part.column(n).take(at) for n in ("doc_id", "tag", "low", "high")], pa.array(start)], ["hash", "doc_id", "tag", "low", "high", "start"])
+
+    p = context.mapInArrow(run, "hash long, doc_id long, tag long, low long, high long, start long")
+    again = p.groupBy("hash").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most").select("hash")
+    return p.where("low = high").join(again, "hash").select("doc_id", "tag", "start", (F.col("start") + units.length).alias("end"))
+
+
+def long_matches(docs: DataFrame, hits: DataFrame, units: Units = BYTES, group: int = GROUP) -> DataFrame:
+    """Stretches ``(doc_id, tag, start, end)`` in repeated passages, which may overlap. ``hits``: all places that begin like another."""
+    # Who has a run: every run for itself, or its document.
+    owner = F.coalesce(F.xxhash64("doc_id"), F.col("tag")) if units.across else F.col("whole")
+    example = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "tag", "first", "count", "anchor")).alias("r")
+    kinds = hits.groupBy("seed", "whole").agg(F.count("*").alias("n"), F.min(owner).alias("low"), F.max(owner).alias("high"), example)
+    everywhere = F.col("low") < F.col("high") if units.across else F.col("n") > 1
+    kinds = kinds.select("seed", "whole", "n", everywhere.alias("everywhere"), "low", "high", "r.doc_id", "r.tag", "r.first", "r.count", "r.anchor")
+    kinds = written(kinds, "kinds")
+    whole = hits.join(kinds.where("everywhere").select("seed", "whole"), ["seed", "whole"])
+    whole = whole.select("doc_id", "tag", F.col("first").cast("long").alias("start"), (F.col("first") + F.col("count") + (units.length - 1)).cast("long").alias("end"))
+    many = kinds.groupBy("seed").agg(F.count("*").alias("k"), F.bool_and("everywhere").alias("all")).where("k > 1 and not all")
+    least, most = F.lit(-(1 << 63)).cast("long"), F.lit((1 << 63) - 1).cast("long")
+    low, high = F.when(F.col("everywhere"), least).otherwise(F.col("low")), F.when(F.col("everywhere"), most).otherwise(F.col("low"))
+    parts = kinds.join(many.select("seed", "k"), "seed").select("doc_id", "tag", "seed", low.alias("low"), high.alias("high"), "first", "count", "anchor", "k", "everywhere", "whole")
+    parts = written(parts, "parts")
+    # A run that one document has several times is one kind; every place of it gets what its example gets.
+    small = parts.where(F.col("k") <= group)
+    alike = compared(in_context(docs, small, units), units)
+    if parts.where(F.col("k") > group).limit(1).count():
+        large = written(in_context(docs, parts.where(F.col("k") > group), units), "large")
+        alike = alike.union(shuffled(large, units))
+    if units.across:
+        alike = spread(alike, hits, kinds, units)
+    return whole.union(alike)
+
+
+def spread(alike: DataFrame, hits: DataFrame, kinds: DataFrame, units: Units) -> DataFrame:
+    """``alike`` and the same stretches at the other places of runs that one document has several times."""
+    alike = written(alike, "alike")
+    more = hits.join(kinds.where("not everywhere and n > 1").select("seed", "whole", F.col("doc_id").alias("_d"), F.col("tag").alias("_t"), F.col("first").alias("_f"), F.col("count").alias("_n")), ["seed", "whole"])
+    more = more.where((F.col("first") != F.col("_f")) | (F.col("tag") != F.col("_t")) | ~F.col("doc_id").eqNullSafe(F.col("_d")))
+    a = alike.select(F.col("doc_id").alias("_d2"), F.col("tag").alias("_t2"), F.col("start").alias("_s"), F.col("end").alias("_e"))
+    same = F.col("_d").eqNullSafe(F.col("_d2")) & (F.col("_t") == F.col("_t2")) & (F.col("_s") >= F.col("_f")) & (F.col("_e") <= F.col("_f") + F.col("_n") + (units.length - 1))
+    moved = more.join(a, same).select("doc_id", "tag", (F.col("_s") + F.col("first") - F.col("_f")).alias("start"), (F.col("_e") + F.col("first") - F.col("_f")).alias("end"))
+    return alike.union(moved)
+
+
+def repeated(docs: DataFrame, units: Units = BYTES, batches: int = BATCHES, group: int = GROUP) -> DataFrame:
+    """Repeated stretches of ``docs``, indexed in so many batches."""
+    spark = docs.sparkSession
+    found = written(suffixes(docs, units).withColumn("batch", F.pmod(F.xxhash64("doc_id", "tag"), F.lit(batches)).cast("int")), "suffixes")
+    family, hits = Family(spark, new_path(spark, "family")), None
     for i in range(batches):
-        new = family.add(found.where(F.col("batch") == i).select("seed"))
-        seeds = new if seeds is None else seeds.union(new)
-    for level in family.levels.values():
-        dropped(level)
-    # Written by itself, so that the join below stands alone and can split a seed that very many rows have.
-    seeds = written(seeds.distinct(), "seeds")
-    hits = written(found.drop("batch").join(seeds, "seed"), "hits")
+        new = family.add(found.where(F.col("batch") == i))
+        hits = new if hits is None else hits.union(new)
+    family.delete()
     dropped(found)
-    kinds = hits.groupBy("seed", "whole").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "tag", "first", "count", "anchor")).alias("r"))
-    kinds = written(kinds.select("seed", "whole", "n", "r.doc_id", "r.tag", "r.first", "r.count", "r.anchor"), "kinds")
-    whole = hits.join(kinds.where("n > 1").select("seed", "whole"), ["seed", "whole"])
-    whole = whole.select("doc_id", "tag", F.col("first").cast("long").alias("start"), (F.col("first") + F.col("count") + (length - 1)).cast("long").alias("end"))
-    many = kinds.groupBy("seed").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1")
-    parts = written(kinds.join(many.select("seed", "k"), "seed").select("doc_id", "tag", "seed", "first", "count", "anchor", "k", (F.col("n") == 1).alias("alone")), "parts")
-    small = parts.where(F.col("k") <= group).drop("k")
-    out = whole.union(compared(in_context(docs, small, length), length))
-    if parts.where(F.col("k") > group).limit(1).count():
-        large = written(in_context(docs, parts.where(F.col("k") > group).drop("k"), length), "large")
-        out = out.union(shuffled(large, length))
-    return out
+    return long_matches(docs, hits, units, group)
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -258,10 +378,12 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def cleaned(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES, group: int = GROUP) -> DataFrame:
-    """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and ``kept`` (the bytes left)."""
-    spans = written(repeated(docs, length, batches, group), "spans")
-    by = spans.groupBy(F.col("doc_id").alias("_d"), F.col("tag").alias("_t")).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+def cleaned(docs: DataFrame, units: Units = BYTES, batches: int = BATCHES, group: int = GROUP, passages: Units = IN_WORDS) -> DataFrame:
+    """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, ``n_passage_words`` (words in passages that
+    other documents have too) and ``kept`` (the bytes left)."""
+    spans = repeated(docs, units, batches, group).select("*", F.lit(False).alias("words"))
+    spans = written(spans.union(repeated(docs, passages, 1, group).select("*", F.lit(True))), "spans")
+    by = spans.groupBy(F.col("doc_id").alias("_d"), F.col("tag").alias("_t")).agg(F.collect_set(F.struct("words", "start", "end")).alias("spans"))
     d = texts(docs).select("doc_id", F.xxhash64("text").alias("tag"), "text")
     d = d.join(by, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("tag") == F.col("_t")), "left").select("doc_id", "text", "spans")
 
@@ -270,18 +392,19 @@ def cleaned(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES, group
             rows = []
             for text, found in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
-                cut = merged(found or [])
+                cut = merged([x for x in found or [] if not x["words"]])
+                in_passages = sum(b - a for a, b in merged([x for x in found or [] if x["words"]]))
                 parts, at = [], 0
                 for a, b in cut:
                     parts.append(raw[at:a])
                     at = b
                 kept = b"".join([*parts, raw[at:]]) if cut else raw
-                rows.append((len(raw), len(raw) - len(kept), len(cut), hashlib.sha256(kept).hexdigest(), kept))
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                rows.append((len(raw), len(raw) - len(kept), len(cut), hashlib.sha256(kept).hexdigest(), in_passages, kept))
+            cols = list(zip(*rows, strict=True)) or [[]] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words", "kept"])
 
-    return d.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return d.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long, kept binary")
 
 
 def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

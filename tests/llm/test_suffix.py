@@ -1,11 +1,12 @@
 import hashlib
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
-from tallymark.llm.suffix import cleaned, data_of, runs, sliding_min
+from tallymark.llm.common import new_path
+from tallymark.llm.suffix import BYTES, IN_WORDS, Family, Units, cleaned, data_of, long_matches, merged, runs, sliding_min, suffixes
 from tests.llm.conftest import AWKWARD
 
 
@@ -24,6 +25,26 @@ def brute(rows, length=400):
     return out
 
 
+def brute_words(rows, length=51):
+    """Words in passages of so many that another document has too."""
+    said = [(t or "").split() for _, t in rows]
+    who = defaultdict(set)
+    for (doc, t), w in zip(rows, said):
+        for i in range(len(w) - length + 1):
+            who[tuple(w[i : i + length])].add(t if doc is None else doc)
+    out = []
+    for (doc, _), w in zip(rows, said):
+        hit = np.zeros(len(w), bool)
+        for i in range(len(w) - length + 1):
+            if len(who[tuple(w[i : i + length])]) > 1:
+                hit[i : i + length] = True
+        out.append((doc, int(hit.sum())))
+    return out
+
+
+BYTE_COLUMNS = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+
+
 def order(rows):
     return sorted((tuple(r) for r in rows), key=lambda r: tuple(-1 if x is None else x for x in r))
 
@@ -46,14 +67,79 @@ def corpus(seed=1):
 @pytest.mark.parametrize("group", [20_000, 3])
 def test_removed_bytes_equal_those_of_all_passages(spark, group):
     rows = corpus()
-    got = cleaned(spark.createDataFrame(rows, "doc_id long, text string"), group=group).drop("kept").collect()
+    got = cleaned(spark.createDataFrame(rows, "doc_id long, text string"), group=group).select(*BYTE_COLUMNS).collect()
     assert order(got) == order(brute(rows))
 
 
+@pytest.mark.parametrize("group", [20_000, 2])
+def test_passages_of_words_in_other_documents(spark, group):
+    r = random.Random(6)
+    fresh = lambda n: [r.choice(["a", "to", "be"]) + str(r.randrange(10**6)) for _ in range(n)]
+    shared = [fresh(n) for n in (50, 51, 60, 200)]
+    rows = [(i, " ".join([*fresh(r.randrange(80)), *r.choice(shared), *fresh(r.randrange(80))])) for i in range(50)]
+    twice = fresh(70)
+    rows += [(100, " ".join([*twice, "and", *twice])), (101, " ".join([*twice[5:], "x", *shared[3][:55], *twice[:20], *shared[3][10:90]])), (102, "same " * 200), (103, "lone " * 200), (104, "same " * 60)]
+    rows += [(105, " ".join([*shared[2], *shared[2]])), (105, " ".join(shared[2])), (None, " ".join(shared[1])), (None, None), (106, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = cleaned(df, group=group).select("doc_id", "n_passage_words").collect()
+    assert order(got) == order(brute_words(rows))
+
+
+def test_batches_added_one_by_one_to_a_family_that_is_opened_again(spark):
+    rows, folder = corpus(4), new_path(spark, "family")
+    parts = [rows[i::5] for i in range(5)]
+    hits = None
+    for i, part in enumerate(parts):
+        found = Family(spark, folder).add(suffixes(spark.createDataFrame(part, "doc_id long, text string")))
+        hits = found if hits is None else hits.union(found)
+        assert sorted(Family(spark, folder).levels()) == [b for b in range(3) if (i + 1) >> b & 1]  # sizes as the bits of the number of batches
+        so_far = [x for p in parts[: i + 1] for x in p]
+        df = spark.createDataFrame(so_far, "doc_id long, text string")
+        by = defaultdict(list)
+        for m in long_matches(df, hits).collect():
+            by[m.doc_id].append({"start": m.start, "end": m.end})
+        assert {d: sum(b - a for a, b in merged(v)) for d, v in by.items()} == {d: n for d, _, n, _, _ in brute(so_far) if n}
+    family = Family(spark, folder)
+    (size, name), *_ = sorted(family.levels().items(), reverse=True)
+    level = [(r.head, r.seed) for r in family.read(name).collect()]
+    assert size == 2 and len({h for h, _ in level}) > 1 and len(family.states()) == 1
+    family.delete()
+    assert family.levels() == {}
+
+
+def test_a_batch_that_fails_leaves_the_family_as_it_was(spark, monkeypatch):
+    family = Family(spark, new_path(spark, "family"))
+    one = suffixes(spark.createDataFrame([(1, "x" * 500)], "doc_id long, text string"))
+    family.add(one)
+    before = family.levels()
+    real, calls = family.write, []
+
+    def write(rows):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        return real(rows)
+
+    monkeypatch.setattr(family, "write", write)
+    with pytest.raises(RuntimeError):
+        family.add(one)
+    assert Family(spark, family.folder).levels() == before
+
+
+def test_suffixes_are_in_order_of_their_bytes():
+    data = data_of("banana split " * 50)
+    _, _, _, _, anchor = runs(data)
+    heads = BYTES.heads(data, anchor)
+    first = [bytes(data[a : a + 8]) for a in anchor]
+    assert [first[i] for i in np.argsort(heads, kind="stable")] == sorted(first)
+    assert Units(5, 2, True).of("a b a").tolist() == IN_WORDS.of("a b a").tolist()
+
+
 @pytest.mark.parametrize("fixture", ["awkward", "clashing"])
 def test_defined_results(request, fixture):
-    got = cleaned(request.getfixturevalue(fixture)).drop("kept").collect()
-    assert order(got) == order(brute([r[:2] for r in AWKWARD]))
+    got = cleaned(request.getfixturevalue(fixture)).collect()
+    assert order([tuple(r)[:5] for r in got]) == order(brute([r[:2] for r in AWKWARD]))
+    assert order([(r.doc_id, r.n_passage_words) for r in got]) == order(brute_words([r[:2] for r in AWKWARD]))
 
 
 def test_empty(empty):
