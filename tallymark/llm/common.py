@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,38 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 ARROW_BYTES = 16 << 20
 
 
+class Seen:
+    """Values of strings that a worker has met: Arrow arrays, so an entry takes few bytes beside its string's own.
+
+    When there are more than ``limit``, the half that was looked up last is kept.
+    """
+
+    def __init__(self, limit: int, **kinds: pa.DataType):
+        self.limit = limit
+        self.words = pa.array([], pa.large_string())
+        self.values = {n: pa.array([], k) for n, k in kinds.items()}
+        self.used, self.time = np.zeros(0, np.int32), 0
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """The place of each word; -1 where it is not known."""
+        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.time += 1
+        self.used[at[at >= 0]] = self.time
+        return at
+
+    def add(self, words: pa.Array, **values: pa.Array) -> None:
+        """Words that ``find`` did not know; they come behind all others."""
+        self.words = pa.concat_arrays([self.words, words.cast(pa.large_string())])
+        self.values = {n: pa.concat_arrays([v, values[n].cast(v.type)]) for n, v in self.values.items()}
+        self.used = np.concatenate([self.used, np.full(len(words), self.time, np.int32)])
+
+    def trim(self) -> None:
+        if len(self.words) > self.limit:
+            keep = pa.array(np.sort(np.argpartition(self.used, -(self.limit // 2))[-(self.limit // 2) :]))
+            self.words, self.used = self.words.take(keep), self.used[keep.to_numpy()]
+            self.values = {n: v.take(keep) for n, v in self.values.items()}
+
+
 def tune(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes as well as by rows, so very long texts cannot pile up in one batch."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

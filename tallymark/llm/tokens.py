@@ -23,13 +23,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import new_path, offsets, texts, tune
+from tallymark.llm.common import Seen, new_path, offsets, texts, tune
 
 END_ID = 2
-#: Chunks in a generation of a worker's cache (two generations take about 180 MB).
-CACHE_ENTRIES = 450_000
+#: Chunks that a worker keeps (about 20 MB).
+CACHE_ENTRIES = 400_000
 #: Bytes of text whose chunks are looked up together.
-PART_BYTES = 4 << 20
+PART_BYTES = 6 << 20
 #: Cells of ids for each partition, from which partitions of about equal numbers of documents are made.
 CELLS = 64
 
@@ -43,19 +43,17 @@ FILE_OPTIONS = {
 }
 
 
-class Encoder(dict):
-    """Ids of a text by the tokenizers library, with each space-led chunk encoded once.
+class Encoder:
+    """Ids of texts by the tokenizers library, with each space-led chunk encoded once.
 
     A byte-level pre-tokenizer never joins a non-space to a space behind it, so a text may be cut before each
-    space, unless white space stands on both sides of that space; such texts are encoded whole. The dictionary
-    maps a chunk (without its leading space) to the bytes of its ids, so a text is one lookup per chunk and
-    one join. Of two generations the older goes when the younger is full, so frequent chunks stay.
+    space, unless white space stands on both sides of that space; such texts are encoded whole. The distinct chunks of
+    many texts (without their leading spaces) are looked up together, and ids are put together by their places.
     """
 
     def __init__(self, path: str, max_entries: int = CACHE_ENTRIES):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -63,7 +61,8 @@ class Encoder(dict):
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         cut = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
         self.plain_bpe = cut and spec["model"]["type"] == "BPE" and not any(not t or any(map(str.isspace, t)) for t in self.special)
-        self.max_entries, self.old, self.inner = max_entries, {}, {}
+        self.inner, self.max_inner = {}, max_entries // 8
+        self.seen = Seen(max_entries, ids=pa.large_binary())
         if self.plain_bpe:
             import regex
             from public_tokenizers import PATTERN
@@ -89,7 +88,7 @@ class Encoder(dict):
         """A piece without a leading space: line starts, punctuation, white space."""
         found = self.inner.get(word)
         if found is None:
-            if len(self.inner) > self.max_entries // 4:
+            if len(self.inner) > self.max_inner:
                 self.inner.clear()
             found = self.inner[word] = self.word(word)
         return found
@@ -98,31 +97,17 @@ class Encoder(dict):
         """A text that starts anywhere, by its pieces."""
         if any(t in text for t in self.special):
             return self.whole(text)
-        return b"".join([self[w[1:]] if w[0] == " " and letters(w[1:]) else self.cached_inner(w) for w in self.split(text)])
-
-    def __missing__(self, chunk: str) -> bytes:
-        found = self.old.get(chunk)
-        if found is None:
-            if chunk.isascii() and chunk.isalpha():
-                found = self.merged(self.bytes_to_chars[32] + chunk)
-            elif letters(chunk):
-                found = self.word(" " + chunk)
-            elif chunk[-1:] in ENDS and letters(chunk[:-1]):
-                known = chunk[:-1] in self
-                found = self[chunk[:-1]] + self.cached_inner(chunk[-1])
-                if not known:  # kept when the word comes again, as most words never do
-                    return found
-            elif chunk[:1] == "\n":
-                found = self.pieces(chunk)
-            else:
-                found = self.pieces(" " + chunk)
-                if not chunk.isascii():
-                    return found
-        if len(self) >= self.max_entries:
-            self.old = dict(self)
-            self.clear()
-        self[chunk] = found
-        return found
+        return b"".join([self.chunk(w[1:]) if w[0] == " " and letters(w[1:]) else self.cached_inner(w) for w in self.split(text)])
+
+    def chunk(self, chunk: str) -> bytes:
+        """A chunk behind a space, or one that a line feed leads."""
+        if chunk.isascii() and chunk.isalpha():
+            return self.merged(self.bytes_to_chars[32] + chunk)
+        if letters(chunk):
+            return self.word(" " + chunk)
+        if chunk[-1:] in ENDS and letters(chunk[:-1]):
+            return self.chunk(chunk[:-1]) + self.cached_inner(chunk[-1])
+        return self.pieces(chunk if chunk[:1] == "\n" else " " + chunk)
 
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(self.ids(text), "<u4")
@@ -154,27 +139,44 @@ class Encoder(dict):
         chunks = pc.split_pattern(pc.replace_substring(pc.if_else(other, pa.scalar("", texts.type), texts), "\n", " \n"), " ")
         first = chunks.offsets.to_numpy()[:-1] - chunks.offsets[0].as_py()
         coded = chunks.flatten().dictionary_encode()
-        which, words = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        known = list(map(self.__getitem__, words))
+        which, words = coded.indices.to_numpy(), coded.dictionary
+        place = self.seen.find(words)
+        if len(new := np.flatnonzero(place < 0)):
+            place[new] = len(self.seen.words) + np.arange(len(new))
+            unknown = words.take(pa.array(new))
+            found = list(map(self.chunk, unknown.to_numpy(zero_copy_only=False).tolist()))
+            self.seen.add(unknown, ids=pa.array(found, pa.large_binary()))
+        start, blob = binary(self.seen.values["ids"])
         # No space leads the first chunk of a text. A text with other white space than single blanks is one chunk.
-        leads = which[first].tolist()
         slow = dict(zip(pc.indices_nonzero(other).to_pylist(), texts.filter(other).to_pylist(), strict=True))
-        known += [self.ids(slow[i]) if i in slow else self.pieces(words[k]) for i, k in enumerate(leads)]
-        count = np.fromiter(map(len, known), np.int32, len(known)) // 4
-        start = np.cumsum(count, dtype=np.int32) - count
-        which = which.copy()
-        which[first] = np.arange(len(words), len(known))
+        leads = words.take(pa.array(which[first])).to_numpy(zero_copy_only=False).tolist()
+        own = [self.ids(slow[i]) if i in slow else self.pieces(w) for i, w in enumerate(leads)]
+        size = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        count = np.concatenate([np.diff(start), size])
+        start = np.concatenate([start[:-1], len(blob) + np.cumsum(size) - size])
+        which = place[which]
+        which[first] = len(self.seen.words) + np.arange(len(own))
         each = count[which]
-        done = np.cumsum(each, dtype=np.int32)
-        ids = np.frombuffer(b"".join(known), "<u4")[np.repeat(start[which] - done + each, each) + np.arange(done[-1], dtype=np.int32)]
+        done = np.cumsum(each)
+        ids = np.concatenate([blob, np.frombuffer(b"".join(own), "<u4")])[np.repeat(start[which] - done + each, each) + np.arange(done[-1])]
         n = np.add.reduceat(each, first)
+        self.seen.trim()
         return np.insert(ids, np.cumsum(n), np.uint32(end_id)), n + 1
 
     def spaced(self, text: str) -> Iterator[bytes]:
         first, *chunks = text.split(" ")
         yield self.pieces(first)
         for c in chunks:
-            yield self.pieces(" " + c) if c[:1] == "\n" else self[c]
+            yield self.pieces(" " + c) if c[:1] == "\n" else self.chunk(c)
+
+
+def binary(values: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets, in ids, and the ids of an array of such."""
+    if not len(values):
+        return np.zeros(1, np.int64), np.zeros(0, np.uint32)
+    _, offsets, data = values.buffers()
+    start = np.frombuffer(offsets, np.int64)[values.offset : values.offset + len(values) + 1] // 4
+    return start, np.frombuffer(data, "<u4") if data is not None and data.size else np.zeros(0, np.uint32)
 
 
 #: White space other than single blanks and line feeds between non-blanks.
@@ -210,7 +212,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataF
         e = encoder(tokenizer_path)
         for batch in batches:
             flat, at = e.encode_all(batch.column("text"), end_id)
-            ids = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.astype(np.int32)))
+            ids = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.view(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at)), ids], ["doc_id", "n_tokens", "ids"])
 
     tune(docs.sparkSession)

@@ -49,7 +49,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import dropped, tune, written
+from tallymark.llm.common import Seen, dropped, tune, written
 from tallymark.llm.hashing import mix, shingles
 
 #: A span of 9 holds three characters with three inserted between each two.
@@ -63,7 +63,7 @@ TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS, NEGATIVES, LANDMARKS, ROUNDS = 2000, 4000
 LEAST, SHARE, RARER = 3, 0.01, 15
 FOLDS = 5
 #: A worker forgets its scored words when it holds this many.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 400_000
 LOWEST = -4.0
 #: The margin from which a word or stretch counts as toxic in the share.
 HIT = 0.3
@@ -212,8 +212,8 @@ class Machine:
         self.table[:BINS, :BINS, :BINS] = weights.reshape(BINS, BINS, BINS)
         self.table = self.table.ravel()
         #: Margin and number of letters of words, and margins of stretches.
-        self.known: dict[str, tuple[float, int]] = {}
-        self.joined: dict[str, float] = {}
+        self.known = Seen(CACHE_ENTRIES, margin=pa.float64(), size=pa.int64())
+        self.joined = Seen(CACHE_ENTRIES, margin=pa.float64())
 
     def margins(self, words: list[str]) -> np.ndarray:
         if len(words) > 2_000:  # by parts, to bound memory
@@ -235,17 +235,14 @@ class Machine:
         start = np.cumsum(size + SPAN - 1) - size - SPAN + 1
         return np.maximum(np.add.reduceat(total, start, dtype=np.float64) / np.maximum(np.sqrt(square), 1e-9) + self.bias, LOWEST)
 
-    def learn(self, words: list[str]) -> None:
-        """Margins of new words: the highest of their forms."""
-        if len(self.known) + len(words) > CACHE_ENTRIES:
-            self.known.clear()
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
+    def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Margins of words, the highest of their forms, and how many letters they have."""
+        margin = [np.zeros(0)]
+        for part in batched(words, 4096):
             each = [forms(w) for w in part]
-            margin = self.margins([f for e in each for f in e])
             start = np.cumsum([0, *map(len, each)])[:-1]
-            margin = np.maximum.reduceat(margin, start).tolist()
-            self.known.update(zip(part, zip(margin, (len(letters(w)) for w in part), strict=True), strict=True))
+            margin.append(np.maximum.reduceat(self.margins([f for e in each for f in e]), start))
+        return np.concatenate(margin), np.array([len(letters(w)) for w in words], np.int64)
 
     def document(self, text: str) -> float:
         """The highest margin of any word or stretch of any sentence."""
@@ -259,34 +256,39 @@ class Machine:
         parts = pc.utf8_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
         start = parts.offsets.to_numpy()
         coded = parts.flatten().dictionary_encode()
-        which, start = coded.indices.to_numpy(), start - start[0]
-        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        which, start, words = coded.indices.to_numpy(), start - start[0], coded.dictionary
         best, hits, n = np.full(len(texts), LOWEST), np.zeros(len(texts)), np.diff(start)
-        if words:
-            found = list(map(self.known.get, words))
-            if new := [w for w, f in zip(words, found, strict=True) if f is None]:
-                self.learn(new)
-                found = [self.known.get(w) or f for w, f in zip(words, found, strict=True)]
-            of_word = np.array([f[0] for f in found])[which]
+        if len(words):
+            place = self.known.find(words)
+            if len(new := np.flatnonzero(place < 0)):
+                place[new] = len(self.known.words) + np.arange(len(new))
+                unknown = words.take(pa.array(new))
+                margin, size = self.learn(unknown.to_numpy(zero_copy_only=False).tolist())
+                self.known.add(unknown, margin=pa.array(margin), size=pa.array(size))
+            of_word = self.known.values["margin"].to_numpy()[place][which]
+            size = self.known.values["size"].to_numpy()[place]
+            self.known.trim()
             some = np.flatnonzero(n)
             best[some] = np.maximum.reduceat(of_word, start[some])
             hits[some] = np.add.reduceat((of_word > HIT).astype(np.float64), start[some])
             row = np.repeat(np.arange(len(texts)), n)
-            size = np.array([f[1] for f in found], np.int64)
             which, row = which[(kept := size[which] > 0)], row[kept]
+            words = words.to_numpy(zero_copy_only=False).tolist()
             self.spelled_out(words, which, size[which], row, best, hits)
             self.in_two(words, which, size, row, best, hits)
         return np.c_[best, np.log10(np.clip(hits / np.maximum(n, 1), 1e-4, 1))]
 
     def raise_to(self, best: np.ndarray, hits: np.ndarray, row: list[int], joined: list[set[str]], least: float) -> None:
         """Take the best of each set of stretches into its row, if its margin is ``least``."""
-        every = set().union(*joined)
-        new = sorted(j for j in every if j not in self.joined)
-        if len(self.joined) + len(new) > CACHE_ENTRIES:
-            self.joined.clear()
-            new = sorted(every)
-        self.joined.update(zip(new, self.margins(new).tolist(), strict=True))
-        margin = np.array([max(map(self.joined.__getitem__, j), default=LOWEST) for j in joined])
+        every = pa.array(sorted(set().union(*joined)), pa.large_string())
+        place = self.joined.find(every)
+        if len(new := np.flatnonzero(place < 0)):
+            place[new] = len(self.joined.words) + np.arange(len(new))
+            unknown = every.take(pa.array(new))
+            self.joined.add(unknown, margin=pa.array(self.margins(unknown.to_pylist())))
+        of = dict(zip(every.to_pylist(), self.joined.values["margin"].to_numpy()[place].tolist(), strict=True))
+        self.joined.trim()
+        margin = np.array([max(map(of.__getitem__, j), default=LOWEST) for j in joined])
         sure = margin >= least
         np.maximum.at(best, np.array(row, np.int64)[sure], margin[sure])
         np.add.at(hits, np.array(row, np.int64)[sure], margin[sure] > HIT)
@@ -450,9 +452,7 @@ def train(clean: list[str], toxic: list[str]) -> Machine | None:
     machine = Machine(weights, bias, clean=np.unique(hashes([letters(w) for w in pool])))
     of = [np.concatenate([machine.documents(pa.array(part, pa.large_string())) for part in batched(texts)]) for texts in (clean, toxic)]
     machine.scale = logistic(np.concatenate(of), np.r_[np.zeros(len(clean)), np.ones(len(toxic))])
-    machine.known.clear()
-    machine.joined.clear()
-    return machine
+    return Machine(machine.weights, machine.bias, machine.scale, machine.clean)
 
 
 def batched(texts: list[str], size: int = 200) -> Iterator[list[str]]:
