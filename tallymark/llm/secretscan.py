@@ -1,16 +1,19 @@
 """Secret scans: fixed patterns, and guess costs of values in credential contexts.
 
 Method: the values that stand behind a credential word (``pwd: ...``, ``passphrase = ...``) are segmented into
-common words, dates, repeats, keyboard walks and brute-force spans so that the product of guesses is least, by
-dynamic programming over the value. A value that costs at least ``GUESSES`` (a power of ten) is a secret. The
+words, dates, repeats, keyboard walks and brute-force spans so that the product of guesses is least, by dynamic
+programming over the value: every part of a repeat or walk and every form of date is tried. A value that costs at
+least ``GUESSES`` (a power of ten) is a secret. Words cost their rank: first the common words of passwords, then the
+``RANKED`` most frequent words of all documents that come up ``OFTEN`` other than behind a sign, so what people write is cheap and what is random is not. The
 credential word may end a camel-case name (``dbPassword``). Not seen: values of fewer than six characters, and
-letters alone, lower case from the second on, behind `` is ``, where prose stands. Behind a sign a long ordinary word that is not of ``WORDS`` counts as a secret.
+letters alone, lower case from the second on, behind `` is ``, where prose stands.
 
 The three base kinds (assign, access, hex) are found as their patterns say and always stay; values that lie in
 a base span add nothing.
 
 Defined results: null and empty texts have no spans. Repeated rows are scanned separately. Whole texts are
-scanned; positions are code points. A value is segmented whole, whatever its length.
+scanned; positions are code points. A value is segmented whole, whatever its length. Words of equal frequency rank in
+their own order. Other columns than ``doc_id`` and ``text`` are not looked at. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -20,8 +23,11 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallymark.llm.common import texts, tune
 
@@ -46,12 +52,56 @@ WORDS = (
     "money happy coffee computer internet january february march april may june july august september october "
     "november december monday tuesday wednesday thursday friday saturday sunday the and for you with this that from"
 ).split()
-RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-LONGEST = max(map(len, WORDS))
+#: Words of the documents that are ranked, and their lengths.
+RANKED, SHORTEST, LONGEST = 20_000, 3, 16
+#: How often a word must come up, other than behind a sign, to be one.
+OFTEN = 3
+#: Rows that a task holds before it adds up what it has counted.
+HELD = 1_000_000
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 NEXT = {(a, b) for row in (*ROWS, "abcdefghijklmnopqrstuvwxyz", "0123456789") for x in (row, row[::-1]) for a, b in zip(x, x[1:])}
 LEET = str.maketrans("@4310$57!", "aaeiossti")
-DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d")
+_SEP, _DAY, _MONTH, _YEAR = "[-/.]?", "(?:0[1-9]|[12][0-9]|3[01])", "(?:0[1-9]|1[0-2])", "(?:19|20)[0-9]{2}"
+#: Forms of dates and their costs; each matches one end at a place.
+DATES = [(re.compile(_YEAR), 2.2), *((re.compile(_SEP.join(f)), 4.3) for f in ((_YEAR, _MONTH, _DAY), (_DAY, _MONTH, _YEAR), (_MONTH, _DAY, _YEAR)))]
+
+
+def ranks(words: list[str]) -> dict[str, int]:
+    """Each word's rank, from 1, the first place counting."""
+    return {w: i + 1 for i, w in reversed(list(enumerate(words)))}
+
+
+RANK = ranks(WORDS)
+
+
+def frequent_words(docs: DataFrame, n: int = RANKED) -> list[str]:
+    """The most frequent words of letters alone, counted over all documents; counts are added up in each task first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+
+        def summed() -> pa.Table:
+            return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
+        for batch in batches:
+            words = pc.utf8_split_whitespace(pc.fill_null(batch.column("text"), "").cast(pa.large_string())).flatten().dictionary_encode()
+            which = words.indices.to_numpy()
+            sign = pc.match_substring_regex(words.dictionary, "[:=][\"']?\\z").to_numpy(zero_copy_only=False)
+            prose = np.concatenate([[True], ~sign[which[:-1]]])[: len(which)]  # what stands behind a sign may be a secret
+            count = pa.array(np.bincount(which[prose], minlength=len(words.dictionary)), pa.int64())
+            word = pc.ascii_lower(pc.utf8_trim(words.dictionary, ".,;:!?()\"'"))
+            ok = pc.match_substring_regex(word, f"\\A[a-z]{{{SHORTEST},{LONGEST}}}\\z")
+            held.append(pa.table({"word": word.filter(ok), "n": count.filter(ok)}))
+            if sum(len(t) for t in held) > HELD:
+                held = [summed()]
+        if held:
+            for part in summed().cast(pa.schema([("word", pa.string()), ("n", pa.int64())])).to_batches(max_chunksize=10_000):
+                yield part
+
+    tune(docs.sparkSession)
+    counts = texts(docs).select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = counts.where(F.col("n") >= OFTEN)
+    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(n).collect()]  # at most ``n`` rows
 
 
 def brute(value: str) -> float:
@@ -61,34 +111,56 @@ def brute(value: str) -> float:
     return math.log10(max(size, 10))
 
 
-def guess_cost(value: str) -> float:
+def runs(value: str) -> tuple[list[int], list[int]]:
+    """End of the run of equal characters, and of the keyboard walk, from each place."""
+    n = len(value)
+    same, walk = [n] * n, [n] * n
+    for i in range(n - 2, -1, -1):
+        same[i] = same[i + 1] if value[i] == value[i + 1] else i + 1
+        walk[i] = walk[i + 1] if (value[i], value[i + 1]) in NEXT else i + 1
+    return same, walk
+
+
+#: Powers of ten that a repeat and a walk cost besides that of their length, and each further span.
+REPEAT, WALK, JOIN = 1.5, 2.0, 0.3
+#: Characters from which the ends of a repeat or walk are taken together.
+MANY = 64
+
+
+def word_cost(part: str, rank: dict[str, int]) -> float:
+    """The cost of ``part`` as a word, with digits and signs for letters at a surcharge; infinite if it is none."""
+    low = part.lower()
+    upper = 0.0 if part.islower() or not part.isalpha() else 0.5
+    return min((math.log10(rank[text] + 1) + upper + more for text, more in ((low, 0.0), (low.translate(LEET), 0.5)) if text in rank), default=math.inf)
+
+
+def guess_cost(value: str, rank: dict[str, int] = RANK) -> float:
     """Least power of ten of guesses over all segmentations of ``value``."""
     low, n = value.lower(), len(value)
-    plain = low.translate(LEET)
     one = brute(value)
-    #: End of the run of equal characters, and of the keyboard walk, from each place.
-    same, walk = [n] * n, [n] * n
-    for i in range(n - 2, -1, -1):
-        same[i] = same[i + 1] if low[i] == low[i + 1] else i + 1
-        walk[i] = walk[i + 1] if (low[i], low[i + 1]) in NEXT else i + 1
-    least = [0.0] + [math.inf] * n
+    same, walk = runs(low)
+    least: list | np.ndarray = [0.0] + [math.inf] * n
+    if n > MANY:
+        least, log = np.array(least), np.log10(np.arange(3, n + 1))
     for i in range(n):
-        base = least[i] + (0.3 if i else 0.0)
+        base = least[i] + (JOIN if i else 0.0)
         least[i + 1] = min(least[i + 1], least[i] + one)
-        for end, cost in ((same[i], 1.5), (walk[i], 2.0)):
-            if end - i >= 3:
-                least[end] = min(least[end], base + cost + math.log10(end - i))
-        for end in range(i + 3, min(n, i + LONGEST) + 1):
-            for text, more in ((low, 0.0), (plain, 0.5)):
-                if rank := RANK.get(text[i:end]):
-                    upper = 0.0 if value[i:end].islower() or not value[i:end].isalpha() else 0.5
-                    least[end] = min(least[end], base + math.log10(rank + 1) + upper + more)
-        if found := DATE.match(low, i):
-            least[found.end()] = min(least[found.end()], base + (2.2 if found.end() - i == 4 else 4.3))
-    return least[n]
-
-
-def found(text: str, guesses: float = GUESSES) -> tuple[list[tuple[int, int, int]], int]:
+        for stop, cost in ((same[i], REPEAT), (walk[i], WALK)):
+            if n > MANY and stop >= i + 3:
+                least[i + 3 : stop + 1] = np.minimum(least[i + 3 : stop + 1], base + cost + log[: stop - i - 2])
+            else:
+                for end in range(i + 3, stop + 1):
+                    least[end] = min(least[end], base + cost + math.log10(end - i))
+        for end in range(i + SHORTEST, min(n, i + LONGEST) + 1):
+            if (cost := word_cost(value[i:end], rank)) < math.inf:
+                least[end] = min(least[end], base + cost)
+        for form, cost in DATES:
+            if m := form.match(low, i):
+                least[m.end()] = min(least[m.end()], base + cost)
+    return float(least[n])
+
+
+def found(text: str, guesses: float = GUESSES, rank: dict[str, int] = RANK) -> tuple[list[tuple[int, int, int]], int]:
     """Spans ``(start, number of the kind, end)`` in order, and how many of them are of a base kind."""
     base = []
     if ":" in text or "=" in text:
@@ -104,19 +176,20 @@ def found(text: str, guesses: float = GUESSES) -> tuple[list[tuple[int, int, int
                 b -= 1
             value = text[a:b]
             prose = m[1] and value.isalpha() and value[1:].islower()  # "the token is wonderful"
-            if b - a >= 6 and not prose and not any(s <= a and b <= e for s, _, e in base) and guess_cost(value) >= guesses:
+            if b - a >= 6 and not prose and not any(s <= a and b <= e for s, _, e in base) and guess_cost(value, rank) >= guesses:
                 more.append((a, 3, b))
     return sorted(base + more), len(base)
 
 
 def scanned(docs: DataFrame, guesses: float = GUESSES) -> DataFrame:
     """``doc_id``, counts of the base kinds, ``base_sha256``, ``spans`` and ``n_guess``."""
+    rank = ranks([*WORDS, *frequent_words(docs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text in batch.column("text").to_pylist():
-                spans, _ = found(text or "", guesses)
+                spans, _ = found(text or "", guesses, rank)
                 said = [f"{KINDS[k]}:{a}:{b}" for a, k, b in spans]
                 base = ",".join(s for s, (_, k, _) in zip(said, spans, strict=True) if k < 3)
                 n = [sum(k == j for _, k, _ in spans) for j in range(4)]

@@ -1,4 +1,7 @@
 import hashlib
+import itertools
+import math
+import random
 import re
 
 import pytest
@@ -85,6 +88,61 @@ def test_base_secrets_equal_plain_patterns(text):
     assert [s for s in spans if s[1] < 3] == plain_secrets(text) and n == len(plain_secrets(text))
 
 
+def exhaustive(value, rank):
+    """The least cost by trying every way to cut ``value``."""
+    low, one = value.lower(), secretscan.brute(value)
+
+    def span(a, b):
+        part, costs = low[a:b], [secretscan.word_cost(value[a:b], rank) if 3 <= b - a <= secretscan.LONGEST else math.inf]
+        if b - a >= 3 and len(set(part)) == 1:
+            costs.append(secretscan.REPEAT + math.log10(b - a))
+        if b - a >= 3 and all(p in secretscan.NEXT for p in zip(part, part[1:])):
+            costs.append(secretscan.WALK + math.log10(b - a))
+        costs += [cost for form, cost in secretscan.DATES if form.fullmatch(part)]
+        return min(costs) + (secretscan.JOIN if a else 0.0)
+
+    best = math.inf
+    for cuts in itertools.product([0, 1], repeat=len(value) - 1):
+        edges = [0, *[i + 1 for i, c in enumerate(cuts) if c], len(value)]
+        best = min(best, sum(min(span(a, b), one * (b - a)) for a, b in zip(edges, edges[1:])))
+    return best
+
+
+@pytest.mark.parametrize("many", [64, 0])
+def test_guess_cost_is_the_least_of_all_segmentations(monkeypatch, many):
+    monkeypatch.setattr(secretscan, "MANY", many)
+    r = random.Random(7)
+    rank = secretscan.ranks([*secretscan.WORDS, "sum", "summers", "ta"])
+    bits = ["2024", "3212", "01", "12", "31", "aaa", "qwer", "sum", "mer", "s", "P4ss", "x", "#", "1999", "-", "765", "the"]
+    values = ["3212024x", "#3212024x", "20240131", "31012024", "01312024", "aaaaqwe", "summers1"]
+    values += ["".join(r.choice(bits) for _ in range(4))[:11] for _ in range(300)]
+    for v in values:
+        assert secretscan.guess_cost(v, rank) == pytest.approx(exhaustive(v, rank)), v
+
+
+def test_a_very_long_value_is_segmented_whole():
+    assert secretscan.guess_cost("a" * 20_000) < 7 and secretscan.guess_cost("12" * 5_000) < 7
+
+
+def test_words_of_the_documents_are_cheap(spark, empty):
+    words = ["extraordinary", "circumstance", "wonderland"]
+    docs = spark.createDataFrame([(i, f"The {words[i % 3]}, {words[0]}! passphrase: {words[1]} passphrase: zqxkvjwpylmdx", "en", "a", 0) for i in range(9)] + [(20, "passphrase: zqxkvjwpylmd Uncommon7 12x", "en", "a", 0), (21, None, "en", "a", 0)], DOCS)
+    assert secretscan.frequent_words(docs) == ["passphrase", "extraordinary", "the", "circumstance", "wonderland"]
+    got = {r.doc_id: r.n_guess for r in secretscan.scanned(docs).collect()}
+    assert got.pop(20) == 1 and got.pop(21) == 0 and set(got.values()) == {1}  # the repeated secret, not the repeated word
+    assert secretscan.frequent_words(empty) == [] and secretscan.scanned(empty).count() == 0
+
+
+def test_planted_secrets_are_found_and_prose_is_left_alone():
+    r = random.Random(3)
+    chars = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789!#%&*+"
+    names = ["password", "pwd", "passphrase", "dbPassword", "API key", "secret-key", "login", "pin", "Bearer"]
+    found = sum(any(k == 3 or k == 0 for _, k, _ in secretscan.found(f"some text {r.choice(names)}{r.choice([': ', '=', ' = ', ':'])}{''.join(r.choice(chars) for _ in range(r.randrange(8, 16)))} and more")[0]) for _ in range(400))
+    assert found >= 0.95 * 400
+    prose = ["the password is wonderful", "login: monday, then token: september", "pass: 12345678", "pin: 19991231", "secret = qwertyuiop", "auth: aaaaaaaaaa", "password: letmein123"]
+    assert [secretscan.found(t)[0] for t in prose] == [[]] * len(prose)
+
+
 def test_guess_costs_and_contexts(spark, clashing):
     cost = secretscan.guess_cost
     assert cost("password") < 2 and cost("qwertyuiop") < 4 and cost("aaaaaaaaaaaa") < 4 and cost("1999-12-31") < 6
