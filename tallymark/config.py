@@ -5,9 +5,20 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass, field
+from datetime import datetime, timedelta
 
 #: Documented placeholders that count as no secret.
-PLACEHOLDERS = frozenset([*(d * 64 for d in "0123"), "your-analytics-read-token", "your-cloudflare-account-id", "REPLACE_WITH_EVENT_GROUP_ID"])
+PLACEHOLDERS = frozenset(
+    [
+        "0000000000000000000000000000000000000000000000000000000000000000",
+        "1111111111111111111111111111111111111111111111111111111111111111",
+        "2222222222222222222222222222222222222222222222222222222222222222",
+        "3333333333333333333333333333333333333333333333333333333333333333",
+        "your-analytics-read-token",
+        "your-cloudflare-account-id",
+        "REPLACE_WITH_EVENT_GROUP_ID",
+    ]
+)
 DATE = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}")
 ID = re.compile(r"[A-Za-z0-9_-]{1,64}")
 LITERAL = re.compile(r"[A-Za-z0-9_.:@ -]*")
@@ -75,6 +86,11 @@ def checked_literal(value: str | float) -> str | int:
     return math.floor(value)
 
 
+def export_date(now: datetime) -> str:
+    """The day that a nightly run exports: the one before ``now``, in UTC."""
+    return (now - timedelta(days=1)).date().isoformat()
+
+
 @dataclass(frozen=True)
 class Settings:
     """What the operators need to know besides the data."""
@@ -103,6 +119,7 @@ class Settings:
     event_name: str = "LEAD"
     event_group_id: str | None = None
     live: bool = False
+    send_key: str | None = None
     max_reject_ratio: float = 0.5
     max_alert_ratio: float = 0.01
     max_call_error_ratio: float = 0.5

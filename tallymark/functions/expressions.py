@@ -30,34 +30,48 @@ def trimmed(x) -> Column:
 
 
 def decoded(x) -> Column:
-    """Percent-decoded with ``+`` as a space; what cannot be decoded stays as it is."""
-    return F.coalesce(F.try_url_decode(x), x)
+    """Percent-decoded with ``+`` as a space; a percent sign that leads no two hexadecimal digits stays as it is."""
+    whole = F.regexp_replace(x, "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.when(x.contains("%") | x.contains("+"), F.coalesce(F.try_url_decode(whole), x)).otherwise(x)
 
 
-def written_value(query, name: str) -> Column:
-    """First value of a key of a query string as it stands there; empty if absent."""
-    return F.regexp_extract(text(query), rf"(?:\A|&){name}=([^&]*)", 1)
+def parts(query) -> Column:
+    """The parts of a query string between ``&``, without empty ones."""
+    return F.filter(F.split(text(query), "&"), lambda p: p != "")
+
+
+def keys(query_parts) -> Column:
+    """The decoded key of each part."""
+    return F.transform(query_parts, lambda p: decoded(F.substring_index(p, "=", 1)))
+
+
+def first_value(query_parts, query_keys, name: str) -> Column:
+    """First value of a key as it stands there; empty if absent."""
+    part = F.get(query_parts, (F.array_position(query_keys, F.lit(name)) - 1).cast("int"))
+    return text(F.when(part.contains("="), F.substring(part, F.instr(part, "=") + 1, F.length(part))))
 
 
 def read_value(x) -> Column:
-    """Such a value decoded, where it has anything to decode, and trimmed. Unfilled macros come through as they are."""
-    return trimmed(F.when(x.contains("%") | x.contains("+"), decoded(x)).otherwise(x))
+    """Such a value decoded and trimmed. Unfilled macros come through as they are."""
+    return trimmed(decoded(x))
 
 
 def param(query, name: str) -> Column:
-    return read_value(written_value(query, name))
+    """One value alone; where many are read, split the query string once."""
+    return read_value(first_value(parts(query), keys(parts(query)), name))
 
 
 def raw_param(query, name: str) -> Column:
-    """The same with ``+`` kept; empty if it cannot be decoded."""
-    return text(F.try_url_decode(F.replace(written_value(query, name), F.lit("+"), F.lit("%2B"))))
+    """The first value of a key that is written plainly, with ``+`` kept; empty if it cannot be decoded."""
+    x = F.regexp_extract(text(query), rf"(?:\A|&){name}=([^&]*)", 1)
+    return trimmed(F.try_url_decode(F.when(~x.rlike("%(?![0-9A-Fa-f]{2})"), F.replace(x, F.lit("+"), F.lit("%2B")))))
 
 
-def market_area(query) -> Column:
+def market_area(query_parts, query_keys) -> Column:
     """``dma=501``, or the damaged form ``dma501`` as a key."""
-    plain = param(query, "dma")
-    damaged = F.regexp_extract(text(query), r"(?:\A|&)dma([0-9]{1,5})(?:=[^&]*)?(?:&|\z)", 1)
-    found = F.when(plain != "", plain).otherwise(damaged)
+    plain = read_value(first_value(query_parts, query_keys, "dma"))
+    damaged = F.get(F.filter(query_keys, lambda k: k.rlike(r"\Adma[0-9]{1,5}\z")), 0)
+    found = F.when(plain != "", plain).otherwise(text(F.substring(damaged, 4, 5)))
     return F.when(found.rlike(DMA), found).otherwise("")
 
 
@@ -95,24 +109,27 @@ def hmac_sha256(key: str, message) -> Column:
     return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 256))), 256)
 
 
-def number_text(x) -> Column:
-    """A number given as text, printed again without leading zeros or a fraction of zero; null if it is none."""
-    n = x.try_cast("double")
+def tag_number(x) -> Column:
+    """A tag's expiry as a number: empty counts as 0; null if it is no finite number."""
+    n = F.when(trimmed(x) == "", F.lit(0.0)).otherwise(trimmed(x).try_cast("double"))
+    return F.when(~F.isnan(n) & (F.abs(n) < float("inf")), n)
+
+
+def number_text(n) -> Column:
+    """A number printed without leading zeros or a fraction of zero."""
     return F.when(n == F.floor(n), F.floor(n).cast("string")).otherwise(n.cast("string"))
 
 
 def tag_verdict(key: str | None, advertiser, campaign, creative, exp, sig, now) -> Column:
-    """Null if the tag's signature holds, else the reason: not_configured, bad_signature or expired."""
+    """Null if the tag's signature holds, else the reason: not_configured, bad_signature or expired.
+
+    An expiry that is missing, unreadable or past is ``expired``, whatever the signature.
+    """
     if is_placeholder(key):
         return F.lit("not_configured")
-    n = exp.try_cast("double")
-    digest = hmac_sha256(key, F.concat_ws("|", advertiser, campaign, creative, text(number_text(exp))))
-    return (
-        F.when(sig == "", "bad_signature")
-        .when(n.isNull() | F.isnan(n), "bad_signature")
-        .when(n < now, "expired")
-        .when(F.lower(sig) != digest, "bad_signature")
-    )
+    n = tag_number(exp)
+    digest = hmac_sha256(key, F.concat_ws("|", advertiser, campaign, creative, number_text(n)))
+    return F.when(sig == "", "bad_signature").when(n.isNull() | (n < now), "expired").when(F.lower(sig) != digest, "bad_signature")
 
 
 #: The parameters of a tag that the platform fills in when it serves an impression.
@@ -130,10 +147,24 @@ def signed_tag(key: str, advertiser, campaign, creative, exp, platform: str) ->
     return F.concat_ws("&", *parts, F.lit("&".join([f"pf={platform}", *(f"{k}={v}" for k, v in MACROS[platform].items())])))
 
 
+EPOCH = "1970-01-01 00:00:00"
+
+
+def at_second(t) -> Column:
+    """The time of a second since 1970, without a zone."""
+    return F.timestamp_add("SECOND", t, F.lit(EPOCH).cast("timestamp_ntz"))
+
+
+def second_of(ts) -> Column:
+    """The second since 1970 of a time without a zone."""
+    return F.timestamp_diff("SECOND", F.lit(EPOCH).cast("timestamp_ntz"), ts)
+
+
 def boundary(x, end: bool) -> Column:
-    """Seconds of an ISO date or time; a bare end date is its last second; null (no bound) if unreadable."""
+    """Seconds of an ISO date or time, in UTC if it names no zone; a bare end date is its last second; null (no bound) if unreadable."""
     bare = x.rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z")
-    at = F.unix_timestamp(F.try_to_timestamp(x))
+    zoned = x.rlike(r"(?:Z|[+-][0-9]{2}:?[0-9]{2})\z") & ~bare
+    at = F.when(zoned, F.unix_seconds(x.try_cast("timestamp"))).otherwise(second_of(x.try_cast("timestamp_ntz")))
     return F.when(bare, at + (86_399 if end else 0)).otherwise(at)
 
 

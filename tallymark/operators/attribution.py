@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.config import Settings, is_placeholder
 from tallymark.functions import expressions as x
-from tallymark.operators.beacons import store_key
+from tallymark.operators.beacons import ledger_rows, store_key
 from tallymark.operators.dedup import claims
+from tallymark.operators.dimensions import dimension
+from tallymark.operators.payloads import skipped
 from tallymark.operators.ratelimit import rate_limited
 from tallymark.schemas import CALL, MAPPING
 
+#: Outcomes of calls whose number is not known to be mapped.
+BEFORE_MAPPING = ("call_rate_limited", "call_not_configured", "call_bad_request", "call_unauthorized", "call_unknown_number", "call_bad_number_mapping")
 MAX_BODY, MAX_CALL_ID, MAX_AGE, MAX_AHEAD, MAX_QUALIFY = 65_536, 128, 86_400, 300, 86_400
 
 
@@ -54,7 +58,7 @@ def mappings(numbers: DataFrame) -> DataFrame:
     ok = ok & F.coalesce(F.col("m.platform").isin("roku", "ua"), F.lit(True))
     number = F.col("kind").rlike(r"\A(BIGINT|DOUBLE|DECIMAL.*)\z") & F.col("m.qualifySeconds").between(0, MAX_QUALIFY)
     ok = ok & (F.col("kind").isNull() | F.coalesce(number, F.lit(False)))
-    return m.select("m_dnis", ok.alias("valid"), "m.creativeId", "m.campaignId", "m.platform", "m.qualifySeconds", "m.eventGroupId", "m.rokuCreativeId")
+    return m.select("m_dnis", ok.alias("valid"), "m.creativeId", "m.campaignId", "m.advertiserId", "m.platform", "m.qualifySeconds", "m.eventGroupId", "m.rokuCreativeId")
 
 
 def qualified(duration, mapping_seconds, default: int = 60) -> Column:
@@ -67,7 +71,7 @@ def received_calls(requests: DataFrame, numbers: DataFrame, settings: Settings =
     d = requests.withColumn("t", F.col("recv_ts")).withColumn("_rate", F.concat(F.lit("call:"), x.text(F.col("ip"))))
     d = rate_limited(d, "_rate", settings.call_rate_limit).withColumn("c", F.from_json(text, CALL))
     d = d.withColumn("reason", F.when(F.octet_length("body") > MAX_BODY, "too_large").otherwise(call_reason(text, F.col("t"))))
-    d = d.join(F.broadcast(mappings(numbers)), F.col("c.dnis") == F.col("m_dnis"), "left")
+    d = d.join(dimension(mappings(numbers)), F.col("c.dnis") == F.col("m_dnis"), "left")
     auth = signed(settings.call_key, F.col("x_timestamp"), F.col("body"), F.col("x_signature"), F.col("t"), settings.call_skew_seconds)
     outcome = (
         F.when(~F.col("allowed"), "call_rate_limited")
@@ -88,43 +92,96 @@ def claimed_calls(calls: DataFrame, settings: Settings = Settings()) -> DataFram
     return claims(calls.withColumn("claim", key), "claim", settings.call_ttl)
 
 
+def windows(calls: DataFrame, settings: Settings) -> tuple[DataFrame, Column, int]:
+    """Calls with each stretch ``_h`` of time that their window touches, an impression's stretch, and the window's seconds."""
+    seconds = settings.match_window_minutes * 60
+    width = max(seconds, 1)
+    touched = F.sequence(F.floor((F.col("call_ts") - seconds) / width), F.floor(F.col("call_ts") / width))
+    return calls.withColumn("_h", F.explode(touched)), F.floor(F.col("ts") / width), seconds
+
+
+def candidate_counts(calls: DataFrame, recent: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """``call_seq`` and ``candidates`` of each call that has some, without a row for any pair.
+
+    Impressions are counted by second; a stretch as long as the window has at most that many seconds, so the two
+    stretches that a call's window touches are two rows of bounded length.
+    """
+    c, stretch, seconds = windows(calls.select("call_seq", "store_key", "call_ts"), settings)
+    by_second = recent.groupBy("store_key", stretch.alias("_h"), "ts").agg(F.count("*").alias("n"))
+    held = by_second.groupBy("store_key", "_h").agg(F.collect_list(F.struct("ts", "n")).alias("held"))
+    inside = F.filter("held", lambda e: e["ts"].between(F.col("call_ts") - seconds, F.col("call_ts")))
+    n = F.aggregate(inside, F.lit(0).cast("bigint"), lambda a, e: a + e["n"])
+    found = c.join(held, ["store_key", "_h"]).select("call_seq", n.alias("n"))
+    return found.groupBy("call_seq").agg(F.sum("n").alias("candidates")).where("candidates > 0")
+
+
 def matched(calls: DataFrame, recent: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Best impression of each call, confidence and gate.
 
     ``calls``: ``call_seq``, ``store_key``, ``call_ts``, ``caller_state`` and others, which stay. ``recent``: see
-    ``schemas.RECENT``. Candidates lie in the closed window before the call; hours of the window are an equal key of
-    the join, so a busy creative spreads over them. With more candidates than the ceiling nothing is scored.
+    ``schemas.RECENT``. Candidates lie in the closed window before the call. They are counted first, and only calls
+    with at most as many as the ceiling meet their candidates, so pairs are bounded by calls; with more candidates
+    nothing is scored.
     """
-    seconds = settings.match_window_minutes * 60
-    width = max(seconds, 1)
-    hours = F.sequence(F.floor((F.col("call_ts") - seconds) / width), F.floor(F.col("call_ts") / width))
-    c = calls.select("call_seq", "store_key", "call_ts", "caller_state", F.explode(hours).alias("_h"))
-    r = recent.withColumn("_h", F.floor(F.col("ts") / width)).withColumnRenamed("seq", "imp_seq")
+    counts = candidate_counts(calls, recent, settings)
+    d = calls.join(counts, "call_seq", "left").withColumn("candidates", F.coalesce("candidates", F.lit(0)).cast("bigint"))
+    few = d.where(F.col("candidates").between(1, settings.candidate_ceiling)).select("call_seq", "store_key", "call_ts", "caller_state", "candidates")
+    c, stretch, seconds = windows(few, settings)
+    r = recent.withColumn("_h", stretch).withColumnRenamed("seq", "imp_seq")
     pairs = c.join(r, ["store_key", "_h"]).where(F.col("ts").between(F.col("call_ts") - seconds, F.col("call_ts")))
-    t = x.recency(F.col("call_ts"), F.col("ts"), width)
+    t = x.recency(F.col("call_ts"), F.col("ts"), max(seconds, 1))
     g = x.nearness(F.col("region"), F.col("caller_state"))
-    pairs = pairs.withColumn("candidates", F.count("*").over(Window.partitionBy("call_seq")))
     pairs = pairs.withColumn("score", x.score(x.scarcity(F.col("candidates")), t, g, settings.weights))
     rank = F.struct("score", "ts", "imp_seq")
-    best = pairs.groupBy("call_seq").agg(F.max("candidates").alias("candidates"), F.max_by(F.struct("ts", "imp_seq", "ip", "rida", "hh_id", "region", "city", "postal", "lmt", "score"), rank).alias("best"))
-    d = calls.join(best, "call_seq", "left").withColumn("candidates", F.coalesce("candidates", F.lit(0)).cast("bigint"))
-    over = F.col("candidates") > settings.candidate_ceiling
-    d = d.withColumn("best", F.when(~over, F.col("best")))
-    d = d.withColumn("score", F.col("best.score"))
+    best = pairs.groupBy("call_seq").agg(F.max_by(F.struct("ts", "imp_seq", "ip", "rida", "hh_id", "region", "city", "postal", "lmt", "score"), rank).alias("best"))
+    d = d.join(best, "call_seq", "left").withColumn("score", F.col("best.score"))
     d = d.withColumn("confidence", F.when(F.col("best").isNull(), F.lit(0.0)).otherwise(x.four_places("score")))
-    d = d.withColumn("gate", x.gate(F.col("candidates"), F.col("confidence"), settings.max_candidates, settings.min_confidence))
+    gate = x.gate(F.col("candidates"), F.col("confidence"), settings.max_candidates, settings.min_confidence)
+    d = d.withColumn("gate", F.when(F.col("candidates") > settings.candidate_ceiling, "too_many_candidates").otherwise(gate))
     return d.withColumn("matched", F.col("candidates") > 0).withColumn("device_ids", F.col("gate") == "ok").drop("score")
 
 
 def caller_states(calls: DataFrame, area_codes: DataFrame, ani: str = "ani") -> DataFrame:
     """Adds ``caller_state``. ``area_codes``: ``area_code``, ``state``."""
     a = area_codes.select(F.col("area_code").alias("_a"), F.col("state").alias("_s"))
-    return calls.join(F.broadcast(a), x.area_code(F.col(ani)) == F.col("_a"), "left").withColumn("caller_state", x.text(F.col("_s"))).drop("_a", "_s")
+    return calls.join(dimension(a), x.area_code(F.col(ani)) == F.col("_a"), "left").withColumn("caller_state", x.text(F.col("_s"))).drop("_a", "_s")
 
 
-def call_outcome(is_claimed, live, skipped, sent) -> Column:
-    return F.when(~is_claimed, "call_duplicate").when(skipped, "call_skipped").when(~live, "call_dry_run").when(sent, "call_fired").otherwise("call_capi_error")
+def call_outcome(is_claimed, live, is_skipped, sent) -> Column:
+    return F.when(~is_claimed, "call_duplicate").when(is_skipped, "call_skipped").when(~sent, "call_capi_error").when(live, "call_fired").otherwise("call_dry_run")
 
 
 def with_store_key(calls: DataFrame) -> DataFrame:
     return calls.withColumn("store_key", store_key(F.col("rokuCreativeId"), F.col("creativeId")))
+
+
+def concluded(requests: DataFrame, numbers: DataFrame, recent: DataFrame, area_codes: DataFrame, settings: Settings = Settings(), endpoint: str | None = None) -> DataFrame:
+    """Each call request with its one ``outcome``, from the request over the claim and the match to the send.
+
+    ``requests``: see ``schemas.CALL_REQUEST``; a Boolean column ``sent`` holds what became of each send (without it
+    all succeed). Only calls that got their claim are matched; a skipped or failed send gives the claim back.
+    """
+    if "sent" not in requests.columns:
+        requests = requests.withColumn("sent", F.lit(True))
+    d = with_store_key(received_calls(requests, numbers, settings))
+    platform = F.coalesce("platform", F.lit("roku"))
+    is_skipped = F.lit(False)
+    for name in ("roku", "ua"):
+        is_skipped = F.when(platform == name, F.lit(skipped(name, settings, settings.send_key, endpoint) is not None)).otherwise(is_skipped)
+    d = d.withColumns({"platform": platform, "is_skipped": is_skipped, "delivered": F.coalesce("sent", F.lit(False)), "call_seq": F.col("seq")})
+    d = d.withColumns({"callId": F.col("c.callId"), "ani": F.col("c.ani"), "creative_id": F.col("creativeId"), "call_ts": F.floor("c.startTime").cast("bigint")})
+    key = F.concat(F.lit("call:"), F.hex("callId"), F.lit(":"), F.col("creative_id"), F.lit("|"))
+    d = d.withColumn("claim", F.when(F.col("outcome").isNull(), key)).withColumn("sent", F.col("delivered") & ~F.col("is_skipped"))
+    d = claims(d, "claim", settings.call_ttl)
+    goes_on = F.col("outcome").isNull() & F.col("is_claimed")
+    d = caller_states(d, area_codes).withColumn("store_key", F.when(goes_on, F.col("store_key")))
+    d = matched(d, recent, settings)
+    end = call_outcome(F.col("is_claimed"), F.lit(settings.live), F.col("is_skipped"), F.col("delivered"))
+    d = d.withColumns({"start_time": F.col("call_ts"), "duration": F.col("c.durationSeconds"), "sale_value": F.col("c.saleValue"), "currency": F.col("c.currency"), "event_group_id": F.col("eventGroupId")})
+    return d.withColumn("outcome", F.coalesce("outcome", end)).drop("claim", "sent", "delivered", "is_claimed")
+
+
+def call_ledger(outcomes: DataFrame) -> DataFrame:
+    """One ledger row for each call; its campaign is the mapping's once the call is known to be valid."""
+    known = ~F.col("outcome").isin(*BEFORE_MAPPING)
+    return ledger_rows(outcomes, F.when(known, F.col("campaignId")), F.col("outcome"))

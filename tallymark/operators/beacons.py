@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tallymark.config import Settings, is_placeholder
 from tallymark.functions import expressions as x
-from tallymark.operators.dedup import dedup_key, fixed_window, scope
+from tallymark.operators.dedup import dedup_key, fixed_window, live_keys, scope
+from tallymark.operators.dimensions import dimension
 from tallymark.operators.ratelimit import rate_limited
 from tallymark.schemas import CAMPAIGN, EVENT_NAMES
 
@@ -27,11 +28,13 @@ def campaign_configs(campaigns: DataFrame) -> DataFrame:
 def parsed(beacons: DataFrame, campaigns: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """All fields of each beacon, and ``reason``: null, or why it is refused (the first reason in order)."""
     q, now = F.col("query"), F.col("recv_ts")
-    names = ("advertiser_id", "campaign_id", "creative_id", "pf", "device_ip", "ifa", "ifa_type", "lmt", "app_id", "country", "exp", "sig", "cb", "roku_advertiser_id", "roku_campaign_id", "roku_creative_id", "roku_postal_code")
-    # Two projections, so that each value is found once and then decoded.
-    d = beacons.select("*", *[x.written_value(q, n).alias(f"w_{n}") for n in names])
-    d = d.select(*beacons.columns, *[x.read_value(F.col(f"w_{n}")).alias(f"p_{n}") for n in names], x.market_area(q).alias("dma"))
-    d = d.join(F.broadcast(campaign_configs(campaigns)), F.col("p_campaign_id") == F.col("c_id"), "left")
+    names = ("advertiser_id", "campaign_id", "creative_id", "pf", "device_ip", "ifa", "ifa_type", "lmt", "app_id", "country", "exp", "sig", "cb", "roku_advertiser_id", "roku_campaign_id", "roku_creative_id", "roku_postal_code", "hh_id")
+    # The query string is split once and each value found in its parts, then decoded.
+    d = beacons.withColumn("_parts", x.parts(q)).withColumn("_keys", x.keys(F.col("_parts")))
+    written = lambda n: x.first_value(F.col("_parts"), F.col("_keys"), n)
+    d = d.select(*beacons.columns, *[written(n).alias(f"w_{n}") for n in names], x.market_area(F.col("_parts"), F.col("_keys")).alias("dma"))
+    d = d.select(*beacons.columns, *[x.read_value(F.col(f"w_{n}")).alias(f"p_{n}") for n in names], "dma")
+    d = d.join(dimension(campaign_configs(campaigns)), F.col("p_campaign_id") == F.col("c_id"), "left")
     p = {n: F.col(f"p_{n}") for n in names}
     roku = p["pf"] != "ua"
     child = F.coalesce("child_directed", F.lit(False))
@@ -68,21 +71,24 @@ def parsed(beacons: DataFrame, campaigns: DataFrame, settings: Settings = Settin
         "app_id": x.valid_or(p["app_id"], x.APP_ID, "unknown"),
         "ifa_type": F.when(F.col("is_roku"), "ip").otherwise(x.valid_or(F.lower(p["ifa_type"]), x.TOKEN)),
         "device_ip": F.when(F.col("is_roku") & F.col("identified"), p["device_ip"]).otherwise(""),
+        "sent_device_ip": p["device_ip"],
         "ad_id": F.when(~F.col("is_roku") & F.col("identified"), p["ifa"]).otherwise(""),
         **{n: native(n) for n in ("roku_advertiser_id", "roku_campaign_id", "roku_creative_id")},
         "roku_creative_id_encoded": F.when(F.col("is_roku") & encoded.rlike(r"\A[A-Za-z0-9+/=_-]{1,128}\z"), encoded).otherwise(""),
         "roku_postal_code": F.when(F.col("is_roku") & ~F.col("lmt"), x.valid_or(p["roku_postal_code"], r"\A[A-Za-z0-9 -]{1,16}\z")).otherwise(""),
         "roku_cachebuster": F.when(F.col("is_roku"), x.valid_or(p["cb"], r"\A[A-Za-z0-9_-]{1,128}\z")).otherwise(""),
-        "hh_id": F.when(~F.col("is_roku") & F.col("identified"), x.param(q, "hh_id")).otherwise(""),
+        "hh_id": F.when(~F.col("is_roku") & F.col("identified"), p["hh_id"]).otherwise(""),
     }
     keep = [c for c in beacons.columns if c not in out]
     return d.select(*keep, *[v.alias(k) for k, v in out.items()], "lmt", "country", "dma")
 
 
-def ingested(beacons: DataFrame, campaigns: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def ingested(beacons: DataFrame, campaigns: DataFrame, settings: Settings = Settings(), seen: DataFrame | None = None) -> DataFrame:
     """Each beacon with its one terminal ``outcome``. Needs ``seq`` and ``recv_ts``.
 
-    The kill switch comes first, then the rate limit by connecting address, then the verdict, then repeats.
+    The kill switch comes first, then the rate limit by connecting address, then the verdict, then repeats. ``seen``
+    is the store of live keys at the start (``stored`` of the batch before). While ``settings.previous_salt`` is set, a
+    beacon whose device lives there under the previous salt is a repeat too.
     """
     d = rate_limited(beacons.withColumn("t", F.col("recv_ts")), "connecting_ip", settings.rate_limit)
     d = parsed(d, campaigns, settings)
@@ -90,21 +96,38 @@ def ingested(beacons: DataFrame, campaigns: DataFrame, settings: Settings = Sett
     d = d.withColumn("early", early)
     s = scope(F.col("platform"), F.col("campaign_id"), F.col("creative_id"), F.col("roku_campaign_id"), F.col("roku_creative_id"))
     key = dedup_key(F.col("ifa_present") == "1", F.col("ifa_hash"), s, F.col("connecting_ip"), F.col("t"), settings)
-    d = d.withColumn("dedup_key", F.when(F.col("early").isNull(), key))
-    d = fixed_window(d, "dedup_key", settings.dedup_ttl)
-    return d.withColumn("outcome", F.coalesce("early", F.when(F.col("is_first"), "counted").otherwise("duplicate"))).drop("early", "is_first", "allowed")
+    before = F.when(F.col("previous_hash").isNotNull(), F.concat_ws("|", F.col("previous_hash"), s))
+    d = d.withColumns({"dedup_key": F.when(F.col("early").isNull(), key), "previous_key": F.when(F.col("early").isNull(), before)})
+    d = fixed_window(d, "dedup_key", settings.dedup_ttl, seen, "previous_key")
+    return d.withColumn("outcome", F.coalesce("early", F.when(F.col("is_first"), "counted").otherwise("duplicate"))).drop("early", "is_first", "allowed", "previous_key")
+
+
+def stored(outcomes: DataFrame, settings: Settings, as_of: int, seen: DataFrame | None = None) -> DataFrame:
+    """The store of live keys after ``ingested``."""
+    return live_keys(outcomes.select("dedup_key", "t", "seq"), "dedup_key", settings.dedup_ttl, as_of, seen)
 
 
 def ledger(outcomes: DataFrame) -> DataFrame:
-    """Two rows for each beacon: ``received`` and its terminal outcome. Ids that are none are ``unknown``."""
-    campaign = x.valid_or(F.coalesce("campaign_id", F.lit("")), x.ID, "unknown")
-    base = outcomes.select(F.col("t"), F.explode(F.array(F.lit("received"), F.col("outcome"))).alias("outcome"), campaign.alias("campaign_id"))
-    return base.withColumn("_sample_interval", F.lit(1).cast("bigint"))
+    """Two rows for each beacon in the stored columns: ``received`` and its terminal outcome. Ids that are none are ``unknown``."""
+    return ledger_rows(outcomes, F.col("campaign_id"), F.lit("received"), F.col("outcome"))
+
+
+def ledger_rows(rows: DataFrame, campaign, *outcomes) -> DataFrame:
+    """A row of ``schemas.LEDGER`` for each of ``outcomes`` that is not null. Needs ``t``."""
+    campaign = x.valid_or(F.coalesce(campaign, F.lit("")), x.ID, "unknown")
+    ts = x.at_second(F.col("t")).alias("ts")
+    d = rows.select(ts, F.explode(F.filter(F.array(*outcomes), lambda o: o.isNotNull())).alias("outcome"), campaign.alias("campaign_id"))
+    return d.withColumn("_sample_interval", F.lit(1).cast("bigint"))
+
+
+def alerts(failures: DataFrame) -> DataFrame:
+    """Ledger rows of failed side writes and jobs: ``t``, ``kind`` (without its prefix) and ``campaign_id``."""
+    return ledger_rows(failures, F.col("campaign_id"), F.concat(F.lit("alert_"), F.col("kind")))
 
 
 def impression_events(outcomes: DataFrame) -> DataFrame:
     """Counted impressions in the stored columns."""
-    ts = F.timestamp_seconds("t").cast("timestamp_ntz").alias("ts")
+    ts = x.at_second(F.col("t")).alias("ts")
     return outcomes.where("outcome = 'counted'").select(ts, *EVENT_NAMES, F.lit(1).cast("bigint").alias("_sample_interval"))
 
 
@@ -113,14 +136,15 @@ def store_key(roku_creative, creative) -> Column:
 
 
 def recent_impressions(outcomes: DataFrame) -> DataFrame:
-    """What call matching sees: counted impressions, with device fields only where they may be used."""
+    """What call matching sees: counted impressions, with device fields only where they may be used. The connecting
+    address is never one of them."""
     edge = "cf" in outcomes.columns
     ua = F.col("platform") == "ua"
     return outcomes.where("outcome = 'counted'").select(
         store_key(F.col("roku_creative_id"), F.col("creative_id")).alias("store_key"),
         F.col("t").alias("ts"),
         "seq",
-        F.when(ua & (F.col("ifa_present") == "1"), F.col("connecting_ip")).otherwise(F.col("device_ip")).alias("ip"),
+        F.col("device_ip").alias("ip"),
         F.when(ua, F.col("ad_id")).otherwise("").alias("rida"),
         F.when(ua, F.col("hh_id")).otherwise("").alias("hh_id"),
         (x.text(F.col("cf.region")) if edge else F.lit("")).alias("region"),
@@ -130,9 +154,29 @@ def recent_impressions(outcomes: DataFrame) -> DataFrame:
     )
 
 
+#: Names of the edge's fields as stored, by their names in a beacon.
+EDGE = {"country": "country", "region": "region", "regionCode": "region_code", "city": "city", "postalCode": "postal_code", "metroCode": "metro_code", "latitude": "latitude", "longitude": "longitude", "timezone": "timezone", "asn": "asn", "asOrganization": "as_org", "colo": "colo"}
+ROKU_NAMES = ("roku_advertiser_id", "roku_campaign_id", "roku_creative_id", "roku_creative_id_encoded", "roku_postal_code", "roku_cachebuster")
+
+
 def raw_rows(outcomes: DataFrame) -> DataFrame:
-    """Counted and repeated beacons as stored raw; ``dt``, ``h`` and ``hh`` are their folders."""
-    at = F.timestamp_seconds("t")
+    """Counted and repeated beacons as stored raw, with what was sent and seen of the connection; fields of the one
+    platform are null on the other. ``dt``, ``h`` and ``hh`` are their folders."""
+    at = x.at_second(F.col("t"))
     shard = F.when(F.col("ifa_hash") == "anon", "anon").otherwise(F.substring("ifa_hash", 1, 4))
-    keep = [c for c in outcomes.columns if c not in ("reason", "dedup_key", "previous_hash", "subject")]
-    return outcomes.where(F.col("outcome").isin("counted", "duplicate")).select(*keep, F.date_format(at, "yyyy-MM-dd").alias("dt"), shard.alias("h"), F.date_format(at, "HH").alias("hh"))
+    names = ("campaign_id", "creative_id", "advertiser_id", "app_id", "country", "dma", "ifa_hash", "ifa_present", "ifa_type", "platform")
+    seen = [F.col(n) if n in outcomes.columns else F.lit("").alias(n) for n in ("connecting_ip", "user_agent", "query")]
+    edge = [F.struct(*[F.col(f"cf.{a}").alias(b) for a, b in EDGE.items()]).alias("edge")] if "cf" in outcomes.columns else []
+    return outcomes.where(F.col("outcome").isin("counted", "duplicate")).select(
+        "seq",
+        F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("ts"),
+        *names,
+        *[F.when(F.col("platform") == "roku", F.col(n)).alias(n) for n in ROKU_NAMES],
+        "outcome",
+        F.col("sent_device_ip").alias("device_ip"),
+        *seen,
+        *edge,
+        F.date_format(at, "yyyy-MM-dd").alias("dt"),
+        shard.alias("h"),
+        F.date_format(at, "HH").alias("hh"),
+    )

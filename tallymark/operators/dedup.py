@@ -1,13 +1,21 @@
 """Deduplication in fixed windows: a sighting counts if the key's last counted sighting has expired.
 
-An event whose key was last seen a lifetime or more ago always counts, so a key's events are cut there and each
-stretch is folded by itself; a fold's state is an expiry, and only counted events are remembered.
+A key's events meet in one task in order of time, and a fold passes over them. It holds the key's expiry and no
+events, so a key with very many events needs no more memory than another; events without a key are spread.
+What the fold decides depends on all earlier events of the key, which no built-in aggregate or window expresses
+without holding them; batches go to Python as Arrow, and a fold steps from one counted event to the next.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallymark.config import Settings, is_placeholder
 from tallymark.functions.expressions import hashed
@@ -31,24 +39,111 @@ def dedup_key(ifa_present, ifa_hash, scope_key, connecting_ip, now, settings: Se
     return known.when(F.coalesce(connecting_ip, F.lit("")) != "", F.concat_ws("|", coarse, scope_key))
 
 
-def _stretches(df: DataFrame, key: str, ttl: int) -> DataFrame:
-    order = Window.partitionBy(key).orderBy("t", "seq")
-    cut = F.coalesce((F.col("t") - F.lag("t").over(order) >= ttl).cast("int"), F.lit(0))
-    return df.withColumn("_cut", cut).withColumn("_stretch", F.sum("_cut").over(order)).drop("_cut")
+State = tuple[int, ...]
+
+
+def folded(df: DataFrame, key: str, name: str, start: State, fold: Callable, *columns: str) -> DataFrame:
+    """Adds the Boolean column ``name``: what ``fold`` says of each event of a key, in order of ``t`` and ``seq``.
+
+    ``fold(state, rows, flags, a, b)`` sets the flags of rows ``a`` to ``b`` and gives the next state; ``rows`` has
+    ``t`` and ``columns`` as lists. Rows of a null key are all true. Rows of equal ``t`` and ``seq`` are taken one
+    after the other.
+    """
+    where = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("\0"), F.col("seq").cast("string")))
+    ordered = df.repartition(where).sortWithinPartitions(key, "t", "seq")
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, state = None, start
+        for batch in batches:
+            runs = pc.run_end_encode(batch.column(key))
+            rows = {c: batch.column(c).to_pylist() for c in ("t", *columns)}
+            flags, a = [False] * batch.num_rows, 0
+            for k, b in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+                if k is None:
+                    flags[a:b] = [True] * (b - a)
+                else:
+                    if k != held:
+                        held, state = k, start
+                    state = fold(state, rows, flags, a, b)
+                a = b
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(flags, pa.bool_())], [*batch.schema.names, name])
+
+    return ordered.mapInArrow(run, schema)
+
+
+def fixed_fold(ttl: int) -> Callable:
+    """State: the expiry. With a column ``_exp``, the expiry that the store held at the start."""
+
+    def fold(state: State, rows: dict, flags: list, a: int, b: int) -> State:
+        t, (end,) = rows["t"], state
+        if "_exp" in rows and rows["_exp"][a] is not None:
+            end = max(end, rows["_exp"][a])
+        i = bisect_left(t, end, a, b)
+        while i < b:
+            flags[i], end = True, t[i] + ttl
+            i = bisect_left(t, end, i + 1, b)
+        return (end,)
+
+    return fold
+
+
+def rotation_fold(ttl: int) -> Callable:
+    """State: the expiries of the old and of the new key."""
+
+    def fold(state: State, rows: dict, flags: list, a: int, b: int) -> State:
+        old, new = state
+        for i in range(a, b):
+            t, after = rows["t"][i], rows["after"][i]
+            flags[i] = not (old > t or (after and new > t))
+            if after and new <= t:
+                new = t + ttl
+            elif not after and old <= t:
+                old = t + ttl
+        return old, new
 
+    return fold
 
-def fixed_window(df: DataFrame, key: str, ttl: int) -> DataFrame:
-    """Adds ``is_first``. Needs ``t`` (seconds) and ``seq``; rows of a null key all count."""
-    rows = _stretches(df.where(F.col(key).isNotNull()).select(key, "t", "seq"), key, ttl)
-    events = F.sort_array(F.collect_list(F.struct("t", "seq")))
-    fold = F.aggregate(
-        events,
-        F.struct(F.lit(None).cast("bigint").alias("exp"), F.array().cast("array<bigint>").alias("hits")),
-        lambda s, e: F.when(s["exp"] > e["t"], s).otherwise(F.struct((e["t"] + ttl).alias("exp"), F.concat(s["hits"], F.array(e["seq"])).alias("hits"))),
-        lambda s: s["hits"],
-    )
-    hits = rows.groupBy(key, "_stretch").agg(fold.alias("hits")).select(F.explode("hits").alias("_hit"))
-    return df.join(hits, df["seq"] == F.col("_hit"), "left").withColumn("is_first", F.col(key).isNull() | F.col("_hit").isNotNull()).drop("_hit")
+
+def claim_fold(ttl: int) -> Callable:
+    """State: the expiry of the claim, the least number where a failed send gave it back."""
+
+    def fold(state: State, rows: dict, flags: list, a: int, b: int) -> State:
+        t, (end,) = rows["t"], state
+        i = bisect_left(t, end, a, b)
+        while i < b:
+            flags[i], end = True, t[i] + ttl if rows["sent"][i] else BEFORE
+            i = bisect_left(t, end, i + 1, b)
+        return (end,)
+
+    return fold
+
+
+#: Earlier than any event.
+BEFORE = -(1 << 62)
+
+
+def seeded(df: DataFrame, key: str, ttl: int, seen: DataFrame | None = None) -> DataFrame:
+    """Adds ``is_seed``: whether an event sets its key. ``seen``: ``key`` and ``exp`` of the store at the start."""
+    if seen is None:
+        return folded(df, key, "is_seed", (BEFORE,), fixed_fold(ttl))
+    held = seen.groupBy(F.col("key").alias("_key")).agg(F.max("exp").cast("bigint").alias("_exp"))
+    return folded(df.join(held, F.col(key) == F.col("_key"), "left").drop("_key"), key, "is_seed", (BEFORE,), fixed_fold(ttl), "_exp").drop("_exp")
+
+
+def fixed_window(df: DataFrame, key: str, ttl: int, seen: DataFrame | None = None, alias: str | None = None) -> DataFrame:
+    """Adds ``is_first``. Needs ``t`` (seconds) and ``seq``; rows of a null key all count.
+
+    ``alias`` is the key under the previous salt: an event is a repeat while that lives in ``seen``, and sets its
+    own key all the same.
+    """
+    d = seeded(df, key, ttl, seen)
+    first = F.col("is_seed")
+    if alias is not None and seen is not None:
+        held = seen.groupBy(F.col("key").alias("_key")).agg(F.max("exp").alias("_alias_exp"))
+        d = d.join(held, F.col(alias) == F.col("_key"), "left")
+        first = first & (F.col("_alias_exp").isNull() | (F.col("_alias_exp") <= F.col("t")))
+    return d.withColumn("is_first", first).drop("is_seed", "_key", "_alias_exp")
 
 
 def rotating(df: DataFrame, device: str, ttl: int) -> DataFrame:
@@ -57,43 +152,26 @@ def rotating(df: DataFrame, device: str, ttl: int) -> DataFrame:
     Before the change only the old key is asked and set. After it an event is a repeat if either key lives; a new
     key that does not live is set for a full lifetime, even where the old one made the event a repeat.
     """
-    events = F.sort_array(F.collect_list(F.struct("t", "seq", "after")))
-
-    def step(s, e):
-        old, new = s["old"] > e["t"], s["new"] > e["t"]
-        repeat = F.coalesce(F.when(e["after"], old | new).otherwise(old), F.lit(False))
-        end = e["t"] + ttl
-        return F.struct(
-            F.when(~e["after"] & ~old, end).otherwise(s["old"]).alias("old"),
-            F.when(e["after"] & ~new, end).otherwise(s["new"]).alias("new"),
-            F.when(repeat, s["hits"]).otherwise(F.concat(s["hits"], F.array(e["seq"]))).alias("hits"),
-        )
-
-    start = F.struct(F.lit(0).cast("bigint").alias("old"), F.lit(0).cast("bigint").alias("new"), F.array().cast("array<bigint>").alias("hits"))
-    hits = df.groupBy(device).agg(F.aggregate(events, start, step, lambda s: s["hits"]).alias("hits")).select(F.explode("hits").alias("_hit"))
-    return df.join(hits, df["seq"] == F.col("_hit"), "left").withColumn("is_first", F.col("_hit").isNotNull()).drop("_hit")
+    return folded(df, device, "is_first", (BEFORE, BEFORE), rotation_fold(ttl), "after")
 
 
 def claims(df: DataFrame, key: str, ttl: int) -> DataFrame:
     """Adds ``is_claimed``: whether an attempt got the claim on its key. ``sent`` says if its send succeeded; a
     failed send gives the claim back, so the next attempt runs."""
-    events = F.sort_array(F.collect_list(F.struct("t", "seq", "sent")))
+    return folded(df, key, "is_claimed", (BEFORE,), claim_fold(ttl), "sent")
 
-    def step(s, e):
-        live = s["exp"] > e["t"]
-        return F.when(live, s).otherwise(
-            F.struct(F.when(e["sent"], e["t"] + ttl).otherwise(F.lit(0)).cast("bigint").alias("exp"), F.concat(s["hits"], F.array(e["seq"])).alias("hits"))
-        )
 
-    start = F.struct(F.lit(0).cast("bigint").alias("exp"), F.array().cast("array<bigint>").alias("hits"))
-    hits = df.groupBy(key).agg(F.aggregate(events, start, step, lambda s: s["hits"]).alias("hits")).select(F.explode("hits").alias("_hit"))
-    return df.join(hits, df["seq"] == F.col("_hit"), "left").withColumn("is_claimed", F.col("_hit").isNotNull()).drop("_hit")
+def live_keys(df: DataFrame, key: str, ttl: int, as_of: int, seen: DataFrame | None = None) -> DataFrame:
+    """The store at ``as_of``: ``key`` and its expiry, without those that are purged."""
+    new = seeded(df.where(F.col(key).isNotNull()), key, ttl, seen).where("is_seed").groupBy(F.col(key).alias("key")).agg((F.max("t") + ttl).alias("exp"))
+    if seen is not None:
+        new = new.union(seen.select("key", "exp")).groupBy("key").agg(F.max("exp").alias("exp"))
+    return new.where(F.col("exp") > as_of)
 
 
-def live_keys(df: DataFrame, key: str, ttl: int, as_of: int) -> DataFrame:
-    """The store at ``as_of``: each key's expiry, without those that are purged."""
-    first = fixed_window(df, key, ttl).where(F.col("is_first") & F.col(key).isNotNull())
-    return first.groupBy(key).agg((F.max("t") + ttl).alias("exp")).where(F.col("exp") > as_of)
+def store_size(keys: DataFrame) -> DataFrame:
+    """How many keys the store holds."""
+    return keys.agg(F.count("*").alias("keys"))
 
 
 def erase_prefix(keys: DataFrame, key: str, prefix: str) -> DataFrame:

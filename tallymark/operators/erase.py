@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymark.operators.dedup import erase_prefix
 
+MAX_SCAN, MAX_CAMPAIGNS = 100_000, 200
+
 
 def preview(raw: DataFrame, ifa_hash: str, first_day: str, last_day: str) -> DataFrame:
     """By day: rows scanned in the subject's shard, rows to delete, and rows without a hash, for which erasure stops."""
@@ -21,37 +25,117 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(T.StructType([T.StructField(f.name, T.StringType() if f.name in ("dt", "h", "hh") else f.dataType) for f in fields])).parquet(path)
 
 
-def erase_raw(spark: SparkSession, path: str, ifa_hash: str, first_day: str, last_day: str) -> dict:
-    """Rewrite the subject's shard folders without its rows. Fails before writing if a row there has no hash."""
+def scanned_days(raw: DataFrame, ifa_hash: str, first_day: str, last_day: str, max_scan: int) -> tuple[str, bool, int, int]:
+    """The first day that a scan from ``last_day`` backwards reaches, whether it was cut, its days and its rows.
+
+    A day is scanned whole; no further day is begun once ``max_scan`` rows are scanned.
+    """
+    counts = {r["dt"]: r["scanned"] for r in preview(raw, ifa_hash, first_day, last_day).collect()}  # a row a day
+    day, end, total, days = date.fromisoformat(last_day), date.fromisoformat(first_day), 0, 0
+    while True:
+        total, days = total + counts.get(day.isoformat(), 0), days + 1
+        if day <= end or total >= max_scan:
+            return day.isoformat(), total >= max_scan, days, total
+        day -= timedelta(days=1)
+
+
+def erase_raw(spark: SparkSession, path: str, ifa_hash: str, first_day: str, last_day: str, max_scan: int = MAX_SCAN) -> dict:
+    """Rewrite the folders that hold rows of the subject without them. Fails before writing if a row there has no hash.
+
+    What is kept of those folders is first written beside the table, with the list of folders. An erasure that stops
+    before that is finished has changed nothing; one that stops later is carried out first by the next call, from
+    the finished copy. Folders of the table are replaced in one write; emptied ones are deleted.
+    """
+    resume(spark, path)
     raw = read_raw(spark, path)
+    first_day, truncated, days, scanned = scanned_days(raw, ifa_hash, first_day, last_day, max_scan)
     shard = raw.where(F.col("dt").between(first_day, last_day) & (F.col("h") == ifa_hash[:4]))
-    n = preview(raw, ifa_hash, first_day, last_day).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("scanned", "to_delete", "without_hash")], F.count("*").alias("days")).first()
+    n = shard.agg(F.count_if(F.col("ifa_hash") == ifa_hash).alias("found"), F.count_if(F.col("ifa_hash").isNull()).alias("without_hash")).first()
     if n["without_hash"]:
         raise ValueError(f"{n['without_hash']} rows of the shard have no hash; nothing was erased")
-    if n["to_delete"]:
-        kept = shard.where(F.col("ifa_hash") != ifa_hash)
-        beside = f"{path.rstrip('/')}.erasing"
-        kept.write.mode("overwrite").parquet(beside)
-        touched = shard.where(F.col("ifa_hash") == ifa_hash).select("dt", "h", "hh").distinct().collect()  # a subject's hours
-        clean = spark.read.schema(raw.schema).parquet(beside)
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path
-        for r in touched:
-            folder = f"{path.rstrip('/')}/dt={r['dt']}/h={r['h']}/hh={r['hh']}"
-            part = clean.where((F.col("dt") == r["dt"]) & (F.col("hh") == r["hh"]) & (F.col("h") == r["h"]))
-            part.drop("dt", "h", "hh").write.mode("overwrite").parquet(folder)
-        at = hadoop(beside)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    return {"scanned": n["scanned"], "deleted": n["to_delete"], "days_scanned": n["days"], "truncated": False}
-
-
-def erase_keys(keys: DataFrame, key: str, ifa_hash: str, previous_hash: str | None, campaigns: list[str]) -> DataFrame:
-    """Live keys without the subject's, under the current and the previous salt, in each campaign."""
-    for h in filter(None, (ifa_hash, previous_hash)):
+    if n["found"]:
+        mine = shard.where(F.col("ifa_hash") == ifa_hash).groupBy("dt", "h", "hh").agg(F.count("*").alias("erased"))
+        mine.coalesce(1).write.mode("overwrite").parquet(f"{_beside(path)}/folders")
+        folders = spark.read.parquet(f"{_beside(path)}/folders")
+        kept = shard.where(F.col("ifa_hash") != ifa_hash).join(F.broadcast(folders.select("dt", "h", "hh")), ["dt", "h", "hh"], "left_semi")  # a folder an hour
+        kept.select(*raw.columns).write.mode("overwrite").parquet(f"{_beside(path)}/kept")
+        resume(spark, path)
+    return {"scanned": scanned, "deleted": n["found"], "days_scanned": days, "truncated": truncated}
+
+
+def _beside(path: str) -> str:
+    return f"{path.rstrip('/')}.erasing"
+
+
+def resume(spark: SparkSession, path: str) -> bool:
+    """Carry out an erasure whose copy is finished, and drop one whose copy is not. Whether there was one to carry out."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    beside = hadoop(_beside(path))
+    files = beside.getFileSystem(spark._jsc.hadoopConfiguration())
+    finished = files.exists(hadoop(f"{_beside(path)}/kept/_SUCCESS"))
+    if finished:
+        raw = read_raw(spark, path)
+        kept = spark.read.schema(raw.schema).parquet(f"{_beside(path)}/kept")
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt", "h", "hh").parquet(path)
+        left = kept.select("dt", "h", "hh").distinct()
+        empty = read_raw(spark, f"{_beside(path)}/folders").join(left, ["dt", "h", "hh"], "left_anti").select("dt", "h", "hh")
+        for r in empty.collect():  # at most the hours of the days scanned
+            files.delete(hadoop(f"{path.rstrip('/')}/dt={r['dt']}/h={r['h']}/hh={r['hh']}"), True)
+    files.delete(beside, True)
+    return finished
+
+
+def erase_keys(keys: DataFrame, key: str, hashes: list[str], campaigns: list[str]) -> DataFrame:
+    """Live keys without the subject's, under each of its hashes (current and previous salt), in each campaign."""
+    for h in hashes:
         for campaign in campaigns:
             keys = erase_prefix(keys, key, f"{h}|{campaign}|")
     return keys
 
 
-def scope_complete(requested: list[str], listed_all: bool, capped: bool) -> bool:
-    """Whether an erasure covered every campaign there is."""
-    return not requested and listed_all and not capped
+def scope_of(campaigns: DataFrame, requested: list[str], cap: int = MAX_CAMPAIGNS) -> tuple[list[str], bool]:
+    """The campaigns that an erasure covers, and whether that is provably all: none was asked for and none left out."""
+    if requested:
+        return requested[:cap], False
+    listed = [r["campaign_id"] for r in campaigns.select("campaign_id").distinct().orderBy("campaign_id").limit(cap + 1).collect()]
+    return listed[:cap], len(listed) <= cap
+
+
+#: The one row that every erasure answers with.
+RESULT = "dedup_deleted bigint, raw_scanned bigint, raw_deleted bigint, raw_truncated boolean, raw_days_scanned int, campaigns_scanned int, scope_complete boolean, error string"
+
+
+def erase_subject(
+    spark: SparkSession, raw_path: str, keys: DataFrame, campaigns: DataFrame, hashes: list[str], first_day: str, last_day: str, requested: list[str] = [], max_scan: int = MAX_SCAN,
+) -> tuple[DataFrame, DataFrame]:
+    """Erase a subject's live keys and raw rows: the keys that are left, and the result's row.
+
+    Every result says whether its scope is complete; a failure never is.
+    """
+    covered, complete = scope_of(campaigns, requested)
+    raw = {"scanned": 0, "deleted": 0, "truncated": False, "days_scanned": 0}
+    if not covered:
+        return keys, spark.createDataFrame([(0, 0, 0, False, 0, 0, False, "no_campaigns")], RESULT)
+    left = erase_keys(keys, "key", hashes, covered)
+    deleted = keys.count() - left.count()
+    try:
+        for h in hashes:
+            r = erase_raw(spark, raw_path, h, first_day, last_day, max_scan)
+            raw = {"scanned": raw["scanned"] + r["scanned"], "deleted": raw["deleted"] + r["deleted"], "truncated": raw["truncated"] or r["truncated"], "days_scanned": max(raw["days_scanned"], r["days_scanned"])}
+    except ValueError:
+        complete, error = False, "raw_erase_failed"
+    else:
+        error = None
+    row = (deleted, raw["scanned"], raw["deleted"], raw["truncated"], raw["days_scanned"], len(covered), complete, error)
+    return left, spark.createDataFrame([row], RESULT)
+
+
+def expected_result(raw: DataFrame, keys: DataFrame, campaigns: DataFrame, hashes: list[str], first_day: str, last_day: str, requested: list[str] = [], max_scan: int = MAX_SCAN) -> DataFrame:
+    """The result's row of an erasure that is only looked at, with nothing changed."""
+    covered, complete = scope_of(campaigns, requested)
+    deleted = keys.count() - erase_keys(keys, "key", hashes, covered).count()
+    scans = [(h, *scanned_days(raw, h, first_day, last_day, max_scan)) for h in hashes]
+    found = [raw.where(F.col("dt").between(first, last_day) & (F.col("h") == h[:4])).agg(F.count_if(F.col("ifa_hash") == h), F.count_if(F.col("ifa_hash").isNull())).first() for h, first, *_ in scans]
+    error = "no_campaigns" if not covered else "raw_erase_failed" if any(f[1] for f in found) else None
+    row = (deleted, sum(s[4] for s in scans), sum(f[0] for f in found), any(s[2] for s in scans), max(s[3] for s in scans), len(covered), complete and error is None, error)
+    return raw.sparkSession.createDataFrame([row], RESULT)

@@ -69,7 +69,7 @@ def ledger_health(summary: DataFrame, settings: Settings = Settings()) -> DataFr
 def export_freshness(marker: DataFrame, now: datetime, max_age_hours: float = 26) -> DataFrame:
     """``age_hours`` and ``fresh`` of the last export's marker: recent, and of yesterday or the day before."""
     at = F.lit(now.isoformat(sep=" ")).cast("timestamp_ntz")
-    age = (F.unix_timestamp(at.cast("timestamp")) - F.unix_timestamp(F.col("ts").cast("timestamp"))) / 3600.0
+    age = F.timestamp_diff("SECOND", F.col("ts"), at) / 3600.0
     day = F.datediff(at.cast("date"), F.col("date").try_cast("date"))
     return marker.select("date", "rows", age.alias("age_hours"), F.coalesce((age <= max_age_hours) & day.between(1, 2), F.lit(False)).alias("fresh"))
 

@@ -11,5 +11,7 @@ def rate_limited(df: DataFrame, key: str, limit: int, seconds: int = 60) -> Data
     if limit <= 0:
         return df.withColumn("allowed", F.lit(True))
     minute = F.floor(F.col("t") / seconds)
-    nth = F.row_number().over(Window.partitionBy(key, minute).orderBy("t", "seq"))
-    return df.withColumn("allowed", (F.coalesce(F.col(key), F.lit("")).cast("string") == "") | (nth <= limit))
+    free = F.coalesce(F.col(key).cast("string"), F.lit("")) == ""
+    apart = F.when(free, F.col("seq"))  # rows without a key are not ranked together
+    nth = F.row_number().over(Window.partitionBy(key, minute, apart).orderBy("t", "seq"))
+    return df.withColumn("allowed", free | (nth <= limit))

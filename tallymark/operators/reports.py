@@ -79,6 +79,14 @@ def volume_alerts(imps: DataFrame, deviation: float = 0.2) -> DataFrame:
     return d.withColumn("is_alert", F.coalesce(off > deviation, F.lit(False)))
 
 
+def counted_alerts(ledger: DataFrame, least: float = 0.5) -> DataFrame:
+    """Days on which fewer of the beacons received were counted than ``least`` of them."""
+    sums = [F.coalesce(F.sum(F.when(F.col("outcome") == o, F.col(WEIGHT))), F.lit(0)).cast("bigint").alias(o) for o in ("received", "counted")]
+    d = ledger.groupBy(F.col("ts").cast("date").alias("day")).agg(*sums)
+    ratio = F.when(F.col("received") > 0, F.col("counted").cast("double") / F.col("received").cast("double"))
+    return d.withColumn("counted_ratio", ratio).withColumn("is_alert", F.coalesce(ratio < least, F.lit(False)))
+
+
 def page(df: DataFrame, keys: list[str], offset: int, size: int) -> DataFrame:
     """A page in the order of all keys."""
     return df.orderBy(*keys).offset(offset).limit(size)

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallymark.functions import expressions as x
+
 CREATIVES = 10
 STATES = ("California", "Texas", "New York", "Illinois")
 AREA_CODES = (("415", "California"), ("214", "Texas"), ("212", "New York"), ("312", "Illinois"))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    t = F.unix_seconds(F.col("ts").cast("timestamp"))
-    return e.select("event_id", "ts", "user_id", "event_type", "value", t.alias("t"), F.col("event_id").alias("seq"), F.get_json_object("props", "$.k").cast("int").alias("k"))
+    return e.select("event_id", "ts", "user_id", "event_type", "value", x.second_of(F.col("ts")).alias("t"), F.col("event_id").alias("seq"), F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
 def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +98,7 @@ def beacons(spark: SparkSession, sf_dir: str) -> DataFrame:
     country = F.when(k % 10 == 1, "ca").when(k % 10 == 2, "${CC}").otherwise("US")
     dma = F.when(k % 4 == 1, F.concat(F.lit("&dma"), s(500 + u % 20))).when(k % 4 == 2, "&dma=x").otherwise(F.concat(F.lit("&dma="), s(500 + u % 20)))
     query = F.concat(
-        F.lit("advertiser_id=adv_"), s(u % 3), F.lit("&campaign_id="), camp, F.lit("&creative_id=cre%5F"), s(u % CREATIVES),
+        F.lit("advertiser_id=adv_"), s(u % 3), F.when(k % 11 == 3, "&campaign%5Fid=").otherwise("&campaign_id="), camp, F.lit("&creative_id=cre%5F"), s(u % CREATIVES),
         F.when(u % 2 == 1, "&pf=ua").otherwise(""), F.lit("&device_ip="), ip, F.lit("&ifa="), ifa, F.lit("&lmt="),
         F.when(k % 7 == 0, "1").when(k % 7 == 1, "[LMT]").when(k % 7 == 2, "no").otherwise(""),
         F.lit("&country="), country, dma, F.lit("&campaign_id=other"),
@@ -112,3 +112,34 @@ def campaigns(spark: SparkSession) -> DataFrame:
         ("camp_3", '{"status": "paused"}'), ("camp_4", '{"markets": ["us", "CA", "bogus"]}'), ("camp_5", "{not json"),
     ]
     return spark.createDataFrame(rows, "campaign_id string, value string")
+
+
+CALL_KEY = "call-key"
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A signed request for each call, with forged, damaged, unknown, short and repeated ones among them."""
+    e, k, u, t = F.col("event_id"), F.col("k"), F.col("user_id"), F.col("t")
+    s = lambda x: x.cast("string")
+    code = F.element_at(F.array(*[F.lit(c) for c, _ in AREA_CODES]), (e % 4 + 1).cast("int"))
+    dnis = F.when(k.between(15, 19), "+18005550177").when(k.between(20, 24), "+18005550199").otherwise(F.concat(F.lit("+1800555010"), s(u % CREATIVES)))
+    body = F.concat(
+        F.lit('{"callId":"c'), s(e % 200), F.lit('","dnis":"'), dnis, F.lit('","ani":"+1'), code, F.lpad(s(u), 7, "0"),
+        F.lit('","startTime":'), s(t), F.lit(',"durationSeconds":'), s(F.col("value")), F.when(k.between(10, 14), "").otherwise("}"),
+    )
+    stamp = s(t + 5)
+    signature = F.when(k < 10, "00").otherwise(x.hmac_sha256(CALL_KEY, F.concat_ws(".", stamp, body)))
+    calls = events(spark, sf_dir).where("event_type = 'purchase'")
+    return calls.select("seq", (t + 5).alias("recv_ts"), F.concat(F.lit("198.51.100."), s(u % 3)).alias("ip"), stamp.alias("x_timestamp"), signature.alias("x_signature"), body.cast("binary").alias("body"), (k % 2 == 0).alias("sent"))
+
+
+def numbers(spark: SparkSession) -> DataFrame:
+    """Ten mapped numbers: odd ones of the other platform, one that every call qualifies for; and a bad mapping."""
+    rows = [(f"+1800555010{i}", f'{{"creativeId": "cre_{i}", "campaignId": "camp_{i % 5}"' + (', "platform": "ua"' if i % 2 else "") + (', "qualifySeconds": 0' if i == 3 else "") + "}") for i in range(CREATIVES)]
+    return spark.createDataFrame([*rows, ("+18005550199", '{"creativeId": "a b"}')], "dnis string, value string")
+
+
+def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failed side writes and jobs, for some of the events."""
+    kind = F.when(F.col("k") == 97, "raw_write_error").when(F.col("k") == 98, "export_failed").otherwise("recent_write_error")
+    return events(spark, sf_dir).where("k >= 97").select("t", kind.alias("kind"), F.concat(F.lit("camp_"), (F.col("event_id") % 5).cast("string")).alias("campaign_id"))

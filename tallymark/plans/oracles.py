@@ -104,13 +104,15 @@ HEALTH = """SELECT *, beacon_healthy AND call_healthy AS healthy FROM (
                coalesce(sum(events) FILTER (starts_with(outcome, 'reject_')), 0)::BIGINT AS rejects,
                coalesce(sum(events) FILTER (outcome IN ('reject_outside_flight', 'reject_out_of_market')), 0)::BIGINT AS policy_rejects,
                coalesce(sum(events) FILTER (outcome = 'reject_internal'), 0)::BIGINT AS internal_errors,
-               coalesce(sum(events) FILTER (starts_with(outcome, 'alert_')), 0)::BIGINT AS alerts, 0::BIGINT AS infra_alerts,
+               coalesce(sum(events) FILTER (starts_with(outcome, 'alert_')), 0)::BIGINT AS alerts,
+               coalesce(sum(events) FILTER (outcome IN ('alert_export_failed', 'alert_health_check_failed', 'alert_health_write_failed', 'alert_claim_release_failed', 'alert_admin_dsar_error', 'alert_notify_failed')), 0)::BIGINT AS infra_alerts,
                coalesce(sum(events) FILTER (starts_with(outcome, 'call_')), 0)::BIGINT AS call_attempts,
-               coalesce(sum(events) FILTER (outcome = 'call_not_qualified'), 0)::BIGINT AS call_rejections, 0::BIGINT AS call_errors
+               coalesce(sum(events) FILTER (outcome IN ('call_unauthorized', 'call_unknown_number', 'call_bad_request', 'call_not_qualified', 'call_bad_number_mapping', 'call_not_configured', 'call_rate_limited')), 0)::BIGINT AS call_rejections,
+               coalesce(sum(events) FILTER (outcome IN ('call_capi_error', 'call_internal_error')), 0)::BIGINT AS call_errors
         FROM summary))))"""
 
 ROLLUP = """rollup AS (
-  SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, campaign_id, creative_id, advertiser_id, country, app_id, ifa_present, ifa_type, platform, dma,
+  SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, campaign_id, creative_id, country, app_id, advertiser_id, ifa_present, platform, dma,
          roku_advertiser_id, roku_campaign_id, roku_creative_id, sum(w)::BIGINT AS impressions
   FROM imp WHERE ts >= TIMESTAMP '2024-01-15' AND ts < TIMESTAMP '2024-01-16' GROUP BY ALL)"""
 
@@ -136,12 +138,79 @@ p AS (
          CASE WHEN roku THEN 'ip:10.0.' ELSE '' END AS x
   FROM l),
 parsed AS (
-  SELECT seq, t, user_id, reason, CASE WHEN roku THEN 'roku' ELSE 'ua' END AS platform, CASE WHEN known THEN '1' ELSE '0' END AS ifa_present,
+  SELECT seq, t, user_id, k, reason, CASE WHEN roku THEN 'roku' ELSE 'ua' END AS platform, CASE WHEN known THEN '1' ELSE '0' END AS ifa_present,
          CASE WHEN known THEN sha256('salt|' || CASE WHEN roku THEN 'ip:10.0.' || user_id % 200 || '.' || user_id % 250 ELSE 'dev-' || user_id END) ELSE 'anon' END AS ifa_hash,
          lmt, country, CASE WHEN k % 4 = 2 THEN '' ELSE (500 + user_id % 20)::VARCHAR END AS dma, 'cre_' || user_id % 10 AS creative_id, camp
   FROM p)"""
 
+#: A replay of the store of live keys, key by key, and each beacon's terminal outcome.
+OUTCOMES = f"""{BEACONS}, o AS (SELECT *, row_number() OVER (PARTITION BY user_id % 7, t // 60 ORDER BY t, seq) <= 1 AS allowed FROM parsed),
+early AS (
+  SELECT *, CASE WHEN NOT allowed THEN 'reject_rate_limited' WHEN reason IS NOT NULL THEN 'reject_' || reason END AS early,
+         CASE WHEN ifa_present = '1' THEN ifa_hash ELSE sha256('pepper|ip:192.0.2.' || user_id % 7 || ':' || t // 3600) END || '|' || camp || '|' || creative_id AS key
+  FROM o),
+live AS (SELECT key, t, seq, t >= 1705276800 AS after, row_number() OVER (PARTITION BY key ORDER BY t, seq) AS n FROM early WHERE early IS NULL)"""
+ENDED = "ended AS (SELECT e.*, coalesce(early, CASE WHEN is_first THEN 'counted' ELSE 'duplicate' END) AS outcome FROM early e LEFT JOIN store USING (seq))"
+STORE = """store AS (
+  SELECT key, n, seq, t + 86400 AS exp, true AS is_first FROM live WHERE n = 1
+  UNION ALL
+  SELECT k.key, k.n, k.seq, CASE WHEN w.exp > k.t THEN w.exp ELSE k.t + 86400 END, NOT w.exp > k.t FROM store w JOIN live k ON k.key = w.key AND k.n = w.n + 1)"""
+ROTATED_STORE = """store AS (
+  SELECT key, n, seq, CASE WHEN after THEN 0 ELSE t + 86400 END AS old, CASE WHEN after THEN t + 86400 ELSE 0 END AS new, true AS is_first FROM live WHERE n = 1
+  UNION ALL
+  SELECT k.key, k.n, k.seq, CASE WHEN NOT k.after AND w.old <= k.t THEN k.t + 86400 ELSE w.old END, CASE WHEN k.after AND w.new <= k.t THEN k.t + 86400 ELSE w.new END,
+         NOT (w.old > k.t OR k.after AND w.new > k.t)
+  FROM store w JOIN live k ON k.key = w.key AND k.n = w.n + 1)"""
+
+#: Call requests: verdict, claim and end. Needs ``e``.
+CONCLUDED = """req AS (SELECT *, row_number() OVER (PARTITION BY user_id % 3, (t + 5) // 60 ORDER BY t, seq) AS nth FROM e WHERE event_type = 'purchase'),
+pre AS (
+  SELECT *, CASE WHEN nth > 1 THEN 'call_rate_limited' WHEN k < 10 THEN 'call_unauthorized' WHEN k < 15 THEN 'call_bad_request' WHEN k < 20 THEN 'call_unknown_number'
+              WHEN k < 25 THEN 'call_bad_number_mapping' WHEN value < CASE WHEN user_id % 10 = 3 THEN 0 ELSE 60 END THEN 'call_not_qualified' END AS early_end,
+         user_id % 2 = 0 AND k % 2 = 0 AS sent, (event_id % 200) || ':' || user_id % 10 AS claim
+  FROM req),
+tries AS (SELECT claim, t, seq, sent, row_number() OVER (PARTITION BY claim ORDER BY t, seq) AS n FROM pre WHERE early_end IS NULL),
+held AS (
+  SELECT claim, n, seq, CASE WHEN sent THEN t + 172800 ELSE 0 END AS exp, true AS is_claimed FROM tries WHERE n = 1
+  UNION ALL
+  SELECT k.claim, k.n, k.seq, CASE WHEN w.exp > k.t THEN w.exp WHEN k.sent THEN k.t + 172800 ELSE 0 END, NOT w.exp > k.t FROM held w JOIN tries k ON k.claim = w.claim AND k.n = w.n + 1),
+concluded AS (
+  SELECT p.*, coalesce(is_claimed, false) AS goes_on,
+         coalesce(early_end, CASE WHEN NOT is_claimed THEN 'call_duplicate' WHEN user_id % 2 = 1 THEN 'call_skipped' WHEN k % 2 = 1 THEN 'call_capi_error' ELSE 'call_dry_run' END) AS outcome
+  FROM pre p LEFT JOIN held USING (seq))"""
+
+#: The ledger of beacons, calls and alerts together.
+WHOLE = f"""WITH RECURSIVE {OUTCOMES}, {STORE}, {ENDED}, {CONCLUDED}, led AS (
+  SELECT TIMESTAMP '1970-01-01' + to_seconds(t) AS ts, unnest(['received', outcome]) AS outcome, CASE WHEN camp IN ('', 'no such') THEN 'unknown' ELSE camp END AS campaign_id FROM ended
+  UNION ALL
+  SELECT TIMESTAMP '1970-01-01' + to_seconds(t + 5), outcome,
+         CASE WHEN outcome IN ('call_rate_limited', 'call_unauthorized', 'call_bad_request', 'call_unknown_number', 'call_bad_number_mapping') THEN 'unknown' ELSE 'camp_' || (user_id % 10) % 5 END FROM concluded
+  UNION ALL
+  SELECT TIMESTAMP '1970-01-01' + to_seconds(t), CASE k WHEN 97 THEN 'alert_raw_write_error' WHEN 98 THEN 'alert_export_failed' ELSE 'alert_recent_write_error' END, 'camp_' || event_id % 5 FROM e WHERE k >= 97),
+summary AS (SELECT outcome, count(*)::BIGINT AS events FROM led WHERE ts > TIMESTAMP '2024-01-01' GROUP BY outcome)"""
+
+
+def fresh(hours: int, where: str = "true") -> str:
+    return f"""SELECT date, rows, age_hours, age_hours <= {hours} AND date_diff('day', date::DATE, DATE '2024-01-31') BETWEEN 1 AND 2 AS fresh FROM (
+  SELECT strftime(max(ts), '%Y-%m-%d') AS date, count(*) AS rows, (epoch(TIMESTAMP '2024-01-31') - epoch(date_trunc('hour', max(ts)))) / 3600.0::DOUBLE AS age_hours FROM imp WHERE {where} GROUP BY campaign_id)"""
+
+
+def pads(key: str) -> tuple[str, str]:
+    """The two padded keys of a keyed digest, as SQL text."""
+    return tuple("'" + "".join(chr(b ^ p) for b in key.encode().ljust(64, b"\0")).replace("'", "''") + "'" for p in (0x36, 0x5C))
+
+
+def erasure(campaigns: str, count: int, complete: bool) -> str:
+    return f"""WITH RECURSIVE {IMP}{KEYS}, {FIRST}, live AS (SELECT key FROM firsts GROUP BY key HAVING max(t) + 86400 > 1706659200),
+days AS (SELECT day, count(ifa_hash) AS n, count(ifa_hash) FILTER (ifa_hash = sha256('salt|17')) AS mine FROM (SELECT unnest(generate_series(DATE '2024-01-03', DATE '2024-01-25', INTERVAL 1 DAY))::DATE AS day)
+  LEFT JOIN imp ON imp.ts::DATE = day AND imp.ifa_present = '1' AND substr(ifa_hash, 1, 4) = substr(sha256('salt|17'), 1, 4) GROUP BY day),
+reached AS (SELECT *, coalesce(sum(n) OVER (ORDER BY day DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 60 AS ok FROM days)
+SELECT (SELECT count(*) FROM live WHERE {campaigns}) AS dedup_deleted, sum(n)::BIGINT AS raw_scanned, sum(mine)::BIGINT AS raw_deleted, sum(n) >= 60 AS raw_truncated,
+       count(*)::INT AS raw_days_scanned, {count}::INT AS campaigns_scanned, {str(complete).lower()} AS scope_complete, NULL::VARCHAR AS error FROM reached WHERE ok"""
+
+
 _KINDS = {
+    "dates": ("2024-01-05", "2024-01-05T10:00:00Z", "2024-02-30", "soon", "", "2024-01-05 10:30:00"),
     "ips": ("10.0.0.1", "0.0.0.0", "256.1.1.1", "1.2.3", "01.2.3.4", "255.255.255.255", "1.2.3.4.5", "[[[DEVICE_IP]]]", "", "1.2.3.4\n"),
     "ids": ("abc-123", "00000000-0000-0000-0000-000000000000", "FFFF-FFFF", "ffffffff", "[IFA]", "${IDA}", "NULL", "n/a", "-", "", "a", "aab"),
     "limits": ("1", " Yes ", "true", "0", "no", "", "[LMT]", "2", "FALSE", "n"),
@@ -153,7 +222,8 @@ SQL = {
     "a2_impressions_by_country": f"WITH {IMP} SELECT country, sum(w)::BIGINT AS impressions FROM imp WHERE ts > TIMESTAMP '2024-01-29' GROUP BY 1",
     "a3_hourly_trend": f"WITH {IMP} SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, sum(w)::BIGINT AS impressions FROM imp WHERE ts > TIMESTAMP '2024-01-28' GROUP BY 1",
     "a4_reach_exact": f"WITH {IMP} SELECT campaign_id, count(DISTINCT ifa_hash) AS reach FROM imp WHERE ts > TIMESTAMP '2024-01-01' AND ifa_present = '1' GROUP BY 1",
-    "a4_reach_of_campaign": f"WITH {IMP} SELECT 'camp_9' AS campaign_id, count(DISTINCT ifa_hash) AS reach FROM imp WHERE campaign_id = 'camp_9'",
+    "a4_reach_of_campaign": f"""WITH {IMP} SELECT 'camp_3' AS campaign_id, count(DISTINCT ifa_hash) AS reach FROM imp WHERE campaign_id = 'camp_3' AND ts > TIMESTAMP '2024-01-17' AND ifa_present = '1'
+UNION ALL SELECT 'camp_9', count(DISTINCT ifa_hash) FROM imp WHERE campaign_id = 'camp_9'""",
     "a5_recon_summary": f"WITH {LEDGER} SELECT * FROM summary",
     "a6_daily_rollup": f"WITH {IMP}, {ROLLUP} SELECT * FROM rollup",
     "a9_native_ids": f"WITH {IMP} SELECT roku_advertiser_id, roku_campaign_id, roku_creative_id, sum(w)::BIGINT AS impressions, max(ts) AS last_seen FROM imp WHERE platform = 'roku' AND ts > TIMESTAMP '2024-01-01' GROUP BY 1, 2, 3",
@@ -193,9 +263,9 @@ SELECT event_id, e164, sha256(e164) AS hash, CASE WHEN length(a) >= 3 THEN subst
     "f4_caller_state": f"WITH {E}{CALLS} SELECT state AS caller_state, count(*) AS calls FROM calls GROUP BY 1",
     "f13_payload_roku": payload("roku"),
     "f14_payload_ua": payload("ua"),
-    "h1_ledger_health": f"WITH {LEDGER} {HEALTH}",
-    "h2_export_freshness": f"WITH {LEDGER} SELECT '2024-01-30' AS date, count(*) AS rows, 1::DOUBLE AS age_hours, true AS fresh FROM (SELECT DISTINCT outcome FROM led WHERE ts > TIMESTAMP '2023-11-02')",
-    "h3_overall": f"WITH {LEDGER} SELECT healthy AS ledger_healthy, true AS export_fresh, healthy AS all_healthy FROM ({HEALTH})",
+    "h1_ledger_health": f"{WHOLE} {HEALTH}",
+    "h2_export_freshness": f"WITH {IMP} {fresh(4)}",
+    "h3_overall": f"{WHOLE}, {IMP.split('FROM events), ', 1)[1]}, f AS ({fresh(26, "campaign_id = 'camp_1'")}) SELECT healthy AS ledger_healthy, coalesce(bool_or(fresh), false) AS export_fresh, healthy AND coalesce(bool_or(fresh), false) AS all_healthy FROM ({HEALTH}) LEFT JOIN f ON true GROUP BY healthy",
     "j4_match_best": f"WITH {match(10)} {MATCH_COLUMNS}",
     "j4_match_gated": f"WITH {match(2)} {MATCH_COLUMNS}",
     "o3_page": f"WITH {IMP}, {ROLLUP} SELECT hour, campaign_id, creative_id, impressions FROM rollup ORDER BY hour, campaign_id, creative_id, country, app_id, ifa_present, advertiser_id, dma LIMIT 20 OFFSET 5",
@@ -210,4 +280,28 @@ SELECT event_id, v <> '' AND NOT regexp_matches(v, '[\\[\\]{{}}%#<>$]') AND NOT
     "s5_listing": f"""WITH RECURSIVE {IMP}{KEYS}, {FIRST}, live AS (SELECT key FROM firsts GROUP BY key HAVING max(t) + 86400 > 1706659200), f AS (SELECT key FROM live WHERE starts_with(key, '0'))
 SELECT key, (SELECT count(*) FROM f) <= 20 AS complete FROM f ORDER BY key LIMIT 20""",
     "w1_rate_limit": f"WITH {E} SELECT seq, row_number() OVER (PARTITION BY user_id % 7, t // 3600 ORDER BY t, seq) <= 3 AS allowed FROM e",
+    "d3_outcomes": f"WITH RECURSIVE {OUTCOMES}, {STORE}, {ENDED} SELECT seq, outcome FROM ended",
+    "d3_rotation": f"WITH RECURSIVE {OUTCOMES}, {ROTATED_STORE}, {ENDED} SELECT seq, outcome FROM ended",
+    "p5_tag_signatures": f"""WITH {E}, m AS (SELECT event_id, k, t, sha256(encode({pads("signing-key")[1]}) || unhex(sha256({pads("signing-key")[0]} || 'adv|camp_' || event_id % 5 || '|cre|1767225600'))) AS sig FROM e)
+SELECT event_id, sig, CASE WHEN k % 10 = 0 THEN 'bad_signature' WHEN k BETWEEN 40 AND 69 THEN 'expired' WHEN k >= 70 THEN 'bad_signature' END AS verdict FROM m""",
+    "p8_boundaries": f"""WITH {values(_KINDS['dates'])}, s AS (SELECT event_id, regexp_full_match(v, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AS bare, epoch(try_cast(replace(replace(v, 'T', ' '), 'Z', '') AS TIMESTAMP))::BIGINT AS second FROM v)
+SELECT event_id, second AS starts_at, CASE WHEN bare THEN second + 86399 ELSE second END AS ends_at FROM s""",
+    "p23_recent": f"""WITH RECURSIVE {OUTCOMES}, {STORE}, {ENDED} SELECT creative_id AS store_key, t AS ts, seq, CASE WHEN platform = 'roku' AND ifa_present = '1' THEN '10.0.' || user_id % 200 || '.' || user_id % 250 ELSE '' END AS ip,
+       CASE WHEN platform = 'ua' AND ifa_present = '1' THEN 'dev-' || user_id ELSE '' END AS rida, '' AS hh_id, lmt FROM ended WHERE outcome = 'counted'""",
+    "p24_raw_rows": f"""WITH RECURSIVE {OUTCOMES}, {STORE}, {ENDED} SELECT seq, strftime(TIMESTAMP '1970-01-01' + to_seconds(t), '%Y-%m-%dT%H:%M:%S.000Z') AS ts, outcome, camp AS campaign_id,
+       CASE k % 10 WHEN 3 THEN '0.0.0.0' WHEN 4 THEN '[[[DEVICE_IP]]]' WHEN 5 THEN '10.0.0.256' ELSE '10.0.' || user_id % 200 || '.' || user_id % 250 END AS device_ip, '192.0.2.' || user_id % 7 AS connecting_ip, ifa_present,
+       CASE WHEN platform = 'roku' THEN '' END AS roku_creative_id, strftime(TIMESTAMP '1970-01-01' + to_seconds(t), '%Y-%m-%d') AS dt, CASE WHEN ifa_hash = 'anon' THEN 'anon' ELSE substr(ifa_hash, 1, 4) END AS h,
+       strftime(TIMESTAMP '1970-01-01' + to_seconds(t), '%H') AS hh FROM ended WHERE outcome IN ('counted', 'duplicate')""",
+    "c1_call_outcomes": f"""WITH RECURSIVE {match(10)}, {CONCLUDED}
+SELECT c.seq, outcome, CASE WHEN goes_on THEN best_seq END AS best_seq, CASE WHEN goes_on THEN candidates ELSE 0 END AS candidates, CASE WHEN goes_on THEN gate ELSE 'no_match' END AS gate,
+       CASE WHEN c.k BETWEEN 10 AND 14 THEN '' ELSE state END AS caller_state FROM concluded c JOIN g ON g.call_seq = c.seq""",
+    "s9_ledger": f"{WHOLE} SELECT outcome, campaign_id, count(*) AS n, min(ts) AS first, max(ts) AS last FROM led GROUP BY 1, 2",
+    "s7_numeric": f"WITH {E} SELECT event_type, count(*) AS n, CASE WHEN event_type <> 'error' THEN sum(k)::BIGINT END AS k FROM e GROUP BY event_type",
+    "f11_ceiling": f"""WITH {match(10)}, c AS (SELECT *, CASE WHEN candidates <= 2 THEN confidence ELSE 0 END AS sure FROM m)
+SELECT call_id AS "callId", candidates, candidates > 0 AS matched, CASE WHEN candidates <= 2 THEN best_seq END AS best_seq, sure AS confidence,
+       CASE WHEN candidates = 0 THEN 'no_match' WHEN candidates > 2 THEN 'too_many_candidates' WHEN sure < 0.6::DOUBLE THEN 'low_confidence' ELSE 'ok' END AS gate FROM c""",
+    "a11_store_size": f"WITH RECURSIVE {IMP}{KEYS}, {FIRST} SELECT count(*) AS keys FROM (SELECT key FROM firsts GROUP BY key HAVING max(t) + 86400 > 1706659200)",
+    "a12_counted_alerts": f"{WHOLE} SELECT day, received, counted, coalesce(counted::DOUBLE / nullif(received, 0) < 0.5, false) AS is_alert FROM (SELECT ts::DATE AS day, count(*) FILTER (outcome = 'received') AS received, count(*) FILTER (outcome = 'counted') AS counted FROM led GROUP BY 1)",
+    "e4_erasure_result": erasure("starts_with(key, sha256('salt|17') || '|')", 5, True),
+    "e4_partial_erasure": erasure("starts_with(key, sha256('salt|17') || '|camp_1|') OR starts_with(key, sha256('salt|17') || '|camp_2|')", 2, False),
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from tallymark.config import Settings
 from tallymark.functions import expressions as x
 from tallymark.operators import attribution, beacons, dedup, erase, health, payloads, ratelimit, reports
 from tallymark.plans import domain
+from tallymark.sources import io
 
 AS_OF = datetime(2024, 1, 31)
 DAY = "2024-01-15"
@@ -44,6 +46,7 @@ def _values(s, d, values):
 IPS = ("10.0.0.1", "0.0.0.0", "256.1.1.1", "1.2.3", "01.2.3.4", "255.255.255.255", "1.2.3.4.5", "[[[DEVICE_IP]]]", "", "1.2.3.4\n")
 AD_IDS = ("abc-123", "00000000-0000-0000-0000-000000000000", "FFFF-FFFF", "ffffffff", "[IFA]", "${IDA}", "NULL", "n/a", "-", "", "a", "aab")
 LIMITS = ("1", " Yes ", "true", "0", "no", "", "[LMT]", "2", "FALSE", "n")
+DATES = ("2024-01-05", "2024-01-05T10:00:00Z", "2024-02-30", "soon", "", "2024-01-05 10:30:00")
 PHONES = ("+1 (415) 555-0142", "0044 20 7946 0958", "14155550142", "212.555.0199", "12", "1999", "", "+1-312-555-0100", "00012145550123")
 
 
@@ -72,9 +75,52 @@ def _beacons(s, d):
     return b.select("seq", "reason", "platform", "ifa_present", "ifa_hash", "lmt", "country", "dma", "creative_id")
 
 
-def _outcomes(s, d):
-    settings = Settings(rate_limit=1)
-    return beacons.ingested(domain.beacons(s, d), domain.campaigns(s), settings).groupBy("outcome").agg(F.count("*").alias("n"))
+ROTATED = 1705276800
+LIMITED = Settings(rate_limit=1, ip_salt="pepper")
+
+
+def _ingested(s, d):
+    return beacons.ingested(domain.beacons(s, d), domain.campaigns(s), LIMITED)
+
+
+def _rotated(s, d):
+    """A batch under the old salt, and one under the new that knows the old one's store."""
+    b, c = domain.beacons(s, d), domain.campaigns(s)
+    first = beacons.ingested(b.where(F.col("t") < ROTATED), c, LIMITED)
+    store = beacons.stored(first, LIMITED, ROTATED)
+    after = replace(LIMITED, hash_salt="new", previous_salt="salt")
+    second = beacons.ingested(b.where(F.col("t") >= ROTATED), c, after, store)
+    return first.select("seq", "outcome").union(second.select("seq", "outcome"))
+
+
+def _concluded(s, d):
+    settings = Settings(call_key=domain.CALL_KEY, call_rate_limit=1, event_group_id="group1")
+    return attribution.concluded(domain.requests(s, d), domain.numbers(s), domain.recent(s, d), domain.area_codes(s), settings)
+
+
+def _calls(s, d):
+    return _concluded(s, d).select("seq", "outcome", F.col("best.imp_seq").alias("best_seq"), "candidates", "gate", "caller_state")
+
+
+def _whole_ledger(s, d):
+    return beacons.ledger(_ingested(s, d)).unionByName(attribution.call_ledger(_concluded(s, d))).unionByName(beacons.alerts(domain.failures(s, d)))
+
+
+def _ledger_summary(s, d):
+    return reports.ledger_summary(_whole_ledger(s, d), AS_OF, 24 * 30)
+
+
+def _numeric(s, d):
+    text = domain.events(s, d).groupBy("event_type").agg(F.count("*").cast("string").alias("n"), F.when(F.col("event_type") != "error", F.sum("k").cast("string")).alias("k"))
+    return io.numeric(text, {"event_type": "String", "n": "UInt64", "k": "Nullable(UInt64)"})
+
+
+def _erasure_result(requested):
+    def run(s, d):
+        campaigns = domain.impressions(s, d).select("campaign_id").distinct()
+        return erase.expected_result(_raw(s, d), _keys(s, d), campaigns, [_subject()], "2024-01-03", "2024-01-25", requested, 60)
+
+    return run
 
 
 def _raw(s, d):
@@ -96,13 +142,23 @@ def _keys(s, d):
 
 
 def _erased(s, d):
-    left = erase.erase_keys(_keys(s, d), "key", _subject(), None, [f"camp_{i}" for i in range(5)])
+    left = erase.erase_keys(_keys(s, d), "key", [_subject()], [f"camp_{i}" for i in range(5)])
     return left.agg(F.count("*").alias("kept"))
 
 
+def _marker(s, d):
+    """A marker for each campaign: of its last day, and of the hour of its last impression."""
+    m = domain.impressions(s, d).groupBy("campaign_id").agg(F.max("ts").alias("last"), F.count("*").alias("rows"))
+    return m.select("campaign_id", F.date_format("last", "yyyy-MM-dd").alias("date"), "rows", F.date_trunc("hour", "last").cast("timestamp_ntz").alias("ts"))
+
+
 def _freshness(s, d):
-    m = reports.ledger_summary(domain.ledger(s, d), AS_OF, 24 * 90).agg(F.count("*").alias("rows")).select(F.lit("2024-01-30").alias("date"), "rows", F.lit("2024-01-30 23:00:00").cast("timestamp_ntz").alias("ts"))
-    return health.export_freshness(m, AS_OF)
+    return health.export_freshness(_marker(s, d), AS_OF, 4)
+
+
+def _overall(s, d):
+    one = health.export_freshness(_marker(s, d).where("campaign_id = 'camp_1'"), AS_OF)
+    return health.overall(health.ledger_health(_ledger_summary(s, d)), one)
 
 
 def _qualified(s, d):
@@ -111,9 +167,13 @@ def _qualified(s, d):
 
 
 def _tags(s, d):
-    e = domain.events(s, d)
-    text = F.concat(F.lit("adv|camp_"), (F.col("event_id") % 5).cast("string"), F.lit("|cre|1767225600"))
-    return e.select("event_id", x.hmac_sha256("signing-key", text).alias("sig"))
+    """Signatures of tags, and the verdicts on them with several expiries."""
+    e, k = domain.events(s, d), F.col("k")
+    parts = F.lit("adv"), F.concat(F.lit("camp_"), (F.col("event_id") % 5).cast("string")), F.lit("cre")
+    exp = F.when(k < 20, "1767225600").when(k < 40, "01767225600.0").when(k < 50, "").when(k < 60, "soon").when(k < 70, "1700000000").otherwise("1767225601")
+    sig = x.hmac_sha256("signing-key", F.concat_ws("|", *parts, F.lit("1767225600")))
+    given = F.when(k % 10 == 0, "").when(k % 10 == 1, F.upper(sig)).otherwise(sig)
+    return e.select("event_id", sig.alias("sig"), x.tag_verdict("signing-key", *parts, exp, given, F.col("t")).alias("verdict"))
 
 
 QUERIES = {
@@ -121,7 +181,7 @@ QUERIES = {
     "a2_impressions_by_country": lambda s, d: reports.by_country(domain.impressions(s, d), AS_OF, 48),
     "a3_hourly_trend": lambda s, d: reports.hourly_trend(domain.impressions(s, d), AS_OF, 72),
     "a4_reach_exact": lambda s, d: reports.reach(domain.impressions(s, d), AS_OF),
-    "a4_reach_of_campaign": lambda s, d: reports.reach(domain.impressions(s, d), AS_OF, "camp_9"),
+    "a4_reach_of_campaign": lambda s, d: reports.reach(domain.impressions(s, d), AS_OF, "camp_3", 14).union(reports.reach(domain.impressions(s, d), AS_OF, "camp_9")),
     "a4_reach_estimate": lambda s, d: reports.reach(domain.impressions(s, d), AS_OF, exact=False),
     "a5_recon_summary": lambda s, d: reports.ledger_summary(domain.ledger(s, d), AS_OF, 24 * 30),
     "a6_daily_rollup": lambda s, d: reports.daily_rollup(domain.impressions(s, d), DAY),
@@ -139,9 +199,9 @@ QUERIES = {
     "f4_caller_state": lambda s, d: attribution.caller_states(domain.calls(s, d), domain.area_codes(s)).groupBy("caller_state").agg(F.count("*").alias("calls")),
     "f13_payload_roku": _payload("roku"),
     "f14_payload_ua": _payload("ua"),
-    "h1_ledger_health": lambda s, d: health.ledger_health(reports.ledger_summary(domain.ledger(s, d), AS_OF, 24 * 30)),
+    "h1_ledger_health": lambda s, d: health.ledger_health(_ledger_summary(s, d)),
     "h2_export_freshness": _freshness,
-    "h3_overall": lambda s, d: health.overall(health.ledger_health(reports.ledger_summary(domain.ledger(s, d), AS_OF, 24 * 30)), _freshness(s, d)),
+    "h3_overall": _overall,
     "j4_match_best": lambda s, d: _match_columns(_match(s, d)),
     "j4_match_gated": lambda s, d: _match_columns(_match(s, d, 2)),
     "o3_page": lambda s, d: reports.page(reports.daily_rollup(domain.impressions(s, d), DAY), ["hour", "campaign_id", "creative_id", "country", "app_id", "ifa_present", "advertiser_id", "dma"], 5, 20).select("hour", "campaign_id", "creative_id", "impressions"),
@@ -154,5 +214,17 @@ QUERIES = {
     "p21_qualified": _qualified,
     "s5_listing": lambda s, d: reports.listing(_keys(s, d), "key", "0", 20),
     "w1_rate_limit": lambda s, d: ratelimit.rate_limited(domain.events(s, d).withColumn("key", F.col("user_id") % 7), "key", 3, 3600).select("seq", "allowed"),
-    "d3_outcomes": _outcomes,
+    "d3_outcomes": lambda s, d: _ingested(s, d).select("seq", "outcome"),
+    "d3_rotation": _rotated,
+    "c1_call_outcomes": _calls,
+    "s9_ledger": lambda s, d: _whole_ledger(s, d).groupBy("outcome", "campaign_id").agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last")),
+    "s7_numeric": _numeric,
+    "p8_boundaries": lambda s, d: _values(s, d, DATES).select("event_id", x.boundary(F.col("v"), False).alias("starts_at"), x.boundary(F.col("v"), True).alias("ends_at")),
+    "p23_recent": lambda s, d: beacons.recent_impressions(_ingested(s, d)).select("store_key", "ts", "seq", "ip", "rida", "hh_id", "lmt"),
+    "p24_raw_rows": lambda s, d: beacons.raw_rows(_ingested(s, d)).select("seq", "ts", "outcome", "campaign_id", "device_ip", "connecting_ip", "ifa_present", "roku_creative_id", "dt", "h", "hh"),
+    "f11_ceiling": lambda s, d: attribution.matched(attribution.caller_states(domain.calls(s, d), domain.area_codes(s)), domain.recent(s, d), Settings(candidate_ceiling=2)).select("callId", "candidates", "matched", F.col("best.imp_seq").alias("best_seq"), "confidence", "gate"),
+    "a11_store_size": lambda s, d: dedup.store_size(_keys(s, d)),
+    "a12_counted_alerts": lambda s, d: reports.counted_alerts(_whole_ledger(s, d)).select("day", "received", "counted", "is_alert"),
+    "e4_erasure_result": _erasure_result([]),
+    "e4_partial_erasure": _erasure_result(["camp_1", "camp_2"]),
 }

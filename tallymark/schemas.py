@@ -1,4 +1,4 @@
-"""Schemas of the inputs and of the stored tables, as DDL; nothing is inferred."""
+"""Schemas of the inputs and of the stored tables, as DDL; nothing is inferred. Names of columns are fixed values."""
 
 from __future__ import annotations
 
@@ -9,10 +9,11 @@ CALL = "callId string, dnis string, ani string, startTime double, durationSecond
 LOOKUP = "key string, value string"
 CAMPAIGN = "status string, start string, end string, markets array<string>, child_directed string, _bad string"
 MAPPING = "creativeId string, campaignId string, advertiserId string, platform string, qualifySeconds double, eventGroupId string, rokuCreativeId string, _bad string"
-#: The twelve named string columns of an impression besides its time and weight, in stored order.
+#: The named string columns of an impression besides its time and weight, in stored order.
 EVENT_NAMES = ("campaign_id", "creative_id", "ifa_hash", "country", "app_id", "advertiser_id", "ifa_present", "ifa_type", "platform", "dma", "roku_advertiser_id", "roku_campaign_id", "roku_creative_id")
 EVENT = "ts timestamp_ntz, " + ", ".join(f"{n} string" for n in EVENT_NAMES) + ", _sample_interval bigint"
 LEDGER = "ts timestamp_ntz, outcome string, campaign_id string, _sample_interval bigint"
 RECENT = "store_key string, ts bigint, seq bigint, ip string, rida string, hh_id string, region string, city string, postal string, lmt boolean"
-EXPORT_KEYS = ("hour", "campaign_id", "creative_id", "advertiser_id", "country", "app_id", "ifa_present", "ifa_type", "platform", "dma", "roku_advertiser_id", "roku_campaign_id", "roku_creative_id")
+#: The keys of the daily export, in the order of its rows.
+EXPORT_KEYS = ("hour", "campaign_id", "creative_id", "country", "app_id", "advertiser_id", "ifa_present", "platform", "dma", "roku_advertiser_id", "roku_campaign_id", "roku_creative_id")
 MARKER = "date string, rows bigint, key string, ts timestamp_ntz, partial boolean"

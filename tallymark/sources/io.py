@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallymark.config import checked_date
+from tallymark.config import checked_date, export_date
 from tallymark.operators.reports import daily_rollup
 from tallymark.schemas import BEACON, CALL_REQUEST, EVENT, EVENT_NAMES, EXPORT_KEYS, LOOKUP, MARKER
 
@@ -32,6 +32,11 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EVENT).parquet(path).fillna("", list(EVENT_NAMES))
 
 
+def read_area_codes(spark: SparkSession, path: str) -> DataFrame:
+    """Area codes and their states from comma-separated text; the table is public and belongs to the installation."""
+    return spark.read.schema("area_code string, state string").option("header", "true").csv(path)
+
+
 def numeric(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
     """Numbers that came as text in a report's result, by the type the result names; nulls stay."""
     spark_type = lambda k: "double" if "Float" in k or "Decimal" in k else "bigint"
@@ -45,7 +50,9 @@ def append_daily(df: DataFrame, path: str, ts: str = "ts") -> None:
 
 def write_raw(rows: DataFrame, path: str) -> None:
     """Append raw rows in their day, shard and hour."""
-    rows.repartition("dt", "h").sortWithinPartitions("dt", "h", "hh").write.mode("append").partitionBy("dt", "h", "hh").parquet(path)
+    # The shard of rows without an identity is as large as all others together: it is dealt by hour and row.
+    apart = F.when(F.col("h") == "anon", F.concat_ws("|", "hh", F.pmod(F.xxhash64(*[c for c in rows.columns if c not in ("dt", "h", "hh")]), F.lit(16))))
+    rows.repartition("dt", "h", apart).sortWithinPartitions("dt", "h", "hh").write.mode("append").partitionBy("dt", "h", "hh").parquet(path)
 
 
 def export_day(spark: SparkSession, events: DataFrame, path: str, day: str, now: datetime, partial: bool = False) -> DataFrame:
@@ -67,6 +74,11 @@ def backfill(spark: SparkSession, events: DataFrame, path: str, day: str, now: d
     return export_day(spark, events, path, day, now, partial)
 
 
+def nightly_export(spark: SparkSession, events: DataFrame, path: str, now: datetime) -> DataFrame:
+    """The export of a nightly run: the day before ``now``."""
+    return export_day(spark, events, path, export_date(now), now)
+
+
 def read_marker(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MARKER).json(f"{path}/_status/last_export.json")
 

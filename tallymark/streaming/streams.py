@@ -1,8 +1,8 @@
-"""Streaming twins: fixed-window deduplication by state, hourly rollups, and call matching by interval join.
+"""Streaming twins: deduplication, salt rotation and call claims by state, hourly rollups, and call matching by
+interval join.
 
 Event time and watermarks are additions: the batch operators take arrival order as the only order. Rows later
-than the watermark are dropped by the windowed and joined streams; the deduplicator takes rows as they arrive,
-in order of time within a micro-batch.
+than the watermark are dropped; the folds take the others as they arrive, in order of time within a micro-batch.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tallymark.operators import dedup
 from tallymark.operators.reports import events
 
 
@@ -21,25 +22,41 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def deduplicated(stream: DataFrame, key: str, ttl: int) -> DataFrame:
-    """``key``, ``t``, ``seq`` and ``is_first`` of each row; a key's expiry is its state, kept for ``ttl`` seconds
-    of processing time after its last row. A stretch of arrivals that are all repeats does not move the expiry."""
+def folded(stream: DataFrame, key: str, name: str, start: tuple, fold: Callable, columns: dict[str, str], delay: str, keep: int) -> DataFrame:
+    """``key``, ``t``, ``seq`` and the Boolean ``name`` of each row, by one of the folds of the batch operators.
 
-    def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    A key's state is the fold's: its expiries. It goes when the watermark (``delay`` behind the latest ``t``) has passed
+    its last row by ``keep`` seconds, so a pause of the stream ends no window, however long it lasts.
+    """
+
+    def step(key_values: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        end = state.get[0] if state.exists else 0
         rows = pd.concat(list(frames)).sort_values(["t", "seq"])
-        first = []
-        for t in rows["t"]:
-            first.append(end <= t)
-            end = t + ttl if end <= t else end
-        state.update((int(end),))
-        state.setTimeoutDuration(ttl * 1000)
-        yield pd.DataFrame({key: name[0], "t": rows["t"], "seq": rows["seq"], "is_first": first})
-
-    return stream.select(key, "t", "seq").groupBy(key).applyInPandasWithState(step, f"{key} string, t long, seq long, is_first boolean", "exp long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        lists, flags = {c: rows[c].tolist() for c in ("t", *columns)}, [False] * len(rows)
+        state.update(fold(tuple(state.get) if state.exists else start, lists, flags, 0, len(rows)))
+        state.setTimeoutTimestamp(max((lists["t"][-1] + keep) * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({key: key_values[0], "t": rows["t"], "seq": rows["seq"], name: flags})
+
+    rows = stream.select(key, "t", "seq", *columns, F.timestamp_seconds("t").alias("_at")).withWatermark("_at", delay)
+    kept = ", ".join(f"s{i} long" for i in range(len(start)))
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} string, t long, seq long, {name} boolean", kept, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def deduplicated(stream: DataFrame, key: str, ttl: int, delay: str = "1 hour") -> DataFrame:
+    """``is_first`` by fixed windows. A stretch of arrivals that are all repeats does not move the expiry."""
+    return folded(stream, key, "is_first", (dedup.BEFORE,), dedup.fixed_fold(ttl), {}, delay, ttl)
+
+
+def rotating(stream: DataFrame, device: str, ttl: int, delay: str = "1 hour") -> DataFrame:
+    """``is_first`` under a change of salts; ``after`` says whether an event bears the new salt."""
+    return folded(stream, device, "is_first", (dedup.BEFORE,) * 2, dedup.rotation_fold(ttl), {"after": "boolean"}, delay, ttl)
+
+
+def claims(stream: DataFrame, key: str, ttl: int, delay: str = "1 hour") -> DataFrame:
+    """``is_claimed`` of each attempt; ``sent`` says if its send succeeded."""
+    return folded(stream, key, "is_claimed", (dedup.BEFORE,), dedup.claim_fold(ttl), {"sent": "boolean"}, delay, ttl)
 
 
 def hourly(stream: DataFrame, keys: list[str], delay: str = "1 hour") -> DataFrame:

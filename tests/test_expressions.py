@@ -47,9 +47,9 @@ def test_tracking_limits(spark, value, limits):
 
 
 def test_parameters(spark):
-    q = "a=1&b=x+y%21&a=2&c=%zz&d=[[[DEVICE_IP]]]&e=%20t%20&f=a+b%2B&dma501"
-    got = evaluate(spark, [(q, "")], a=x.param(F.col("v"), "a"), b=x.param(F.col("v"), "b"), c=x.param(F.col("v"), "c"), d=x.param(F.col("v"), "d"), e=x.param(F.col("v"), "e"), f=x.raw_param(F.col("v"), "f"), g=x.raw_param(F.col("v"), "c"), h=x.param(F.col("v"), "none"), i=x.market_area(F.col("v")))
-    assert got == [("1", "x y!", "%zz", "[[[DEVICE_IP]]]", "t", "a+b+", "", "", "501")]
+    q = "a=1&b=x+y%21&a=2&c=%zz%21&d=[[[DEVICE_IP]]]&e=%20t%20&f=a+b%2B&dma501&camp%5Fid=k%3D1&&x"
+    got = evaluate(spark, [(q, "")], a=x.param(F.col("v"), "a"), b=x.param(F.col("v"), "b"), c=x.param(F.col("v"), "c"), d=x.param(F.col("v"), "d"), e=x.param(F.col("v"), "e"), f=x.raw_param(F.col("v"), "f"), g=x.raw_param(F.col("v"), "c"), h=x.param(F.col("v"), "none"), i=x.market_area(x.parts(F.col("v")), x.keys(x.parts(F.col("v")))), j=x.param(F.col("v"), "camp_id"), k=x.param(F.col("v"), "x"))
+    assert got == [("1", "x y!", "%zz!", "[[[DEVICE_IP]]]", "t", "a+b+", "", "", "501", "k=1", "")]
 
 
 @pytest.mark.parametrize("key", ["k", "a much longer key than one block of sixty-four bytes, which is therefore hashed first"])
@@ -61,8 +61,8 @@ def test_keyed_digest(spark, key):
 def test_tag_verdicts(spark):
     sig = lambda exp: hmac.new(b"secret", f"a|c|r|{exp}".encode(), "sha256").hexdigest()
     verdict = lambda key: x.tag_verdict(key, F.lit("a"), F.lit("c"), F.lit("r"), F.col("v"), F.col("w"), F.lit(1000))
-    rows = [("2000", sig(2000)), ("2000", sig(2000).upper()), ("02000", sig(2000)), ("2000", sig(2001)), ("2000", ""), ("999", sig(999)), ("999", "bad"), ("soon", sig("soon"))]
-    assert [r[0] for r in evaluate(spark, rows, a=verdict("secret"))] == [None, None, None, "bad_signature", "bad_signature", "expired", "expired", "bad_signature"]
+    rows = [("2000", sig(2000)), ("2000", sig(2000).upper()), ("02000", sig(2000)), ("2000", sig(2001)), ("2000", ""), ("999", sig(999)), ("999", "bad"), ("soon", sig("soon")), ("", sig(0)), ("nan", sig(2000)), ("Infinity", sig(2000))]
+    assert [r[0] for r in evaluate(spark, rows, a=verdict("secret"))] == [None, None, None, "bad_signature", "bad_signature", "expired", "expired", *["expired"] * 4]
     assert evaluate(spark, rows[:1], a=verdict("1" * 64)) == [("not_configured",)]
 
 

@@ -50,10 +50,10 @@ BEACON = "seq long, recv_ts long, query string, connecting_ip string"
 ROKU = "advertiser_id=adv1&campaign_id=camp1&creative_id=cre1&device_ip=203.0.113.7&country=US&dma=501"
 
 
-def ingest(spark, queries, settings=Settings(), at=None, ip="192.0.2.1"):
+def ingest(spark, queries, settings=Settings(), at=None, ip="192.0.2.1", seen=None):
     rows = [(i, at[i] if at else 1000 + i, q, ip) for i, q in enumerate(queries)]
     config = spark.createDataFrame([("camp1", "active"), ("kids", "child_directed"), ("off", '{"status": "paused"}'), ("late", '{"start": "2030-01-01"}'), ("eu", '{"markets": ["de"]}')], "campaign_id string, value string")
-    return beacons.ingested(spark.createDataFrame(rows, BEACON), config, settings)
+    return beacons.ingested(spark.createDataFrame(rows, BEACON), config, settings, seen)
 
 
 def test_every_beacon_has_one_outcome(spark):
@@ -94,6 +94,59 @@ def match(spark, imps, settings=Settings(), state="Texas"):
     return attribution.matched(c, r, settings)
 
 
+def test_a_previous_salt_joins_batches(spark):
+    """A device seen under the old salt is a repeat after the change, and its new key is set for a full lifetime."""
+    old, new = Settings(hash_salt="old"), Settings(hash_salt="new", previous_salt="old")
+    first = ingest(spark, [ROKU], old, at=[1000])
+    store = beacons.stored(first, old, 2000)
+    again = ingest(spark, [ROKU, ROKU.replace("7&", "8&")], new, at=[2000, 2001], seen=store)
+    assert [r.outcome for r in again.orderBy("seq").collect()] == ["duplicate", "counted"]
+    assert [r.outcome for r in ingest(spark, [ROKU], Settings(hash_salt="new"), at=[2000], seen=store).collect()] == ["counted"]
+    store = beacons.stored(again, new, 3000, store)
+    assert sorted(r.exp for r in store.collect()) == [1000 + 86_400, 2000 + 86_400, 2001 + 86_400]
+    late = ingest(spark, [ROKU, ROKU], Settings(hash_salt="new"), at=[1000 + 86_400, 2000 + 86_400], seen=store)
+    assert [r.outcome for r in late.orderBy("seq").collect()] == ["duplicate", "counted"]
+
+
+def test_repeated_numbers_count_once(spark):
+    df = spark.createDataFrame([("a", 5, 1), ("a", 5, 1), ("b", 5, 1)], "key string, t long, seq long")
+    assert sorted((r.key, r.is_first) for r in dedup.fixed_window(df, "key", 100).collect()) == [("a", False), ("a", True), ("b", True)]
+
+
+def test_call_path(spark):
+    import hashlib
+    import hmac
+    import json
+
+    def row(i, t, sent=True, **more):
+        body = json.dumps({"callId": "c1", "dnis": "+18005550100", "ani": "4155550142", "startTime": t, "durationSeconds": 75} | more).encode()
+        return (i, t, "192.0.2.1", str(t), hmac.new(b"ck", f"{t}.".encode() + body, hashlib.sha256).hexdigest(), bytearray(body), sent)
+
+    rows = [row(1, 10_000, False), row(2, 10_100), row(3, 10_200), row(4, 10_300, callId="c2", durationSeconds=5), row(5, 10_400, callId="c3", dnis="+18005550101"), row(6, 10_500, callId="c4", dnis="x" * 12)]
+    r = spark.createDataFrame(rows, "seq long, recv_ts long, ip string, x_timestamp string, x_signature string, body binary, sent boolean")
+    n = spark.createDataFrame([("+18005550100", '{"creativeId": "cre", "campaignId": "camp1"}'), ("+18005550101", '{"creativeId": "cre", "platform": "ua"}')], "dnis string, value string")
+    i = spark.createDataFrame([("cre", 9_990, 1, "10.0.0.1", "", "", "California", "", "", False)], RECENT)
+    a = spark.createDataFrame([("415", "California")], "area_code string, state string")
+    settings = Settings(call_key="ck", live=True, send_key="k", event_group_id="g")
+    got = attribution.concluded(r, n, i, a, settings).orderBy("seq").collect()
+    assert [x.outcome for x in got] == ["call_capi_error", "call_fired", "call_duplicate", "call_not_qualified", "call_skipped", "call_bad_request"]
+    assert [x.gate for x in got[:3]] == ["ok", "ok", "no_match"] and got[1].caller_state == "California"
+    led = {(x.outcome, x.campaign_id) for x in attribution.call_ledger(attribution.concluded(r, n, i, a, settings)).collect()}
+    assert ("call_fired", "camp1") in led and ("call_skipped", "unknown") in led and ("call_bad_request", "unknown") in led
+    dry = attribution.concluded(r, n, i, a, Settings(call_key="ck", event_group_id="g"), "https://example.test")
+    assert [x.outcome for x in dry.orderBy("seq").collect()][:2] == ["call_capi_error", "call_dry_run"]
+
+
+def test_ledgers_can_be_reported(spark):
+    out = ingest(spark, [ROKU, ROKU, "bad"], at=[1704067201, 1704067202, 1704067203])
+    failed = spark.createDataFrame([(1704067203, "raw_write_error", "camp1")], "t long, kind string, campaign_id string")
+    led = beacons.ledger(out).unionByName(beacons.alerts(failed))
+    got = {r.outcome: r.events for r in reports.ledger_summary(led, datetime(2024, 1, 2)).collect()}
+    assert got == {"received": 3, "counted": 1, "duplicate": 1, "reject_missing_params": 1, "alert_raw_write_error": 1}
+    day = reports.counted_alerts(led).first()
+    assert (day.received, day.counted, day.is_alert) == (3, 1, True)
+
+
 def test_matching(spark):
     assert match(spark, [(9_940, "Texas", False)]).first().confidence > 0.9
     edge = match(spark, [(6_400, "Texas", False), (6_399, "Texas", False), (10_001, "Texas", False)]).first()
@@ -159,14 +212,78 @@ def test_erasure(spark, tmp_path):
     rows = [(h, "2026-09-13", "ab12", "01", 1), (h, "2026-09-14", "ab12", "02", 2), (sibling, "2026-09-14", "ab12", "02", 3), (h, "2026-09-20", "ab12", "02", 4), ("ff" * 32, "2026-09-14", "ffff", "02", 5)]
     io.write_raw(spark.createDataFrame(rows, "ifa_hash string, dt string, h string, hh string, n long"), f"{tmp_path}/raw")
     got = erase.erase_raw(spark, f"{tmp_path}/raw", h, "2026-09-13", "2026-09-15")
-    assert (got["scanned"], got["deleted"], got["days_scanned"]) == (3, 2, 2)
+    assert (got["scanned"], got["deleted"], got["days_scanned"]) == (3, 2, 3)
     assert sorted(r.n for r in spark.read.parquet(f"{tmp_path}/raw").collect()) == [3, 4, 5]
     io.write_raw(spark.createDataFrame([(None, "2026-09-20", "ab12", "03", 6)], "ifa_hash string, dt string, h string, hh string, n long"), f"{tmp_path}/raw")
     with pytest.raises(ValueError, match="no hash"):
         erase.erase_raw(spark, f"{tmp_path}/raw", h, "2026-09-19", "2026-09-21")
     keys = spark.createDataFrame([(f"{h}|c1|x",), (f"{h}|c_|x",), (f"{sibling}|c1|x",)], "k string")
-    assert erase.erase_keys(keys, "k", h, None, ["c1"]).count() == 2 and dedup.erase_prefix(keys, "k", "").count() == 3
-    assert erase.scope_complete([], True, False) and not erase.scope_complete(["c"], True, False)
+    assert erase.erase_keys(keys, "k", [h], ["c1"]).count() == 2 and dedup.erase_prefix(keys, "k", "").count() == 3
+
+
+RAW = "ifa_hash string, dt string, h string, hh string, n long"
+
+
+def raw_rows(spark, path, h):
+    rows = [(h, f"2026-09-{10 + d}", h[:4], f"{hour:02d}", 10 * d + hour) for d in range(4) for hour in (1, 2)] + [(h[:4] + "f" * 60, "2026-09-12", h[:4], "01", 99)]
+    io.write_raw(spark.createDataFrame(rows, RAW), path)
+
+
+def test_erasure_stops_at_its_cap(spark, tmp_path):
+    h = "ab12" + "0" * 60
+    raw_rows(spark, f"{tmp_path}/raw", h)
+    got = erase.erase_raw(spark, f"{tmp_path}/raw", h, "2026-09-01", "2026-09-14", max_scan=4)
+    assert got == {"scanned": 5, "deleted": 4, "days_scanned": 3, "truncated": True}
+    assert sorted(r.n for r in spark.read.parquet(f"{tmp_path}/raw").collect()) == [1, 2, 11, 12, 99]
+    got = erase.erase_raw(spark, f"{tmp_path}/raw", h, "2026-09-09", "2026-09-14")
+    assert got == {"scanned": 5, "deleted": 4, "days_scanned": 6, "truncated": False}
+
+
+@pytest.mark.parametrize("after", ["folders", "kept", "replaced"])
+def test_an_interrupted_erasure_loses_nothing(spark, tmp_path, monkeypatch, after):
+    h, path = "ab12" + "0" * 60, f"{tmp_path}/raw"
+    raw_rows(spark, path, h)
+
+    def stop(*_):
+        raise RuntimeError("stopped")
+
+    real, calls = erase.resume, []
+
+    def resume(s, p):
+        calls.append(p)
+        if len(calls) == 1:
+            return False
+        if after == "replaced":  # stopped between the write of the folders and the deletion of emptied ones
+            kept = s.read.schema(erase.read_raw(s, p).schema).parquet(f"{p}.erasing/kept")
+            kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt", "h", "hh").parquet(p)
+        stop()
+
+    monkeypatch.setattr(erase, "resume", resume)
+    with pytest.raises(RuntimeError):
+        erase.erase_raw(spark, path, h, "2026-09-12", "2026-09-13")
+    monkeypatch.setattr(erase, "resume", real)
+    if after == "folders":  # the copy itself was not finished
+        (tmp_path / "raw.erasing" / "kept" / "_SUCCESS").unlink()
+    erase.erase_raw(spark, path, h, "2026-09-01", "2026-09-02")
+    left = sorted(r.n for r in spark.read.parquet(path).collect())
+    assert left == ([1, 2, 11, 12, 99] if after != "folders" else [1, 2, 11, 12, 21, 22, 31, 32, 99])
+    assert not (tmp_path / "raw.erasing").exists()
+
+
+def test_every_erasure_says_whether_its_scope_is_complete(spark, tmp_path):
+    h, path = "ab12" + "0" * 60, f"{tmp_path}/raw"
+    raw_rows(spark, path, h)
+    keys = spark.createDataFrame([(f"{h}|c1|x", 1), (f"{h}|c2|x", 1), ("ff|c1|x", 1)], "key string, exp long")
+    campaigns = spark.createDataFrame([("c1",), ("c2",)], "campaign_id string")
+    call = lambda **n: erase.erase_subject(spark, path, keys, n.pop("campaigns", campaigns), [h], "2026-09-10", "2026-09-13", **n)
+    want = erase.expected_result(erase.read_raw(spark, path), keys, campaigns, [h], "2026-09-10", "2026-09-13", ["c1"]).first()
+    left, row = call(requested=["c1"])
+    assert left.count() == 2 and row.first() == want and (want.dedup_deleted, want.raw_deleted, want.scope_complete) == (1, 8, False)
+    assert call()[1].first().scope_complete
+    assert call(campaigns=campaigns.where("false"))[1].first()[-2:] == (False, "no_campaigns")
+    assert erase.scope_of(campaigns, [], 1) == (["c1"], False)
+    io.write_raw(spark.createDataFrame([(None, "2026-09-12", "ab12", "03", 6)], RAW), path)
+    assert call()[1].first()[-2:] == (False, "raw_erase_failed")
 
 
 def test_reports_weigh_rows(spark):
