@@ -4,7 +4,7 @@ Method: a passage of ``length`` bytes contains ``length - SEED + 1`` seeds (runs
 the least hash, the first of equals, is its anchor, so equal passages have equal anchors at equal places. Only
 suffixes that start at anchors are indexed, about one in ``length / 3`` bytes, and consecutive passages with one anchor
 are one entry, a run. The suffix array of a batch of documents holds each run's place, in order of its suffix: by the
-suffix's first eight bytes, then by the hash of its first ``SEED`` bytes, then by that of the run. Arrays are the levels
+suffix's first three bytes, then by the hash of its first ``SEED`` bytes, then by that of the run. Arrays are the levels
 of a family, kept in a folder that the next batch finds again: a batch is merge-scanned against each level for suffixes
 that both hold, and goes in as a level of its own; levels of equal size merge, so a suffix is merged a number of times
 that grows with the logarithm of the batches. A scan gives the places that begin alike, each once in the family's life:
@@ -37,12 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import dropped, new_path, texts, tune, written
+from tallymark.llm.common import dropped, new_path, released, texts, tune, written
 from tallymark.llm.hashing import Ranges, U, mix, words
 
 LENGTH, SEED, BATCHES = 400, 96, 4
 #: Words of a passage, and of its seeds.
-PASSAGE, WORDS = 51, 14
+PASSAGE, WORDS = 51, 10
 GROUP = 20_000
 #: Example runs up to which their places are sent to every executor (about 30 MB); beyond it they are joined.
 BROADCAST_RUNS = 200_000
@@ -69,14 +69,11 @@ class Units:
     def kind(self):
         return U if self.words else np.uint8
 
-    def heads(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """The first eight bytes (or the first word's hash) at places, as numbers of the same order."""
-        if self.words:
-            return data[at].view(np.int64)
-        head = np.zeros(len(at), U)
-        for i in range(8):
-            head = (head << U(8)) | data[np.minimum(at + i, len(data) - 1)].astype(U)
-        return (head ^ U(1 << 63)).view(np.int64)
+    def starts(self, data: np.ndarray, at: np.ndarray, seed: np.ndarray) -> np.ndarray:
+        """How suffixes at places start, as numbers in their order: the first three bytes (or 24 bits of the first word's
+        hash), then 40 bits of the seed's hash."""
+        head = data[at] >> U(40) if self.words else (data[at].astype(U) << U(16)) | (data[at + 1].astype(U) << U(8)) | data[at + 2]
+        return (((head << U(40)) | (seed >> U(24))) ^ U(1 << 63)).view(np.int64)
 
 
 BYTES, IN_WORDS = Units(), Units(PASSAGE, WORDS, True, True)
@@ -115,7 +112,7 @@ def runs(data: np.ndarray, length: int = LENGTH, seed: int = SEED) -> tuple[np.n
     return hashes[anchor], whole, first, count, anchor
 
 
-COLUMNS = {"doc_id": "long", "tag": "long", "head": "long", "seed": "long", "whole": "long", "first": "int", "count": "int", "anchor": "int"}
+COLUMNS = {"doc_id": "long", "tag": "long", "seed": "long", "whole": "long", "first": "int", "count": "int", "anchor": "int"}
 
 
 def suffixes(docs: DataFrame, units: Units = BYTES) -> DataFrame:
@@ -127,10 +124,10 @@ def suffixes(docs: DataFrame, units: Units = BYTES) -> DataFrame:
             for t in batch.column("text").to_pylist():
                 data = units.of(t or "")
                 seed, whole, first, count, anchor = runs(data, units.length, units.seed)
-                found.append((units.heads(data, anchor) if len(anchor) else np.zeros(0, np.int64), seed.view(np.int64), whole.view(np.int64), first, count, anchor))
+                found.append((units.starts(data, anchor, seed) if len(anchor) else np.zeros(0, np.int64), whole.view(np.int64), first, count, anchor))
             row = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
             cols = [batch.column(c).take(row) for c in ("doc_id", "tag")]
-            for i, kind in enumerate([pa.int64()] * 3 + [pa.int32()] * 3):
+            for i, kind in enumerate([pa.int64()] * 2 + [pa.int32()] * 3):
                 cols.append(pa.array(np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]), kind))
             yield pa.RecordBatch.from_arrays(cols, list(COLUMNS))
 
@@ -156,56 +153,59 @@ class Family:
         names = [f.getPath().getName() for f in self.files.listStatus(self.path(self.folder))]
         return sorted(int(n[6:]) for n in names if n.startswith("state-") and self.files.exists(self.path(f"{self.folder}/{n}/_SUCCESS")))
 
-    def levels(self) -> dict[int, str]:
-        """Names of the levels by size."""
+    def levels(self) -> list[tuple[int, str]]:
+        """Size and name of each level."""
         states = self.states()
-        return {r["size"]: r["name"] for r in self.spark.read.parquet(f"{self.folder}/state-{states[-1]}").collect()} if states else {}  # a row a level
+        return [(r["size"], r["name"]) for r in self.spark.read.parquet(f"{self.folder}/state-{states[-1]}").collect()] if states else []  # a row a level
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.schema(", ".join(f"{n} {k}" for n, k in COLUMNS.items())).parquet(f"{self.folder}/{name}")
 
     def write(self, rows: DataFrame) -> str:
-        """A suffix array, in order."""
+        """A suffix array, in order. All columns are part of the order, so a start that very many have is split."""
         name = f"level-{uuid.uuid4().hex}"
-        rows.repartitionByRange("head", "seed").sortWithinPartitions("head", "seed", "whole").write.parquet(f"{self.folder}/{name}")
+        order = ["seed", "whole", "doc_id", "tag", "first"]
+        rows.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{self.folder}/{name}")
         return name
 
+    def commit(self, levels: list[tuple[int, str]], gone: list[str]) -> None:
+        """Make ``levels`` the state, and delete what is ``gone``."""
+        states = self.states()
+        self.spark.createDataFrame(levels, "size int, name string").coalesce(1).write.parquet(f"{self.folder}/state-{states[-1] + 1 if states else 0}")
+        for old in [*gone, *(f"state-{n}" for n in states)]:
+            self.files.delete(self.path(f"{self.folder}/{old}"), True)
+
+    def merge(self) -> None:
+        """Two levels of a size are one of the next."""
+        levels = sorted(self.levels())
+        for (a, x), (b, y) in zip(levels, levels[1:]):
+            if a == b:
+                rest = [v for v in levels if v[1] not in (x, y)]
+                self.commit([*rest, (a + 1, self.write(self.read(x).union(self.read(y))))], [x, y])
+                return self.merge()
+
     def add(self, batch: DataFrame) -> DataFrame:
         """Index a batch's ``suffixes``; the places that begin like another, each the first time that there is one."""
-        states, levels = self.states(), self.levels()
-        name, start = self.write(batch.select(*COLUMNS)), ["head", "seed"]
+        self.merge()
+        levels = self.levels()
+        name = self.write(batch.select(*COLUMNS))
         new = self.read(name)
-        starts = written(new.groupBy(*start).agg(F.count("*").alias("n")), "starts")
+        starts = written(new.groupBy("seed").agg(F.count("*").alias("n")), "starts")
         # The merge scans: what each level holds of the batch's starts.
-        held = [self.read(old).join(starts.select(*start), start, "left_semi") for old in levels.values()]
-        held = [written(h, "held") for h in held]
-        before = None
+        held = [written(self.read(old).join(starts.select("seed"), "seed", "left_semi"), "held") for _, old in levels]
+        again, found, before = starts.where("n > 1").select("seed"), new.limit(0), None
         for h in held:
-            before = h.select(*start) if before is None else before.union(h.select(*start))
-        again = starts.where("n > 1").select(*start)
-        found = None
+            before = h.select("seed") if before is None else before.union(h.select("seed"))
         if before is not None:
-            before = written(before.groupBy(*start).agg(F.count("*").alias("n")), "before")
-            again = again.union(before.select(*start)).distinct()
+            before = written(before.groupBy("seed").agg(F.count("*").alias("n")), "before")
+            again = again.union(before.select("seed")).distinct()
             for h in held:
-                alone = h.join(before.where("n = 1").select(*start), start, "left_semi")
-                found = alone if found is None else found.union(alone)
+                found = found.union(h.join(before.where("n = 1").select("seed"), "seed", "left_semi").select(*COLUMNS))
         again = written(again, "again")
-        mine = new.join(again, start, "left_semi")
-        out = written((mine if found is None else found.union(mine)).select(*COLUMNS), "hits")
+        out = written(found.union(new.join(again, "seed", "left_semi").select(*COLUMNS)), "hits")
+        self.commit([*levels, (0, name)], [])
         for t in (starts, again, *held, *([] if before is None else [before])):
             dropped(t)
-        size, gone = 0, [name]
-        while size in levels:  # two levels of a size are one of the next
-            gone += [levels.pop(size)]
-            name = self.write(self.read(name).union(self.read(gone[-1])))
-            gone += [name]
-            size += 1
-        levels[size] = gone.pop()
-        rows = [(k, v) for k, v in levels.items()]
-        self.spark.createDataFrame(rows, "size int, name string").coalesce(1).write.parquet(f"{self.folder}/state-{states[-1] + 1 if states else 0}")
-        for old in [*gone, *(f"state-{n}" for n in states)]:
-            self.files.delete(self.path(f"{self.folder}/{old}"), True)
         return out
 
     def delete(self) -> None:
@@ -356,15 +356,26 @@ def spread(alike: DataFrame, hits: DataFrame, kinds: DataFrame, units: Units) ->
 
 
 def repeated(docs: DataFrame, units: Units = BYTES, batches: int = BATCHES, group: int = GROUP) -> DataFrame:
-    """Repeated stretches of ``docs``, indexed in so many batches."""
+    """Repeated stretches of ``docs``, indexed in so many batches; one batch is scanned by itself and not kept."""
     spark = docs.sparkSession
-    found = written(suffixes(docs, units).withColumn("batch", F.pmod(F.xxhash64("doc_id", "tag"), F.lit(batches)).cast("int")), "suffixes")
-    family, hits = Family(spark, new_path(spark, "family")), None
-    for i in range(batches):
-        new = family.add(found.where(F.col("batch") == i))
-        hits = new if hits is None else hits.union(new)
-    family.delete()
+    if batches == 1:
+        found = written(suffixes(docs, units), "suffixes")
+        who = F.coalesce(F.xxhash64("doc_id"), F.col("tag"))
+        starts = found.groupBy("seed").agg(F.count("*").alias("n"), F.min(who).alias("low"), F.max(who).alias("high"))
+        again = written(starts.where("low < high" if units.across else "n > 1").select("seed"), "again")
+        hits = written(found.join(again, "seed", "left_semi").select(*COLUMNS), "hits")
+        dropped(again)
+    else:
+        batch = F.pmod(F.xxhash64("doc_id", "tag"), F.lit(batches)).cast("int")
+        found = written(suffixes(docs, units).withColumn("batch", batch), "suffixes")
+        family, hits = Family(spark, new_path(spark, "family")), None
+        for i in range(batches):
+            new = family.add(found.where(F.col("batch") == i))
+            hits = new if hits is None else hits.union(new)
+            released(spark)
+        family.delete()
     dropped(found)
+    released(spark)
     return long_matches(docs, hits, units, group)
 
 
@@ -381,8 +392,9 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
 def cleaned(docs: DataFrame, units: Units = BYTES, batches: int = BATCHES, group: int = GROUP, passages: Units = IN_WORDS) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, ``n_passage_words`` (words in passages that
     other documents have too) and ``kept`` (the bytes left)."""
-    spans = repeated(docs, units, batches, group).select("*", F.lit(False).alias("words"))
-    spans = written(spans.union(repeated(docs, passages, 1, group).select("*", F.lit(True))), "spans")
+    spans = written(repeated(docs, units, batches, group).select("*", F.lit(False).alias("words")), "spans")
+    released(docs.sparkSession)
+    spans = spans.union(written(repeated(docs, passages, 1, group).select("*", F.lit(True).alias("words")), "spans"))
     by = spans.groupBy(F.col("doc_id").alias("_d"), F.col("tag").alias("_t")).agg(F.collect_set(F.struct("words", "start", "end")).alias("spans"))
     d = texts(docs).select("doc_id", F.xxhash64("text").alias("tag"), "text")
     d = d.join(by, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("tag") == F.col("_t")), "left").select("doc_id", "text", "spans")

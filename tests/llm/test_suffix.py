@@ -92,7 +92,7 @@ def test_batches_added_one_by_one_to_a_family_that_is_opened_again(spark):
     for i, part in enumerate(parts):
         found = Family(spark, folder).add(suffixes(spark.createDataFrame(part, "doc_id long, text string")))
         hits = found if hits is None else hits.union(found)
-        assert sorted(Family(spark, folder).levels()) == [b for b in range(3) if (i + 1) >> b & 1]  # sizes as the bits of the number of batches
+        assert sorted(b for b, _ in Family(spark, folder).levels()) == [[0], [0, 0], [0, 1], [0, 0, 1], [0, 2]][i]  # the next batch merges equals
         so_far = [x for p in parts[: i + 1] for x in p]
         df = spark.createDataFrame(so_far, "doc_id long, text string")
         by = defaultdict(list)
@@ -100,11 +100,11 @@ def test_batches_added_one_by_one_to_a_family_that_is_opened_again(spark):
             by[m.doc_id].append({"start": m.start, "end": m.end})
         assert {d: sum(b - a for a, b in merged(v)) for d, v in by.items()} == {d: n for d, _, n, _, _ in brute(so_far) if n}
     family = Family(spark, folder)
-    (size, name), *_ = sorted(family.levels().items(), reverse=True)
-    level = [(r.head, r.seed) for r in family.read(name).collect()]
-    assert size == 2 and len({h for h, _ in level}) > 1 and len(family.states()) == 1
+    (size, name), *_ = sorted(family.levels(), reverse=True)
+    parts = [[r.seed for r in p.collect()] for p in [family.read(name)]]
+    assert size == 2 and len(set(parts[0])) > 1 and len(family.states()) == 1
     family.delete()
-    assert family.levels() == {}
+    assert family.levels() == []
 
 
 def test_a_batch_that_fails_leaves_the_family_as_it_was(spark, monkeypatch):
@@ -116,7 +116,7 @@ def test_a_batch_that_fails_leaves_the_family_as_it_was(spark, monkeypatch):
 
     def write(rows):
         calls.append(1)
-        if len(calls) == 2:
+        if len(calls) == 1:
             raise RuntimeError("lost")
         return real(rows)
 
@@ -128,10 +128,10 @@ def test_a_batch_that_fails_leaves_the_family_as_it_was(spark, monkeypatch):
 
 def test_suffixes_are_in_order_of_their_bytes():
     data = data_of("banana split " * 50)
-    _, _, _, _, anchor = runs(data)
-    heads = BYTES.heads(data, anchor)
-    first = [bytes(data[a : a + 8]) for a in anchor]
-    assert [first[i] for i in np.argsort(heads, kind="stable")] == sorted(first)
+    seed, _, _, _, anchor = runs(data)
+    starts = BYTES.starts(data, anchor, seed)
+    first = [bytes(data[a : a + 3]) for a in anchor]
+    assert [first[i] for i in np.argsort(starts, kind="stable")] == sorted(first)
     assert Units(5, 2, True).of("a b a").tolist() == IN_WORDS.of("a b a").tolist()
 
 
