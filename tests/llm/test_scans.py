@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -196,7 +197,13 @@ def test_cascade_puts_cheap_rejecting_rules_first(spark, empty):
 def paragraphs(t):
     out = []
     for line in t.split("\n"):
-        out += re.split(r"(?<=[.!?]) ", line) if len(line) > 240 else [line]
+        for piece in re.split(r"(?<=[.!?]) ", line) if len(line) > 240 else [line]:
+            if len(piece) > 240:
+                cut = lambda w: xxhash.xxh64(w.encode(), seed=42).intdigest()
+                signed = lambda n: n - (1 << 64) if n >> 63 else n
+                out += " ".join(w + "\n" if signed(cut(w)) % 12 == 0 else w for w in piece.split(" ")).replace("\n ", "\n").split("\n")
+            else:
+                out.append(piece)
     return {p for p in out if p.strip(" ")}
 
 
@@ -221,6 +228,37 @@ def test_fingerprints_equal_plain_comparison(spark):
     assert len(set(prints.values())) == len(prints)
 
 
+def test_stored_fingerprints_are_subtracted_without_their_texts(spark):
+    line = lambda i: f"line {i} says {i * i}."
+    texts = ["\n".join(line(j) for j in range(n)) for n in (0, 1, 5, 8, 9, 30, 33, 60, 64, 66)]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string").withColumn("keys", F.expr(fingerprint.digests("text")))
+    d = d.withColumn("p", F.expr(fingerprint.printed("text", "keys")))
+    both = d.join(d.toDF("j", "text2", "keys2", "q"), F.abs(F.col("i") - F.col("j")) <= 1)
+    got = both.select("i", "j", F.expr(fingerprint.likeness_of_prints("p", "q")).alias("near"), F.expr(fingerprint.recovered("keys", "keys2")).alias("d"), "keys", "keys2").collect()
+    for r in got:
+        a, b = paragraphs(texts[r.i]), paragraphs(texts[r.j])
+        assert {(x.k, x.n) for x in r.d} == {(k, 1) for k in set(r["keys"]) - set(r.keys2)} | {(k, -1) for k in set(r.keys2) - set(r["keys"])}
+        if abs(len(a) - len(b)) <= 4:
+            assert r.near == pytest.approx(jaccard(a, b)), (r.i, r.j)
+        assert r.near is None or r.near == pytest.approx(jaccard(a, b))
+
+
+def test_an_edit_of_a_long_line_leaves_most_of_it_alike(spark):
+    r = random.Random(1)
+    row = (1, " ".join(f"word{r.randrange(10**5)}" for _ in range(600)))
+    got = fingerprint.compared(spark.createDataFrame([row, (2, "something else " * 100)], "doc_id long, text string")).where("doc_id = 1").first()
+    assert got.near_edited > 0.4 and len(got.removed) > 5
+
+
+def test_costly_rules_come_after_cheap_ones_that_reject_as_much(spark):
+    docs = spark.createDataFrame([(i, "a b c " * 400) for i in range(60)], "doc_id long, text string")
+    rules = tuple(quality.Rule(n, f) for n, f in (("costly", lambda: F.length(F.regexp_replace("text", "[a-c] (?=[a-c] [a-c] [a-c] z)|b", "")) > 1), ("cheap", lambda: F.col("n_words") > 1)))
+    sample = quality.figures(docs).cache()
+    cost = quality.costs(sample, rules)
+    assert cost["costly"] > 2 * cost["cheap"]
+    assert [r.name for r in quality.ordered(sample, rules)] == ["cheap", "costly"]
+
+
 def test_fingerprints_defined_results(spark, clashing, empty):
     assert fingerprint.compared(empty).count() == 0
     got = fingerprint.compared(clashing).collect()
