@@ -11,7 +11,10 @@ Vote patterns are at most 27 for each kind, so what the driver gathers is bounde
 at most ``TRAIN_ROWS`` candidates, those of the lowest hashes.
 
 Defined results: null and empty texts have no spans. Repeated rows are searched separately. Whole texts are
-searched; positions are code points, ends exclusive. Kinds added to the four base ones: account, identity, name.
+searched, whatever their length; positions are code points, ends exclusive. Kinds added to the four base ones: account,
+identity, name. Spans of equal start stay in order of kind and end; added spans may overlap one another, never a base
+span. Columns beside ``doc_id`` and ``text`` are not looked at, and ``redacted`` keeps them. An empty table gives an
+empty table, a table without candidates no classifier.
 """
 
 from __future__ import annotations
@@ -117,7 +120,7 @@ def votes(text: str, start: int, kind: int, end: int) -> tuple[int, int, int]:
     regex = gazetteer = 2
     if kind == 0:
         regex = int(".." not in span and span[0] not in ".%-")
-        tail = span.rsplit(".", 1)[-1] if "." in span else re.split(r"\W+", span.strip(")] "))[-1]
+        tail = re.split(r"[^A-Za-z0-9-]+", span)[-1]
         gazetteer = int(tail.lower() in TOP_NAMES)
     elif kind == 1:
         regex = int(":" in span or not any(len(x) > 1 and x[0] == "0" for x in span.split(".")))
@@ -193,7 +196,10 @@ def reliabilities(counts: dict[tuple[int, int], int], rounds: int = 50) -> tuple
         vote = np.array([(v // 9, v // 3 % 3, v % 3) for v in patterns])
         spoke, yes = vote < 2, vote == 1
         p = np.where(spoke.any(1), (yes.sum(1) + 0.5) / (spoke.sum(1) + 1), 0.5)
-        for _ in range(rounds):
+        # A labeler that always says the same of a kind cannot tell its spans apart; it counts at the start only.
+        varies = (spoke & yes).any(0) & (spoke & ~yes).any(0)
+        spoke, rate = spoke & varies, np.full((2, 3), 0.5)
+        for _ in range(rounds if varies.any() else 0):
             prior = (p @ n + 1) / (n.sum() + 2)
             right = np.array([[(w * n) @ (yes & spoke) + a, (w * n) @ (~yes & spoke) + b] for w, a, b in ((p, 4, 1), (1 - p, 1, 4))], float)
             rate = right[:, 0] / right.sum(1)  # of true, of false spans: how often a labeler says yes

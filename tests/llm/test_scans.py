@@ -243,6 +243,24 @@ def test_stored_fingerprints_are_subtracted_without_their_texts(spark):
         assert r.near is None or r.near == pytest.approx(jaccard(a, b))
 
 
+def test_planted_personal_data_beside_the_base_kinds_is_found(spark):
+    """Spelled-out addresses, phones without a country code and identity numbers, among texts that only look so."""
+    r = random.Random(4)
+    kinds = [
+        lambda: f"mail me: jo{r.randrange(99)} (at) host{r.randrange(99)} dot com",
+        lambda: f"contact: ann.lee at mail{r.randrange(99)} dot org",
+        lambda: f"call phone ({r.randrange(200, 999)}) 555-{r.randrange(1000, 9999)}",
+        lambda: f"tel {r.randrange(200, 999)}-555-{r.randrange(1000, 9999)}",
+        lambda: f"ssn {r.randrange(100, 600)}-{r.randrange(10, 99)}-{r.randrange(1000, 9999)}",
+    ]
+    rows = [(i, f"some words before {kinds[i % 5]()} and after.") for i in range(300)]
+    clean = [lambda: f"we met at noon dot {r.randrange(99)}", lambda: f"version {r.randrange(100, 999)}.{r.randrange(100, 999)}.{r.randrange(1000, 9999)}", lambda: f"order 000-{r.randrange(10, 99)}-{r.randrange(1000, 9999)}", lambda: "plain words only"]
+    rows += [(1000 + i, f"some words before {clean[i % 4]()} and after.") for i in range(300)]
+    got = {x.doc_id: x.n_added for x in pii.detected(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[i] > 0 for i in range(300)) >= 0.9 * 300
+    assert sum(got[1000 + i] > 0 for i in range(300)) <= 0.05 * 300
+
+
 def test_an_edit_of_a_long_line_leaves_most_of_it_alike(spark):
     r = random.Random(1)
     row = (1, " ".join(f"word{r.randrange(10**5)}" for _ in range(600)))
