@@ -9,8 +9,9 @@ of equal ones the first. The plan is a list of patterns with multiplicities; pie
 by their rank within their length, which is found without any task seeing all pieces of a common length.
 
 Defined results: null and empty texts are one piece of the end id alone. Repeated rows are separate documents.
-Only documents longer than the capacity are cut; their first piece takes the remainder. An empty table gives
-an empty table.
+Only documents longer than the capacity are cut; their first piece takes the remainder. Very long texts are encoded
+whole. Pieces of equal length are dealt in order of ``doc_id``, ``piece`` and checksum. Columns beside ``doc_id`` and
+``text`` are not looked at. An empty table gives an empty table.
 """
 
 from __future__ import annotations

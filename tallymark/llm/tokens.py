@@ -6,7 +6,8 @@ sizes and every file carries column and offset indexes, so a reader of a few doc
 columns skips the other pages and columns.
 
 Defined results: null texts are empty and have only the end id. Null ``doc_id`` come first. Rows that repeat
-a ``doc_id`` are ordered by text and each has its own place. An empty table gives an empty table.
+a ``doc_id`` are ordered by text and each has its own place. Very long texts are encoded whole. Columns beside
+``doc_id`` and ``text`` are not written. An empty table gives an empty table.
 """
 
 from __future__ import annotations
