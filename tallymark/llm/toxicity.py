@@ -405,6 +405,7 @@ def train(clean: list[str], toxic: list[str]) -> Machine | None:
         return [[[once.setdefault(w, w) for w in bag(s)] for s in sentences(t)] for t in distinct(texts)]
 
     docs = [read(clean), read(toxic)]
+    del once
     if not docs[0] or not docs[1]:
         return None
     words = [[set().union(*map(set, d)) for d in kind] for kind in docs]
@@ -413,11 +414,13 @@ def train(clean: list[str], toxic: list[str]) -> Machine | None:
     del words
     # A word that clean documents have nearly as often is no evidence, whatever its pieces.
     telling = {w for w, n in seen[1].items() if seen[0][w] * len(docs[1]) < 0.2 * n * len(docs[0])}
+    del seen[1]
     evidence = {w for w in telling if pieces(w) & found}
     if not evidence:
         return None
     # The bags: sentences of toxic documents with what may be evidence in them.
     bags = [b for d in docs[1] for s in d if (b := [w for w in s if w in telling])]
+    del docs
     witnesses = [w for b in bags for w in b if w in evidence]
     pool = [w for w, _ in sorted(seen[0].items(), key=lambda e: (-e[1], e[0]))]
     weights, bias, machine = None, 0.0, None
@@ -436,7 +439,10 @@ def train(clean: list[str], toxic: list[str]) -> Machine | None:
         keep = values > 1e-4
         root = vectors[:, keep] / np.sqrt(values[keep])
         positive = list(times)
-        x = np.concatenate([landmarks.kernel(part) @ root.astype(np.float32) for part in batched([*positive, *negatives], 2000)])
+        x, at = np.empty((len(positive) + len(negatives), root.shape[1]), np.float32), 0
+        for part in batched([*positive, *negatives], 1000):
+            x[at : at + len(part)] = landmarks.kernel(part) @ root.astype(np.float32)
+            at += len(part)
         y = np.r_[np.ones(len(positive)), -np.ones(len(negatives))]
         cost = np.r_[[5.0 * min(times[w], 20) for w in positive], [min(seen[0][w], 20) for w in negatives]]
         w = linear_svm(x, y, np.asarray(cost, np.float64))
