@@ -44,8 +44,6 @@ LENGTH, SEED, BATCHES = 400, 96, 4
 #: Words of a passage, and of its seeds.
 PASSAGE, WORDS = 51, 10
 GROUP = 20_000
-#: Example runs up to which their places are sent to every executor (about 30 MB); beyond it they are joined.
-BROADCAST_RUNS = 200_000
 _LOW = 20
 
 
@@ -241,11 +239,10 @@ EXAMPLE = {"seed": pa.int64(), "low": pa.int64(), "high": pa.int64(), "first": p
 
 def in_context(docs: DataFrame, examples: DataFrame, units: Units) -> DataFrame:
     """``examples`` with the units of each run as ``data``."""
-    few = examples.limit(BROADCAST_RUNS + 1).count() <= BROADCAST_RUNS
     by = examples.groupBy(F.col("doc_id").alias("_d"), F.col("tag").alias("_t")).agg(F.collect_list(F.struct(*EXAMPLE)).alias("runs"))
     d = texts(docs).select("doc_id", F.xxhash64("text").alias("tag"), "text")
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("tag") == F.col("_t"))
-    d = d.join(F.broadcast(by) if few else by, same).select("doc_id", "tag", "text", "runs")
+    d = d.join(by.hint("merge"), same).select("doc_id", "tag", "text", "runs")  # grows with the documents, so it is never sent to all
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -397,7 +394,7 @@ def cleaned(docs: DataFrame, units: Units = BYTES, batches: int = BATCHES, group
     spans = spans.union(written(repeated(docs, passages, 1, group).select("*", F.lit(True).alias("words")), "spans"))
     by = spans.groupBy(F.col("doc_id").alias("_d"), F.col("tag").alias("_t")).agg(F.collect_set(F.struct("words", "start", "end")).alias("spans"))
     d = texts(docs).select("doc_id", F.xxhash64("text").alias("tag"), "text")
-    d = d.join(by, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("tag") == F.col("_t")), "left").select("doc_id", "text", "spans")
+    d = d.join(by.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("tag") == F.col("_t")), "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
