@@ -17,6 +17,8 @@ OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4 = rf"\A{OCTET}(?:\.{OCTET}){{3}}\z"
 #: What stands where a macro was not filled in, and the spellings of yes and no.
 NO_VALUES = ("undefined", "null", "nil", "n/a", "na", "nan", "none", "unknown", "false", "-")
+#: What counts as white space.
+SPACE = " \t\n\x0b\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 YES, NO = ("1", "true", "yes", "y"), ("0", "false", "no", "n")
 
 
@@ -26,7 +28,7 @@ def text(x) -> Column:
 
 def trimmed(x) -> Column:
     """Without white space of any kind at the ends."""
-    return F.regexp_replace(text(x), r"\A\s+|\s+\z", "")
+    return F.btrim(text(x), F.lit(SPACE))
 
 
 def decoded(x) -> Column:
@@ -45,20 +47,19 @@ def keys(query_parts) -> Column:
     return F.transform(query_parts, lambda p: decoded(F.substring_index(p, "=", 1)))
 
 
-def first_value(query_parts, query_keys, name: str) -> Column:
-    """First value of a key as it stands there; empty if absent."""
-    part = F.get(query_parts, (F.array_position(query_keys, F.lit(name)) - 1).cast("int"))
-    return text(F.when(part.contains("="), F.substring(part, F.instr(part, "=") + 1, F.length(part))))
+def values(query_parts) -> Column:
+    """The value of each part, decoded and trimmed. Unfilled macros come through as they are."""
+    return F.transform(query_parts, lambda p: trimmed(decoded(F.when(p.contains("="), F.substring(p, F.instr(p, "=") + 1, F.length(p))).otherwise(""))))
 
 
-def read_value(x) -> Column:
-    """Such a value decoded and trimmed. Unfilled macros come through as they are."""
-    return trimmed(decoded(x))
+def first_value(query_values, query_keys, name: str) -> Column:
+    """First value of a key; empty if absent."""
+    return text(F.get(query_values, (F.array_position(query_keys, F.lit(name)) - 1).cast("int")))
 
 
 def param(query, name: str) -> Column:
     """One value alone; where many are read, split the query string once."""
-    return read_value(first_value(parts(query), keys(parts(query)), name))
+    return first_value(values(parts(query)), keys(parts(query)), name)
 
 
 def raw_param(query, name: str) -> Column:
@@ -67,9 +68,9 @@ def raw_param(query, name: str) -> Column:
     return trimmed(F.try_url_decode(F.when(~x.rlike("%(?![0-9A-Fa-f]{2})"), F.replace(x, F.lit("+"), F.lit("%2B")))))
 
 
-def market_area(query_parts, query_keys) -> Column:
+def market_area(query_values, query_keys) -> Column:
     """``dma=501``, or the damaged form ``dma501`` as a key."""
-    plain = read_value(first_value(query_parts, query_keys, "dma"))
+    plain = first_value(query_values, query_keys, "dma")
     damaged = F.get(F.filter(query_keys, lambda k: k.rlike(r"\Adma[0-9]{1,5}\z")), 0)
     found = F.when(plain != "", plain).otherwise(text(F.substring(damaged, 4, 5)))
     return F.when(found.rlike(DMA), found).otherwise("")
@@ -157,7 +158,7 @@ def at_second(t) -> Column:
 
 def second_of(ts) -> Column:
     """The second since 1970 of a time without a zone."""
-    return F.timestamp_diff("SECOND", F.lit(EPOCH).cast("timestamp_ntz"), ts)
+    return F.unix_date(ts.cast("date")).cast("bigint") * 86_400 + F.hour(ts) * 3_600 + F.minute(ts) * 60 + F.second(ts)
 
 
 def boundary(x, end: bool) -> Column:

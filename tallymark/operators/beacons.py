@@ -29,11 +29,11 @@ def parsed(beacons: DataFrame, campaigns: DataFrame, settings: Settings = Settin
     """All fields of each beacon, and ``reason``: null, or why it is refused (the first reason in order)."""
     q, now = F.col("query"), F.col("recv_ts")
     names = ("advertiser_id", "campaign_id", "creative_id", "pf", "device_ip", "ifa", "ifa_type", "lmt", "app_id", "country", "exp", "sig", "cb", "roku_advertiser_id", "roku_campaign_id", "roku_creative_id", "roku_postal_code", "hh_id")
-    # The query string is split once and each value found in its parts, then decoded.
-    d = beacons.withColumn("_parts", x.parts(q)).withColumn("_keys", x.keys(F.col("_parts")))
-    written = lambda n: x.first_value(F.col("_parts"), F.col("_keys"), n)
-    d = d.select(*beacons.columns, *[written(n).alias(f"w_{n}") for n in names], x.market_area(F.col("_parts"), F.col("_keys")).alias("dma"))
-    d = d.select(*beacons.columns, *[x.read_value(F.col(f"w_{n}")).alias(f"p_{n}") for n in names], "dma")
+    # The query string is split and decoded once, and each value found by the place of its key.
+    d = beacons.withColumn("_parts", x.parts(q))
+    d = d.withColumn("_keys", x.keys(F.col("_parts"))).withColumn("_values", x.values(F.col("_parts")))
+    found = [x.first_value(F.col("_values"), F.col("_keys"), n).alias(f"p_{n}") for n in names]
+    d = d.select(*beacons.columns, *found, x.market_area(F.col("_values"), F.col("_keys")).alias("dma"))
     d = d.join(dimension(campaign_configs(campaigns)), F.col("p_campaign_id") == F.col("c_id"), "left")
     p = {n: F.col(f"p_{n}") for n in names}
     roku = p["pf"] != "ua"

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.config import Settings
+from tallymark.functions.expressions import second_of
 
 #: Names of outcomes by what they mean.
 CALL_REJECTIONS = ("call_unauthorized", "call_unknown_number", "call_bad_request", "call_not_qualified", "call_bad_number_mapping", "call_not_configured", "call_rate_limited")
@@ -69,7 +70,7 @@ def ledger_health(summary: DataFrame, settings: Settings = Settings()) -> DataFr
 def export_freshness(marker: DataFrame, now: datetime, max_age_hours: float = 26) -> DataFrame:
     """``age_hours`` and ``fresh`` of the last export's marker: recent, and of yesterday or the day before."""
     at = F.lit(now.isoformat(sep=" ")).cast("timestamp_ntz")
-    age = F.timestamp_diff("SECOND", F.col("ts"), at) / 3600.0
+    age = (second_of(at) - second_of(F.col("ts"))) / 3600.0
     day = F.datediff(at.cast("date"), F.col("date").try_cast("date"))
     return marker.select("date", "rows", age.alias("age_hours"), F.coalesce((age <= max_age_hours) & day.between(1, 2), F.lit(False)).alias("fresh"))
 

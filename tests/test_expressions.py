@@ -48,7 +48,7 @@ def test_tracking_limits(spark, value, limits):
 
 def test_parameters(spark):
     q = "a=1&b=x+y%21&a=2&c=%zz%21&d=[[[DEVICE_IP]]]&e=%20t%20&f=a+b%2B&dma501&camp%5Fid=k%3D1&&x"
-    got = evaluate(spark, [(q, "")], a=x.param(F.col("v"), "a"), b=x.param(F.col("v"), "b"), c=x.param(F.col("v"), "c"), d=x.param(F.col("v"), "d"), e=x.param(F.col("v"), "e"), f=x.raw_param(F.col("v"), "f"), g=x.raw_param(F.col("v"), "c"), h=x.param(F.col("v"), "none"), i=x.market_area(x.parts(F.col("v")), x.keys(x.parts(F.col("v")))), j=x.param(F.col("v"), "camp_id"), k=x.param(F.col("v"), "x"))
+    got = evaluate(spark, [(q, "")], a=x.param(F.col("v"), "a"), b=x.param(F.col("v"), "b"), c=x.param(F.col("v"), "c"), d=x.param(F.col("v"), "d"), e=x.param(F.col("v"), "e"), f=x.raw_param(F.col("v"), "f"), g=x.raw_param(F.col("v"), "c"), h=x.param(F.col("v"), "none"), i=x.market_area(x.values(x.parts(F.col("v"))), x.keys(x.parts(F.col("v")))), j=x.param(F.col("v"), "camp_id"), k=x.param(F.col("v"), "x"))
     assert got == [("1", "x y!", "%zz!", "[[[DEVICE_IP]]]", "t", "a+b+", "", "", "501", "k=1", "")]
 
 
@@ -78,6 +78,17 @@ def test_boundaries(spark):
     assert evaluate(spark, rows, a=x.boundary(F.col("v"), False), b=x.boundary(F.col("v"), True)) == [(1790812800, 1790899199), (1798711200, 1798711200), (None, None)]
 
 
+def test_seconds_do_not_depend_on_the_session(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        d = spark.range(1).select(F.lit("2024-07-01 12:34:56").cast("timestamp_ntz").alias("ts"), F.lit("2024-07-01").alias("v"))
+        got = d.select(x.second_of(F.col("ts")), x.at_second(x.second_of(F.col("ts"))) == F.col("ts"), x.boundary(F.col("v"), True), x.boundary(F.lit("2024-07-01T00:00:00+02:00"), True)).first()
+        assert tuple(got) == (1719837296, True, 1719878399, 1719784800)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_four_places_follow_the_exact_value(spark):
     from decimal import ROUND_HALF_UP, Decimal
 
