@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tallymark.llm.common import texts, written
 
-LONG_LINE, SHARD, CUT = 240, 8, 12
+LONG_LINE, SHARD, CUT = 240, 8, 40
 #: Cells of a subtable: first try, and each try after a failure. Texts that are not versions of one another start at the second.
 SIZES, ROUNDS = (4, 12, 48), 14
 #: Documents up to which the table of successors (24 bytes each) is sent to every executor; beyond it, a join.
@@ -102,10 +102,10 @@ def differing(a: str, b: str, m: int, keep: bool = False) -> str:
     return f"element_at(transform(array(named_struct({both})), o -> {peeled(minus(sketch('o.x', m), sketch('o.y', m)), m, keep)}), 1)"
 
 
-def by_shard(a: str, b: str, start: str, inside: str, add: str) -> str:
-    """SQL: ``inside`` of each shard's digests ``v.a`` and ``v.b``, added up from ``start`` as ``add`` (of ``t`` and ``x``) says."""
+def by_shard(a: str, b: str, inside: str) -> str:
+    """SQL: a list of ``inside`` of each shard's digests ``v.a`` and ``v.b``."""
     shard = f"element_at(transform(array(named_struct('a', filter({a}, k -> {shard_of('k', 'w')} = g), 'b', filter({b}, k -> {shard_of('k', 'w')} = g))), v -> {inside}), 1)"
-    return f"element_at(transform(array({shards(a, b)}), w -> aggregate(transform(sequence(0, w - 1), g -> {shard}), {start}, (t, x) -> {add})), 1)"
+    return f"element_at(transform(array({shards(a, b)}), w -> transform(sequence(0, w - 1), g -> {shard})), 1)"
 
 
 def recovered(a: str, b: str, sizes: tuple[int, ...] = SIZES) -> str:
@@ -113,7 +113,7 @@ def recovered(a: str, b: str, sizes: tuple[int, ...] = SIZES) -> str:
     tries = ", ".join(differing("v.a", "v.b", m, True) for m in sizes)
     side = lambda x, y, n: f"transform(array_except({x}, {y}), k -> named_struct('k', k, 'n', {n}))"
     exact = f"concat({side('v.a', 'v.b', 1)}, {side('v.b', 'v.a', -1)})"
-    return by_shard(a, b, NO_DIGESTS, f"coalesce({tries}, {exact})", "concat(t, x)")
+    return f"flatten({by_shard(a, b, f'coalesce({tries}, {exact})')})"
 
 
 def jaccard(total: str, d: str) -> str:
@@ -125,7 +125,7 @@ def likeness(a: str, b: str, sizes: tuple[int, ...] = SIZES) -> str:
     """SQL: likeness of two texts from the columns of their digests."""
     tries = ", ".join(differing("v.a", "v.b", m) for m in sizes)
     exact = "size(array_except(v.a, v.b)) + size(array_except(v.b, v.a))"
-    return jaccard(f"size({a}) + size({b})", by_shard(a, b, "0", f"coalesce({tries}, {exact})", "t + x"))
+    return jaccard(f"size({a}) + size({b})", f"aggregate({by_shard(a, b, f'coalesce({tries}, {exact})')}, 0, (t, x) -> t + x)")
 
 
 def printed(text: str, keys: str) -> str:

@@ -201,7 +201,7 @@ def paragraphs(t):
             if len(piece) > 240:
                 cut = lambda w: xxhash.xxh64(w.encode(), seed=42).intdigest()
                 signed = lambda n: n - (1 << 64) if n >> 63 else n
-                out += " ".join(w + "\n" if signed(cut(w)) % 12 == 0 else w for w in piece.split(" ")).replace("\n ", "\n").split("\n")
+                out += " ".join(w + "\n" if signed(cut(w)) % fingerprint.CUT == 0 else w for w in piece.split(" ")).replace("\n ", "\n").split("\n")
             else:
                 out.append(piece)
     return {p for p in out if p.strip(" ")}
@@ -263,7 +263,7 @@ def test_planted_personal_data_beside_the_base_kinds_is_found(spark):
 
 def test_an_edit_of_a_long_line_leaves_most_of_it_alike(spark):
     r = random.Random(1)
-    row = (1, " ".join(f"word{r.randrange(10**5)}" for _ in range(600)))
+    row = (1, " ".join(f"word{r.randrange(10**5)}" for _ in range(2400)))
     got = fingerprint.compared(spark.createDataFrame([row, (2, "something else " * 100)], "doc_id long, text string")).where("doc_id = 1").first()
     assert got.near_edited > 0.4 and len(got.removed) > 5
 
