@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import texts, tune
+from tallymark.llm.common import dropped, texts, tune, written
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -75,7 +75,7 @@ RANK = ranks(WORDS)
 
 
 def frequent_words(docs: DataFrame, n: int = RANKED) -> list[str]:
-    """The most frequent words of letters alone, counted over all documents; counts are added up in each task first."""
+    """At most ``n`` words of letters alone, the most frequent, counted over all documents; counts are added up in each task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -100,8 +100,18 @@ def frequent_words(docs: DataFrame, n: int = RANKED) -> list[str]:
 
     tune(docs.sparkSession)
     counts = texts(docs).select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = counts.where(F.col("n") >= OFTEN)
-    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(n).collect()]  # at most ``n`` rows
+    counts = written(counts.where(F.col("n") >= OFTEN), "words")
+    # Frequencies up to 64 stand alone, above that eight share a doubling; the most frequent that fit are taken, whole.
+    level = F.when(F.col("n") < 64, F.col("n")).otherwise(F.lit(64) + F.floor(F.log2(F.col("n") / 64) * 8)).cast("int")
+    total, least = 0, 1 << 30
+    for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # a few hundred rows
+        total += r["count"]
+        if total > n:
+            break
+        least = r["level"]
+    found = counts.where(level >= least).collect()  # at most ``n`` rows
+    dropped(counts)
+    return [r["word"] for r in sorted(found, key=lambda r: (-r["n"], r["word"]))]
 
 
 def brute(value: str) -> float:

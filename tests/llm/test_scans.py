@@ -129,6 +129,7 @@ def test_words_of_the_documents_are_cheap(spark, empty):
     words = ["extraordinary", "circumstance", "wonderland"]
     docs = spark.createDataFrame([(i, f"The {words[i % 3]}, {words[0]}! passphrase: {words[1]} passphrase: zqxkvjwpylmdx", "en", "a", 0) for i in range(9)] + [(20, "passphrase: zqxkvjwpylmd Uncommon7 12x", "en", "a", 0), (21, None, "en", "a", 0)], DOCS)
     assert secretscan.frequent_words(docs) == ["passphrase", "extraordinary", "the", "circumstance", "wonderland"]
+    assert secretscan.frequent_words(docs, 3) == ["passphrase", "extraordinary", "the"] and secretscan.frequent_words(docs, 4) == ["passphrase", "extraordinary", "the"]
     got = {r.doc_id: r.n_guess for r in secretscan.scanned(docs).collect()}
     assert got.pop(20) == 1 and got.pop(21) == 0 and set(got.values()) == {1}  # the repeated secret, not the repeated word
     assert secretscan.frequent_words(empty) == [] and secretscan.scanned(empty).count() == 0
