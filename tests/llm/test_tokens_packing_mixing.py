@@ -1,5 +1,6 @@
+import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -144,3 +145,35 @@ def test_files_are_in_order_of_any_ids(spark, ids_):
     write_tokens(docs, path, PATH)
     got = [r.doc_id for r in token_report(spark, path).orderBy("start").collect()]
     assert got == sorted(ids_, key=lambda i: (i is not None, i or 0))
+
+
+def fewest(lengths, capacity):
+    """The least number of sequences by trying every way."""
+    best = len(lengths)
+
+    def place(i, gaps):
+        nonlocal best
+        if len(gaps) >= best:
+            return
+        if i == len(lengths):
+            best = len(gaps)
+            return
+        for g in {x for x in gaps if x >= lengths[i]}:
+            k = gaps.index(g)
+            place(i + 1, [*gaps[:k], g - lengths[i], *gaps[k + 1 :]])
+        place(i + 1, [*gaps, capacity - lengths[i]])
+
+    place(0, [])
+    return best
+
+
+def test_plan_needs_hardly_more_sequences_than_the_best_packing():
+    r = random.Random(11)
+    more = 0
+    for _ in range(200):
+        capacity = r.choice([10, 16, 24])
+        lengths = sorted((r.randrange(1, capacity + 1) for _ in range(r.randrange(1, 10))), reverse=True)
+        n = sum(k for k, _ in plan(Counter(lengths), capacity))
+        assert n <= fewest(lengths, capacity) + 1
+        more += n - fewest(lengths, capacity)
+    assert more <= 4
