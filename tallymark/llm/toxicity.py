@@ -393,37 +393,42 @@ def pieces(word: str) -> set[str]:
     return {f" {word} "[i : i + 5] for i in range(max(1, len(word) - 2))} | {f" {word} "[:n] for n in range(6, min(len(word) + 2, 9) + 1)}
 
 
-def evident(toxic: list[set[str]], clean: list[set[str]]) -> set[str]:
-    """The pieces of words that many toxic documents have and hardly any clean one. One document's pieces are held at a time."""
-    many = Counter(x for d in toxic for x in set().union(*map(pieces, d)))
-    many = {x: n for x, n in many.items() if n >= max(LEAST, SHARE * len(toxic))}
-    few = Counter(x for d in clean for x in many.keys() & set().union(*map(pieces, d)))
-    return {x for x, n in many.items() if n * len(clean) > RARER * (few[x] + 0.5) * len(toxic)}
+def evident(many: dict[str, int], few: Counter, n_toxic: int, n_clean: int) -> set[str]:
+    """Pieces that many toxic documents have (``many``) and hardly any clean one (``few``)."""
+    return {x for x, n in many.items() if n * n_clean > RARER * (few[x] + 0.5) * n_toxic}
 
 
 def train(clean: list[str], toxic: list[str]) -> Machine | None:
     """The machine from whole texts of clean and of toxic training documents."""
     once: dict[str, str] = {}  # one string for each distinct word
 
-    def read(texts: list[str]) -> list[list[list[str]]]:
-        return [[[once.setdefault(w, w) for w in bag(s)] for s in sentences(t)] for t in distinct(texts)]
-
-    docs = [read(clean), read(toxic)]
+    def read(text: str) -> list[list[str]]:
+        return [[once.setdefault(w, w) for w in bag(s)] for s in sentences(text)]
+
+    # Clean documents are counted one by one and not kept: only their words' and pieces' counts matter.
+    docs = [read(t) for t in distinct(toxic)]
+    seen, many, few, n_clean = [Counter(), Counter()], Counter(), Counter(), 0
+    for d in docs:
+        words = set().union(*map(set, d))
+        seen[1].update(words)
+        many.update(set().union(*map(pieces, words)))
+    many = {x: n for x, n in many.items() if n >= max(LEAST, SHARE * len(docs))}
+    for t in distinct(clean):
+        words, n_clean = set().union(*map(set, read(t))), n_clean + 1
+        seen[0].update(words)
+        few.update(many.keys() & set().union(*map(pieces, words)))
     del once
-    if not docs[0] or not docs[1]:
+    if not docs or not n_clean:
         return None
-    words = [[set().union(*map(set, d)) for d in kind] for kind in docs]
-    seen = [Counter(w for d in kind for w in d) for kind in words]
-    found = evident(words[1], words[0])
-    del words
+    found = evident(many, few, len(docs), n_clean)
     # A word that clean documents have nearly as often is no evidence, whatever its pieces.
-    telling = {w for w, n in seen[1].items() if seen[0][w] * len(docs[1]) < 0.2 * n * len(docs[0])}
+    telling = {w for w, n in seen[1].items() if seen[0][w] * len(docs) < 0.2 * n * n_clean}
     del seen[1]
     evidence = {w for w in telling if pieces(w) & found}
     if not evidence:
         return None
     # The bags: sentences of toxic documents with what may be evidence in them.
-    bags = [b for d in docs[1] for s in d if (b := [w for w in s if w in telling])]
+    bags = [b for d in docs for s in d if (b := [w for w in s if w in telling])]
     del docs
     witnesses = [w for b in bags for w in b if w in evidence]
     pool = [w for w, _ in sorted(seen[0].items(), key=lambda e: (-e[1], e[0]))]
