@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 from tallymark.llm.common import Seen, new_path, offsets, texts, tune
 
 END_ID = 2
-#: Chunks that a worker keeps (about 20 MB).
-CACHE_ENTRIES = 400_000
+#: Chunks that a worker keeps (about 12 MB).
+CACHE_ENTRIES = 250_000
 #: Bytes of text whose chunks are looked up together.
-PART_BYTES = 6 << 20
+PART_BYTES = 2 << 20
 #: Cells of ids for each partition, from which partitions of about equal numbers of documents are made.
 CELLS = 64
 
@@ -128,6 +128,7 @@ class Encoder:
                 out.append(x)
             a = b
         at = np.concatenate([[0], *size]).cumsum()
+        pa.default_memory_pool().release_unused()  # a worker may wait long for its next batch
         return np.concatenate([np.zeros(0, np.uint32), *flat]), at
 
     def part(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
