@@ -11,9 +11,10 @@ that grows with the logarithm of the batches. A scan gives the places that begin
 the batch's own, and those of the levels that had nothing alike before.
 
 Long matches are found among these places. Runs of a repeated seed that are equal throughout are repeated throughout.
-For the others, a passage is repeated if its hash comes up in two runs of the seed. Those are compared seed by seed on
+For the others, a passage is repeated if its digest comes up in two runs of the seed. Those are compared seed by seed on
 one example of each distinct run; a seed with more than ``GROUP`` distinct runs is compared passage by passage in a
-shuffle instead, with the same result. Equality is that of 64-bit hashes.
+shuffle instead, with the same result. Equality of runs and passages is that of 64 bits of a cryptographic digest; the
+cheap hashes of seeds choose places and order, and unequal seeds of equal hash change no result.
 
 The same index over words instead of bytes finds passages of ``PASSAGE`` words that stand in two documents or more,
 however many bytes they have; copies within one document do not count there.
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.llm.common import dropped, new_path, released, texts, tune, written
-from tallymark.llm.hashing import Ranges, U, mix, words
+from tallymark.llm.hashing import U, mix, words
 
 LENGTH, SEED, BATCHES = 400, 96, 4
 #: Words of a passage, and of its seeds.
@@ -77,6 +78,31 @@ class Units:
 BYTES, IN_WORDS = Units(), Units(PASSAGE, WORDS, True, True)
 
 
+#: An odd base of the cheap hash, and its inverse; arithmetic is modulo 2 to the 64th.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_powers = [np.ones(1, U), np.ones(1, U)]
+
+
+def seeds_of(data: np.ndarray, width: int) -> np.ndarray:
+    """A cheap hash of each ``width`` consecutive units. It chooses anchors and says nothing about equality."""
+    n = len(data)
+    if len(_powers[0]) <= n:
+        size = 1 << int(n + 1).bit_length()
+        for i, base in enumerate((_BASE, _INVERSE)):
+            _powers[i] = np.concatenate([[U(1)], np.cumprod(np.full(size - 1, U(base)))])
+    sums = np.zeros(n + 1, U)
+    np.cumsum((data.astype(U) + U(1)) * _powers[0][:n], out=sums[1:])
+    return mix((sums[width:] - sums[: n + 1 - width]) * _powers[1][: n + 1 - width])
+
+
+def digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A digest of each range of ``data``, of which 64 bits are kept."""
+    raw, step = memoryview(np.ascontiguousarray(data).view(np.uint8)), data.dtype.itemsize
+    found = b"".join(hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip((start * step).tolist(), (end * step).tolist()))
+    return np.frombuffer(found, U)
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Least of each ``width`` consecutive numbers."""
     n = len(x) - width + 1
@@ -93,9 +119,7 @@ def runs(data: np.ndarray, length: int = LENGTH, seed: int = SEED) -> tuple[np.n
     n, width = len(data) - length + 1, length - seed + 1
     if n < 1:
         return (np.zeros(0, U), np.zeros(0, U), *[np.zeros(0, np.int64)] * 3)
-    ranges = Ranges(data)
-    at = np.arange(len(data) - seed + 1)
-    hashes = ranges.of(at, at + seed)
+    hashes = seeds_of(data, seed)
     anchors = np.empty(n, np.int64)
     step = (1 << _LOW) - width
     for a in range(0, n, step):
@@ -106,7 +130,7 @@ def runs(data: np.ndarray, length: int = LENGTH, seed: int = SEED) -> tuple[np.n
     first = np.flatnonzero(np.diff(anchors, prepend=-1))
     count = np.diff(first, append=n)
     anchor = anchors[first]
-    whole = mix(ranges.of(first, first + count - 1 + length) + (anchor - first).astype(U) * U(0x9E3779B97F4A7C15))
+    whole = mix(digests(data, first, first + count - 1 + length) + (anchor - first).astype(U) * U(0x9E3779B97F4A7C15))
     return hashes[anchor], whole, first, count, anchor
 
 
@@ -211,7 +235,7 @@ class Family:
 
 
 def passages(rows: dict, units: Units) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each passage of runs given as ``data`` from their first passage on, and its run's number."""
+    """Digest of each passage of runs given as ``data`` from their first passage on, and its run's number."""
     count = np.asarray(rows["count"], np.int64)
     data = np.frombuffer(b"".join(rows["data"]), units.kind)
     start = np.concatenate([[0], np.cumsum(count + units.length - 1)])[:-1]
@@ -219,7 +243,7 @@ def passages(rows: dict, units: Units) -> tuple[np.ndarray, np.ndarray]:
     inside = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
     at = start[of] + inside
     anchor = (np.asarray(rows["anchor"]) - np.asarray(rows["first"]))[of] - inside
-    return mix(Ranges(data).of(at, at + units.length) + anchor.astype(U)), of
+    return mix(digests(data, at, at + units.length) + anchor.astype(U)), of
 
 
 def spans_of(hit: np.ndarray, of: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, ...]:

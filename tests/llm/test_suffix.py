@@ -85,6 +85,20 @@ def test_passages_of_words_in_other_documents(spark, group):
     assert order(got) == order(brute_words(rows))
 
 
+def test_texts_made_to_have_equal_polynomial_hashes_lose_nothing(spark):
+    """Differences that are a multiple of two to the 64th at every odd base: a hash modulo that takes them for equal."""
+    c = np.array([1])
+    for step in (32,) * 7 + (16, 8, 4):
+        factor = np.zeros(step + 1, int)
+        factor[0], factor[-1] = -1, 1
+        c = np.convolve(c, factor)
+    common = bytes(40 + i * i % 50 for i in range(400 - len(c)))
+    rows = [(i, (common + bytes((80 + np.maximum(s * c, 0)).astype(np.uint8))).decode()) for i, s in ((1, 1), (2, -1))]
+    assert all(len(t) == 400 for _, t in rows) and sum(x != y for x, y in zip(rows[0][1], rows[1][1])) == 64
+    got = cleaned(spark.createDataFrame(rows, "doc_id long, text string")).select(*BYTE_COLUMNS).collect()
+    assert order(got) == order(brute(rows)) and all(r.n_removed == 0 for r in got)
+
+
 def test_batches_added_one_by_one_to_a_family_that_is_opened_again(spark):
     rows, folder = corpus(4), new_path(spark, "family")
     parts = [rows[i::5] for i in range(5)]
