@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallymark.llm import codes, fingerprint, infill, minhash, mixing, packing, pii, quality, secretscan, suffix, tokens, toxicity
+from tallymark.llm import codes, cover, fingerprint, infill, minhash, mixing, packing, pii, quality, secretscan, suffix, tokens, toxicity
 
 QUERIES = {
     "op1_near_duplicates": minhash.op1_near_duplicates,
@@ -16,7 +16,8 @@ QUERIES = {
     "op9_repeated_passages": suffix.op9_repeated_passages,
     "op10_secrets": secretscan.op10_secrets,
     "op11_vector_codes": codes.op11_vector_codes,
+    "op12_earlier_passages": cover.op12_earlier_passages,
     "op13_fill_in_middle": infill.op13_fill_in_middle,
 }
 
-ORACLE_SQL = {"op6_quality": quality.OP6_SQL, "op7_mix": mixing.OP7_SQL, "op11_vector_codes": codes.OP11_SQL, "op13_fill_in_middle": infill.OP13_SQL}
+ORACLE_SQL = {"op6_quality": quality.OP6_SQL, "op7_mix": mixing.OP7_SQL, "op11_vector_codes": codes.OP11_SQL, "op12_earlier_passages": cover.OP12_SQL, "op13_fill_in_middle": infill.OP13_SQL}
