@@ -37,29 +37,26 @@ def decoded(x) -> Column:
     return F.when(x.contains("%") | x.contains("+"), F.coalesce(F.try_url_decode(whole), x)).otherwise(x)
 
 
-def parts(query) -> Column:
-    """The parts of a query string between ``&``, without empty ones."""
-    return F.filter(F.split(text(query), "&"), lambda p: p != "")
+def plain_keys(query) -> Column:
+    """A query string in which every key that matters stands plainly: encoded keys are decoded, and one that then holds
+    other characters than those of names is no key. Only query strings with an encoded key are taken apart."""
+    q = text(query)
+    key = lambda p: decoded(F.substring_index(p, "=", 1))
+    known = lambda p: F.when(key(p).rlike(r"\A[A-Za-z0-9_]*\z"), key(p)).otherwise("-")
+    rest = lambda p: F.when(p.contains("="), F.substring(p, F.instr(p, "="), F.length(p))).otherwise("")
+    taken_apart = F.concat_ws("&", F.transform(F.split(q, "&"), lambda p: F.concat(known(p), rest(p))))
+    return F.when(q.rlike(r"(?:\A|&)[^=&]*[%+]"), taken_apart).otherwise(q)
 
 
-def keys(query_parts) -> Column:
-    """The decoded key of each part."""
-    return F.transform(query_parts, lambda p: decoded(F.substring_index(p, "=", 1)))
-
-
-def values(query_parts) -> Column:
-    """The value of each part, decoded and trimmed. Unfilled macros come through as they are."""
-    return F.transform(query_parts, lambda p: trimmed(decoded(F.when(p.contains("="), F.substring(p, F.instr(p, "=") + 1, F.length(p))).otherwise(""))))
-
-
-def first_value(query_values, query_keys, name: str) -> Column:
-    """First value of a key; empty if absent."""
-    return text(F.get(query_values, (F.array_position(query_keys, F.lit(name)) - 1).cast("int")))
+def param(query, name: str) -> Column:
+    """One value alone; where many are read, make the keys plain once."""
+    return plain_param(plain_keys(query), name)
 
 
-def param(query, name: str) -> Column:
-    """One value alone; where many are read, split the query string once."""
-    return first_value(values(parts(query)), keys(parts(query)), name)
+def plain_param(plain, name: str) -> Column:
+    """First value of a key of a query string made by ``plain_keys``, decoded and trimmed; empty if absent. Unfilled macros
+    come through as they are."""
+    return trimmed(decoded(F.regexp_extract(plain, rf"(?:\A|&){name}(?:=([^&]*))?(?=&|\z)", 1)))
 
 
 def raw_param(query, name: str) -> Column:
@@ -68,11 +65,11 @@ def raw_param(query, name: str) -> Column:
     return trimmed(F.try_url_decode(F.when(~x.rlike("%(?![0-9A-Fa-f]{2})"), F.replace(x, F.lit("+"), F.lit("%2B")))))
 
 
-def market_area(query_values, query_keys) -> Column:
+def market_area(plain) -> Column:
     """``dma=501``, or the damaged form ``dma501`` as a key."""
-    plain = first_value(query_values, query_keys, "dma")
-    damaged = F.get(F.filter(query_keys, lambda k: k.rlike(r"\Adma[0-9]{1,5}\z")), 0)
-    found = F.when(plain != "", plain).otherwise(text(F.substring(damaged, 4, 5)))
+    value = plain_param(plain, "dma")
+    damaged = F.regexp_extract(plain, r"(?:\A|&)dma([0-9]{1,5})(?=[=&]|\z)", 1)
+    found = F.when(value != "", value).otherwise(damaged)
     return F.when(found.rlike(DMA), found).otherwise("")
 
 
@@ -110,15 +107,36 @@ def hmac_sha256(key: str, message) -> Column:
     return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 256))), 256)
 
 
+#: The forms of a number as text, with nothing before or behind.
+DECIMAL = r"\A[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"
+PREFIXED = {16: r"\A0[xX][0-9A-Fa-f]{1,16}\z", 8: r"\A0[oO][0-7]{1,21}\z", 2: r"\A0[bB][01]{1,64}\z"}
+
+
+def number(x) -> Column:
+    """A text as a finite number, or null: decimal with a fraction and exponent, or hexadecimal, octal or binary with its
+    prefix, up to 64 bits. White space around it is left out; suffixes and separators make it no number."""
+    v = trimmed(x)
+    n = F.when(v.rlike(DECIMAL), v.try_cast("double"))
+    for base, form in PREFIXED.items():
+        n = n.when(v.rlike(form), F.conv(F.substring(v, 3, 64), base, 10).cast("double"))
+    return F.when(F.abs(n) < float("inf"), n)
+
+
 def tag_number(x) -> Column:
     """A tag's expiry as a number: empty counts as 0; null if it is no finite number."""
-    n = F.when(trimmed(x) == "", F.lit(0.0)).otherwise(trimmed(x).try_cast("double"))
-    return F.when(~F.isnan(n) & (F.abs(n) < float("inf")), n)
+    return F.when(trimmed(x) == "", F.lit(0.0)).otherwise(number(x))
 
 
 def number_text(n) -> Column:
-    """A number printed without leading zeros or a fraction of zero."""
-    return F.when(n == F.floor(n), F.floor(n).cast("string")).otherwise(n.cast("string"))
+    """A number printed with the fewest digits that tell it from others, without an exponent below 1e21."""
+    printed = n.cast("string")
+    fraction = F.regexp_replace(printed.try_cast("decimal(38,18)").cast("string"), r"\.?0*\z", "")
+    return (
+        F.when((n == F.floor(n)) & (F.abs(n) < 1e18), F.floor(n).cast("string"))
+        .when(F.abs(n) < 1e20, fraction)
+        .when(F.abs(n) < 1e21, printed.try_cast("decimal(38,0)").cast("string"))
+        .otherwise(F.regexp_replace(printed, r"(?:\.0)?E", "e+"))
+    )
 
 
 def tag_verdict(key: str | None, advertiser, campaign, creative, exp, sig, now) -> Column:

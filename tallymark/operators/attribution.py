@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.config import Settings, is_placeholder
@@ -13,6 +13,7 @@ from tallymark.operators.dimensions import dimension
 from tallymark.operators.payloads import skipped
 from tallymark.operators.ratelimit import rate_limited
 from tallymark.schemas import CALL, MAPPING
+from tallymark.sources.tables import written
 
 #: Outcomes of calls whose number is not known to be mapped.
 BEFORE_MAPPING = ("call_rate_limited", "call_not_configured", "call_bad_request", "call_unauthorized", "call_unknown_number", "call_bad_number_mapping")
@@ -43,7 +44,7 @@ def signed(key: str | None, stamp, body, signature, now, skew: int) -> Column:
     """Whether ``stamp.body`` bears the signature and the stamp is near ``now``."""
     if is_placeholder(key):
         return F.lit(False)
-    n = stamp.try_cast("double")
+    n = x.number(stamp)
     message = F.concat(stamp.cast("binary"), F.lit(bytearray(b".")), body.cast("binary"))
     return F.coalesce((F.abs(n - now) <= skew) & (F.lower(signature) == x.hmac_sha256(key, message)), F.lit(False))
 
@@ -92,27 +93,91 @@ def claimed_calls(calls: DataFrame, settings: Settings = Settings()) -> DataFram
     return claims(calls.withColumn("claim", key), "claim", settings.call_ttl)
 
 
-def windows(calls: DataFrame, settings: Settings) -> tuple[DataFrame, Column, int]:
-    """Calls with each stretch ``_h`` of time that their window touches, an impression's stretch, and the window's seconds."""
+#: What tells calls apart that meet the same impressions with the same scores.
+MOMENT = ["store_key", "call_ts", "caller_state"]
+#: What a call keeps of its best impression, and the order by which it is the best.
+BEST = ("ts", "imp_seq", "ip", "rida", "hh_id", "region", "city", "postal", "lmt", "score")
+RANK = ("score", "ts", "imp_seq")
+
+
+def by_second(recent: DataFrame, width: int) -> DataFrame:
+    """How many impressions a store has in each second that has some; ``_h`` is the stretch of ``width`` seconds."""
+    return recent.groupBy("store_key", F.floor(F.col("ts") / width).alias("_h"), "ts").agg(F.count("*").alias("n"))
+
+
+def moment_counts(calls: DataFrame, recent: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Each moment of ``calls`` with its ``candidates``: the impressions in the closed window before it.
+
+    A window is as long as a stretch, so it starts in one and ends in the next. Running counts over the seconds of a
+    stretch say how many impressions stand behind the start and before the end; the two add up. A stretch has as many
+    seconds as the window at most, whatever the number of its impressions and calls.
+    """
     seconds = settings.match_window_minutes * 60
     width = max(seconds, 1)
-    touched = F.sequence(F.floor((F.col("call_ts") - seconds) / width), F.floor(F.col("call_ts") / width))
-    return calls.withColumn("_h", F.explode(touched)), F.floor(F.col("ts") / width), seconds
+    moments = calls.where(F.col("store_key").isNotNull()).select(*MOMENT).distinct()
+    start = F.col("call_ts") - seconds
+    # Probes of a second come before its impressions (0) or behind them (2).
+    probes = F.array(*[F.struct(F.floor(t / width).alias("_h"), t.alias("ts"), F.lit(side).alias("side")) for t, side in ((start, 0), (F.col("call_ts"), 2)) if seconds or side])
+    probes = moments.select(*MOMENT, F.explode(probes).alias("p")).select(*MOMENT, "p.*", F.lit(0).cast("bigint").alias("n"))
+    held = by_second(recent, width).withColumn("side", F.lit(1))
+    along = Window.partitionBy("store_key", "_h").orderBy("ts", "side")
+    before = F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    whole = F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    inside = F.when(F.col("side") == 0, whole - before).otherwise(before)
+    d = probes.unionByName(held, allowMissingColumns=True).withColumn("inside", inside).where("side <> 1")
+    return d.groupBy(*MOMENT).agg(F.sum("inside").alias("candidates"))
 
 
 def candidate_counts(calls: DataFrame, recent: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``call_seq`` and ``candidates`` of each call that has some, without a row for any pair.
+    """``call_seq`` and ``candidates`` of each call that has some, without a row for any pair."""
+    return at_moments(calls, moment_counts(calls, recent, settings)).where("candidates > 0").select("call_seq", "candidates")
+
+
+def at_moments(calls: DataFrame, found: DataFrame) -> DataFrame:
+    """``calls`` with what ``found`` has for their moments. Calls without a store meet nothing, and are spread."""
+    f = found.select(*[F.col(c).alias(f"_{c}") for c in MOMENT], *[c for c in found.columns if c not in MOMENT])
+    store = F.coalesce("store_key", F.concat(F.lit("\0"), F.col("call_seq").cast("string")))
+    d = calls.withColumn("_store", store)
+    same = (F.col("_store") == F.col("_store_key")) & (F.col("call_ts") == F.col("_call_ts")) & F.col("caller_state").eqNullSafe(F.col("_caller_state"))
+    return d.join(f, same, "left").drop("_store", *[f"_{c}" for c in MOMENT])
+
+
+def scored(pair: dict[str, Column], settings: Settings) -> Column:
+    """Score of a call (``candidates``, ``call_ts``, ``caller_state``) with one of its candidates (``ts``, ``region``)."""
+    seconds = max(settings.match_window_minutes * 60, 1)
+    t = x.recency(pair["call_ts"], pair["ts"], seconds)
+    return x.score(x.scarcity(pair["candidates"]), t, x.nearness(pair["region"], pair["caller_state"]), settings.weights)
+
 
-    Impressions are counted by second; a stretch as long as the window has at most that many seconds, so the two
-    stretches that a call's window touches are two rows of bounded length.
+def best_of_moments(counts: DataFrame, recent: DataFrame, settings: Settings) -> DataFrame:
+    """``counts`` with ``best``, null where there are no candidates or more than the ceiling.
+
+    A moment first meets the seconds of its two stretches, then the impressions of the seconds in its window: pairs are
+    at most the ceiling for each moment, however many impressions its store has outside the window.
     """
-    c, stretch, seconds = windows(calls.select("call_seq", "store_key", "call_ts"), settings)
-    by_second = recent.groupBy("store_key", stretch.alias("_h"), "ts").agg(F.count("*").alias("n"))
-    held = by_second.groupBy("store_key", "_h").agg(F.collect_list(F.struct("ts", "n")).alias("held"))
-    inside = F.filter("held", lambda e: e["ts"].between(F.col("call_ts") - seconds, F.col("call_ts")))
-    n = F.aggregate(inside, F.lit(0).cast("bigint"), lambda a, e: a + e["n"])
-    found = c.join(held, ["store_key", "_h"]).select("call_seq", n.alias("n"))
-    return found.groupBy("call_seq").agg(F.sum("n").alias("candidates")).where("candidates > 0")
+    seconds = settings.match_window_minutes * 60
+    width = max(seconds, 1)
+    few = F.col("candidates").between(1, settings.candidate_ceiling)
+    touched = F.sequence(F.floor((F.col("call_ts") - seconds) / width), F.floor(F.col("call_ts") / width))
+    c = counts.withColumn("_h", F.explode_outer(F.when(few, touched)))
+    held = by_second(recent, width).select(F.col("store_key").alias("_s"), F.col("_h").alias("_g"), F.col("ts").alias("_ts"))
+    near = (F.col("store_key") == F.col("_s")) & (F.col("_h") == F.col("_g")) & F.col("_ts").between(F.col("call_ts") - seconds, F.col("call_ts"))
+    # A moment without any second keeps one row, under a store that is its own.
+    c = c.join(held, near, "left").withColumn("_at", F.coalesce("_s", F.concat(F.lit("\0"), "store_key", F.col("call_ts").cast("string")))).drop("_s", "_g", "_h")
+    r = recent.withColumnRenamed("seq", "imp_seq").withColumnRenamed("store_key", "_s")
+    pairs = c.join(r, (F.col("_at") == F.col("_s")) & (F.col("_ts") == F.col("ts")), "left")
+    pairs = pairs.withColumn("score", scored({n: F.col(n) for n in ("candidates", "call_ts", "caller_state", "ts", "region")}, settings))
+    best = F.max_by(F.struct(*BEST), F.when(F.col("imp_seq").isNotNull(), F.struct(*RANK)))
+    return pairs.groupBy(*MOMENT).agg(F.first("candidates").alias("candidates"), best.alias("best"))
+
+
+def decided(d: DataFrame, settings: Settings) -> DataFrame:
+    """Adds ``confidence``, ``gate``, ``matched`` and ``device_ids`` to calls with ``candidates`` and ``best``."""
+    d = d.withColumn("candidates", F.coalesce("candidates", F.lit(0)).cast("bigint")).withColumn("score", F.col("best.score"))
+    d = d.withColumn("confidence", F.when(F.col("best").isNull(), F.lit(0.0)).otherwise(x.four_places("score")))
+    gate = x.gate(F.col("candidates"), F.col("confidence"), settings.max_candidates, settings.min_confidence)
+    d = d.withColumn("gate", F.when(F.col("candidates") > settings.candidate_ceiling, "too_many_candidates").otherwise(gate))
+    return d.withColumn("matched", F.col("candidates") > 0).withColumn("device_ids", F.col("gate") == "ok").drop("score")
 
 
 def matched(calls: DataFrame, recent: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -120,25 +185,11 @@ def matched(calls: DataFrame, recent: DataFrame, settings: Settings = Settings()
 
     ``calls``: ``call_seq``, ``store_key``, ``call_ts``, ``caller_state`` and others, which stay. ``recent``: see
     ``schemas.RECENT``. Candidates lie in the closed window before the call. They are counted first, and only calls
-    with at most as many as the ceiling meet their candidates, so pairs are bounded by calls; with more candidates
-    nothing is scored.
+    with at most as many as the ceiling meet their candidates; with more, nothing is scored. Calls of one store, second
+    and state are matched once. Calls without a store have no candidates.
     """
-    counts = candidate_counts(calls, recent, settings)
-    d = calls.join(counts, "call_seq", "left").withColumn("candidates", F.coalesce("candidates", F.lit(0)).cast("bigint"))
-    few = d.where(F.col("candidates").between(1, settings.candidate_ceiling)).select("call_seq", "store_key", "call_ts", "caller_state", "candidates")
-    c, stretch, seconds = windows(few, settings)
-    r = recent.withColumn("_h", stretch).withColumnRenamed("seq", "imp_seq")
-    pairs = c.join(r, ["store_key", "_h"]).where(F.col("ts").between(F.col("call_ts") - seconds, F.col("call_ts")))
-    t = x.recency(F.col("call_ts"), F.col("ts"), max(seconds, 1))
-    g = x.nearness(F.col("region"), F.col("caller_state"))
-    pairs = pairs.withColumn("score", x.score(x.scarcity(F.col("candidates")), t, g, settings.weights))
-    rank = F.struct("score", "ts", "imp_seq")
-    best = pairs.groupBy("call_seq").agg(F.max_by(F.struct("ts", "imp_seq", "ip", "rida", "hh_id", "region", "city", "postal", "lmt", "score"), rank).alias("best"))
-    d = d.join(best, "call_seq", "left").withColumn("score", F.col("best.score"))
-    d = d.withColumn("confidence", F.when(F.col("best").isNull(), F.lit(0.0)).otherwise(x.four_places("score")))
-    gate = x.gate(F.col("candidates"), F.col("confidence"), settings.max_candidates, settings.min_confidence)
-    d = d.withColumn("gate", F.when(F.col("candidates") > settings.candidate_ceiling, "too_many_candidates").otherwise(gate))
-    return d.withColumn("matched", F.col("candidates") > 0).withColumn("device_ids", F.col("gate") == "ok").drop("score")
+    counts = moment_counts(calls, recent, settings)
+    return decided(at_moments(calls, best_of_moments(counts, recent, settings)), settings)
 
 
 def caller_states(calls: DataFrame, area_codes: DataFrame, ani: str = "ani") -> DataFrame:
@@ -159,7 +210,8 @@ def concluded(requests: DataFrame, numbers: DataFrame, recent: DataFrame, area_c
     """Each call request with its one ``outcome``, from the request over the claim and the match to the send.
 
     ``requests``: see ``schemas.CALL_REQUEST``; a Boolean column ``sent`` holds what became of each send (without it
-    all succeed). Only calls that got their claim are matched; a skipped or failed send gives the claim back.
+    all succeed). Only calls that got their claim are matched; a skipped or failed send gives the claim back. A request
+    without a time is ``call_internal_error``.
     """
     if "sent" not in requests.columns:
         requests = requests.withColumn("sent", F.lit(True))
@@ -172,9 +224,12 @@ def concluded(requests: DataFrame, numbers: DataFrame, recent: DataFrame, area_c
     d = d.withColumns({"callId": F.col("c.callId"), "ani": F.col("c.ani"), "creative_id": F.col("creativeId"), "call_ts": F.floor("c.startTime").cast("bigint")})
     key = F.concat(F.lit("call:"), F.hex("callId"), F.lit(":"), F.col("creative_id"), F.lit("|"))
     d = d.withColumn("claim", F.when(F.col("outcome").isNull(), key)).withColumn("sent", F.col("delivered") & ~F.col("is_skipped"))
-    d = claims(d, "claim", settings.call_ttl)
+    failed = F.when(F.col("t").isNull(), "call_internal_error")
+    d = d.withColumns({"outcome": F.coalesce(failed, "outcome"), "claim": F.when(failed.isNull(), F.col("claim"))})
+    # Read for the claims, the moments of the calls and the calls: what comes before runs once.
+    d = claims(written(d, "requests"), "claim", settings.call_ttl)
     goes_on = F.col("outcome").isNull() & F.col("is_claimed")
-    d = caller_states(d, area_codes).withColumn("store_key", F.when(goes_on, F.col("store_key")))
+    d = written(caller_states(d, area_codes).withColumn("store_key", F.when(goes_on, F.col("store_key"))), "claimed")
     d = matched(d, recent, settings)
     end = call_outcome(F.col("is_claimed"), F.lit(settings.live), F.col("is_skipped"), F.col("delivered"))
     d = d.withColumns({"start_time": F.col("call_ts"), "duration": F.col("c.durationSeconds"), "sale_value": F.col("c.saleValue"), "currency": F.col("c.currency"), "event_group_id": F.col("eventGroupId")})

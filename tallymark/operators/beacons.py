@@ -11,6 +11,7 @@ from tallymark.operators.dedup import dedup_key, fixed_window, live_keys, scope
 from tallymark.operators.dimensions import dimension
 from tallymark.operators.ratelimit import rate_limited
 from tallymark.schemas import CAMPAIGN, EVENT_NAMES
+from tallymark.sources.tables import written
 
 
 def campaign_configs(campaigns: DataFrame) -> DataFrame:
@@ -29,11 +30,9 @@ def parsed(beacons: DataFrame, campaigns: DataFrame, settings: Settings = Settin
     """All fields of each beacon, and ``reason``: null, or why it is refused (the first reason in order)."""
     q, now = F.col("query"), F.col("recv_ts")
     names = ("advertiser_id", "campaign_id", "creative_id", "pf", "device_ip", "ifa", "ifa_type", "lmt", "app_id", "country", "exp", "sig", "cb", "roku_advertiser_id", "roku_campaign_id", "roku_creative_id", "roku_postal_code", "hh_id")
-    # The query string is split and decoded once, and each value found by the place of its key.
-    d = beacons.withColumn("_parts", x.parts(q))
-    d = d.withColumn("_keys", x.keys(F.col("_parts"))).withColumn("_values", x.values(F.col("_parts")))
-    found = [x.first_value(F.col("_values"), F.col("_keys"), n).alias(f"p_{n}") for n in names]
-    d = d.select(*beacons.columns, *found, x.market_area(F.col("_values"), F.col("_keys")).alias("dma"))
+    plain = F.col("_plain")
+    d = beacons.withColumn("_plain", x.plain_keys(q))
+    d = d.select(*beacons.columns, *[x.plain_param(plain, n).alias(f"p_{n}") for n in names], x.market_area(plain).alias("dma"))
     d = d.join(dimension(campaign_configs(campaigns)), F.col("p_campaign_id") == F.col("c_id"), "left")
     p = {n: F.col(f"p_{n}") for n in names}
     roku = p["pf"] != "ua"
@@ -88,23 +87,30 @@ def ingested(beacons: DataFrame, campaigns: DataFrame, settings: Settings = Sett
 
     The kill switch comes first, then the rate limit by connecting address, then the verdict, then repeats. ``seen``
     is the store of live keys at the start (``stored`` of the batch before). While ``settings.previous_salt`` is set, a
-    beacon whose device lives there under the previous salt is a repeat too.
+    beacon whose device lives there under the previous salt is a repeat too. A beacon without a time is ``reject_internal``.
+    ``is_seed`` says whether a beacon sets its key. What is parsed is written to the shared folder once.
     """
     d = rate_limited(beacons.withColumn("t", F.col("recv_ts")), "connecting_ip", settings.rate_limit)
     d = parsed(d, campaigns, settings)
-    early = F.when(F.lit(not settings.enabled), "disabled").when(~F.col("allowed"), "reject_rate_limited").when(F.col("reason").isNotNull(), F.concat(F.lit("reject_"), F.col("reason")))
+    early = (
+        F.when(F.lit(not settings.enabled), "disabled")
+        .when(F.col("t").isNull(), "reject_internal")
+        .when(~F.col("allowed"), "reject_rate_limited")
+        .when(F.col("reason").isNotNull(), F.concat(F.lit("reject_"), F.col("reason")))
+    )
     d = d.withColumn("early", early)
     s = scope(F.col("platform"), F.col("campaign_id"), F.col("creative_id"), F.col("roku_campaign_id"), F.col("roku_creative_id"))
     key = dedup_key(F.col("ifa_present") == "1", F.col("ifa_hash"), s, F.col("connecting_ip"), F.col("t"), settings)
     before = F.when(F.col("previous_hash").isNotNull(), F.concat_ws("|", F.col("previous_hash"), s))
     d = d.withColumns({"dedup_key": F.when(F.col("early").isNull(), key), "previous_key": F.when(F.col("early").isNull(), before)})
-    d = fixed_window(d, "dedup_key", settings.dedup_ttl, seen, "previous_key")
+    # The keys are read apart from the rows, and parsing them twice costs more than a table.
+    d = fixed_window(written(d, "parsed"), "dedup_key", settings.dedup_ttl, seen, "previous_key" if settings.previous_salt else None)
     return d.withColumn("outcome", F.coalesce("early", F.when(F.col("is_first"), "counted").otherwise("duplicate"))).drop("early", "is_first", "allowed", "previous_key")
 
 
 def stored(outcomes: DataFrame, settings: Settings, as_of: int, seen: DataFrame | None = None) -> DataFrame:
-    """The store of live keys after ``ingested``."""
-    return live_keys(outcomes.select("dedup_key", "t", "seq"), "dedup_key", settings.dedup_ttl, as_of, seen)
+    """The store of live keys after ``ingested``, whose rows say which of them set their key."""
+    return live_keys(outcomes.select("dedup_key", "t", "is_seed"), "dedup_key", settings.dedup_ttl, as_of, seen)
 
 
 def ledger(outcomes: DataFrame) -> DataFrame:

@@ -1,9 +1,17 @@
 """Deduplication in fixed windows: a sighting counts if the key's last counted sighting has expired.
 
-A key's events meet in one task in order of time, and a fold passes over them. It holds the key's expiry and no
-events, so a key with very many events needs no more memory than another; events without a key are spread.
-What the fold decides depends on all earlier events of the key, which no built-in aggregate or window expresses
-without holding them; batches go to Python as Arrow, and a fold steps from one counted event to the next.
+Only the key, the time and what else a decision needs leave the rows; what counts comes back and is joined to them.
+
+Fixed windows need no more than the seconds in which a key has events. These are gathered by key and block of time, so
+the events of one very frequent key are dealt out over its blocks, and then walked in order of the blocks with jumps from
+one counted second to the next: a key brings at most as many seconds as its time has, whatever the number of its events.
+
+Where a decision needs every event (a change of salts, claims that failed sends give back), a key's events meet sorted in
+one task, and a fold that holds the key's expiries passes over them. What it decides depends on all earlier events of the
+key, which no built-in aggregate or window expresses without holding them; it runs in Python over Arrow batches.
+
+Rows without a key all count. Rows without a time never count and set nothing. Of rows of one key and second the least
+``seq`` comes first; rows of equal ``t`` and ``seq`` are taken one after the other.
 """
 
 from __future__ import annotations
@@ -11,11 +19,11 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallymark.config import Settings, is_placeholder
 from tallymark.functions.expressions import hashed
@@ -40,45 +48,94 @@ def dedup_key(ifa_present, ifa_hash, scope_key, connecting_ip, now, settings: Se
 
 
 State = tuple[int, ...]
+#: Lifetimes in a block of time.
+BLOCK = 4
+#: Earlier than any event.
+BEFORE = -(1 << 62)
+
+
+def spread(key: str) -> Column:
+    """``key``, and for rows without one a value of their own, so that they do not meet in one partition."""
+    return F.coalesce(F.col(key).cast("string"), F.concat(F.lit("\0"), F.col("seq").cast("string")))
 
 
 def folded(df: DataFrame, key: str, name: str, start: State, fold: Callable, *columns: str) -> DataFrame:
     """Adds the Boolean column ``name``: what ``fold`` says of each event of a key, in order of ``t`` and ``seq``.
 
     ``fold(state, rows, flags, a, b)`` sets the flags of rows ``a`` to ``b`` and gives the next state; ``rows`` has
-    ``t`` and ``columns`` as lists. Rows of a null key are all true. Rows of equal ``t`` and ``seq`` are taken one
-    after the other.
+    ``t`` and ``columns`` as lists.
     """
-    where = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("\0"), F.col("seq").cast("string")))
-    ordered = df.repartition(where).sortWithinPartitions(key, "t", "seq")
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.BooleanType())])
+    names = ["_key", "t", "seq", *columns]
+    narrow = df.select(F.col(key).cast("string").alias("_key"), "t", "seq", *columns).where("_key is not null and t is not null")
+    ordered = narrow.repartition("_key").sortWithinPartitions(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, state = None, start
         for batch in batches:
-            runs = pc.run_end_encode(batch.column(key))
+            runs = pc.run_end_encode(batch.column("_key"))
             rows = {c: batch.column(c).to_pylist() for c in ("t", *columns)}
             flags, a = [False] * batch.num_rows, 0
             for k, b in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
-                if k is None:
-                    flags[a:b] = [True] * (b - a)
-                else:
-                    if k != held:
-                        held, state = k, start
-                    state = fold(state, rows, flags, a, b)
+                if k != held:
+                    held, state = k, start
+                state = fold(state, rows, flags, a, b)
                 a = b
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(flags, pa.bool_())], [*batch.schema.names, name])
+            yield batch.filter(pa.array(flags, pa.bool_()))
+
+    found = ordered.mapInArrow(run, narrow.schema).groupBy(*[F.col(c).alias(f"_f{i}") for i, c in enumerate(names)]).agg(F.count("*").alias("_times"))
+    return marked(df, key, name, found, ["t", "seq", *columns])
+
+
+def marked(df: DataFrame, key: str, name: str, found: DataFrame, columns: list[str]) -> DataFrame:
+    """Adds ``name``: true for ``_times`` of the rows that are equal to a row of ``found`` (``_f0``: the key), and without a key."""
+    d = df.withColumn("_f", spread(key))
+    same = F.col("_f") == F.col("_f0")
+    for i, c in enumerate(columns):
+        same = same & F.col(c).eqNullSafe(F.col(f"_f{i + 1}"))
+    d = d.join(found, same, "left")
+    nth = F.row_number().over(Window.partitionBy("_f", *columns).orderBy("seq"))
+    flag = F.col(key).isNull() | F.coalesce(nth <= F.col("_times"), F.lit(False))
+    return d.withColumn(name, F.col("t").isNotNull() & flag).drop("_f", "_times", *[f"_f{i}" for i in range(len(columns) + 1)])
+
 
-    return ordered.mapInArrow(run, schema)
+def counted_seconds(df: DataFrame, key: str, ttl: int, seen: DataFrame | None = None) -> DataFrame:
+    """``_f0`` (the key) and ``_f1`` (the second) of each event that counts. ``seen``: ``key`` and ``exp`` of the store at the start."""
+    d = df.select(F.col(key).cast("string").alias("_key"), F.col("t").cast("bigint").alias("t")).where("_key is not null and t is not null")
+    block = F.floor(F.col("t") / (BLOCK * max(ttl, 1))).alias("_block")
+    d = d.groupBy("_key", block).agg(F.sort_array(F.collect_set("t")).alias("seconds"))
+    if seen is None:
+        d = d.withColumn("_exp", F.lit(None).cast("bigint"))
+    else:
+        held = seen.groupBy(F.col("key").alias("_held")).agg(F.max("exp").cast("bigint").alias("_exp"))
+        d = d.join(held, F.col("_key") == F.col("_held"), "left").drop("_held")
+    ordered = d.repartition("_key").sortWithinPartitions("_key", "_block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, end = None, BEFORE
+        for batch in batches:
+            keys, firsts = [], []
+            lists = batch.column("seconds")
+            seconds, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+            for i, (k, exp) in enumerate(zip(batch.column("_key").to_pylist(), batch.column("_exp").to_pylist(), strict=True)):
+                if k != held:
+                    held, end = k, BEFORE if exp is None else exp
+                own = seconds[offsets[i] : offsets[i + 1]]
+                at = int(np.searchsorted(own, end))
+                while at < len(own):
+                    keys.append(k)
+                    firsts.append(int(own[at]))
+                    end = firsts[-1] + ttl
+                    at = max(at + 1, int(np.searchsorted(own, end)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(firsts, pa.int64())], ["_f0", "_f1"])
+
+    return ordered.select("_key", "seconds", "_exp").mapInArrow(run, "_f0 string, _f1 long")
 
 
 def fixed_fold(ttl: int) -> Callable:
-    """State: the expiry. With a column ``_exp``, the expiry that the store held at the start."""
+    """State: the expiry."""
 
     def fold(state: State, rows: dict, flags: list, a: int, b: int) -> State:
         t, (end,) = rows["t"], state
-        if "_exp" in rows and rows["_exp"][a] is not None:
-            end = max(end, rows["_exp"][a])
         i = bisect_left(t, end, a, b)
         while i < b:
             flags[i], end = True, t[i] + ttl
@@ -119,20 +176,17 @@ def claim_fold(ttl: int) -> Callable:
     return fold
 
 
-#: Earlier than any event.
-BEFORE = -(1 << 62)
-
-
 def seeded(df: DataFrame, key: str, ttl: int, seen: DataFrame | None = None) -> DataFrame:
-    """Adds ``is_seed``: whether an event sets its key. ``seen``: ``key`` and ``exp`` of the store at the start."""
-    if seen is None:
-        return folded(df, key, "is_seed", (BEFORE,), fixed_fold(ttl))
-    held = seen.groupBy(F.col("key").alias("_key")).agg(F.max("exp").cast("bigint").alias("_exp"))
-    return folded(df.join(held, F.col(key) == F.col("_key"), "left").drop("_key"), key, "is_seed", (BEFORE,), fixed_fold(ttl), "_exp").drop("_exp")
+    """Adds ``is_seed``: whether an event sets its key. ``seen``: ``key`` and ``exp`` of the store at the start.
+
+    Of the rows of a second that counts the first sets the key; with a lifetime of nothing all do.
+    """
+    found = counted_seconds(df, key, ttl, seen).withColumn("_times", F.lit(1 if ttl > 0 else (1 << 31) - 1))
+    return marked(df, key, "is_seed", found, ["t"])
 
 
 def fixed_window(df: DataFrame, key: str, ttl: int, seen: DataFrame | None = None, alias: str | None = None) -> DataFrame:
-    """Adds ``is_first``. Needs ``t`` (seconds) and ``seq``; rows of a null key all count.
+    """Adds ``is_first`` and ``is_seed``. Needs ``t`` (seconds) and ``seq``; rows of a null key all count.
 
     ``alias`` is the key under the previous salt: an event is a repeat while that lives in ``seen``, and sets its
     own key all the same.
@@ -141,9 +195,9 @@ def fixed_window(df: DataFrame, key: str, ttl: int, seen: DataFrame | None = Non
     first = F.col("is_seed")
     if alias is not None and seen is not None:
         held = seen.groupBy(F.col("key").alias("_key")).agg(F.max("exp").alias("_alias_exp"))
-        d = d.join(held, F.col(alias) == F.col("_key"), "left")
+        d = d.withColumn("_alias", spread(alias)).join(held, F.col("_alias") == F.col("_key"), "left")
         first = first & (F.col("_alias_exp").isNull() | (F.col("_alias_exp") <= F.col("t")))
-    return d.withColumn("is_first", first).drop("is_seed", "_key", "_alias_exp")
+    return d.withColumn("is_first", first).drop("_key", "_alias", "_alias_exp")
 
 
 def rotating(df: DataFrame, device: str, ttl: int) -> DataFrame:
@@ -162,8 +216,13 @@ def claims(df: DataFrame, key: str, ttl: int) -> DataFrame:
 
 
 def live_keys(df: DataFrame, key: str, ttl: int, as_of: int, seen: DataFrame | None = None) -> DataFrame:
-    """The store at ``as_of``: ``key`` and its expiry, without those that are purged."""
-    new = seeded(df.where(F.col(key).isNotNull()), key, ttl, seen).where("is_seed").groupBy(F.col(key).alias("key")).agg((F.max("t") + ttl).alias("exp"))
+    """The store at ``as_of``: ``key`` and its expiry, without those that are purged. Rows that say themselves whether
+    they set their key (``is_seed``) are not walked again."""
+    if "is_seed" in df.columns:
+        set_at = df.where(F.col("is_seed") & F.col(key).isNotNull()).select(F.col(key).alias("key"), "t")
+    else:
+        set_at = counted_seconds(df, key, ttl, seen).toDF("key", "t")
+    new = set_at.groupBy("key").agg((F.max("t") + ttl).alias("exp"))
     if seen is not None:
         new = new.union(seen.select("key", "exp")).groupBy("key").agg(F.max("exp").alias("exp"))
     return new.where(F.col("exp") > as_of)

@@ -48,10 +48,40 @@ def test_tracking_limits(spark, value, limits):
 
 def test_parameters(spark):
     q = "a=1&b=x+y%21&a=2&c=%zz%21&d=[[[DEVICE_IP]]]&e=%20t%20&f=a+b%2B&dma501&camp%5Fid=k%3D1&&x"
-    got = evaluate(spark, [(q, "")], a=x.param(F.col("v"), "a"), b=x.param(F.col("v"), "b"), c=x.param(F.col("v"), "c"), d=x.param(F.col("v"), "d"), e=x.param(F.col("v"), "e"), f=x.raw_param(F.col("v"), "f"), g=x.raw_param(F.col("v"), "c"), h=x.param(F.col("v"), "none"), i=x.market_area(x.values(x.parts(F.col("v"))), x.keys(x.parts(F.col("v")))), j=x.param(F.col("v"), "camp_id"), k=x.param(F.col("v"), "x"))
+    got = evaluate(spark, [(q, "")], a=x.param(F.col("v"), "a"), b=x.param(F.col("v"), "b"), c=x.param(F.col("v"), "c"), d=x.param(F.col("v"), "d"), e=x.param(F.col("v"), "e"), f=x.raw_param(F.col("v"), "f"), g=x.raw_param(F.col("v"), "c"), h=x.param(F.col("v"), "none"), i=x.market_area(x.plain_keys(F.col("v"))), j=x.param(F.col("v"), "camp_id"), k=x.param(F.col("v"), "x"))
     assert got == [("1", "x y!", "%zz!", "[[[DEVICE_IP]]]", "t", "a+b+", "", "", "501", "k=1", "")]
 
 
+def test_parameters_equal_to_those_taken_apart_one_by_one(spark):
+    from urllib.parse import unquote_plus
+
+    r, names = random.Random(9), ["a", "b_c", "dma", "dm"]
+    pieces = ["a", "b_c", "b%5Fc", "b_c%", "%61", "dma", "dma501", "dma%35", "dm", "+a", "a+", "", "a%3Db", "%26a", "A"]
+    rows = ["&".join(r.choice(pieces) + r.choice(["", "=", "=1", "=x%20y", "==", "=é", "=%41+b"]) for _ in range(r.randrange(7))) for _ in range(800)]
+
+    def first(q, name):
+        pairs = [(unquote_plus(k), unquote_plus(v).strip()) for k, _, v in (p.partition("=") for p in q.split("&") if p)]
+        return next((v for k, v in pairs if k == name), "")
+
+    got = evaluate(spark, [(q, "") for q in rows], **{n: x.plain_param(x.plain_keys(F.col("v")), n) for n in names})
+    assert got == [tuple(first(q, n) for n in names) for q in rows]
+
+
+NUMBERS = [
+    ("1767225600", 1767225600.0, "1767225600"), ("01767225600.0", 1767225600.0, "1767225600"), ("1767225600d", None, None), ("1767225600f", None, None), ("1767225600L", None, None),
+    ("1767225600.5", 1767225600.5, "1767225600.5"), ("1767225600.", 1767225600.0, "1767225600"), ("1.7672256e9", 1767225600.0, "1767225600"), ("+1767225600", 1767225600.0, "1767225600"),
+    (" 1767225600\t", 1767225600.0, "1767225600"), ("1_767_225_600", None, None), ("1,5", None, None), ("Infinity", None, None), ("-Infinity", None, None), ("NaN", None, None), ("1e400", None, None),
+    ("0x69554200", 1767195136.0, "1767195136"), ("0X69554200", 1767195136.0, "1767195136"), ("-0x1", None, None), ("0x", None, None), ("0xg", None, None), ("0b101", 5.0, "5"), ("0o17", 15.0, "15"), ("0o8", None, None),
+    (".5", 0.5, "0.5"), ("5.", 5.0, "5"), (".", None, None), ("e5", None, None), ("-3.25", -3.25, "-3.25"), ("123456789012345678901", 123456789012345680000.0, "123456789012345680000"), ("1e21", 1e21, "1e+21"), ("1.5e300", 1.5e300, "1.5e+300"),
+    ("12345678901234567890123", 1.2345678901234568e22, "1.2345678901234568e+22"), ("1e20", 1e20, "100000000000000000000"), ("0.1", 0.1, "0.1"), ("soon", None, None),
+]
+
+
+def test_numbers_as_text(spark):
+    got = evaluate(spark, [(v, "") for v, _, _ in NUMBERS], n=x.number(F.col("v")), t=x.number_text(x.number(F.col("v"))))
+    assert got == [(n, t) for _, n, t in NUMBERS]
+
+
 @pytest.mark.parametrize("key", ["k", "a much longer key than one block of sixty-four bytes, which is therefore hashed first"])
 def test_keyed_digest(spark, key):
     got = evaluate(spark, [("adv|camp|cre|1", "é")], a=x.hmac_sha256(key, F.col("v")), b=x.hmac_sha256(key, F.col("w")))
