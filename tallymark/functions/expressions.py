@@ -109,17 +109,24 @@ def hmac_sha256(key: str, message) -> Column:
 
 #: The forms of a number as text, with nothing before or behind.
 DECIMAL = r"\A[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"
-PREFIXED = {16: r"\A0[xX][0-9A-Fa-f]{1,16}\z", 8: r"\A0[oO][0-7]{1,21}\z", 2: r"\A0[bB][01]{1,64}\z"}
+PREFIXED = r"\A0(?:[xX][0-9A-Fa-f]{1,16}|[oO][0-7]{1,21}|[bB][01]{1,64})\z"
+
+
+def once(value, then) -> Column:
+    """What ``then`` makes of a value, which is worked out once however often that names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def number(x) -> Column:
     """A text as a finite number, or null: decimal with a fraction and exponent, or hexadecimal, octal or binary with its
     prefix, up to 64 bits. White space around it is left out; suffixes and separators make it no number."""
-    v = trimmed(x)
-    n = F.when(v.rlike(DECIMAL), v.try_cast("double"))
-    for base, form in PREFIXED.items():
-        n = n.when(v.rlike(form), F.conv(F.substring(v, 3, 64), base, 10).cast("double"))
-    return F.when(F.abs(n) < float("inf"), n)
+
+    def of(v) -> Column:
+        mark = F.lower(F.substring(v, 2, 1))
+        base = F.when(mark == "x", 16).when(mark == "o", 8).otherwise(2)
+        return F.when(v.rlike(DECIMAL), v.try_cast("double")).when(v.rlike(PREFIXED), F.call_function("conv", F.substring(v, 3, 64), base, F.lit(10)).cast("double"))
+
+    return once(once(trimmed(x), of), lambda n: F.when(F.abs(n) < float("inf"), n))
 
 
 def tag_number(x) -> Column:
@@ -127,16 +134,20 @@ def tag_number(x) -> Column:
     return F.when(trimmed(x) == "", F.lit(0.0)).otherwise(number(x))
 
 
-def number_text(n) -> Column:
+def number_text(number_column) -> Column:
     """A number printed with the fewest digits that tell it from others, without an exponent below 1e21."""
-    printed = n.cast("string")
-    fraction = F.regexp_replace(printed.try_cast("decimal(38,18)").cast("string"), r"\.?0*\z", "")
-    return (
-        F.when((n == F.floor(n)) & (F.abs(n) < 1e18), F.floor(n).cast("string"))
-        .when(F.abs(n) < 1e20, fraction)
-        .when(F.abs(n) < 1e21, printed.try_cast("decimal(38,0)").cast("string"))
-        .otherwise(F.regexp_replace(printed, r"(?:\.0)?E", "e+"))
-    )
+
+    def of(n) -> Column:
+        printed = n.cast("string")
+        fraction = F.regexp_replace(printed.try_cast("decimal(38,18)").cast("string"), r"\.?0*\z", "")
+        return (
+            F.when((n == F.floor(n)) & (F.abs(n) < 1e18), F.floor(n).cast("string"))
+            .when(F.abs(n) < 1e20, fraction)
+            .when(F.abs(n) < 1e21, printed.try_cast("decimal(38,0)").cast("string"))
+            .otherwise(F.regexp_replace(printed, r"(?:\.0)?E", "e+"))
+        )
+
+    return once(number_column, of)
 
 
 def tag_verdict(key: str | None, advertiser, campaign, creative, exp, sig, now) -> Column:
@@ -146,9 +157,12 @@ def tag_verdict(key: str | None, advertiser, campaign, creative, exp, sig, now)
     """
     if is_placeholder(key):
         return F.lit("not_configured")
-    n = tag_number(exp)
-    digest = hmac_sha256(key, F.concat_ws("|", advertiser, campaign, creative, number_text(n)))
-    return F.when(sig == "", "bad_signature").when(n.isNull() | (n < now), "expired").when(F.lower(sig) != digest, "bad_signature")
+
+    def of(n) -> Column:
+        digest = hmac_sha256(key, F.concat_ws("|", advertiser, campaign, creative, number_text(n)))
+        return F.when(sig == "", "bad_signature").when(n.isNull() | (n < now), "expired").when(F.lower(sig) != digest, "bad_signature")
+
+    return once(tag_number(exp), of)
 
 
 #: The parameters of a tag that the platform fills in when it serves an impression.

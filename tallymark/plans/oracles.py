@@ -217,6 +217,17 @@ _KINDS = {
     "phones": ("+1 (415) 555-0142", "0044 20 7946 0958", "14155550142", "212.555.0199", "12", "1999", "", "+1-312-555-0100", "00012145550123"),
 }
 
+def signatures(key: str, message: str) -> str:
+    inner, outer = pads(key)
+    return f"sha256(encode({outer}) || unhex(sha256({inner} || {message})))"
+
+
+#: By form, the text that a signature covers, and the least time from which the tag has expired; null: always.
+_FORMS = (
+    ("1767225600d", None), ("1767225600f", None), ("1767225600.5", 1), ("1767195136", 1), ("1767225600", 1), ("1767225600", 1), ("1767225600", 1), ("1_767_225_600", None), ("Infinity", None), ("1e400", None),
+    ("5000000000", 1), ("1767225600", 1), ("1e+21", 1), ("6", None), ("1767195136", 1), ("1767225600L", None), ("0x", None),
+)
+
 SQL = {
     "a1_impressions_by_campaign": f"WITH {IMP} SELECT campaign_id, sum(w)::BIGINT AS impressions FROM imp WHERE ts > TIMESTAMP '2024-01-24' GROUP BY 1",
     "a2_impressions_by_country": f"WITH {IMP} SELECT country, sum(w)::BIGINT AS impressions FROM imp WHERE ts > TIMESTAMP '2024-01-29' GROUP BY 1",
@@ -235,6 +246,11 @@ walk AS (
   UNION ALL
   SELECT k.key, k.n, k.seq, CASE WHEN w.exp > k.t THEN w.exp ELSE k.t + 86400 END, NOT w.exp > k.t FROM walk w JOIN keyed k ON k.key = w.key AND k.n = w.n + 1)
 SELECT seq, is_first FROM walk""",
+    "d1_one_key": f"""WITH RECURSIVE {IMP}, firsts AS (
+  SELECT min(t) AS t FROM imp
+  UNION ALL
+  SELECT (SELECT min(i.t) FROM imp i WHERE i.t >= f.t + 21600) FROM firsts f WHERE EXISTS (SELECT 1 FROM imp i WHERE i.t >= f.t + 21600))
+SELECT seq, t IN (SELECT t FROM firsts) AND row_number() OVER (PARTITION BY t ORDER BY seq) = 1 AS is_first FROM imp""",
     "d2_rotation": f"""WITH RECURSIVE {IMP}, keyed AS (SELECT user_id AS key, t, seq, t >= 1705276800 AS after, row_number() OVER (PARTITION BY user_id ORDER BY t, seq) AS n FROM imp),
 walk AS (
   SELECT key, n, seq, CASE WHEN after THEN 0 ELSE t + 259200 END AS old, CASE WHEN after THEN t + 259200 ELSE 0 END AS new, true AS is_first FROM keyed WHERE n = 1
@@ -284,6 +300,10 @@ SELECT key, (SELECT count(*) FROM f) <= 20 AS complete FROM f ORDER BY key LIMIT
     "d3_rotation": f"WITH RECURSIVE {OUTCOMES}, {ROTATED_STORE}, {ENDED} SELECT seq, outcome FROM ended",
     "p5_tag_signatures": f"""WITH {E}, m AS (SELECT event_id, k, t, sha256(encode({pads("signing-key")[1]}) || unhex(sha256({pads("signing-key")[0]} || 'adv|camp_' || event_id % 5 || '|cre|1767225600'))) AS sig FROM e)
 SELECT event_id, sig, CASE WHEN k % 10 = 0 THEN 'bad_signature' WHEN k BETWEEN 40 AND 69 THEN 'expired' WHEN k >= 70 THEN 'bad_signature' END AS verdict FROM m""",
+    "p5_number_forms": f"""WITH {E}, f AS (SELECT *, {[f or '' for f, _ in _FORMS]}[event_id % {len(_FORMS)} + 1] AS form, {[1 if v else 0 for _, v in _FORMS]}[event_id % {len(_FORMS)} + 1] AS holds FROM e)
+SELECT event_id, {signatures("signing-key", "'adv_' || user_id || '|camp_' || event_id % 5 || '|cre|' || form")} AS sig, CASE WHEN holds = 0 THEN 'expired' END AS verdict FROM f""",
+    "p19_stamps": f"WITH {E} SELECT event_id, k % 7 <> 0 AND event_id % 11 IN (0, 3, 4, 5, 6) AND k * 10 + CASE WHEN event_id % 11 = 3 THEN 0.25 ELSE 0 END <= 300 AS signed FROM e",
+    "a8_candidates": f"WITH {IMP}{CALLS} SELECT c.call_seq, count(*) AS candidates FROM calls c JOIN imp i ON c.store = i.creative_id AND i.t BETWEEN c.call_ts - 10800 AND c.call_ts GROUP BY c.call_seq",
     "p8_boundaries": f"""WITH {values(_KINDS['dates'])}, s AS (SELECT event_id, regexp_full_match(v, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AS bare, epoch(try_cast(replace(replace(v, 'T', ' '), 'Z', '') AS TIMESTAMP))::BIGINT AS second FROM v)
 SELECT event_id, second AS starts_at, CASE WHEN bare THEN second + 86399 ELSE second END AS ends_at FROM s""",
     "p23_recent": f"""WITH RECURSIVE {OUTCOMES}, {STORE}, {ENDED} SELECT creative_id AS store_key, t AS ts, seq, CASE WHEN platform = 'roku' AND ifa_present = '1' THEN '10.0.' || user_id % 200 || '.' || user_id % 250 ELSE '' END AS ip,

@@ -176,6 +176,41 @@ def _tags(s, d):
     return e.select("event_id", sig.alias("sig"), x.tag_verdict("signing-key", *parts, exp, given, F.col("t")).alias("verdict"))
 
 
+#: Expiries of tags as they are written, and the number that a signature covers; none is no number.
+EXPIRIES = (
+    ("1767225600d", None), ("1767225600f", None), ("1767225600.5", "1767225600.5"), ("0x69554200", "1767195136"), ("1.7672256e9", "1767225600"), ("+1767225600", "1767225600"), (" 1767225600 ", "1767225600"),
+    ("1_767_225_600", None), ("Infinity", None), ("1e400", None), (".5e10", "5000000000"), ("1767225600.", "1767225600"), ("1e21", "1e+21"), ("0b110", "6"), ("0O15125241000", "1767195136"), ("1767225600L", None), ("0x", None),
+)
+#: What stands before and behind a request's stamp, or in its place, and whether it is a number near the time.
+STAMPS = (("", "", True), ("", "d", False), ("", "f", False), ("", ".25", True), ("+", "", True), (" ", " ", True), ("", "e0", True), ("-", "", False), ("0x", "", False), ("", "9", False), ("", "_", False))
+
+
+def _number_forms(s, d):
+    """Each event as a tag with an expiry in one of the forms, signed for the number that it stands for."""
+    e, i = domain.events(s, d), (F.col("event_id") % len(EXPIRIES) + 1).cast("int")
+    form, covered = (F.element_at(F.array(*[F.lit(v[n]) for v in EXPIRIES]), i) for n in (0, 1))
+    ids = F.concat(F.lit("adv_"), F.col("user_id").cast("string")), F.concat(F.lit("camp_"), (F.col("event_id") % 5).cast("string")), F.lit("cre")
+    sig = x.hmac_sha256("signing-key", F.concat_ws("|", *ids, F.coalesce(covered, form)))
+    return e.select("event_id", sig.alias("sig"), x.tag_verdict("signing-key", *ids, form, sig, F.col("t")).alias("verdict"))
+
+
+def _stamped(s, d):
+    """Each event as a request whose stamp, in one of the forms, is a given number of seconds off."""
+    e, i = domain.events(s, d), (F.col("event_id") % len(STAMPS) + 1).cast("int")
+    before, behind = (F.element_at(F.array(*[F.lit(v[n]) for v in STAMPS]), i) for n in (0, 1))
+    body = F.concat(F.lit('{"callId":"c'), F.col("event_id").cast("string"), F.lit('"}')).cast("binary")
+    stamp = F.concat(before, (F.col("t") + F.col("k") * 10).cast("string"), behind)
+    sig = x.hmac_sha256("call-key", F.concat(stamp.cast("binary"), F.lit(bytearray(b".")), body))
+    given = F.when(F.col("k") % 7 == 0, "00").when(F.col("k") % 7 == 1, F.upper(sig)).otherwise(sig)
+    return e.select("event_id", attribution.signed("call-key", stamp, body, given, F.col("t"), 300).alias("signed"))
+
+
+def _one_key(s, d):
+    """All impressions under one key: its seconds are dealt out over blocks of time."""
+    i = domain.impressions(s, d).withColumn("key", F.lit("all"))
+    return dedup.fixed_window(i, "key", 21_600).select("seq", "is_first")
+
+
 QUERIES = {
     "a1_impressions_by_campaign": lambda s, d: reports.by_campaign(domain.impressions(s, d), AS_OF),
     "a2_impressions_by_country": lambda s, d: reports.by_country(domain.impressions(s, d), AS_OF, 48),
@@ -189,6 +224,7 @@ QUERIES = {
     "a10_frequency": lambda s, d: reports.frequency(domain.impressions(s, d), AS_OF),
     "a12_volume_alerts": lambda s, d: reports.volume_alerts(domain.impressions(s, d)),
     "d1_fixed_window": lambda s, d: dedup.fixed_window(domain.impressions(s, d).withColumn("key", F.concat_ws("|", F.col("user_id").cast("string"), "event_type")), "key", TTL).select("seq", "is_first"),
+    "d1_one_key": _one_key,
     "d2_rotation": _rotation,
     "d4_live_keys": _keys,
     "d5_call_claims": _claims,
@@ -207,6 +243,9 @@ QUERIES = {
     "o3_page": lambda s, d: reports.page(reports.daily_rollup(domain.impressions(s, d), DAY), ["hour", "campaign_id", "creative_id", "country", "app_id", "ifa_present", "advertiser_id", "dma"], 5, 20).select("hour", "campaign_id", "creative_id", "impressions"),
     "p1_beacon_fields": _beacons,
     "p5_tag_signatures": _tags,
+    "p5_number_forms": _number_forms,
+    "p19_stamps": _stamped,
+    "a8_candidates": lambda s, d: attribution.candidate_counts(domain.calls(s, d).withColumn("caller_state", F.lit("")), domain.recent(s, d), Settings(match_window_minutes=180)),
     "p12_usable_ipv4": lambda s, d: _values(s, d, IPS).select("event_id", x.usable_ipv4(F.col("v")).alias("usable")),
     "p13_usable_ad_id": lambda s, d: _values(s, d, AD_IDS).select("event_id", x.usable_ad_id(F.col("v")).alias("usable")),
     "p14_limits": lambda s, d: _values(s, d, LIMITS).select("event_id", x.limits_tracking(F.col("v"), F.col("event_id") % 3 == 0).alias("lmt")),
