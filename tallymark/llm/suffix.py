@@ -11,10 +11,11 @@ that grows with the logarithm of the batches. A scan gives the places that begin
 the batch's own, and those of the levels that had nothing alike before.
 
 Long matches are found among these places. Runs of a repeated seed that are equal throughout are repeated throughout.
-For the others, a passage is repeated if its digest comes up in two runs of the seed. Those are compared seed by seed on
+For the others, a passage is repeated if its hash comes up in two runs of the seed. Those are compared seed by seed on
 one example of each distinct run; a seed with more than ``GROUP`` distinct runs is compared passage by passage in a
-shuffle instead, with the same result. Equality of runs and passages is that of 64 bits of a cryptographic digest; the
-cheap hashes of seeds choose places and order, and unequal seeds of equal hash change no result.
+shuffle instead, with the same result. Equality of runs is that of 64 bits of a cryptographic digest, equality of
+passages that of 62-bit hashes modulo a prime; the cheap hashes of seeds choose places and order, and unequal seeds of
+equal hash change no result.
 
 The same index over words instead of bytes finds passages of ``PASSAGE`` words that stand in two documents or more,
 however many bytes they have; copies within one document do not count there.
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.llm.common import dropped, new_path, released, texts, tune, written
-from tallymark.llm.hashing import U, mix, words
+from tallymark.llm.hashing import Ranges, U, mix, words
 
 LENGTH, SEED, BATCHES = 400, 96, 4
 #: Words of a passage, and of its seeds.
@@ -235,7 +236,7 @@ class Family:
 
 
 def passages(rows: dict, units: Units) -> tuple[np.ndarray, np.ndarray]:
-    """Digest of each passage of runs given as ``data`` from their first passage on, and its run's number."""
+    """Hash of each passage of runs given as ``data`` from their first passage on, and its run's number."""
     count = np.asarray(rows["count"], np.int64)
     data = np.frombuffer(b"".join(rows["data"]), units.kind)
     start = np.concatenate([[0], np.cumsum(count + units.length - 1)])[:-1]
@@ -243,7 +244,7 @@ def passages(rows: dict, units: Units) -> tuple[np.ndarray, np.ndarray]:
     inside = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
     at = start[of] + inside
     anchor = (np.asarray(rows["anchor"]) - np.asarray(rows["first"]))[of] - inside
-    return mix(digests(data, at, at + units.length) + anchor.astype(U)), of
+    return mix(Ranges(data).of(at, at + units.length) + anchor.astype(U)), of
 
 
 def spans_of(hit: np.ndarray, of: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
