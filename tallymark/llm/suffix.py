@@ -235,16 +235,24 @@ class Family:
         self.files.delete(self.path(self.folder), True)
 
 
+#: Units whose passages are hashed together.
+STRETCH = 1 << 20
+
+
 def passages(rows: dict, units: Units) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each passage of runs given as ``data`` from their first passage on, and its run's number."""
-    count = np.asarray(rows["count"], np.int64)
-    data = np.frombuffer(b"".join(rows["data"]), units.kind)
-    start = np.concatenate([[0], np.cumsum(count + units.length - 1)])[:-1]
-    of = np.repeat(np.arange(len(count)), count)
-    inside = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-    at = start[of] + inside
-    anchor = (np.asarray(rows["anchor"]) - np.asarray(rows["first"]))[of] - inside
-    return mix(Ranges(data).of(at, at + units.length) + anchor.astype(U)), of
+    count, ahead = np.asarray(rows["count"], np.int64), np.asarray(rows["anchor"], np.int64) - np.asarray(rows["first"], np.int64)
+    size = count + units.length - 1
+    start, found, a = np.cumsum(size) - size, [np.zeros(0, U)], 0
+    while a < len(count):
+        b = max(a + 1, int(np.searchsorted(start, start[a] + STRETCH)))
+        ranges = Ranges(np.frombuffer(b"".join(rows["data"][a:b]), units.kind))
+        own = count[a:b]
+        inside = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+        at = np.repeat(start[a:b] - start[a], own) + inside
+        found.append(mix(ranges.of(at, at + units.length) + (np.repeat(ahead[a:b], own) - inside).astype(U)))
+        a = b
+    return np.concatenate(found), np.repeat(np.arange(len(count)), count)
 
 
 def spans_of(hit: np.ndarray, of: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
