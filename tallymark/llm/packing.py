@@ -10,7 +10,8 @@ by their rank within their length, which is found without any task seeing all pi
 
 Defined results: null and empty texts are one piece of the end id alone. Repeated rows are separate documents.
 Only documents longer than the capacity are cut; their first piece takes the remainder. Very long texts are encoded
-whole. Pieces of equal length are dealt in order of ``doc_id``, ``piece`` and checksum. Columns beside ``doc_id`` and
+whole. Pieces of equal length are dealt in order of a hash of ``doc_id`` and ``piece``, then of these and the checksum, at
+every size. Columns beside ``doc_id`` and
 ``text`` are not looked at. An empty table gives an empty table.
 """
 
@@ -163,17 +164,27 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, tu
 
 
 def ranked(rows: DataFrame, counts: dict[int, int]) -> DataFrame:
-    """``rank`` of each row among those of its ``length``, from 0; a common length is ranked in many windows."""
-    salts = {k: -(-n // RANK_ROWS) for k, n in counts.items() if n > RANK_ROWS}
-    salt = F.lit(0).cast("long")
-    if salts:  # as many entries as lengths, so at most the capacity
-        n = F.create_map(*[F.lit(x) for kv in salts.items() for x in kv])
-        salt = F.pmod(F.xxhash64("doc_id", "piece"), F.coalesce(F.element_at(n, F.col("length").cast("int")), F.lit(1)).cast("long"))
-    rows = rows.withColumn("_salt", salt)
-    before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    first = rows.groupBy("length", "_salt").count().select("length", "_salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"))
-    inside = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")
-    return rows.join(first, ["length", "_salt"]).withColumn("rank", F.col("_first") + F.row_number().over(inside) - 1).drop("_salt", "_first")
+    """``rank`` of each row among those of its ``length``, from 0, in order of ``order_of``.
+
+    A length is cut into ranges of that order, as many as it has rows for, so a common length is ranked in many windows
+    and the ranks are the same however many there are.
+    """
+    windows = F.lit(1).cast("long")
+    if counts:  # as many entries as lengths, so at most the capacity
+        n = F.create_map(*[F.lit(x) for k, v in counts.items() for x in (k, -(-v // RANK_ROWS))])
+        windows = F.coalesce(F.element_at(n, F.col("length").cast("int")), F.lit(1)).cast("long")
+    order = order_of(F.col("doc_id"), F.col("piece"))
+    part = F.shiftright((F.shiftright(order, 32) + (1 << 31)) * windows, 32)
+    rows = rows.withColumns({"_order": order, "_part": part})
+    before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    first = rows.groupBy("length", "_part").count().select("length", "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"))
+    inside = Window.partitionBy("length", "_part").orderBy("_order", "doc_id", "piece", "ids_crc32")
+    return rows.join(first, ["length", "_part"]).withColumn("rank", F.col("_first") + F.row_number().over(inside) - 1).drop("_order", "_part", "_first")
+
+
+def order_of(doc_id, piece) -> F.Column:
+    """The order in which pieces of one length are dealt: that of a hash, which cuts into even ranges at any size."""
+    return F.xxhash64(doc_id, piece)
 
 
 def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
