@@ -225,25 +225,47 @@ def ranged(docs: DataFrame) -> DataFrame:
     """``docs`` in partitions of ascending ``doc_id``, null ids first.
 
     Ids are counted in cells of equal width, from the ``doc_id`` column alone, and cells are dealt to partitions in
-    order; so texts are read once, where a range partitioning would read them to sample ids.
+    order; so texts are read once, where a range partitioning would read them to sample ids. A cell that holds more than
+    a partition's share is cut into cells again, and so on, so a few far ids do not put all others together.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     if low is None:
         return docs.coalesce(1)
-    cells = n * CELLS
-    width = (high - low) // cells + 1
-    cell = F.floor((F.col("doc_id").cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("int")
-    if abs(low) < 1 << 52 and abs(high) < 1 << 52:
-        cell = F.floor((F.col("doc_id") - low) / width).cast("int")
-    count = np.zeros(cells, np.int64)
-    for r in docs.select(cell.alias("cell")).where("cell is not null").groupBy("cell").count().collect():  # at most ``cells`` rows
-        count[r["cell"]] = r["count"]
-    before = np.cumsum(count) - count
-    of_cell = np.minimum(before * n // max(int(count.sum()), 1), n - 1)
-    part = F.coalesce(F.element_at(F.lit(of_cell.astype(np.int32)), cell + 1), F.lit(0))
-    return docs.repartitionById(n, part.cast("int"))
+    whole = lambda x: F.lit(str(x)).cast("decimal(20,0)")
+    cells, width, count, levels = n * CELLS, (high - low) // (n * CELLS) + 1, None, []
+    place = F.col("doc_id").cast("decimal(20,0)") - whole(low)
+    cell = F.call_function("div", place, whole(width)).cast("int")  # a quotient with a fraction could round up
+    share, inside = 0, F.col("doc_id").isNotNull()
+    while True:
+        count = np.zeros(cells, np.int64)
+        for r in docs.where(inside).groupBy(cell.alias("cell")).count().collect():  # at most ``cells`` rows
+            count[r["cell"]] = r["count"]
+        share = share or -(-int(count.sum()) // n)
+        heavy = np.flatnonzero(count > share) if width > 1 else np.zeros(0, np.int64)
+        number = np.full(cells, -1, np.int32)
+        number[heavy] = np.arange(len(heavy))
+        levels.append((cell, count, heavy, number))
+        if not len(heavy):
+            break
+        each = max(2, n * CELLS // len(heavy))
+        cells, finer = len(heavy) * each, -(-width // each)
+        index = F.get(F.lit(number), cell)
+        inside, place = inside & (index >= 0), place - cell.cast("decimal(20,0)") * whole(width)
+        cell, width = index * each + F.call_function("div", place, whole(finer)).cast("int"), finer
+    # From the finest level up: where each cell starts among all ids, and so its partition.
+    part, starts, total = None, np.zeros(1, np.int64), int(levels[0][1].sum())
+    found = []
+    for cell, count, heavy, number in levels:
+        rows = count.reshape(len(starts), -1)
+        start = (starts[:, None] + np.cumsum(rows, 1) - rows).ravel()
+        found.append((cell, start, number))
+        starts = start[heavy]
+    for cell, start, number in reversed(found):
+        own = F.get(F.lit(np.minimum(start * n // max(total, 1), n - 1).astype(np.int32)), cell)
+        part = own if part is None else F.when(F.get(F.lit(number), cell) >= 0, part).otherwise(own)
+    return docs.repartitionById(n, F.coalesce(part, F.lit(0)).cast("int"))
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID) -> None:

@@ -6,11 +6,12 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tallymark.llm import tokens
+from tallymark.llm import packing, tokens
 from tallymark.llm.mixing import hashed, mixed
 from tallymark.llm.common import n_words, new_path, written
 from tallymark.llm.packing import packed, plan
@@ -177,3 +178,29 @@ def test_plan_needs_hardly_more_sequences_than_the_best_packing():
         assert n <= fewest(lengths, capacity) + 1
         more += n - fewest(lengths, capacity)
     assert more <= 4
+
+
+@pytest.mark.parametrize("ids_", [[*range(20_000), 1 << 60], [*range(3000), -(1 << 63), (1 << 63) - 1], [5] * 300 + [7], [None, 3, None, 1], [1, 2, 3] * 50 + [10**12 + i for i in range(4000)], [2**i for i in range(63)]])
+def test_far_ids_do_not_put_the_others_in_one_partition(spark, ids_):
+    """Partitions ascend, and hold at most their share and what one id has."""
+    df = spark.createDataFrame([(i, "x") for i in ids_], "doc_id long, text string")
+    parts = defaultdict(list)
+    for r in tokens.ranged(df).select("doc_id", F.spark_partition_id().alias("p")).collect():
+        parts[r.p].append((r.doc_id is not None, r.doc_id or 0))
+    in_order = [sorted(parts[p]) for p in sorted(parts)]
+    assert [x for p in in_order for x in p] == sorted((i is not None, i or 0) for i in ids_)
+    most = max(Counter(ids_).values())
+    assert max(map(len, in_order)) <= 2 * -(-len(ids_) // 4) + most
+
+
+def test_ranks_are_the_same_in_any_number_of_windows(spark, monkeypatch):
+    rows = [(i // 2, i % 2, 0, 5 if i % 3 else 9, i % 7) for i in range(400)] + [(None, 0, 0, 5, 1)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    counts = {r["length"]: r["count"] for r in df.groupBy("length").count().collect()}
+    found = []
+    for most in (200_000, 4, 1):
+        monkeypatch.setattr(packing, "RANK_ROWS", most)
+        found.append(sorted((tuple(r) for r in packing.ranked(df, counts).select("length", "rank", "doc_id", "piece", "ids_crc32").collect()), key=str))
+    assert found[0] == found[1] == found[2]
+    for length, n in counts.items():
+        assert sorted(r[1] for r in found[0] if r[0] == length) == list(range(n))
