@@ -133,8 +133,6 @@ def runs(value: str) -> tuple[list[int], list[int]]:
 
 #: Powers of ten that a repeat and a walk cost besides that of their length, and each further span.
 REPEAT, WALK, JOIN = 1.5, 2.0, 0.3
-#: Characters from which the ends of a repeat or walk are taken together.
-MANY = 64
 
 
 def word_cost(part: str, rank: dict[str, int]) -> float:
@@ -145,28 +143,37 @@ def word_cost(part: str, rank: dict[str, int]) -> float:
 
 
 def guess_cost(value: str, rank: dict[str, int] = RANK) -> float:
-    """Least power of ten of guesses over all segmentations of ``value``."""
+    """Least power of ten of guesses over all segmentations of ``value``.
+
+    A repeat or walk is tried from where its run starts and from where a word, date or the other kind ended inside it.
+    From the other places of a run it cannot be the least: where the run itself or one more character led there, the
+    span that starts earlier in the run costs less by itself. So long runs take time in proportion to their length.
+    """
     low, n = value.lower(), len(value)
     one = brute(value)
-    same, walk = runs(low)
-    least: list | np.ndarray = [0.0] + [math.inf] * n
-    if n > MANY:
-        least, log = np.array(least), np.log10(np.arange(3, n + 1))
+    ends = runs(low)
+    least = np.full(n + 1, math.inf)
+    least[0] = 0.0
+    by, log = np.zeros(n + 1, np.int8), np.log10(np.arange(1, n + 1))  # what led to a place: a run's kind, a character (3)
     for i in range(n):
-        base = least[i] + (JOIN if i else 0.0)
-        least[i + 1] = min(least[i + 1], least[i] + one)
-        for stop, cost in ((same[i], REPEAT), (walk[i], WALK)):
-            if n > MANY and stop >= i + 3:
-                least[i + 3 : stop + 1] = np.minimum(least[i + 3 : stop + 1], base + cost + log[: stop - i - 2])
-            else:
-                for end in range(i + 3, stop + 1):
-                    least[end] = min(least[end], base + cost + math.log10(end - i))
+        at = float(least[i])
+        base = at + (JOIN if i else 0.0)
+        if at + one < least[i + 1]:
+            least[i + 1], by[i + 1] = at + one, 3
+        for kind, (stops, cost) in enumerate(zip(ends, (REPEAT, WALK)), 1):
+            stop = stops[i]
+            if stop < i + 3 or (i and stops[i - 1] == stop and by[i] in (kind, 3)):
+                continue
+            tried = base + cost + log[2 : stop - i]
+            better = tried < least[i + 3 : stop + 1]
+            least[i + 3 : stop + 1][better] = tried[better]
+            by[i + 3 : stop + 1][better] = kind
         for end in range(i + SHORTEST, min(n, i + LONGEST) + 1):
-            if (cost := word_cost(value[i:end], rank)) < math.inf:
-                least[end] = min(least[end], base + cost)
+            if (cost := word_cost(value[i:end], rank)) < math.inf and base + cost < least[end]:
+                least[end], by[end] = base + cost, 0
         for form, cost in DATES:
-            if m := form.match(low, i):
-                least[m.end()] = min(least[m.end()], base + cost)
+            if (m := form.match(low, i)) and base + cost < least[m.end()]:
+                least[m.end()], by[m.end()] = base + cost, 0
     return float(least[n])
 
 
