@@ -87,6 +87,17 @@ def test_copies_with_a_label_teach_nothing_but_once(spark):
     assert got[9000] < 0.5 and sum(got[i] >= 0.5 for i, _, t in labels[:700] if not t) <= 5
 
 
+def test_one_text_of_an_id_teaches_and_labels_that_disagree_do_not(spark):
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    docs = [(i, f"text {n} of {i}") for i in ids for n in range(3)]
+    labels = [(i, i % 2) for i in ids[4:]] + [(ids[0], 0), (ids[0], 1), (ids[1], 1), (ids[1], 1), (ids[2], None), (None, 1)]
+    frames = [spark.createDataFrame(d, "doc_id long, text string") for d in (docs, docs[::-1])]
+    found = [toxicity.training_documents(d.repartition(3), spark.createDataFrame(labels, "doc_id long, toxic int")) for d in frames]
+    assert found[0] == found[1]
+    of = [sorted(int(t.split()[-1]) for t in kind) for kind in found[0]]
+    assert of == [sorted(i for i in ids[4:] if i % 2 == 0), sorted([ids[1], *(i for i in ids[4:] if i % 2)])]
+
+
 def test_sentences_with_evidence_train_the_machine():
     r = random.Random(2)
     clean = [" ".join(f"w{r.choice('abcdefgh')}{r.choice('iouy')}x" for _ in range(30)) + ". You are a friend today." for i in range(80)]
