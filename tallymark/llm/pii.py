@@ -277,8 +277,18 @@ def detected(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
+def most_of(kind: pa.DataType) -> float | None:
+    """The largest count that a column of this type holds; none if it is no number."""
+    if pa.types.is_integer(kind):
+        return (1 << (kind.bit_width - 1)) - 1
+    if pa.types.is_decimal(kind):
+        return 10 ** (kind.precision - kind.scale) - 1
+    return float("inf") if pa.types.is_floating(kind) else None
+
+
 def redacted(docs: DataFrame) -> DataFrame:
-    """``docs`` with each span replaced by ``[kind]``, and ``n_chars`` set to the new length where that column exists."""
+    """``docs`` with each span replaced by ``[kind]``, and ``n_chars`` set to the new length where that column exists and is a
+    number (null where its type is too small for it)."""
     weights = learned(written(found(docs), "pii"))
     names, schema = docs.columns, docs._jdf.schema().toDDL()
 
@@ -295,7 +305,11 @@ def redacted(docs: DataFrame) -> DataFrame:
                 out.append(text if not parts else "".join(parts) + text[at:])
             cols = {"text": pa.array(out, pa.string())}
             if "n_chars" in names:
-                cols["n_chars"] = pa.array([x.as_py() if t is None else len(t) for t, x in zip(out, batch.column("n_chars"), strict=True)], pa.int64())
+                said, kind = batch.column("n_chars"), batch.schema.field("n_chars").type
+                most = most_of(kind)
+                if most is not None:
+                    n = [x.as_py() if t is None else len(t) if len(t) <= most else None for t, x in zip(out, said, strict=True)]
+                    cols["n_chars"] = pa.array(n).cast(kind)
             yield pa.RecordBatch.from_arrays([cols.get(n, batch.column(n)) for n in names], names)
 
     tune(docs.sparkSession)
