@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallymark.llm.common import texts, tune, written
 
@@ -290,7 +291,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with each span replaced by ``[kind]``, and ``n_chars`` set to the new length where that column exists and is a
     number (null where its type is too small for it)."""
     weights = learned(written(found(docs), "pii"))
-    names, schema = docs.columns, docs._jdf.schema().toDDL()
+    names, schema = docs.columns, T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = ("start", "end", "kind", "base", "votes", "shape")
