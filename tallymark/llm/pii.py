@@ -310,7 +310,7 @@ def redacted(docs: DataFrame) -> DataFrame:
                 most = most_of(kind)
                 if most is not None:
                     n = [x.as_py() if t is None else len(t) if len(t) <= most else None for t, x in zip(out, said, strict=True)]
-                    cols["n_chars"] = pa.array(n).cast(kind)
+                    cols["n_chars"] = pa.array(n, kind)
             yield pa.RecordBatch.from_arrays([cols.get(n, batch.column(n)) for n in names], names)
 
     tune(docs.sparkSession)
