@@ -82,15 +82,15 @@ def parsed(beacons: DataFrame, campaigns: DataFrame, settings: Settings = Settin
     return d.select(*keep, *[v.alias(k) for k, v in out.items()], "lmt", "country", "dma")
 
 
-def ingested(beacons: DataFrame, campaigns: DataFrame, settings: Settings = Settings(), seen: DataFrame | None = None) -> DataFrame:
+def ingested(beacons: DataFrame, campaigns: DataFrame, settings: Settings = Settings(), seen: DataFrame | None = None, hits: DataFrame | None = None) -> DataFrame:
     """Each beacon with its one terminal ``outcome``. Needs ``seq`` and ``recv_ts``.
 
     The kill switch comes first, then the rate limit by connecting address, then the verdict, then repeats. ``seen``
-    is the store of live keys at the start (``stored`` of the batch before). While ``settings.previous_salt`` is set, a
+    is the store of live keys at the start (``stored`` of the batch before), ``hits`` the hits of earlier batches. While ``settings.previous_salt`` is set, a
     beacon whose device lives there under the previous salt is a repeat too. A beacon without a time is ``reject_internal``.
     ``is_seed`` says whether a beacon sets its key. What is parsed is written to the shared folder once.
     """
-    d = rate_limited(beacons.withColumn("t", F.col("recv_ts")), "connecting_ip", settings.rate_limit)
+    d = rate_limited(beacons.withColumn("t", F.col("recv_ts")), "connecting_ip", settings.rate_limit, before=hits)
     d = parsed(d, campaigns, settings)
     early = (
         F.when(F.lit(not settings.enabled), "disabled")

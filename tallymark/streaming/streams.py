@@ -1,5 +1,5 @@
-"""Streaming twins: deduplication, salt rotation and call claims by state, hourly rollups, and call matching by
-interval join.
+"""Streaming twins: deduplication, salt rotation, call claims and rate limits by state, hourly rollups, and candidates of
+calls by interval join (``matching`` has the matched calls, ``ingest`` the whole way of a beacon).
 
 Event time and watermarks are additions: the batch operators take arrival order as the only order. Rows later
 than the watermark are dropped; the folds take the others as they arrive, in order of time within a micro-batch.
@@ -59,6 +59,23 @@ def claims(stream: DataFrame, key: str, ttl: int, delay: str = "1 hour") -> Data
     return folded(stream, key, "is_claimed", (dedup.BEFORE,), dedup.claim_fold(ttl), {"sent": "boolean"}, delay, ttl)
 
 
+def rate_limited(stream: DataFrame, key: str, limit: int, delay: str = "1 hour", seconds: int = 60) -> DataFrame:
+    """``t``, ``seq`` and ``allowed`` of each row. A key's count of a minute is its state, and goes ``seconds`` after its
+    last hit; refused hits count."""
+    free = F.coalesce(F.col(key).cast("string"), F.lit("")) == ""
+    if limit <= 0:
+        return stream.select("t", "seq", F.lit(True).alias("allowed"))
+
+    def fold(state: tuple, rows: dict, flags: list, a: int, b: int) -> tuple:
+        for i in range(a, b):
+            flags[i] = state[0] + i - a < limit
+        return (state[0] + b - a,)
+
+    slots = stream.where(~free).withColumn("_slot", F.concat_ws("\0", F.floor(F.col("t") / seconds).cast("string"), F.col(key).cast("string")))
+    out = folded(slots, "_slot", "allowed", (0,), fold, {}, delay, seconds).drop("_slot")
+    return out.union(stream.where(free).select("t", "seq", F.lit(True).alias("allowed")))
+
+
 def hourly(stream: DataFrame, keys: list[str], delay: str = "1 hour") -> DataFrame:
     """Counts by hour and ``keys``, each emitted when the watermark has passed its hour. ``ts`` is a timestamp."""
     d = stream.withWatermark("ts", delay).groupBy(F.window("ts", "1 hour").alias("w"), *keys).agg(events())
@@ -71,15 +88,3 @@ def candidates(calls: DataFrame, recent: DataFrame, window_minutes: int = 60, de
     c, r = calls.withWatermark("call_at", delay), recent.withWatermark("imp_at", delay).withColumnRenamed("store_key", "imp_store")
     near = (F.col("store_key") == F.col("imp_store")) & (F.col("imp_at") <= F.col("call_at")) & (F.col("imp_at") >= F.col("call_at") - F.expr(f"interval {window_minutes} minutes"))
     return c.join(r, near, "leftOuter")
-
-
-def to_sinks(stream: DataFrame, sinks: dict[str, Callable[[DataFrame], None]], checkpoint: str):
-    """Give each micro-batch to every sink; a batch is kept while they run."""
-
-    def each(batch: DataFrame, _: int) -> None:
-        batch.persist()
-        for write in sinks.values():
-            write(batch)
-        batch.unpersist()
-
-    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
