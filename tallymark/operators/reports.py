@@ -66,6 +66,40 @@ def daily_rollup(imps: DataFrame, day: str, keys: tuple[str, ...] = EXPORT_KEYS)
     return d.orderBy(*keys)
 
 
+def rollup(imps: DataFrame) -> DataFrame:
+    """Hourly counts of every day by all stored dimensions, with the day as text in ``dt``."""
+    d = imps.groupBy(hour(), *[k for k in EXPORT_KEYS if k != "hour"]).agg(events())
+    return d.withColumn("dt", F.date_format("hour", "yyyy-MM-dd"))
+
+
+#: Logarithm of the registers of a stored sketch, and the error that an estimate stays within (three standard errors).
+SKETCH_BITS = 12
+
+
+def sketch_bound(bits: int = SKETCH_BITS) -> float:
+    return 3 * 1.04 / 2 ** (bits / 2)
+
+
+def reach_sketches(imps: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
+    """A mergeable sketch of the known devices of each ``day`` and campaign, to be stored instead of read again."""
+    known = imps.where("ifa_present = '1'")
+    return known.groupBy(F.col("ts").cast("date").alias("day"), "campaign_id").agg(F.hll_sketch_agg("ifa_hash", F.lit(bits)).alias("sketch"))
+
+
+def merged_sketches(*stored: DataFrame) -> DataFrame:
+    """Stored sketches and those of rows that came later, as one of each day and campaign."""
+    d = stored[0]
+    for more in stored[1:]:
+        d = d.unionByName(more)
+    return d.groupBy("day", "campaign_id").agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+def reach_between(sketches: DataFrame, first_day: str, last_day: str) -> DataFrame:
+    """Estimated ``reach`` of each campaign over any span of days, both included, from the sketches alone."""
+    d = sketches.where(F.col("day").between(F.lit(first_day).cast("date"), F.lit(last_day).cast("date")))
+    return d.groupBy("campaign_id").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("reach"))
+
+
 def native_ids(imps: DataFrame, as_of: datetime, days: float = 30) -> DataFrame:
     d = since(imps, as_of, 24 * report_days(days, 30)).where("platform = 'roku'")
     return d.groupBy("roku_advertiser_id", "roku_campaign_id", "roku_creative_id").agg(events(), F.max("ts").alias("last_seen")).orderBy(F.desc("impressions"), "roku_campaign_id", "roku_creative_id")

@@ -30,3 +30,12 @@ def mark(spark: SparkSession, path: str) -> None:
     """An empty file."""
     files, p = _at(spark, path)
     files.create(p, True).close()
+
+
+def move(spark: SparkSession, path: str, folder: str) -> None:
+    """A file into a folder, which is made if need be."""
+    files, p = _at(spark, path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files.mkdirs(target)
+    if not files.rename(p, spark._jvm.org.apache.hadoop.fs.Path(target, p.getName())):
+        raise OSError(f"{path} could not be moved to {folder}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymark.config import checked_date, export_date
-from tallymark.operators.reports import daily_rollup
+from tallymark.operators.erase import RAW_OPTIONS
+from tallymark.operators.reports import daily_rollup, rollup
 from tallymark.schemas import BEACON, CALL_REQUEST, EVENT, EVENT_NAMES, EXPORT_KEYS, LOOKUP, MARKER
 
 
@@ -39,8 +41,31 @@ def read_area_codes(spark: SparkSession, path: str) -> DataFrame:
 
 def numeric(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
     """Numbers that came as text in a report's result, by the type the result names; nulls stay."""
-    spark_type = lambda k: "double" if "Float" in k or "Decimal" in k else "bigint"
-    return df.withColumns({n: F.col(n).try_cast(spark_type(k)) for n, k in kinds.items() if any(x in k for x in ("Int", "Float", "Decimal"))})
+    return df.withColumns({n: F.col(n).try_cast(spark_type(k)) for n, k in kinds.items() if spark_type(k) != "string"})
+
+
+def spark_type(kind: str) -> str:
+    """The type of a result's column by the name that the result gives it, with or without ``Nullable``."""
+    inner = re.sub(r"\ANullable\((.+)\)\Z", r"\1", kind)
+    if re.match(r"U?Int(8|16|32|64|128|256)", inner):
+        return "bigint"
+    return "double" if re.match(r"Float(32|64)|Decimal", inner) else "string"
+
+
+def results(documents: DataFrame, column: str = "value") -> DataFrame:
+    """The rows of result documents, ``{"meta": [{"name", "type"}], "data": [{...}]}``, in the columns that ``meta`` names.
+
+    The names and types are those of the first document that has some; numbers may stand as text. What is no number of
+    its column's type is null, as are columns that a row lacks. Documents that cannot be read have no rows.
+    """
+    v = documents.select(F.try_parse_json(column).alias("v"))
+    meta = F.try_variant_get("v", "$.meta", "array<struct<name: string, type: string>>")
+    first = v.select(meta.alias("meta")).where(F.size("meta") > 0).limit(1).collect()
+    rows = v.select(F.explode(F.try_variant_get("v", "$.data", "array<variant>")).alias("row"))
+    field = lambda n: F.try_variant_get("row", "$['" + n.replace("\\", "\\\\").replace("'", "\\'") + "']", "string")
+    columns = [(m["name"], spark_type(m["type"])) for m in (first[0]["meta"] if first else [])]
+    value = lambda n, k: field(n) if k == "string" else F.trim(field(n)).try_cast(k)
+    return rows.select(*[value(n, k).alias(n) for n, k in columns])
 
 
 def append_daily(df: DataFrame, path: str, ts: str = "ts") -> None:
@@ -52,7 +77,23 @@ def write_raw(rows: DataFrame, path: str) -> None:
     """Append raw rows in their day, shard and hour."""
     # The shard of rows without an identity is as large as all others together: it is dealt by hour and row.
     apart = F.when(F.col("h") == "anon", F.concat_ws("|", "hh", F.pmod(F.xxhash64(*[c for c in rows.columns if c not in ("dt", "h", "hh")]), F.lit(16))))
-    rows.repartition("dt", "h", apart).sortWithinPartitions("dt", "h", "hh").write.mode("append").partitionBy("dt", "h", "hh").parquet(path)
+    rows.repartition("dt", "h", apart).sortWithinPartitions("dt", "h", "hh").write.mode("append").options(**RAW_OPTIONS).partitionBy("dt", "h", "hh").parquet(path)
+
+
+def write_rollup(events: DataFrame, path: str) -> None:
+    """Hourly counts of all days, a folder a day."""
+    rollup(events).write.mode("overwrite").partitionBy("dt").parquet(path)
+
+
+def add_to_rollup(spark: SparkSession, late: DataFrame, path: str) -> list[str]:
+    """Add events that came late to the hourly counts of their days: sums of sums. Only those days are rewritten."""
+    new = rollup(late)
+    days = [r["dt"] for r in new.select("dt").distinct().collect()]  # a row a day
+    if days:
+        old = spark.read.schema(new.schema).parquet(path).where(F.col("dt").isin(days))
+        both = old.unionByName(new).groupBy("dt", *EXPORT_KEYS).agg(F.sum("impressions").alias("impressions"))
+        both.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(path)
+    return sorted(days)
 
 
 def export_day(spark: SparkSession, events: DataFrame, path: str, day: str, now: datetime, partial: bool = False) -> DataFrame:

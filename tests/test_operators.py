@@ -1,3 +1,4 @@
+import math
 import random
 from datetime import datetime
 
@@ -6,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tallymark.config import Settings
 from tallymark.operators import attribution, beacons, dedup, erase, health, payloads, ratelimit, reports
-from tallymark.sources import io
+from tallymark.schemas import EXPORT_KEYS
+from tallymark.sources import files, io
 
 
 def walk(events, ttl):
@@ -253,9 +255,11 @@ def test_an_interrupted_erasure_loses_nothing(spark, tmp_path, monkeypatch, afte
         calls.append(p)
         if len(calls) == 1:
             return False
-        if after == "replaced":  # stopped between the write of the folders and the deletion of emptied ones
-            kept = s.read.schema(erase.read_raw(s, p).schema).parquet(f"{p}.erasing/kept")
-            kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt", "h", "hh").parquet(p)
+        if after == "replaced":  # stopped when the old files are gone and one new one has come
+            for r in s.read.parquet(f"{p}.erasing/files").collect():
+                files.delete(s, r["file"])
+            folder, name = erase.found(s, f"{p}.erasing/kept")[0]
+            files.move(s, f"{p}.erasing/kept/{folder}/{name}", f"{p}/{folder}")
         stop()
 
     monkeypatch.setattr(erase, "resume", resume)
@@ -263,13 +267,98 @@ def test_an_interrupted_erasure_loses_nothing(spark, tmp_path, monkeypatch, afte
         erase.erase_raw(spark, path, h, "2026-09-12", "2026-09-13")
     monkeypatch.setattr(erase, "resume", real)
     if after == "folders":  # the copy itself was not finished
-        (tmp_path / "raw.erasing" / "kept" / "_SUCCESS").unlink()
+        (tmp_path / "raw.erasing" / "finished").unlink()
     erase.erase_raw(spark, path, h, "2026-09-01", "2026-09-02")
     left = sorted(r.n for r in spark.read.parquet(path).collect())
     assert left == ([1, 2, 11, 12, 99] if after != "folders" else [1, 2, 11, 12, 21, 22, 31, 32, 99])
     assert not (tmp_path / "raw.erasing").exists()
 
 
+def test_only_files_that_hold_the_subject_are_rewritten(spark, tmp_path):
+    """Hundreds of subjects of one shard in many files: one subject's erasure leaves the others' files as they are."""
+    h = lambda i: f"ab12{i:060x}"
+    path = tmp_path / "raw"
+    for part in range(6):  # files of their own, as batches write them
+        rows = [(h(i), "2026-09-14", "ab12", f"{i % 3:02d}", i) for i in range(part * 50, part * 50 + 50)]
+        io.write_raw(spark.createDataFrame(rows, RAW), str(path))
+    before = {f: f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+    got = erase.erase_raw(spark, str(path), h(60), "2026-09-13", "2026-09-15")
+    after = {f: f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+    assert (got["scanned"], got["deleted"]) == (300, 1) and len(before) == 18
+    assert len(before.keys() - after.keys()) == len(after.keys() - before.keys()) == 1
+    assert all(after[f] == t for f, t in before.items() if f in after)
+    assert sorted(r.n for r in spark.read.parquet(str(path)).collect()) == [i for i in range(300) if i != 60]
+    import pyarrow.parquet as pq
+
+    assert any(pq.ParquetFile(f).metadata.row_group(0).column(0).statistics.has_min_max for f in after)  # by which a scan leaves files out
+
+
+def test_late_rows_are_added_to_their_days_alone(spark, tmp_path):
+    path = str(tmp_path / "rollup")
+    rows = lambda *r: spark.createDataFrame(list(r), "ts string, campaign_id string, _sample_interval long").withColumn("ts", F.col("ts").cast("timestamp_ntz")).withColumns({k: F.lit("x") for k in EXPORT_KEYS if k not in ("hour", "campaign_id")})
+    first = rows(("2026-09-13 05:10:00", "a", 2), ("2026-09-13 06:10:00", "a", 1), ("2026-09-14 05:00:00", "b", 4))
+    late = rows(("2026-09-13 05:59:59", "a", 3), ("2026-09-13 07:00:00", "c", 1), ("2026-09-15 00:00:00", "a", 9))
+    io.write_rollup(first, path)
+    before = {f.name for f in (tmp_path / "rollup" / "dt=2026-09-14").glob("*.parquet")}
+    assert io.add_to_rollup(spark, late, path) == ["2026-09-13", "2026-09-15"] and io.add_to_rollup(spark, late.where("false"), path) == []
+    got = spark.read.schema(reports.rollup(first).schema).parquet(path)
+    want = reports.rollup(first.unionByName(late))
+    read = lambda d: sorted((tuple(r) for r in d.select(*sorted(d.columns)).collect()), key=str)
+    assert read(got) == read(want) and {f.name for f in (tmp_path / "rollup" / "dt=2026-09-14").glob("*.parquet")} == before
+
+
+def test_reach_from_sketches_of_days(spark):
+    imps = spark.range(30_000).select((F.date_add(F.lit("2026-09-01"), (F.col("id") % 7).cast("int"))).cast("timestamp_ntz").alias("ts"), F.concat(F.lit("c"), F.col("id") % 2).alias("campaign_id"), F.sha2((F.col("id") % 9_000).cast("string"), 256).alias("ifa_hash"), F.when(F.col("id") % 10 > 0, "1").otherwise("0").alias("ifa_present"))
+    whole, again = reports.reach_sketches(imps), reports.reach_sketches(imps.where("ifa_hash < '8'"))
+    for d in (whole, reports.merged_sketches(whole, again)):
+        for first, last in (("2026-09-01", "2026-09-30"), ("2026-09-03", "2026-09-04")):
+            got = {r.campaign_id: r.reach for r in reports.reach_between(d, first, last).collect()}
+            want = {r.campaign_id: r.n for r in imps.where(F.col("ts").between(first, f"{last} 23:59:59") & (F.col("ifa_present") == "1")).groupBy("campaign_id").agg(F.countDistinct("ifa_hash").alias("n")).collect()}
+            assert got.keys() == want.keys() and all(abs(got[c] - n) <= reports.sketch_bound() * n for c, n in want.items())
+
+
+def test_one_frequent_key_and_rows_without_a_time(spark):
+    """A million events of one key over blocks of time, against a walk over its distinct seconds."""
+    df = spark.range(1_000_000).select(F.lit("hot").alias("key"), (F.pmod(F.xxhash64("id"), F.lit(400_000)) + 7).alias("t"), F.col("id").alias("seq"))
+    for ttl in (1, 1000, 86_400):
+        got = sorted(r.t for r in dedup.fixed_window(df, "key", ttl).where("is_first").select("t").collect())
+        want, end = [], -1
+        for t in sorted(r.t for r in df.select("t").distinct().collect()):
+            if t >= end:
+                want.append(t)
+                end = t + ttl
+        assert got == want
+    rows = [("a", None, 1), ("a", 5, 2), (None, None, 3), ("a", 6, 4), (None, 7, 5), ("b", None, 6)]
+    d = spark.createDataFrame(rows, "key string, t long, seq long")
+    assert {r.seq for r in dedup.fixed_window(d, "key", 10).collect() if r.is_first} == {2, 5}
+    assert {r.seq for r in dedup.rotating(d.withColumn("after", F.lit(False)), "key", 10).collect() if r.is_first} == {2, 5}
+    assert {r.seq for r in dedup.fixed_window(d, "key", 0).collect() if r.is_first} == {2, 4, 5}
+
+
+def test_matching_equals_every_impression_against_every_call(spark):
+    """Bursts outside the windows, stores above the ceiling, several calls in a second, calls without a store."""
+    r = random.Random(11)
+    states = ["Texas", "Ohio", ""]
+    imps = [(f"s{r.randrange(5)}", 10_000 + r.randrange(30_000), i, f"ip{i}", "", "", r.choice(states), "", "", False) for i in range(700)]
+    imps += [("s0", 25_000, 1000 + i, "burst", "", "", "Texas", "", "", False) for i in range(90)] + [(None, 12_000, 5000, "", "", "", "", "", "", False)]
+    calls = [(i, r.choice(["s0", "s1", "s2", "s3", "s4", "none", None]), 10_000 + r.randrange(32_000), r.choice([*states, None]), f"c{i}") for i in range(300)]
+    calls += [(1000 + i, "s0", t, "Texas", "x") for i, t in enumerate([24_999, 25_000, 25_000, 28_600, 28_601])]
+    df = spark.createDataFrame(calls, "call_seq long, store_key string, call_ts long, caller_state string, callId string")
+    for settings in (Settings(candidate_ceiling=40), Settings(candidate_ceiling=3, match_window_minutes=7), Settings(match_window_minutes=0)):
+        w = settings.match_window_minutes * 60
+        got = attribution.matched(df, spark.createDataFrame(imps, RECENT), settings).collect()
+        assert len(got) == len(calls)
+        for x in got:
+            near = [i for i in imps if i[0] is not None and i[0] == x.store_key and x.call_ts - w <= i[1] <= x.call_ts]
+            assert x.candidates == len(near) and (x.best is None) == (not 0 < len(near) <= settings.candidate_ceiling)
+            if x.best is not None:
+                s = 1.0 if len(near) <= 1 else 1 / math.log2(len(near) + 1)
+                geo = lambda i: 0.8 if (x.caller_state or "") and i[6].lower() == x.caller_state.lower() else 0.5 if not x.caller_state else 0.2
+                score = {i[2]: 0.5 * s + 0.3 * (1 - (x.call_ts - i[1]) / max(w, 1)) + 0.2 * geo(i) for i in near}
+                assert score[x.best.imp_seq] == pytest.approx(max(score.values())) and x.best.score == pytest.approx(max(score.values()))
+                assert (x.best.ts, x.best.imp_seq) == max((i[1], i[2]) for i in near if score[i[2]] == score[x.best.imp_seq])
+
+
 def test_every_erasure_says_whether_its_scope_is_complete(spark, tmp_path):
     h, path = "ab12" + "0" * 60, f"{tmp_path}/raw"
     raw_rows(spark, path, h)
