@@ -38,14 +38,16 @@ def decoded(x) -> Column:
 
 
 def plain_keys(query) -> Column:
-    """A query string in which every key that matters stands plainly: encoded keys are decoded, and one that then holds
-    other characters than those of names is no key. Only query strings with an encoded key are taken apart."""
+    """A query string in which every value is found by ``&key=``: each part starts with ``&`` and has a value. Encoded keys
+    are decoded, and one that then holds other characters than those of names is no key; only query strings with an
+    encoded key are taken apart."""
     q = text(query)
     key = lambda p: decoded(F.substring_index(p, "=", 1))
     known = lambda p: F.when(key(p).rlike(r"\A[A-Za-z0-9_]*\z"), key(p)).otherwise("-")
     rest = lambda p: F.when(p.contains("="), F.substring(p, F.instr(p, "="), F.length(p))).otherwise("")
     taken_apart = F.concat_ws("&", F.transform(F.split(q, "&"), lambda p: F.concat(known(p), rest(p))))
-    return F.when(q.rlike(r"(?:\A|&)[^=&]*[%+]"), taken_apart).otherwise(q)
+    whole = F.concat(F.lit("&"), F.when(q.rlike(r"(?:\A|&)[^=&]*[%+]"), taken_apart).otherwise(q))
+    return F.regexp_replace(whole, r"&([^=&]*)(?=&|\z)", r"&$1=")
 
 
 def param(query, name: str) -> Column:
@@ -56,7 +58,16 @@ def param(query, name: str) -> Column:
 def plain_param(plain, name: str) -> Column:
     """First value of a key of a query string made by ``plain_keys``, decoded and trimmed; empty if absent. Unfilled macros
     come through as they are."""
-    return trimmed(decoded(F.regexp_extract(plain, rf"(?:\A|&){name}(?:=([^&]*))?(?=&|\z)", 1)))
+    return read(written(plain, name))
+
+
+def written(plain, name: str) -> Column:
+    """A value as it is written. As a column of its own it is looked for once, however often ``read`` names it."""
+    return F.regexp_extract(plain, rf"&{name}=([^&]*)", 1)
+
+
+def read(value) -> Column:
+    return trimmed(decoded(value))
 
 
 def raw_param(query, name: str) -> Column:
@@ -68,7 +79,7 @@ def raw_param(query, name: str) -> Column:
 def market_area(plain) -> Column:
     """``dma=501``, or the damaged form ``dma501`` as a key."""
     value = plain_param(plain, "dma")
-    damaged = F.regexp_extract(plain, r"(?:\A|&)dma([0-9]{1,5})(?=[=&]|\z)", 1)
+    damaged = F.regexp_extract(plain, r"&dma([0-9]{1,5})=", 1)
     found = F.when(value != "", value).otherwise(damaged)
     return F.when(found.rlike(DMA), found).otherwise("")
 

@@ -32,7 +32,8 @@ def parsed(beacons: DataFrame, campaigns: DataFrame, settings: Settings = Settin
     names = ("advertiser_id", "campaign_id", "creative_id", "pf", "device_ip", "ifa", "ifa_type", "lmt", "app_id", "country", "exp", "sig", "cb", "roku_advertiser_id", "roku_campaign_id", "roku_creative_id", "roku_postal_code", "hh_id")
     plain = F.col("_plain")
     d = beacons.withColumn("_plain", x.plain_keys(q))
-    d = d.select(*beacons.columns, *[x.plain_param(plain, n).alias(f"p_{n}") for n in names], x.market_area(plain).alias("dma"))
+    d = d.select(*beacons.columns, *[x.written(plain, n).alias(f"_v_{n}") for n in names], x.market_area(plain).alias("dma"))
+    d = d.select(*beacons.columns, *[x.read(F.col(f"_v_{n}")).alias(f"p_{n}") for n in names], "dma")
     d = d.join(dimension(campaign_configs(campaigns)), F.col("p_campaign_id") == F.col("c_id"), "left")
     p = {n: F.col(f"p_{n}") for n in names}
     roku = p["pf"] != "ua"

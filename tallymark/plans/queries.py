@@ -71,7 +71,8 @@ def reports_closure(ledger):
 
 
 def _beacons(s, d):
-    b = beacons.parsed(domain.beacons(s, d), domain.campaigns(s))
+    # The table is one row group, which one task would parse.
+    b = beacons.parsed(domain.beacons(s, d).repartition(s.sparkContext.defaultParallelism), domain.campaigns(s))
     return b.select("seq", "reason", "platform", "ifa_present", "ifa_hash", "lmt", "country", "dma", "creative_id")
 
 
