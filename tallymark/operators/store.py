@@ -7,7 +7,7 @@ Expired keys go when the next version is made.
 
 from __future__ import annotations
 
-import re
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +25,7 @@ class KeyStore:
         return f"{self.folder}/version={version}"
 
     def name(self, version: int) -> str:
-        return re.sub("[^a-z0-9]+", "_", f"store_{self.folder}_{version}".lower())
+        return f"store_{hashlib.md5(self.folder.encode()).hexdigest()}_{version}"
 
     def versions(self) -> list[int]:
         return sorted(int(n.split("=")[1]) for n in listed(self.spark, self.folder) if n.startswith("version="))

@@ -18,6 +18,7 @@ from tallymark.config import Settings
 from tallymark.operators import beacons as b
 from tallymark.operators.ratelimit import hits
 from tallymark.operators.store import KeyStore, merged
+from tallymark.sources.files import delete, listed
 from tallymark.streaming.sinks import BatchTables
 
 KEEP = 3_600
@@ -34,7 +35,7 @@ class Ingest:
     def batch(self, beacons: DataFrame, batch_id: int) -> None:
         last = self.tables.committed()
         if batch_id <= last:
-            return self.store.forget(last)
+            return self.forget(last)
         seen = self.store.read(last) if last >= 0 else None
         before = self.tables.batch("hits", last) if last >= 0 else None
         out = b.ingested(beacons, self.campaigns, self.settings, seen, before)
@@ -46,7 +47,15 @@ class Ingest:
         new = b.stored(out, self.settings, end)
         self.store.write(new if seen is None else merged(seen, new, end), batch_id)
         self.tables.commit(batch_id)
+        self.forget(batch_id)
+
+    def forget(self, batch_id: int) -> None:
+        """What only this batch and the one before needed."""
         self.store.forget(batch_id)
+        delete(self.spark, f"{self.tables.folder}/outcomes/batch={batch_id}")
+        for name in listed(self.spark, f"{self.tables.folder}/hits"):
+            if name.startswith("batch=") and int(name.split("=")[1]) < batch_id:
+                delete(self.spark, f"{self.tables.folder}/hits/{name}")
 
     def run(self, stream: DataFrame, checkpoint: str):
         """All that the stream has now."""

@@ -95,6 +95,8 @@ def test_a_stream_of_beacons_equals_the_batch_whatever_fails_between(spark, tmp_
         assert table(one.tables.read(name)) == table(d), name
     last = one.tables.committed()
     assert one.store.versions() == [last] and last == 3
+    left = lambda name: {f.name for f in (tmp_path / "out" / name).iterdir() if f.name.startswith("batch=")}
+    assert left("outcomes") == set() and left("hits") == {"batch=3"} and len(left("raw")) == 4
     end = out.agg(F.max("t")).first()[0]
     assert table(one.store.read(last)) == table(beacons.stored(out, settings, end))
     assert {r.outcome for r in out.select("outcome").distinct().collect()} >= {"counted", "duplicate", "reject_rate_limited", "reject_internal"}
