@@ -59,6 +59,15 @@ def spread(key: str) -> Column:
     return F.coalesce(F.col(key).cast("string"), F.concat(F.lit("\0"), F.col("seq").cast("string")))
 
 
+def in_order(df: DataFrame, *order: str) -> DataFrame:
+    """Adds ``_nth``, the number of a row among those of its ``_key``, which then follow one another in one task.
+
+    A window needs that of its input and so keeps it. A repartition by ``_key`` does not: behind a join by ``_key`` Spark
+    leaves it out, and when that join turns out to be a broadcast, reads the shuffle below it by the tasks that wrote it.
+    """
+    return df.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(*order)))
+
+
 def folded(df: DataFrame, key: str, name: str, start: State, fold: Callable, *columns: str) -> DataFrame:
     """Adds the Boolean column ``name``: what ``fold`` says of each event of a key, in order of ``t`` and ``seq``.
 
@@ -67,20 +76,21 @@ def folded(df: DataFrame, key: str, name: str, start: State, fold: Callable, *co
     """
     names = ["_key", "t", "seq", *columns]
     narrow = df.select(F.col(key).cast("string").alias("_key"), "t", "seq", *columns).where("_key is not null and t is not null")
-    ordered = narrow.repartition("_key").sortWithinPartitions(*names)
+    ordered = in_order(narrow, *names[1:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, state = None, start
+        state = start
         for batch in batches:
-            runs = pc.run_end_encode(batch.column("_key"))
+            ends = pc.run_end_encode(batch.column("_key")).run_ends.to_pylist()
             rows = {c: batch.column(c).to_pylist() for c in ("t", *columns)}
+            nth = batch.column("_nth").to_numpy()
             flags, a = [False] * batch.num_rows, 0
-            for k, b in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
-                if k != held:
-                    held, state = k, start
+            for b in ends:
+                if nth[a] == 1:
+                    state = start
                 state = fold(state, rows, flags, a, b)
                 a = b
-            yield batch.filter(pa.array(flags, pa.bool_()))
+            yield batch.select(names).filter(pa.array(flags, pa.bool_()))
 
     found = ordered.mapInArrow(run, narrow.schema).groupBy(*[F.col(c).alias(f"_f{i}") for i, c in enumerate(names)]).agg(F.count("*").alias("_times"))
     return marked(df, key, name, found, ["t", "seq", *columns])
@@ -108,17 +118,18 @@ def counted_seconds(df: DataFrame, key: str, ttl: int, seen: DataFrame | None =
     else:
         held = seen.groupBy(F.col("key").alias("_held")).agg(F.max("exp").cast("bigint").alias("_exp"))
         d = d.join(held, F.col("_key") == F.col("_held"), "left").drop("_held")
-    ordered = d.repartition("_key").sortWithinPartitions("_key", "_block")
+    ordered = in_order(d, "_block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, end = None, BEFORE
+        end = BEFORE
         for batch in batches:
             keys, firsts = [], []
             lists = batch.column("seconds")
             seconds, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
-            for i, (k, exp) in enumerate(zip(batch.column("_key").to_pylist(), batch.column("_exp").to_pylist(), strict=True)):
-                if k != held:
-                    held, end = k, BEFORE if exp is None else exp
+            columns = (batch.column(c).to_pylist() for c in ("_key", "_exp", "_nth"))
+            for i, (k, exp, nth) in enumerate(zip(*columns, strict=True)):
+                if nth == 1:
+                    end = BEFORE if exp is None else exp
                 own = seconds[offsets[i] : offsets[i + 1]]
                 at = int(np.searchsorted(own, end))
                 while at < len(own):
@@ -128,7 +139,7 @@ def counted_seconds(df: DataFrame, key: str, ttl: int, seen: DataFrame | None =
                     at = max(at + 1, int(np.searchsorted(own, end)))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(firsts, pa.int64())], ["_f0", "_f1"])
 
-    return ordered.select("_key", "seconds", "_exp").mapInArrow(run, "_f0 string, _f1 long")
+    return ordered.select("_key", "seconds", "_exp", "_nth").mapInArrow(run, "_f0 string, _f1 long")
 
 
 def fixed_fold(ttl: int) -> Callable:

@@ -192,3 +192,30 @@ def test_tables_of_any_stream_hold_each_batch_once(spark, tmp_path):
         except Exception:
             assert sorted(r.x for r in tables.read("even").collect()) == list(range(0, 10, 2))
     assert sorted(r.x for n in ("even", "odd") for r in tables.read(n).collect()) == list(range(30))
+
+
+def test_a_key_is_walked_whole_beside_a_store_that_turns_out_small(spark):
+    """A join with the store that becomes a broadcast while it runs leaves the blocks of a key in one task."""
+    new = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    keep = {c: spark.conf.get(c, None) for c in new}
+    for c, v in new.items():
+        spark.conf.set(c, v)
+    try:
+        r = random.Random(3)
+        events = [(f"k{r.randrange(40)}", START + r.randrange(4000), i) for i in range(3000)]
+        held = {f"k{i}": START + 30 * i for i in range(0, 40, 2)}
+        batch = spark.createDataFrame(events, "key string, t long, seq long")
+        seen = spark.createDataFrame(list(held.items()), "key string, exp long").repartition(4)
+        want, end = set(), dict(held)
+        for k, t, seq in sorted(events, key=lambda e: (e[1], e[2])):
+            if end.get(k, 0) <= t:
+                want.add(seq)
+                end[k] = t + 50
+        for d in (batch, batch.repartition("key").distinct()):
+            assert {x.seq for x in dedup.fixed_window(d, "key", 50, seen).where("is_first").collect()} == want
+        kept = batch.join(seen.select(F.col("key"), "exp"), "key", "left").where("exp is null or t >= exp").withColumn("after", F.lit(False))
+        want = {x.seq for x in dedup.fixed_window(kept, "key", 50).where("is_first").collect()}
+        assert {x.seq for x in dedup.rotating(kept, "key", 50).where("is_first").collect()} == want
+    finally:
+        for c, v in keep.items():
+            spark.conf.unset(c) if v is None else spark.conf.set(c, v)
