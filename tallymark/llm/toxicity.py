@@ -332,8 +332,8 @@ def hashes(words: list[str]) -> np.ndarray:
     return np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words], np.int64)
 
 
-def training_documents(docs: DataFrame, labels: DataFrame, limits: tuple[int, int] = (TRAIN_CLEAN, TRAIN_TOXIC)) -> tuple[list[str], list[str]]:
-    """The texts of at most ``limits`` labelled documents outside the held-out fold: (clean, toxic).
+def training_rows(docs: DataFrame, labels: DataFrame, limits: tuple[int, int] = (TRAIN_CLEAN, TRAIN_TOXIC)) -> list[DataFrame]:
+    """``toxic``, ``h``, ``doc_id`` and ``text`` of at most ``limits`` labelled documents outside the held-out fold: clean ones, toxic ones.
 
     Of several texts of one ``doc_id`` the one of the least hash teaches; a ``doc_id`` labelled both ways does not.
     """
@@ -348,11 +348,21 @@ def training_documents(docs: DataFrame, labels: DataFrame, limits: tuple[int, in
         few = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limits[kind])  # of bounded size
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull()).join(F.broadcast(few.select("doc_id")), "doc_id", "left_semi")
         one = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one")
-        rows = written(rows.groupBy("doc_id").agg(one).select("doc_id", "one.text"), "labelled")
-        sizes = rows.select("doc_id", F.xxhash64("doc_id").alias("h"), F.length("text").alias("n")).orderBy("h", "doc_id").collect()
+        rows = written(rows.groupBy("doc_id").agg(one).select(F.lit(kind).alias("toxic"), F.xxhash64("doc_id").alias("h"), "doc_id", "one.text"), "labelled")
+        sizes = rows.select("doc_id", "h", F.length("text").alias("n")).orderBy("h", "doc_id").collect()
         most = np.cumsum([r["n"] for r in sizes]) <= TRAIN_CHARS  # whole documents, up to so many characters
         last = max((r["h"] for r, ok in zip(sizes, most.tolist(), strict=True) if ok), default=None)
-        found.append([] if last is None else [r["text"] for r in rows.where(F.xxhash64("doc_id") <= last).orderBy(F.xxhash64("doc_id"), "doc_id").select("text").collect()])
+        some = rows.where(F.lit(False) if last is None else F.col("h") <= last)
+        some._table_path = rows._table_path
+        found.append(some)
+    return found
+
+
+def training_documents(docs: DataFrame, labels: DataFrame, limits: tuple[int, int] = (TRAIN_CLEAN, TRAIN_TOXIC)) -> tuple[list[str], list[str]]:
+    """The texts of ``training_rows``, in order: (clean, toxic)."""
+    found = []
+    for rows in training_rows(docs, labels, limits):
+        found.append([r["text"] for r in rows.orderBy("h", "doc_id").select("text").collect()])
         dropped(rows)
     return found[0], found[1]
 
@@ -529,7 +539,29 @@ def scored(docs: DataFrame, machine: Machine | None) -> DataFrame:
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Machine | None:
-    return train(*training_documents(docs, labels))
+    """The machine, trained in a task: texts and kernels of the bounded sample stay out of the driver, which gets the weights."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: tuple[list[str], list[str]] = ([], [])
+        for batch in batches:
+            for kind, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                texts[kind].append(text)
+        machine = train(*texts)
+        parts = [] if machine is None else [machine.weights, np.array([machine.bias]), machine.scale, machine.clean]
+        cols = [pa.array([str(p.dtype) for p in parts], pa.string()), pa.array([p.tobytes() for p in parts], pa.binary())]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), *cols], ["part", "kind", "data"])
+
+    tune(docs.sparkSession)
+    clean, toxic = training_rows(docs, labels)
+    order = ["toxic", "h", "doc_id"]
+    rows = clean.union(toxic).repartition(1).sortWithinPartitions(*order).select("toxic", "text")
+    found = rows.mapInArrow(run, "part int, kind string, data binary").collect()  # four rows
+    dropped(clean)
+    dropped(toxic)
+    if not found:
+        return None
+    weights, bias, scale, known = (np.frombuffer(r["data"], r["kind"]) for r in sorted(found, key=lambda r: r["part"]))
+    return Machine(weights, float(bias[0]), scale, known)
 
 
 def accepted(docs: DataFrame, machine: Machine | None, limit: float = 0.5) -> DataFrame:

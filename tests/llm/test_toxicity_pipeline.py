@@ -4,6 +4,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +71,17 @@ def test_held_out_accuracy_with_inserted_characters(spark):
     assert toxicity.sentences("One two. Three\nfour? 5.5 six") == [["One", "two."], ["Three"], ["four?"], ["5.5", "six"]]
 
 
+def test_training_stays_out_of_the_driver(spark, monkeypatch):
+    rows, labels = labelled()
+    docs, lab = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    want, here, real = toxicity.train(*toxicity.training_documents(docs, lab)), [], toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda *texts: here.append(len(texts)) or real(*texts))
+    got = toxicity.trained(docs.repartition(3), lab)
+    assert not here
+    flagged = [m.score(m.documents(pa.array([r[1] for r in rows], pa.large_string()))) >= 0.5 for m in (got, want)]
+    assert (flagged[0] == flagged[1]).mean() > 0.99 and (got.clean == want.clean).all()
+
+
 def test_copies_with_a_label_teach_nothing_but_once(spark):
     """A toxic document in many near copies: its ordinary words are no evidence against clean documents."""
     rows, labels = labelled()
