@@ -63,10 +63,10 @@ def placed(key: str, m: int, step: int, *more: str) -> str:
     return f"named_struct('k', {key}, 'h', xxhash64({key}, 99), {''.join(more)}{cells})"
 
 
-def sketch(digests: str, m: int) -> str:
-    """SQL: the cells, from digests with their places."""
+def sketch(digests: str, m: int, n: str = "1") -> str:
+    """SQL: the cells, from digests with their places. ``n``: how often a digest ``e`` counts (-1: it is taken away)."""
     return "concat(" + ", ".join(
-        f"transform(sequence(0, {m - 1}), u -> aggregate(filter({digests}, e -> e.{c} = u), {EMPTY}, (z, e) -> named_struct('n', z.n + 1, 'k', z.k ^ e.k, 'h', z.h ^ e.h)))"
+        f"transform(sequence(0, {m - 1}), u -> aggregate(filter({digests}, e -> e.{c} = u), {EMPTY}, (z, e) -> named_struct('n', z.n + {n}, 'k', z.k ^ e.k, 'h', z.h ^ e.h)))"
         for c in "abc"
     ) + ")"
 
@@ -84,22 +84,26 @@ def peeled(less: str, m: int, keep: bool = False) -> str:
     digests themselves with the side that has them (1 or -1); null if the cells do not empty."""
     pure = "abs(x.n) = 1 AND x.h = xxhash64(x.k, 99)"
     found = f"transform(array_distinct(transform(filter(s.c, x -> {pure}), x -> named_struct('k', x.k, 'n', x.n))), f -> {placed('f.k', m, m, chr(39), 'n', chr(39), ', f.n, ')})"
-    taken = "aggregate(filter(p, e -> e.a = i OR e.b = i OR e.c = i), x, (y, e) -> named_struct('n', y.n - e.n, 'k', y.k ^ e.k, 'h', y.h ^ e.h))"
+    # A cell is asked for its own subtable's place alone.
+    at = f"if(i < {m}, filter(p, e -> e.a = i), if(i < {2 * m}, filter(p, e -> e.b = i), filter(p, e -> e.c = i)))"
+    taken = f"aggregate({at}, x, (y, e) -> named_struct('n', y.n - e.n, 'k', y.k ^ e.k, 'h', y.h ^ e.h))"
     more = "concat(s.d, transform(p, f -> named_struct('k', f.k, 'n', f.n)))" if keep else "s.d + size(p)"
+    # A round that finds nothing is the last one that looks, and drops the cells, which every later round would copy.
+    filled = "exists(s.c, x -> x.n != 0 OR x.k != 0 OR x.h != 0)"
     step = (
-        f"if(exists(s.c, x -> {pure}), element_at(transform(array({found}), "
-        f"p -> named_struct('c', transform(s.c, (x, i) -> {taken}), 'd', {more})), 1), s)"
+        f"if(s.go, element_at(transform(array({found}), p -> if(size(p) = 0, named_struct('c', slice(s.c, 1, 0), 'd', s.d, 'go', false, 'ok', NOT {filled}), "
+        f"named_struct('c', transform(s.c, (x, i) -> {taken}), 'd', {more}, 'go', true, 'ok', false))), 1), s)"
     )
     return (
-        f"aggregate(sequence(1, {ROUNDS}), named_struct('c', {less}, 'd', {NO_DIGESTS if keep else '0'}), (s, r) -> {step}, "
-        "s -> if(exists(s.c, x -> x.n != 0 OR x.k != 0 OR x.h != 0), null, s.d))"
+        f"aggregate(sequence(1, {ROUNDS}), named_struct('c', {less}, 'd', {NO_DIGESTS if keep else '0'}, 'go', true, 'ok', false), (s, r) -> {step}, "
+        f"s -> if(if(s.go, NOT {filled}, s.ok), s.d, null))"
     )
 
 
 def differing(a: str, b: str, m: int, keep: bool = False) -> str:
-    """SQL: ``peeled`` of the sketches of two lists of digests."""
-    both = ", ".join(f"'{n}', transform({keys}, q -> {placed('q', m, 0)})" for n, keys in (("x", a), ("y", b)))
-    return f"element_at(transform(array(named_struct({both})), o -> {peeled(minus(sketch('o.x', m), sketch('o.y', m)), m, keep)}), 1)"
+    """SQL: ``peeled`` of the sketch of one list of digests less that of another, taken cell by cell in one pass."""
+    both = "concat(" + ", ".join(f"transform({keys}, q -> {placed('q', m, 0, chr(39), 'n', chr(39), f', {n}, ')})" for n, keys in ((1, a), (-1, b))) + ")"
+    return f"element_at(transform(array({both}), o -> {peeled(sketch('o', m, 'e.n'), m, keep)}), 1)"
 
 
 def by_shard(a: str, b: str, inside: str) -> str:

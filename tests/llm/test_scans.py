@@ -324,3 +324,14 @@ def test_fingerprints_defined_results(spark, clashing, empty):
     assert len({r.fingerprint for r in got if r.doc_id in (1, 7)}) == 1
     one = fingerprint.compared(spark.createDataFrame([(1, "alone here", None, None, 3)], DOCS)).collect()[0]
     assert one.near_next == 1.0 and one.edited_sha256 == hashlib.sha256(b"alone heal").hexdigest()
+
+
+def test_a_difference_of_sketches_is_one_sketch_and_is_not_carried_on_when_empty(spark):
+    """Both lists are taken into the same cells, and cells that give up nothing more are dropped, not copied from round to round."""
+    sql = fingerprint.differing("a", "b", 4, True)
+    assert sql.count("sequence(0, 3)") == 3 and "slice(s.c, 1, 0)" in sql
+    d = spark.createDataFrame([([1, 2, 3], [3, 4]), ([5], [5]), ([], [])], "a array<long>, b array<long>")
+    got = [sorted((x.k, x.n) for x in r.d) for r in d.selectExpr(f"{sql} AS d").collect()]
+    assert got == [[(1, 1), (2, 1), (4, -1)], [], []]
+    many = spark.createDataFrame([(list(range(60)), [])], "a array<long>, b array<long>")
+    assert many.selectExpr(f"{sql} AS d").first().d is None  # 12 cells do not give up 60
