@@ -69,7 +69,11 @@ STRETCH = 1 << 20
 
 def words(text: str) -> np.ndarray:
     """A hash for each run without ASCII white space."""
-    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    return words_in(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8))[0]
+
+
+def words_in(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each run of bytes without ASCII white space, and where it starts."""
     padded = np.zeros(len(data) + 2, bool)
     inside = padded[1:-1]
     np.logical_and(data != 32, data - np.uint8(9) > 4, out=inside)
@@ -88,7 +92,7 @@ def words(text: str) -> np.ndarray:
             both.append(modulo(modulo(total) * down.upto(b - a)[at]))
         found.append(mix(mix((both[0] << _31) | both[1]) + (end[i:j] - start[i:j]).astype(U)))
         i = j
-    return np.concatenate(found)
+    return np.concatenate(found), start
 
 
 def shingles(text: str, size: int = 5) -> np.ndarray:

@@ -36,16 +36,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.llm.common import dropped, new_path, released, texts, tune, written
-from tallymark.llm.hashing import Ranges, U, mix, words
+from tallymark.llm.hashing import Ranges, U, mix, words, words_in
 
 LENGTH, SEED, BATCHES = 400, 96, 4
 #: Words of a passage, and of its seeds.
 PASSAGE, WORDS = 51, 10
 GROUP = 20_000
+#: Bytes of short texts whose suffixes are found together; a longer text stands alone.
+TOGETHER = 1 << 17
 _LOW = 20
 
 
@@ -65,6 +68,15 @@ class Units:
     def of(self, text: str) -> np.ndarray:
         return words(text) if self.words else data_of(text)
 
+    def joined(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The units of all texts, one text behind another, and where each text ends."""
+        ends = np.cumsum([len(t) + self.words for t in texts])
+        data = np.frombuffer((b" " if self.words else b"").join(texts), np.uint8)
+        if not self.words:
+            return data, ends
+        data, at = words_in(data)
+        return data, np.searchsorted(at, ends)
+
     @property
     def kind(self):
         return U if self.words else np.uint8
@@ -117,24 +129,48 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 def runs(data: np.ndarray, length: int = LENGTH, seed: int = SEED) -> tuple[np.ndarray, ...]:
     """Runs of passages with one anchor: hash of the seed, hash of the run, first passage, passages, anchor."""
-    n, width = len(data) - length + 1, length - seed + 1
+    return runs_in(data, np.array([len(data)]), length, seed)
+
+
+def runs_in(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, seed: int = SEED) -> tuple[np.ndarray, ...]:
+    """``runs`` of texts that stand one behind another in ``data`` and end at ``ends``; places are those in ``data``."""
+    sizes = np.diff(ends, prepend=0)
+    inside = np.maximum(sizes - (length - 1), 0)  # passages of each text
+    n, width = int(inside.sum()), length - seed + 1
     if n < 1:
         return (np.zeros(0, U), np.zeros(0, U), *[np.zeros(0, np.int64)] * 3)
     hashes = seeds_of(data, seed)
-    anchors = np.empty(n, np.int64)
+    anchors = np.empty(len(data) - length + 1, np.int64)
     step = (1 << _LOW) - width
-    for a in range(0, n, step):
-        part = hashes[a : min(a + step, n) + width - 1]
-        packed = (part >> U(_LOW) << U(_LOW)) | np.arange(len(part)).astype(U)
+    for a in range(0, len(anchors), step):
+        part = hashes[a : min(a + step, len(anchors)) + width - 1]
+        packed = (part >> U(_LOW) << U(_LOW)) | np.arange(len(part), dtype=U)
         low = sliding_min(packed, width)
-        anchors[a : a + len(low)] = a + (low & U((1 << _LOW) - 1)).astype(np.int64)
-    first = np.flatnonzero(np.diff(anchors, prepend=-1))
-    count = np.diff(first, append=n)
-    anchor = anchors[first]
+        anchors[a : a + len(low)] = (low & U((1 << _LOW) - 1)).view(np.int64) + a
+    passage = np.arange(n)
+    if len(ends) > 1:
+        passage += np.repeat(ends - sizes - np.cumsum(inside) + inside, inside)
+        anchors = anchors[passage]
+    new = np.flatnonzero(anchors[1:] != anchors[:-1]) + 1  # an anchor stands in its passage's text
+    new = np.concatenate([[0], new])
+    count = np.append(new[1:], n) - new
+    first, anchor = passage[new], anchors[new]
     whole = mix(digests(data, first, first + count - 1 + length) + (anchor - first).astype(U) * U(0x9E3779B97F4A7C15))
     return hashes[anchor], whole, first, count, anchor
 
 
+def together(texts: list[bytes], size: int = TOGETHER) -> Iterator[tuple[int, int]]:
+    """Bounds of stretches of texts that hold ``size`` bytes at most, or one text."""
+    a, total = 0, 0
+    for i, t in enumerate(texts):
+        if i > a and total + len(t) > size:
+            yield a, i
+            a, total = i, 0
+        total += len(t)
+    if a < len(texts):
+        yield a, len(texts)
+
+
 COLUMNS = {"doc_id": "long", "tag": "long", "seed": "long", "whole": "long", "first": "int", "count": "int", "anchor": "int"}
 
 
@@ -143,15 +179,17 @@ def suffixes(docs: DataFrame, units: Units = BYTES) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for t in batch.column("text").to_pylist():
-                data = units.of(t or "")
-                seed, whole, first, count, anchor = runs(data, units.length, units.seed)
-                found.append((units.starts(data, anchor, seed) if len(anchor) else np.zeros(0, np.int64), whole.view(np.int64), first, count, anchor))
-            row = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
-            cols = [batch.column(c).take(row) for c in ("doc_id", "tag")]
-            for i, kind in enumerate([pa.int64()] * 2 + [pa.int32()] * 3):
-                cols.append(pa.array(np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]), kind))
+            found, texts = [], batch.column("text").cast(pa.binary()).to_pylist()
+            for a, b in together(texts):
+                data, ends = units.joined(texts[a:b])
+                seed, whole, first, count, anchor = runs_in(data, ends, units.length, units.seed)
+                if len(anchor):
+                    of = np.searchsorted(ends, first, "right")
+                    start = ends[of - 1] * (of > 0)
+                    found.append((units.starts(data, anchor, seed), whole.view(np.int64), first - start, count, anchor - start, of + a))
+            *values, row = (np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]) for i in range(6))
+            cols = [batch.column(c).take(pa.array(row)) for c in ("doc_id", "tag")]
+            cols += [pa.array(x, kind) for x, kind in zip(values, [pa.int64()] * 2 + [pa.int32()] * 3, strict=True)]
             yield pa.RecordBatch.from_arrays(cols, list(COLUMNS))
 
     tune(docs.sparkSession)
@@ -279,16 +317,18 @@ def in_context(docs: DataFrame, examples: DataFrame, units: Units) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, parts, out = [], [], {n: [] for n in EXAMPLE}
-            for i, (text, found) in enumerate(zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True)):
+            found = batch.column("runs").flatten()
+            many = np.asarray(batch.column("runs").value_lengths(), np.int64)
+            start = np.asarray(found.field("first"), np.int64)
+            end = start + np.asarray(found.field("count"), np.int64) + units.length - 1
+            parts, r = [], 0
+            for text, n in zip(batch.column("text").to_pylist(), many.tolist(), strict=True):
                 data = units.of(text)
-                for r in found:
-                    row.append(i)
-                    parts.append(data[r["first"] : r["first"] + r["count"] + units.length - 1].tobytes())
-                    for n in EXAMPLE:
-                        out[n].append(r[n])
-            at = pa.array(row, pa.int64())
-            cols = [batch.column("doc_id").take(at), batch.column("tag").take(at), *[pa.array(out[n], k) for n, k in EXAMPLE.items()], pa.array(parts, pa.binary())]
+                raw, step = data.tobytes(), data.dtype.itemsize
+                parts += [raw[a:b] for a, b in zip((start[r : r + n] * step).tolist(), (end[r : r + n] * step).tolist())]
+                r += n
+            at = pa.array(np.repeat(np.arange(len(many)), many))
+            cols = [batch.column("doc_id").take(at), batch.column("tag").take(at), *[found.field(n).cast(k) for n, k in EXAMPLE.items()], pa.array(parts, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "tag", *EXAMPLE, "data"])
 
     return d.mapInArrow(run, "doc_id long, tag long, seed long, low long, high long, first int, count int, anchor int, data binary")
@@ -410,8 +450,12 @@ def repeated(docs: DataFrame, units: Units = BYTES, batches: int = BATCHES, grou
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
+    return union([(s["start"], s["end"]) for s in spans])
+
+
+def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
-    for a, b in sorted((s["start"], s["end"]) for s in spans):
+    for a, b in sorted(spans):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -431,11 +475,14 @@ def cleaned(docs: DataFrame, units: Units = BYTES, batches: int = BATCHES, group
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
-                cut = merged([x for x in found or [] if not x["words"]])
-                in_passages = sum(b - a for a, b in merged([x for x in found or [] if x["words"]]))
+            rows, r = [], 0
+            found = batch.column("spans").flatten()
+            in_words, spans = found.field("words").to_pylist(), list(zip(found.field("start").to_pylist(), found.field("end").to_pylist()))
+            for raw, n in zip(batch.column("text").cast(pa.binary()).to_pylist(), pc.fill_null(batch.column("spans").value_lengths(), 0).to_pylist(), strict=True):
+                own = list(zip(in_words[r : r + n], spans[r : r + n]))
+                r += n
+                cut = union([x for w, x in own if not w])
+                in_passages = sum(b - a for a, b in union([x for w, x in own if w]))
                 parts, at = [], 0
                 for a, b in cut:
                     parts.append(raw[at:a])

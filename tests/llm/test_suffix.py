@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from tallymark.llm import suffix
 from tallymark.llm.common import new_path
 from tallymark.llm.suffix import BYTES, IN_WORDS, Family, Units, cleaned, data_of, long_matches, merged, runs, sliding_min, suffixes
 from tests.llm.conftest import AWKWARD
@@ -172,3 +173,26 @@ def test_equal_passages_have_equal_anchors():
     assert (place[0][1000:1601] - 1000 == place[1][777:1378] - 777).all()
     assert (sliding_min(np.array([3, 1, 2, 5, 4, 0]), 3) == [1, 1, 2, 0]).all()
     assert data_of("é").tolist() == [195, 169]
+
+
+def test_short_texts_are_looked_at_together(monkeypatch):
+    """Suffixes of many short texts, found in one stretch, are those of each text alone; before, each had its own pass."""
+    rng = random.Random(5)
+    texts = ["", " ", "é" * 300, "a b " * 150, " x" * 60 + " ", "y" * 399, "z" * 400, *("".join(rng.choice("ab cdé\n") for _ in range(rng.randrange(1200))) for _ in range(60))]
+    raw = [t.encode() for t in texts]
+    calls = []
+    monkeypatch.setattr(suffix, "seeds_of", lambda data, width, f=suffix.seeds_of: calls.append(1) or f(data, width))
+    for units in (BYTES, IN_WORDS):
+        alone = [runs(units.of(t), units.length, units.seed) for t in texts]
+        for size, stretches in ((1 << 17, 1), (4000, None), (1, None)):
+            calls.clear()
+            found = []
+            for a, b in suffix.together(raw, size):
+                data, ends = units.joined(raw[a:b])
+                seed, whole, first, count, anchor = suffix.runs_in(data, ends, units.length, units.seed)
+                start = np.concatenate([[0], ends])[np.searchsorted(ends, first, "right")]
+                found.append((seed, whole, first - start, count, anchor - start))
+            assert stretches is None or len(calls) == stretches
+            for i in range(5):
+                assert np.concatenate([f[i] for f in found]).tolist() == np.concatenate([x[i] for x in alone]).tolist()
+    assert list(suffix.together([b"aa", b"b", b"cccc", b"", b"d"], 3)) == [(0, 2), (2, 3), (3, 5)]
