@@ -34,10 +34,11 @@ from math import lgamma, log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import WORD, dropped, texts, tune, written
+from tallymark.llm.common import WORD, dropped, freed, releasing, texts, tune, written
 from tallymark.llm.hashing import U, mix, shingles
 
 WORDS, SIMILAR = 5, 0.8
@@ -138,7 +139,7 @@ def signed(docs: DataFrame, weighted: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, ["key", "same", "bands", "sig", "size"])
 
     tune(docs.sparkSession)
-    return numbered(docs).select("key", "same", "text").mapInArrow(run, "key long, same string, bands array<long>, sig binary, size int")
+    return numbered(docs).select("key", "same", "text").mapInArrow(releasing(run), "key long, same string, bands array<long>, sig binary, size int")
 
 
 def packed(x: np.ndarray, w: np.ndarray, weighted: bool) -> bytes:
@@ -167,7 +168,7 @@ def element_sets(docs: DataFrame, nodes: DataFrame, ids: DataFrame, weighted: bo
             sets = [packed(*elements(t, weighted), weighted) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], ["id", "elements"])
 
-    return written(rows.mapInArrow(run, "id long, elements binary").groupBy("id").agg(F.first("elements").alias("elements")), "elements")
+    return written(rows.mapInArrow(releasing(run), "id long, elements binary").groupBy("id").agg(F.first("elements").alias("elements")), "elements")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similar: float, weighted: bool) -> DataFrame:
@@ -183,7 +184,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similar: float, weighted: bool)
             ]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(releasing(run), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -218,7 +219,7 @@ def screened(pairs: DataFrame, sigs: DataFrame, screen: int) -> DataFrame:
 
     p = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a")
     p = p.join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb")
-    return p.where(F.col("sa").isNotNull() & F.col("sb").isNotNull()).mapInArrow(run, "a long, b long")
+    return p.where(F.col("sa").isNotNull() & F.col("sb").isNotNull()).mapInArrow(releasing(run), "a long, b long")
 
 
 def digest(text: str) -> Column:
@@ -248,6 +249,18 @@ def nodes_of(docs: DataFrame, weighted: bool = False) -> DataFrame:
     return written(other.drop("least"), "nodes")
 
 
+def numbers(x: np.ndarray) -> np.ndarray:
+    """The rank of each number among the distinct ones. Holds three times its bytes, and nothing it has done with."""
+    order = np.argsort(x)
+    ordered = x[order]
+    rank = np.zeros(len(x), np.int32)
+    np.cumsum(ordered[1:] != ordered[:-1], dtype=np.int32, out=rank[1:])
+    del ordered
+    codes = np.empty(len(x), np.int32)
+    codes[order] = rank
+    return codes
+
+
 class Bucket:
     """Rows of one bucket, or of one block of it, in one task."""
 
@@ -257,11 +270,13 @@ class Bucket:
         self.ids, self.classes, self.query, self.target = (rows.column(c).to_numpy() for c in ("id", "class", "query", "target"))
         self.sigs = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint16).reshape(self.n, -1)
         self.bands = np.array(rows.column("bands").to_pylist(), np.int64)
-        sets = [unpacked(x, weighted) for x in rows.column("elements").to_pylist()]
-        self.ends = np.cumsum([0, *[len(x) for x, _ in sets]])
-        self.codes = np.unique(np.concatenate([x for x, _ in sets]), return_inverse=True)[1]
-        self.weights = np.concatenate([w for _, w in sets])
+        sizes = [n for x in rows.column("elements").chunks for n in pc.binary_length(x).to_pylist()]
+        self.ends = np.cumsum([0, *sizes]) // (12 if weighted else 8)
+        x, self.weights = np.empty(self.ends[-1], U), np.ones(self.ends[-1], np.float32)
+        for raw, a, b in zip((r.as_buffer() for c in rows.column("elements").chunks for r in c), self.ends[:-1], self.ends[1:], strict=True):
+            x[a:b], self.weights[a:b] = unpacked(raw, weighted)
         self.total = np.add.reduceat(self.weights, self.ends[:-1])
+        self.codes = numbers(x)
 
     def agreeing(self, i: np.ndarray, screen: int) -> Iterator[tuple[int, np.ndarray]]:
         """For each row in ``i`` the targets whose signature agrees, in the first band that both share."""
@@ -313,7 +328,10 @@ def joining(rows: DataFrame, similar: float, screen: int, weighted: bool) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-            found = Bucket(pa.Table.from_batches(parts), weighted).links(similar, screen)
+            rows = [pa.Table.from_batches(parts)]
+            parts.clear()
+            found = Bucket(rows.pop(), weighted).links(similar, screen)
+            freed()
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         held: list[pa.RecordBatch] = []
@@ -334,7 +352,7 @@ def joining(rows: DataFrame, similar: float, screen: int, weighted: bool) -> Dat
 
     names = ["key", "t", "q", "id", "class", "query", "target", "sig", "bands", "elements"]
     block = ["key", "t", "q"]
-    return rows.select(*names).repartition(*block).sortWithinPartitions(*block).mapInArrow(run, "a long, b long")
+    return rows.select(*names).repartition(*block).sortWithinPartitions(*block).mapInArrow(releasing(run), "a long, b long")
 
 
 def blocks(members: DataFrame, tile: int, first: bool) -> DataFrame:

@@ -49,7 +49,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import Seen, dropped, tune, written
+from tallymark.llm.common import Seen, dropped, releasing, tune, written
 from tallymark.llm.hashing import mix, shingles
 
 #: A span of 9 holds three characters with three inserted between each two.
@@ -535,7 +535,7 @@ def scored(docs: DataFrame, machine: Machine | None) -> DataFrame:
             of = np.concatenate([np.zeros((0, 2)), *(m.documents(part) for part in slices(batch.column("text")))])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(m.score(of), pa.float64())], [*batch.schema.names, "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(releasing(run), schema)
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Machine | None:
@@ -555,7 +555,7 @@ def trained(docs: DataFrame, labels: DataFrame) -> Machine | None:
     clean, toxic = training_rows(docs, labels)
     order = ["toxic", "h", "doc_id"]
     rows = clean.union(toxic).repartition(1).sortWithinPartitions(*order).select("toxic", "text")
-    found = rows.mapInArrow(run, "part int, kind string, data binary").collect()  # four rows
+    found = rows.mapInArrow(releasing(run), "part int, kind string, data binary").collect()  # four rows
     dropped(clean)
     dropped(toxic)
     if not found:

@@ -1,10 +1,14 @@
 import random
+import tracemalloc
+import weakref
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tallymark.llm.minhash import deduplicated, elements, grouped, signature, similarity
+from tallymark.llm import common
+from tallymark.llm.minhash import BANDS, K, Bucket, deduplicated, elements, grouped, signature, similarity
 from tests.llm.conftest import AWKWARD, DOCS
 
 
@@ -127,3 +131,46 @@ def test_signatures_agree_as_often_as_sets_are_similar(weighted):
 def test_similarity_is_jaccards():
     x, y = "a b c d e f g h i j", "a b c d e f g h i k"
     assert similarity(elements(x), elements(y)) == pytest.approx(5 / 7)
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_a_bucket_takes_few_times_its_shingles(weighted):
+    """Before, copies of all shingles took eight times their bytes at once, in each of an executor's workers."""
+    rng, n, size = np.random.default_rng(1), 100, 5000
+    sets = [np.unique(rng.integers(0, 50_000, size).astype(np.uint64) << np.uint64(40)) for _ in range(n)]
+    weights = [rng.integers(1, 9, len(x)).astype(np.float32) for x in sets]
+    rows = pa.table({
+        "key": [7] * n, "id": list(range(n)), "class": list(range(n)), "query": pa.array([True] * n).to_numpy(False), "target": pa.array([True] * n).to_numpy(False),
+        "sig": pa.array([bytes(2 * K)] * n, pa.binary()), "bands": [[7] * BANDS] * n,
+        "elements": pa.chunked_array([pa.array([x.tobytes() + (w.tobytes() if weighted else b"") for x, w in zip(sets[a:b], weights[a:b])], pa.binary()) for a, b in ((0, 30), (30, n))]),
+    })
+    tracemalloc.start()
+    bucket = Bucket(rows, weighted)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    x = np.concatenate(sets)
+    assert most < 5 * x.nbytes
+    assert (bucket.codes == np.unique(x, return_inverse=True)[1]).all()
+    assert bucket.ends.tolist() == np.cumsum([0, *map(len, sets)]).tolist()
+    assert (bucket.weights == (np.concatenate(weights) if weighted else 1)).all()
+
+
+def test_a_worker_gives_memory_back_after_a_task(monkeypatch):
+    """Workers live on beside the next stages; what a task held is gone when its memory is given back."""
+
+    class Held:
+        pass
+
+    held, alive = [], []
+    monkeypatch.setattr(common, "freed", lambda: alive.append(held[0]() is not None))
+
+    def run(batches):
+        for batch in batches:
+            own = Held()
+            held.append(weakref.ref(own))
+            yield batch
+
+    assert list(common.releasing(run)(iter([1]))) == [1]
+    assert alive == [False]
+    monkeypatch.undo()
+    common.freed()
